@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarisk.catalog import credit
+from tamarisk.catalog import credit, landing, people
 
-PARTS = (credit,)
+PARTS = (credit, people, landing)
 
 
 def queries() -> dict:

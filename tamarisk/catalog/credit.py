@@ -13,25 +13,21 @@ def _values(mapping) -> str:
     return ", ".join(f"('{k}', {i}, {v!r}::DOUBLE)" for i, (k, v) in enumerate(mapping.items()))
 
 
-def _loss_sql(columns: str = "") -> str:
-    """Per-loan losses as SQL: the check's own statement of the formula."""
-    scen = ", ".join(
-        f"least(pd * {p!r}::DOUBLE, 1::DOUBLE) * least(lgd * {g!r}::DOUBLE, 1::DOUBLE) * EAD + 0 * pd AS ecl_{s}" for s, (p, g, _) in P.SCENARIOS.items())
-    return f"""
-      WITH rp(rk, rank, rpd) AS (VALUES {_values(P.PD_BY_RATING)}), fp(fk, frank, flgd) AS (VALUES {_values(P.LGD_BY_FACILITY)}),
-      a AS (SELECT l.*, rp.rk IS NULL AS unknown_rating, fp.fk IS NULL AS unknown_facility, rp.rank AS rank,
-              coalesce(rpd, 0.1::DOUBLE) AS pd0, coalesce(flgd, 0.55::DOUBLE) AS lgd,
-              CASE WHEN DPD > 90 THEN 3 WHEN DPD >= 30 OR WATCHLIST THEN 2 ELSE 1 END AS computed_stage,
-              CASE WHEN MATURITY IS NULL THEN NULL
-                   ELSE greatest((MATURITY - DATE '{P.REPORTING_DATE}') / 365.25::DOUBLE, 0.1::DOUBLE) END AS term
-            FROM v_loans l LEFT JOIN rp ON RATING = rk LEFT JOIN fp ON FACILITY_TYPE = fk),
-      b AS (SELECT * EXCLUDE (PD, LGD, lgd), lgd AS lgd,
-              CASE WHEN computed_stage > 1 THEN 1 - pow(1 - pd0, term) ELSE pd0 END AS pd FROM a),
-      loss AS (SELECT *, {scen} FROM b)"""
-
-
-# The view carries the file's own PD and LGD; the modelled path must not see them.
-_MODEL = _loss_sql().replace("SELECT l.*,", "SELECT l.* EXCLUDE (PD, LGD),").replace("* EXCLUDE (PD, LGD, lgd), lgd AS lgd,", "*,")
+_SCENARIO_SQL = ", ".join(
+    f"least(pd * {p!r}::DOUBLE, 1::DOUBLE) * least(lgd * {g!r}::DOUBLE, 1::DOUBLE) * EAD + 0 * pd AS ecl_{s}"
+    for s, (p, g, _) in P.SCENARIOS.items())
+
+# Per-loan losses as SQL: the check's own statement of the formula.
+_MODEL = f"""
+    WITH rp(rk, rank, rpd) AS (VALUES {_values(P.PD_BY_RATING)}), fp(fk, frank, flgd) AS (VALUES {_values(P.LGD_BY_FACILITY)}),
+    a AS (SELECT l.* EXCLUDE (PD, LGD), rp.rk IS NULL AS unknown_rating, fp.fk IS NULL AS unknown_facility, rp.rank AS rank,
+            coalesce(rpd, 0.1::DOUBLE) AS pd0, coalesce(flgd, 0.55::DOUBLE) AS lgd,
+            CASE WHEN DPD > 90 THEN 3 WHEN DPD >= 30 OR WATCHLIST THEN 2 ELSE 1 END AS computed_stage,
+            CASE WHEN MATURITY IS NULL THEN NULL
+                 ELSE greatest((MATURITY - DATE '{P.REPORTING_DATE}') / 365.25::DOUBLE, 0.1::DOUBLE) END AS term
+          FROM v_loans l LEFT JOIN rp ON RATING = rk LEFT JOIN fp ON FACILITY_TYPE = fk),
+    b AS (SELECT *, CASE WHEN computed_stage > 1 THEN 1 - pow(1 - pd0, term) ELSE pd0 END AS pd FROM a),
+    loss AS (SELECT *, {_SCENARIO_SQL} FROM b)"""
 _D = lambda x: f"sum(CAST(round({x}, 8) AS DECIMAL(28,8)))"
 _M = lambda x, k=2: f"CAST(round({x}, {k}) AS DOUBLE)"
 
