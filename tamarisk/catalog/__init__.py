@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarisk.catalog import credit, landing, people
+from tamarisk.catalog import credit, governance, landing, observability, people
 
-PARTS = (credit, people, landing)
+PARTS = (credit, people, landing, governance, observability)
 
 
 def queries() -> dict:

@@ -23,7 +23,7 @@ def band(pct: Column) -> Column:
 
 def domain_table(spark: SparkSession) -> DataFrame:
     weight = lambda code: P.PDP_WEIGHT_PCT if code == "PDP" else P.DOMAIN_WEIGHT_PCT
-    return P.inline_table(spark, "code, name, spec_count, is_oe, weight_pct", [(c, n, s, oe, weight(c)) for c, n, s, oe in P.MATURITY_DOMAINS])
+    return P.inline_table(spark, "domain_no, code, name, spec_count, is_oe, weight_pct", [(i, c, n, s, oe, weight(c)) for i, (c, n, s, oe) in enumerate(P.MATURITY_DOMAINS)])
 
 
 def baseline_scores(spark: SparkSession) -> DataFrame:
@@ -56,18 +56,18 @@ def assess(scores: DataFrame) -> DataFrame:
 
 def oe_split(scores: DataFrame) -> DataFrame:
     """Average maturity and compliance of operational-excellence domains against the others."""
-    mean = lambda c: F.round(F.sum(_exact(F.col(c))).cast("double") / F.count(c), 2)
+    mean = lambda c: F.round(F.sum(_exact(F.col(c))).cast("double") / F.count(c), 4)
     return domains(scores).groupBy("entity", "is_oe").agg(F.count("*").alias("domains"), mean("maturity").alias("avg_maturity"), mean("compliance_pct").alias("avg_compliance"))
 
 
 def priorities(scores: DataFrame, k: int = 6) -> DataFrame:
     """The k least compliant domains of each entity (at most 14 rows each), with the bar length."""
     w = W.partitionBy("entity")
-    pos = F.row_number().over(w.orderBy("compliance_pct", "code"))
-    top = F.max("compliance_pct").over(w)
-    out = domains(scores).withColumn("priority", pos).where(F.col("priority") <= k)
-    return out.select("entity", "code", "compliance_pct", "priority",
-                      F.round(F.col("compliance_pct") / F.nullif(top, F.lit(0.0)), 4).alias("bar_share"))
+    longest = F.greatest(F.max("compliance_pct").over(w), F.lit(1.0))
+    out = domains(scores).withColumns({
+        "priority": F.row_number().over(w.orderBy("compliance_pct", "domain_no")),
+        "bar_share": F.round(F.col("compliance_pct") / longest, 4)})
+    return out.where(F.col("priority") <= k).select("entity", "code", "compliance_pct", "priority", "bar_share")
 
 
 # ---- readiness scorecards ---------------------------------------------------------------
