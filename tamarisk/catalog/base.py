@@ -218,8 +218,9 @@ def _with_views(body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ", ".join(ctes) + ", " + body[5:]
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(opening):
+            return opening + ", ".join(ctes) + ", " + body[len(opening):]
     return "WITH " + ", ".join(ctes) + " " + body
 
 

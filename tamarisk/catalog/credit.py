@@ -18,7 +18,7 @@ _SCENARIO_SQL = ", ".join(
     for s, (p, g, _) in P.SCENARIOS.items())
 
 # Per-loan losses as SQL: the check's own statement of the formula.
-_MODEL = f"""
+MODEL_SQL = f"""
     WITH rp(rk, rank, rpd) AS (VALUES {_values(P.PD_BY_RATING)}), fp(fk, frank, flgd) AS (VALUES {_values(P.LGD_BY_FACILITY)}),
     a AS (SELECT l.* EXCLUDE (PD, LGD), rp.rk IS NULL AS unknown_rating, fp.fk IS NULL AS unknown_facility, rp.rank AS rank,
             coalesce(rpd, 0.1::DOUBLE) AS pd0, coalesce(flgd, 0.55::DOUBLE) AS lgd,
@@ -36,46 +36,46 @@ def _loss(spark, sf):
     return ecl.per_loan(view(spark, sf, "v_loans"))
 
 
-@R.query("ecl_by_stage", _MODEL + f"""
+@R.query("ecl_by_stage", MODEL_SQL + f"""
     SELECT computed_stage AS stage, count(*) AS loans, {_M(_D('EAD'))} AS ead, {_M(_D('ecl_base'))} AS ecl FROM loss GROUP BY 1""")
 def ecl_by_stage(spark, sf):
     return ecl.by_stage(_loss(spark, sf))
 
 
-@R.query("ecl_total", _MODEL + f"""
+@R.query("ecl_total", MODEL_SQL + f"""
     SELECT count(*) AS loan_count, {_M(_D('EAD'))} AS total_ead, {_M(_D('ecl_base'))} AS total_ecl,
            round({_D('ecl_base')}::DOUBLE / {_D('EAD')}::DOUBLE, 4) AS coverage_ratio FROM loss""")
 def ecl_total(spark, sf):
     return ecl.assess(view(spark, sf, "v_loans"))
 
 
-@R.query("ecl_scenarios", _MODEL + " " + " UNION ALL ".join(
+@R.query("ecl_scenarios", MODEL_SQL + " " + " UNION ALL ".join(
     f"SELECT '{s}' AS scenario, {w!r}::DOUBLE AS weight, {_M(_D('ecl_' + s))} AS ecl FROM loss" for s, (_, _, w) in P.SCENARIOS.items()))
 def ecl_scenarios(spark, sf):
     return ecl.by_scenario(_loss(spark, sf))
 
 
-@R.query("ecl_expected", _MODEL + f"""
+@R.query("ecl_expected", MODEL_SQL + f"""
     SELECT {_M(_D('ecl_optimistic') + ' * 0.25 + ' + _D('ecl_base') + ' * 0.55 + ' + _D('ecl_adverse') + ' * 0.20')} AS expected_ecl FROM loss""")
 def ecl_expected(spark, sf):
     return ecl.expected(_loss(spark, sf))
 
 
-@R.query("ecl_weighted_pd_lgd", _MODEL + f"""
+@R.query("ecl_weighted_pd_lgd", MODEL_SQL + f"""
     SELECT round({_D('pd * EAD')}::DOUBLE / {_D('EAD')}::DOUBLE, 6) AS avg_pd,
            round({_D('lgd * EAD')}::DOUBLE / {_D('EAD')}::DOUBLE, 4) AS avg_lgd FROM loss""")
 def ecl_weighted_pd_lgd(spark, sf):
     return ecl.weighted_pd_lgd(_loss(spark, sf))
 
 
-@R.query("ecl_stage_counts", _MODEL + """
+@R.query("ecl_stage_counts", MODEL_SQL + """
     SELECT count(*) FILTER (WHERE computed_stage = 1) AS stage_1_count, count(*) FILTER (WHERE computed_stage = 2) AS stage_2_count,
            count(*) FILTER (WHERE computed_stage = 3) AS stage_3_count FROM loss""")
 def ecl_stage_counts(spark, sf):
     return ecl.stage_counts(_loss(spark, sf))
 
 
-@R.query("ecl_top5", _MODEL + """
+@R.query("ecl_top5", MODEL_SQL + """
     , t AS (SELECT LOAN_ID, CUST_ID, ecl_base FROM loss ORDER BY ecl_base DESC NULLS LAST, LOAN_ID, CUST_ID LIMIT 5),
     c AS (SELECT CUST_ID, arg_max(FULL_NAME, row_pos) AS nm FROM v_customers GROUP BY 1)
     SELECT t.LOAN_ID AS id, round(t.ecl_base, 2) AS ecl, coalesce(c.nm, 'unnamed record') AS name FROM t LEFT JOIN c USING (CUST_ID)""")
@@ -83,21 +83,21 @@ def ecl_top5(spark, sf):
     return ecl.top_loans(_loss(spark, sf), view(spark, sf, "v_customers"))
 
 
-@R.query("ecl_unknowns", _MODEL + """
+@R.query("ecl_unknowns", MODEL_SQL + """
     SELECT 'rating' AS kind, RATING AS value, count(*) AS loans FROM loss WHERE unknown_rating GROUP BY 2
     UNION ALL SELECT 'facility', FACILITY_TYPE, count(*) FROM loss WHERE unknown_facility GROUP BY 2""")
 def ecl_unknowns(spark, sf):
     return ecl.unknown_values(_loss(spark, sf))
 
 
-@R.query("ecl_params_used", _MODEL + """
+@R.query("ecl_params_used", MODEL_SQL + """
     SELECT 'pd' AS kind, CAST(rank AS INT) AS rank, RATING AS value, pd0 AS parameter, count(*) AS loans FROM loss WHERE NOT unknown_rating GROUP BY 2, 3, 4
     UNION ALL SELECT 'lgd', 0, FACILITY_TYPE, lgd, count(*) FROM loss GROUP BY 3, 4""")
 def ecl_params_used(spark, sf):
     return ecl.parameters_used(_loss(spark, sf))
 
 
-@R.query("ecl_agreement", _MODEL + f"""
+@R.query("ecl_agreement", MODEL_SQL + f"""
     SELECT round(count(*) FILTER (WHERE STAGE = computed_stage) / count(*)::DOUBLE, 4) AS stage_agreement,
            {_M(_D('ECL_SAR'))} AS stated_ecl, {_M(_D('ecl_base'))} AS computed_ecl,
            abs({_D('ECL_SAR')}::DOUBLE - {_D('ecl_base')}::DOUBLE) < greatest(1::DOUBLE, {_D('ECL_SAR')}::DOUBLE * 0.001::DOUBLE) AS matches_source FROM loss""")

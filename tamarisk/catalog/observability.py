@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from tamarisk import params as P
@@ -18,7 +16,7 @@ R = Registry()
 
 _URIS = lambda c: f"regexp_extract_all({c}, '\"uri\": \"([^\"]*)\"', 1)"
 _GRAPH = f"""WITH lr AS (SELECT * FROM v_jobs QUALIFY row_number() OVER (PARTITION BY job ORDER BY started_at DESC, run_key DESC, task_no DESC) = 1),
-    j AS (SELECT job, dataset, task, state, {_URIS('inlets')} AS i, {_URIS('outlets')} AS o FROM lr),
+    j AS (SELECT job, dataset, task, state, (epoch_us(ended_at) - epoch_us(started_at)) / 1000000.0::DOUBLE AS seconds, {_URIS('inlets')} AS i, {_URIS('outlets')} AS o FROM lr),
     k AS (SELECT * FROM j WHERE len(i) + len(o) > 0),
     e AS (SELECT unnest(i) AS from_id, job AS to_id, 'input' AS type FROM k UNION ALL SELECT job, unnest(o), 'output' FROM k),
     u AS (SELECT DISTINCT unnest(list_concat(i, o)) AS id FROM k)"""
@@ -31,9 +29,10 @@ def _jobs(spark, sf):
     return lineage.with_outlets(lineage.latest_runs(view(spark, sf, "v_jobs")))
 
 
-@R.query("lineage_jobs", _GRAPH + " SELECT job, dataset, task, state, len(i) AS inputs, len(o) AS outputs FROM k")
+@R.query("lineage_jobs", _GRAPH + " SELECT job, dataset, task, state, len(i) AS inputs, len(o) AS outputs, seconds FROM k")
 def lineage_jobs(spark, sf):
-    return _jobs(spark, sf).select("job", "dataset", "task", "state", F.size("in_uris").cast("bigint").alias("inputs"), F.size("out_uris").cast("bigint").alias("outputs"))
+    return _jobs(spark, sf).select("job", "dataset", "task", "state", F.size("in_uris").cast("bigint").alias("inputs"), F.size("out_uris").cast("bigint").alias("outputs"),
+                                   seconds_between(F.col("started_at"), F.col("ended_at")).alias("seconds"))
 
 
 @R.query("lineage_edges", _GRAPH + " SELECT * FROM e")
@@ -125,9 +124,10 @@ def job_runs(spark, sf):
     return out.select("job", "run_key", "state", seconds_between(F.col("started_at"), F.col("ended_at")).alias("seconds"), F.when(F.col("state") == "failed", "run failed").alias("error"))
 
 
-@R.query("runs_of_dataset", "SELECT run_id, dataset, state FROM v_runs WHERE starts_with(run_id, 'ds1__')")
-def runs_of_dataset(spark, sf):
-    return runs.runs_of(view(spark, sf, "v_runs"), "ds1").select("run_id", "dataset", "state")
+@R.query("runs_by_prefix", """SELECT split_part(run_id, '__', 1) AS dataset, count(*) AS runs, count(*) FILTER (WHERE state = 'failed') AS failed FROM v_runs GROUP BY 1""")
+def runs_by_prefix(spark, sf):
+    out = runs.by_prefix(view(spark, sf, "v_runs").drop("dataset"))
+    return out.groupBy("dataset").agg(F.count("*").alias("runs"), F.count_if(F.col("state") == "failed").alias("failed"))
 
 
 @R.query("last_run", """SELECT dataset, task, state, strftime(ended_at, '%Y-%m-%d %H:%M:%S') AS ended_at FROM v_jobs WHERE ended_at IS NOT NULL

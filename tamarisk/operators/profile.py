@@ -89,15 +89,30 @@ def numeric_summary(df: DataFrame) -> DataFrame:
     return df.agg(*exprs).select(F.inline(entries)).where("n > 0").drop("n")
 
 
-def top_categories(df: DataFrame, max_distinct: int = 20, top: int = 5, max_columns: int = 5) -> DataFrame:
+def narrow_columns(df: DataFrame, columns: list[str], max_distinct: int, probe_rows: int = 100_000) -> list[str]:
+    """Columns that may have few distinct values.
+
+    Any part of the rows holding more than ``max_distinct`` values proves a column too wide,
+    so wide columns (names, ids) are ruled out exactly before the whole table is counted.
+    """
+    if not columns:
+        return []
+    seen = df.limit(probe_rows).agg(*[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if seen[f"d{i}"] <= max_distinct]
+
+
+def top_categories(df: DataFrame, max_distinct: int = 20, top: int = 5, max_columns: int = 5, probe: DataFrame | None = None) -> DataFrame:
     """Most frequent values of the first text columns with few distinct values.
 
     Values are counted first; a column with too many distinct values is dropped before the
-    ranking window, so that window sorts at most ``max_distinct`` rows per column.
+    ranking window, so that window sorts at most ``max_distinct`` rows per column. ``probe``
+    is a cheap frame with the same values (the raw rows of a de-duplicated table).
     """
-    cols = roles.category_columns(df.drop(*BOOKKEEPING), max_columns)
+    cols = narrow_columns(df if probe is None else probe, roles.category_columns(df.drop(*BOOKKEEPING), max_columns), max_distinct)
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])
-    counts = df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    empty = F.array().cast("array<struct<column_name:string,value:string>>")
+    counts = (df.select(F.explode(entries if cols else empty).alias("e")).select("e.*").where(F.col("value").isNotNull())
+              .groupBy("column_name", "value").agg(F.count("*").alias("n")))
     few = counts.groupBy("column_name").agg(F.count("*").alias("distinct_values")).where(F.col("distinct_values") <= max_distinct)
     order = W.partitionBy("column_name").orderBy(F.desc("n"), "value")
     ranked = counts.join(F.broadcast(few.select("column_name")), "column_name", "left_semi").withColumn("rank", F.row_number().over(order))

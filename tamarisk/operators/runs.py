@@ -26,6 +26,11 @@ def runs_of(runs: DataFrame, dataset: str) -> DataFrame:
     return runs.where(F.col("run_id").startswith(dataset + "__"))
 
 
+def by_prefix(runs: DataFrame) -> DataFrame:
+    """Runs with the dataset named before the first two underscores of their id."""
+    return runs.withColumn("dataset", F.substring_index("run_id", "__", 1))
+
+
 def last_finished(tasks: DataFrame, key: str = "dataset") -> DataFrame:
     """The latest finished run of every task per key."""
     done = tasks.where(F.col("ended_at").isNotNull())

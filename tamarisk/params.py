@@ -112,6 +112,25 @@ POLICY_GRANTS = {
 DOCUMENT_EXTENSIONS = (".pdf", ".doc", ".docx")
 DOCUMENT_MAX_BYTES = 10 * 1024 * 1024
 
+# ---- fixed values: standard code lists -----------------------------------------------------
+CURRENCIES = (
+    ("USD", "US Dollar"), ("EUR", "Euro"), ("GBP", "Pound Sterling"), ("JPY", "Yen"), ("CHF", "Swiss Franc"),
+    ("CAD", "Canadian Dollar"), ("AUD", "Australian Dollar"), ("NZD", "New Zealand Dollar"), ("CNY", "Yuan Renminbi"),
+    ("HKD", "Hong Kong Dollar"), ("SGD", "Singapore Dollar"), ("INR", "Indian Rupee"), ("KRW", "Won"),
+    ("SAR", "Saudi Riyal"), ("AED", "UAE Dirham"), ("QAR", "Qatari Rial"), ("KWD", "Kuwaiti Dinar"),
+    ("BHD", "Bahraini Dinar"), ("OMR", "Rial Omani"), ("JOD", "Jordanian Dinar"), ("EGP", "Egyptian Pound"),
+    ("TRY", "Turkish Lira"), ("ZAR", "Rand"), ("RUB", "Russian Ruble"), ("BRL", "Brazilian Real"),
+    ("MXN", "Mexican Peso"), ("SEK", "Swedish Krona"), ("NOK", "Norwegian Krone"), ("DKK", "Danish Krone"),
+    ("PLN", "Zloty"), ("THB", "Baht"), ("MYR", "Malaysian Ringgit"), ("IDR", "Rupiah"), ("PHP", "Philippine Peso"),
+    ("PKR", "Pakistan Rupee"), ("VND", "Dong"), ("ILS", "New Israeli Sheqel"),
+)
+ADMIN_REGIONS = (
+    ("SA-01", "Riyadh"), ("SA-02", "Makkah al Mukarramah"), ("SA-03", "Al Madinah al Munawwarah"),
+    ("SA-04", "Eastern Province"), ("SA-05", "Al Qassim"), ("SA-06", "Ha'il"), ("SA-07", "Tabuk"),
+    ("SA-08", "Northern Borders"), ("SA-09", "Jazan"), ("SA-10", "Najran"), ("SA-11", "Al Bahah"),
+    ("SA-12", "Al Jawf"), ("SA-14", "Asir"),
+)
+
 
 def sql_literal(value) -> str:
     if value is None:

@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 
 from tamarisk import params as P
 from tamarisk.functions.ordered import running_totals
+from tamarisk.session import materialise
 
 POSITION = "_row_pos"
+MAX_BROADCAST_SPLITS = 200_000
 
 
 def with_row_positions(scan: DataFrame) -> DataFrame:
@@ -24,8 +26,9 @@ def with_row_positions(scan: DataFrame) -> DataFrame:
                          F.monotonically_increasing_id().alias("_id"))
     splits = tagged.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     upto = running_totals(splits, [], ["_file", "_block"], {"_upto": F.col("_n")})
-    starts = upto.select("_file", "_block", (F.col("_upto") - F.col("_n") - F.col("_first")).alias("_shift"))
-    out = tagged.join(starts, ["_file", "_block"])
+    starts = materialise(upto.select("_file", "_block", (F.col("_upto") - F.col("_n") - F.col("_first")).alias("_shift")))
+    # one row per split: broadcast while few, so that the rows themselves are not shuffled
+    out = tagged.join(F.broadcast(starts) if starts.count() <= MAX_BROADCAST_SPLITS else starts, ["_file", "_block"])
     return out.select(*scan.columns, (F.col("_id") + F.col("_shift")).alias(POSITION))
 
 
