@@ -28,8 +28,8 @@ MODEL_SQL = f"""
           FROM v_loans l LEFT JOIN rp ON RATING = rk LEFT JOIN fp ON FACILITY_TYPE = fk),
     b AS (SELECT *, CASE WHEN computed_stage > 1 THEN 1 - pow(1 - pd0, term) ELSE pd0 END AS pd FROM a),
     loss AS (SELECT *, {_SCENARIO_SQL} FROM b)"""
-_D = lambda x: f"sum(CAST(round({x}, 8) AS DECIMAL(28,8)))"
-_M = lambda x, k=2: f"CAST(round({x}, {k}) AS DOUBLE)"
+TOTAL = lambda x: f"CAST(sum(CAST(floor(({x}) * 1e6::DOUBLE + 0.5::DOUBLE) AS DECIMAL(18,0))) AS DECIMAL(28,0))"
+AMOUNT = lambda x, k=2: f"CAST(round(({x}) * 0.000001, {k}) AS DOUBLE)"
 
 
 def _loss(spark, sf):
@@ -37,33 +37,33 @@ def _loss(spark, sf):
 
 
 @R.query("ecl_by_stage", MODEL_SQL + f"""
-    SELECT computed_stage AS stage, count(*) AS loans, {_M(_D('EAD'))} AS ead, {_M(_D('ecl_base'))} AS ecl FROM loss GROUP BY 1""")
+    SELECT computed_stage AS stage, count(*) AS loans, {AMOUNT(TOTAL('EAD'))} AS ead, {AMOUNT(TOTAL('ecl_base'))} AS ecl FROM loss GROUP BY 1""")
 def ecl_by_stage(spark, sf):
     return ecl.by_stage(_loss(spark, sf))
 
 
 @R.query("ecl_total", MODEL_SQL + f"""
-    SELECT count(*) AS loan_count, {_M(_D('EAD'))} AS total_ead, {_M(_D('ecl_base'))} AS total_ecl,
-           round({_D('ecl_base')}::DOUBLE / {_D('EAD')}::DOUBLE, 4) AS coverage_ratio FROM loss""")
+    SELECT count(*) AS loan_count, {AMOUNT(TOTAL('EAD'))} AS total_ead, {AMOUNT(TOTAL('ecl_base'))} AS total_ecl,
+           round({TOTAL('ecl_base')}::DOUBLE / {TOTAL('EAD')}::DOUBLE, 4) AS coverage_ratio FROM loss""")
 def ecl_total(spark, sf):
     return ecl.assess(view(spark, sf, "v_loans"))
 
 
 @R.query("ecl_scenarios", MODEL_SQL + " " + " UNION ALL ".join(
-    f"SELECT '{s}' AS scenario, {w!r}::DOUBLE AS weight, {_M(_D('ecl_' + s))} AS ecl FROM loss" for s, (_, _, w) in P.SCENARIOS.items()))
+    f"SELECT '{s}' AS scenario, {w!r}::DOUBLE AS weight, {AMOUNT(TOTAL('ecl_' + s))} AS ecl FROM loss" for s, (_, _, w) in P.SCENARIOS.items()))
 def ecl_scenarios(spark, sf):
     return ecl.by_scenario(_loss(spark, sf))
 
 
 @R.query("ecl_expected", MODEL_SQL + f"""
-    SELECT {_M(_D('ecl_optimistic') + ' * 0.25 + ' + _D('ecl_base') + ' * 0.55 + ' + _D('ecl_adverse') + ' * 0.20')} AS expected_ecl FROM loss""")
+    SELECT {AMOUNT(TOTAL('ecl_optimistic') + ' * 0.25 + ' + TOTAL('ecl_base') + ' * 0.55 + ' + TOTAL('ecl_adverse') + ' * 0.20')} AS expected_ecl FROM loss""")
 def ecl_expected(spark, sf):
     return ecl.expected(_loss(spark, sf))
 
 
 @R.query("ecl_weighted_pd_lgd", MODEL_SQL + f"""
-    SELECT round({_D('pd * EAD')}::DOUBLE / {_D('EAD')}::DOUBLE, 6) AS avg_pd,
-           round({_D('lgd * EAD')}::DOUBLE / {_D('EAD')}::DOUBLE, 4) AS avg_lgd FROM loss""")
+    SELECT round({TOTAL('pd * EAD')}::DOUBLE / {TOTAL('EAD')}::DOUBLE, 6) AS avg_pd,
+           round({TOTAL('lgd * EAD')}::DOUBLE / {TOTAL('EAD')}::DOUBLE, 4) AS avg_lgd FROM loss""")
 def ecl_weighted_pd_lgd(spark, sf):
     return ecl.weighted_pd_lgd(_loss(spark, sf))
 
@@ -99,16 +99,16 @@ def ecl_params_used(spark, sf):
 
 @R.query("ecl_agreement", MODEL_SQL + f"""
     SELECT round(count(*) FILTER (WHERE STAGE = computed_stage) / count(*)::DOUBLE, 4) AS stage_agreement,
-           {_M(_D('ECL_SAR'))} AS stated_ecl, {_M(_D('ecl_base'))} AS computed_ecl,
-           abs({_D('ECL_SAR')}::DOUBLE - {_D('ecl_base')}::DOUBLE) < greatest(1::DOUBLE, {_D('ECL_SAR')}::DOUBLE * 0.001::DOUBLE) AS matches_source FROM loss""")
+           {AMOUNT(TOTAL('ECL_SAR'))} AS stated_ecl, {AMOUNT(TOTAL('ecl_base'))} AS computed_ecl,
+           abs({TOTAL('ECL_SAR')}::DOUBLE - {TOTAL('ecl_base')}::DOUBLE) < greatest(1::DOUBLE, {TOTAL('ECL_SAR')}::DOUBLE * 0.001::DOUBLE) AS matches_source FROM loss""")
 def ecl_agreement(spark, sf):
     return ecl.source_agreement(_loss(spark, sf))
 
 
 @R.query("ecl_simple", f"""
-    SELECT count(*) AS loan_count, {_M(_D('EAD'))} AS total_ead, {_M(_D('PD * LGD * EAD'))} AS total_ecl,
-           round({_D('PD * LGD * EAD')}::DOUBLE / {_D('EAD')}::DOUBLE, 4) AS coverage_ratio, {_M(_D('ECL_SAR'))} AS stated_ecl,
-           abs({_D('ECL_SAR')}::DOUBLE - {_D('PD * LGD * EAD')}::DOUBLE) < greatest(1::DOUBLE, {_D('ECL_SAR')}::DOUBLE * 0.001::DOUBLE) AS matches_source
+    SELECT count(*) AS loan_count, {AMOUNT(TOTAL('EAD'))} AS total_ead, {AMOUNT(TOTAL('PD * LGD * EAD'))} AS total_ecl,
+           round({TOTAL('PD * LGD * EAD')}::DOUBLE / {TOTAL('EAD')}::DOUBLE, 4) AS coverage_ratio, {AMOUNT(TOTAL('ECL_SAR'))} AS stated_ecl,
+           abs({TOTAL('ECL_SAR')}::DOUBLE - {TOTAL('PD * LGD * EAD')}::DOUBLE) < greatest(1::DOUBLE, {TOTAL('ECL_SAR')}::DOUBLE * 0.001::DOUBLE) AS matches_source
     FROM v_loans""")
 def ecl_simple(spark, sf):
     return ecl.simple(view(spark, sf, "v_loans").drop("RATING"))

@@ -233,7 +233,7 @@ def gold_outputs(spark, sf):
     return loans.unionByName(parts)
 
 
-_LOAN_TOTAL = "CAST(round(sum(CAST(round(ecl_base, 8) AS DECIMAL(28,8))), 2) AS DOUBLE)"
+_LOAN_TOTAL = credit.AMOUNT(credit.TOTAL("ecl_base"))
 
 
 @R.query("gold_results", credit.MODEL_SQL.replace("FROM v_loans l", f"FROM (SELECT DISTINCT {', '.join(LOANS)}, false AS WATCHLIST, NULL AS PD, NULL AS LGD FROM v_loans) l")

@@ -28,17 +28,17 @@ def dpd_stage(dpd: Column) -> Column:
     return F.when(dpd > 90, 3).when(dpd >= 30, 2).otherwise(1)
 
 
-def exact(x: Column) -> Column:
-    """A per-row amount as a decimal, so totals do not depend on the order of addition."""
-    return F.round(x, 8).cast("decimal(28,8)")
-
-
 def total(x: Column) -> Column:
-    return F.sum(exact(x))
+    """Sum in whole millionths: exact, so it does not depend on the order of addition.
+
+    Millionths of one loan fit a long (an amount beyond 10^12 is an error, not a wrong
+    sum), which keeps the per-row work off arbitrary-precision arithmetic.
+    """
+    return F.sum(F.floor(x * 1e6 + 0.5).cast("decimal(18,0)"))
 
 
-def money(x: Column, places: int = 2) -> Column:
-    return F.round(x, places).cast("double")
+def amount(total_millionths: Column, places: int = 2) -> Column:
+    return F.round(total_millionths * F.lit("0.000001").cast("decimal(7,6)"), places).cast("double")
 
 
 def scenario_loss(pd: Column, lgd: Column, ead: Column, scenario: str) -> Column:

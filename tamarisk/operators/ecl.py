@@ -97,21 +97,21 @@ def ecl_column(scenario: str) -> str:
 def totals(loss: DataFrame, scenario: str = "base") -> DataFrame:
     ecl, ead = C.total(F.col(ecl_column(scenario))), C.total(F.col("EAD"))
     return loss.agg(F.count("*").alias("loan_count"), ead.alias("e"), ecl.alias("l")).select(
-        "loan_count", C.money(F.col("e")).alias("total_ead"), C.money(F.col("l")).alias("total_ecl"),
+        "loan_count", C.amount(F.col("e")).alias("total_ead"), C.amount(F.col("l")).alias("total_ecl"),
         F.round(F.col("l").cast("double") / F.nullif(F.col("e").cast("double"), F.lit(0.0)), 4).alias("coverage_ratio"),
     )
 
 
 def by_stage(loss: DataFrame, scenario: str = "base") -> DataFrame:
     return loss.groupBy(F.col("computed_stage").alias("stage")).agg(
-        F.count("*").alias("loans"), C.money(C.total(F.col("EAD"))).alias("ead"),
-        C.money(C.total(F.col(ecl_column(scenario)))).alias("ecl"))
+        F.count("*").alias("loans"), C.amount(C.total(F.col("EAD"))).alias("ead"),
+        C.amount(C.total(F.col(ecl_column(scenario)))).alias("ecl"))
 
 
 def by_scenario(loss: DataFrame) -> DataFrame:
     """One row per scenario: three conditional totals in a single pass, then unpivoted."""
     one = loss.agg(*[C.total(F.col(f"ecl_{s}")).alias(s) for s in P.SCENARIOS])
-    rows = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(w).alias("weight"), C.money(F.col(s)).alias("ecl"))
+    rows = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(w).alias("weight"), C.amount(F.col(s)).alias("ecl"))
                      for s, (_, _, w) in P.SCENARIOS.items()])
     return one.select(F.inline(rows))
 
@@ -119,7 +119,7 @@ def by_scenario(loss: DataFrame) -> DataFrame:
 def expected(loss: DataFrame) -> DataFrame:
     one = loss.agg(*[C.total(F.col(f"ecl_{s}")).alias(s) for s in P.SCENARIOS])
     blend = sum((F.col(s) * F.lit(str(w)).cast("decimal(4,2)") for s, (_, _, w) in P.SCENARIOS.items()), F.lit(0))
-    return one.select(C.money(blend).alias("expected_ecl"))
+    return one.select(C.amount(blend).alias("expected_ecl"))
 
 
 def weighted_pd_lgd(loss: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def top_loans(loss: DataFrame, customers: DataFrame | None = None, k: int = 5, s
     top = loss.select(*keep, ecl.alias("loss")).orderBy(F.desc_nulls_last("loss"), *keep).limit(k)
     own_name = F.col(name).cast("string") if name else F.lit(None).cast("string")
     if customers is None or key is None:
-        return top.select(F.col(ident).cast("string").alias("id"), C.money(F.col("loss")).alias("ecl"),
+        return top.select(F.col(ident).cast("string").alias("id"), F.round("loss", 2).alias("ecl"),
                           F.coalesce(own_name, F.lit("unnamed record")).alias("name"))
     cust_key = roles.find_exact(customers.columns, ("cust_id",))
     cust_name = roles.find_exact(customers.columns, ("full_name", "name", "customer_name"))
@@ -159,7 +159,7 @@ def top_loans(loss: DataFrame, customers: DataFrame | None = None, k: int = 5, s
         .groupBy("_key").agg(F.max_by("_name", "row_pos").alias("_name"))
     )
     return top.join(F.broadcast(names), F.col(key).cast("string") == F.col("_key"), "left").select(
-        F.col(ident).cast("string").alias("id"), C.money(F.col("loss")).alias("ecl"),
+        F.col(ident).cast("string").alias("id"), F.round("loss", 2).alias("ecl"),
         F.coalesce(F.nullif("_name", F.lit("")), own_name, F.lit("unnamed record")).alias("name"))
 
 
@@ -186,7 +186,7 @@ def source_agreement(loss: DataFrame, scenario: str = "base") -> DataFrame:
     one = loss.agg(F.count_if(F.col("STAGE") == F.col("computed_stage")).alias("same"), F.count("*").alias("n"),
                    C.total(F.col("ECL_SAR")).alias("s"), C.total(F.col(ecl_column(scenario))).alias("l"))
     return one.select(F.round(F.col("same") / F.nullif("n", F.lit(0)), 4).alias("stage_agreement"),
-                      C.money(F.col("s")).alias("stated_ecl"), C.money(F.col("l")).alias("computed_ecl"),
+                      C.amount(F.col("s")).alias("stated_ecl"), C.amount(F.col("l")).alias("computed_ecl"),
                       _matches(F.col("s").cast("double"), F.col("l").cast("double")).alias("matches_source"))
 
 
@@ -205,10 +205,10 @@ def simple(loans: DataFrame) -> DataFrame:
     if stated:
         sums.append(C.total(F.col("ECL_SAR")).alias("s"))
     e, l = F.col("e").cast("double"), F.col("l").cast("double")
-    out = ["loan_count", C.money(F.col("e")).alias("total_ead"), C.money(F.col("l")).alias("total_ecl"),
+    out = ["loan_count", C.amount(F.col("e")).alias("total_ead"), C.amount(F.col("l")).alias("total_ecl"),
            F.round(l / F.nullif(e, F.lit(0.0)), 4).alias("coverage_ratio")]
     if stated:
-        out += [C.money(F.col("s")).alias("stated_ecl"), _matches(F.col("s").cast("double"), l).alias("matches_source")]
+        out += [C.amount(F.col("s")).alias("stated_ecl"), _matches(F.col("s").cast("double"), l).alias("matches_source")]
     return loans.agg(*sums).select(*out)
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tamarisk import params as P
-from tamarisk.functions.credit import exact, money
 from tamarisk.operators import roles
 
 POSITION, COPIES = "_row_pos", "_copies"
@@ -78,12 +77,13 @@ def to_gold(silver: DataFrame, dropped: list[str]) -> DataFrame:
 def numeric_summary(df: DataFrame) -> DataFrame:
     """Sum, mean, min and max of every quantity column that has a value; one aggregate."""
     cols = roles.quantity_columns(df.drop(*BOOKKEEPING))
+    exact = lambda x: F.round(x, 8).cast("decimal(28,8)")
     exprs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         exprs += [F.sum(exact(x)).alias(f"s{i}"), F.count(c).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     entries = F.array(*[F.struct(
-        F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), money(F.col(f"s{i}")).alias("sum"),
+        F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), F.round(f"s{i}", 2).cast("double").alias("sum"),
         F.round(F.col(f"s{i}").cast("double") / F.nullif(f"n{i}", F.lit(0)), 2).alias("mean"),
         F.round(f"lo{i}", 2).alias("min"), F.round(f"hi{i}", 2).alias("max")) for i, c in enumerate(cols)])
     return df.agg(*exprs).select(F.inline(entries)).where("n > 0").drop("n")
