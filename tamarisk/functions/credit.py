@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tamarisk import params as P
 
 
-def remaining_years(maturity: Column, reporting_date: str) -> Column:
+def remaining_years(maturity: Column, reporting_date: str, data_type: str = "string") -> Column:
     """Years to maturity, at least 0.1; null when the date is missing or unreadable."""
-    due = F.try_to_date(maturity.cast("string"))
+    due = F.try_to_date(maturity) if data_type == "string" else maturity.cast("date")
     years = F.datediff(due, F.lit(reporting_date).cast("date")) / F.lit(365.25)
     return F.when(years < 0.1, F.lit(0.1)).otherwise(years)
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PAIR_SLICE = 16384
 
+# Python workers get these functions by value: they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def sorted_tokens(c: Column) -> Column:
     words = F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda t: t != "")
@@ -40,16 +46,43 @@ def ratios(lcs: np.ndarray, total_length: np.ndarray) -> np.ndarray:
     return np.where(total_length == 0, 100.0, 200.0 * lcs / np.maximum(total_length, 1))
 
 
+def _symbols(*codes: np.ndarray) -> list[np.ndarray]:
+    """The same names over a dense alphabet; padding gets the last number."""
+    alphabet = np.unique(np.concatenate([c.ravel() for c in codes]))
+    alphabet = alphabet[alphabet != 0]
+    return [np.where(c == 0, len(alphabet), np.searchsorted(alphabet, c)).astype(np.intp) for c in codes]
+
+
+def _bit_lcs(name: np.ndarray, others: np.ndarray, symbols: int) -> np.ndarray:
+    """LCS of one name of at most 64 symbols with many (one column each): a bit per position."""
+    where = np.zeros(symbols + 1, np.uint64)
+    for i, symbol in enumerate(name):
+        where[symbol] |= np.uint64(1 << i)
+    state = np.full(others.shape[1], ~np.uint64(0))
+    for column in others:
+        hit = state & where[column]
+        state = (state + hit) | (state - hit)
+    used = np.uint64((1 << len(name)) - 1)
+    return np.bitwise_count(~state & used).astype(np.int64)
+
+
 def min_cross_ratio(left: list[str], right: list[str] | None) -> float:
     """Smallest ratio between two lists of names, or inside one list when right is None."""
     a, la = code_points(left)
     b, lb = (a, la) if right is None else code_points(right)
+    dense_a, dense_b = _symbols(a, b)
+    symbols = int(max(dense_a.max(initial=0), dense_b.max(initial=0)))
+    columns = np.ascontiguousarray(dense_b.T)
     lowest = 100.0
     for i in range(len(a)):
         start = i + 1 if right is None else 0
-        if start < len(b):
-            found = ratios(lcs_lengths(a[i : i + 1, : max(la[i], 1)], b[start:]), la[i] + lb[start:]).min()
-            lowest = min(lowest, float(found))
+        if start >= len(b):
+            break
+        if la[i] <= 64:
+            lcs = _bit_lcs(dense_a[i, : la[i]], columns[:, start:], symbols)
+        else:
+            lcs = lcs_lengths(a[i : i + 1, : la[i]], b[start:])
+        lowest = min(lowest, float(ratios(lcs, la[i] + lb[start:]).min()))
     return lowest
 
 
@@ -72,3 +105,11 @@ def min_ratio_in(blocks: pd.Series) -> pd.Series:
             scores = ratios(lcs_lengths(left, right), lengths[i] + lengths[j])
             lowest[some] = scores.reshape(len(some), len(p)).min(axis=1)
     return pd.Series(lowest)
+
+
+def score_chunk_pair(part: pd.DataFrame) -> pd.DataFrame:
+    """One row: the smallest ratio between the two chunks of names (ci, cj) of a block."""
+    head = part.iloc[0]
+    left = part.loc[part["chunk"] == head["ci"], "sorted_name"].tolist()
+    right = None if head["ci"] == head["cj"] else part.loc[part["chunk"] == head["cj"], "sorted_name"].tolist()
+    return pd.DataFrame({"dataset": [head["dataset"]], "dob": [head["dob"]], "score": [min_cross_ratio(left, right)]})

@@ -51,9 +51,16 @@ def safe_file_name(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\p{L}\p{N}._-]", "_")
 
 
-def flag(c: Column) -> Column:
+def flag(c: Column, data_type: str = "string") -> Column:
     """A boolean from a boolean, a number or text; anything unreadable is false."""
-    return F.coalesce(c.cast("string").try_cast("boolean"), c.cast("string").try_cast("double") != 0, F.lit(False))
+    if data_type == "boolean":
+        yes = c
+    elif data_type == "string":
+        said = F.lower(F.trim(c))
+        yes = said.isin("true", "t", "yes", "y") | (said.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?$") & ~said.rlike(r"^[+-]?0+(\.0*)?$"))
+    else:
+        yes = c != 0
+    return F.coalesce(yes, F.lit(False))
 
 
 def affix_match(name: Column, keyword: str) -> Column:

@@ -9,13 +9,12 @@ and its chunk pairs become separate tasks, each giving back one number. No pair
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk import params as P
 from tamarisk.functions.ordered import numbered
-from tamarisk.functions.similarity import min_cross_ratio, min_ratio_in, sorted_tokens
+from tamarisk.functions.similarity import min_ratio_in, score_chunk_pair, sorted_tokens
 from tamarisk.operators import roles
 from tamarisk.session import materialise
 
@@ -51,20 +50,13 @@ def _short_scores(names: DataFrame, found: DataFrame) -> DataFrame:
     return lists.select(*BLOCK, min_ratio_in("names").alias("score"))
 
 
-def _score_chunk_pair(part: pd.DataFrame) -> pd.DataFrame:
-    head = part.iloc[0]
-    left = part.loc[part["chunk"] == head["ci"], "sorted_name"].tolist()
-    right = None if head["ci"] == head["cj"] else part.loc[part["chunk"] == head["cj"], "sorted_name"].tolist()
-    return pd.DataFrame({"dataset": [head["dataset"]], "dob": [head["dob"]], "score": [min_cross_ratio(left, right)]})
-
-
 def _long_scores(names: DataFrame, found: DataFrame, chunk_names: int) -> DataFrame:
     long = found.where(F.col("n_names") > SHORT_BLOCK).select(*BLOCK, F.ceil(F.col("n_names") / chunk_names).cast("int").alias("chunks"))
     placed = names.select(*BLOCK, "sorted_name").join(long, BLOCK).withColumn(
         "chunk", F.pmod(F.xxhash64("sorted_name"), F.col("chunks")).cast("int"))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         *BLOCK, "sorted_name", "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"))
-    return sent.groupBy(*BLOCK, "ci", "cj").applyInPandas(_score_chunk_pair, "dataset string, dob string, score double")
+    return sent.groupBy(*BLOCK, "ci", "cj").applyInPandas(score_chunk_pair, "dataset string, dob string, score double")
 
 
 def find_clusters(rows: DataFrame, chunk_names: int = CHUNK_NAMES) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,9 @@ from tamarisk.functions.ordered import running_totals
 
 SERIES_TERMS = 100
 
+# Python workers get these functions by value: they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def shifted(df: DataFrame, feature: str, is_reference: Column, multiplier: float, offset: float) -> DataFrame:
     """Applies the test shift to one feature of the current slice only."""

@@ -29,13 +29,14 @@ def _trigger_column(columns, names, substring_match: bool) -> str | None:
     return roles.find_containing(columns, names) if substring_match else roles.find_exact(columns, names)
 
 
-def staged(columns, substring_match: bool = False) -> Column:
+def staged(df: DataFrame, substring_match: bool = False) -> Column:
     """Stage from days past due, lifted by whichever trigger columns the file has."""
+    types = dict(df.dtypes)
     stage = C.dpd_stage(F.col("DPD"))
     for _, names, forced in TRIGGERS:
-        found = _trigger_column(columns, names, substring_match)
+        found = _trigger_column(df.columns, names, substring_match)
         if found:
-            stage = F.when(flag(F.col(found)), F.greatest(stage, F.lit(forced))).otherwise(stage)
+            stage = F.when(flag(F.col(found), types[found]), F.greatest(stage, F.lit(forced))).otherwise(stage)
     return stage
 
 
@@ -76,9 +77,9 @@ def per_loan(loans: DataFrame, reporting_date: str = P.REPORTING_DATE, ratings:
         .join(F.broadcast(facilities), F.col("FACILITY_TYPE") == F.col("facility_key"), "left")
         .withColumn("unknown_rating", F.col("rating_key").isNull())
         .withColumn("unknown_facility", F.col("facility_key").isNull())
-        .withColumn("computed_stage", staged(loans.columns, substring_match))
+        .withColumn("computed_stage", staged(loans, substring_match))
         .withColumn("start_pd", F.coalesce("rating_pd", F.lit(default_pd)))
-        .withColumn("term_years", C.remaining_years(F.col("MATURITY"), reporting_date))
+        .withColumn("term_years", C.remaining_years(F.col("MATURITY"), reporting_date, dict(loans.dtypes)["MATURITY"]))
         .withColumn("effective_pd", F.when(F.col("computed_stage") > 1, C.lifetime_pd(F.col("start_pd"), F.col("term_years")))
                     .otherwise(F.col("start_pd")))
         .withColumn("effective_lgd", F.coalesce("facility_lgd", F.lit(P.DEFAULT_LGD)))

@@ -16,8 +16,12 @@ def latest_runs(task_runs: DataFrame) -> DataFrame:
 
 
 def with_outlets(latest: DataFrame) -> DataFrame:
-    """Latest runs with parsed uris; jobs with neither in- nor outlets are left out."""
-    return (latest.withColumn("in_uris", last_segment_uris(F.col("inlets"))).withColumn("out_uris", last_segment_uris(F.col("outlets")))
+    """Latest runs with parsed uris; jobs with neither in- nor outlets are left out.
+
+    Written once: nodes, edges and traces all start here, and the run history behind it is
+    far larger than one row per job.
+    """
+    return materialise(latest.withColumn("in_uris", last_segment_uris(F.col("inlets"))).withColumn("out_uris", last_segment_uris(F.col("outlets")))
             .where((F.size("in_uris") > 0) | (F.size("out_uris") > 0)))
 
 
@@ -37,25 +41,30 @@ def nodes(jobs: DataFrame) -> DataFrame:
 def levels(node_ids: DataFrame, graph: DataFrame) -> DataFrame:
     """Longest-path level of every node: sources are peeled off, round by round.
 
-    A node leaves in the round after its last input, so the round number is its level. The
-    edges left shrink every round and are checkpointed, and the number of rounds is the
-    depth of the graph. Nodes on or behind a cycle never become sources; their level is null.
+    A node leaves in the round after its last input, so the round number is its level. Only
+    the remaining edges are written per round (their counts come from the file footers), and
+    the number of rounds is the depth of the graph. Nodes on or behind a cycle never become
+    sources; their level is null.
     """
-    left = materialise(node_ids.select("id").distinct())
-    links = materialise(graph.select("from_id", "to_id").distinct().join(left.withColumnRenamed("id", "to_id"), "to_id", "left_semi"))
-    done, level = None, 0
-    while True:
-        waiting = links.select(F.col("to_id").alias("id")).distinct()
-        sources = materialise(left.join(waiting, "id", "left_anti"))
-        if sources.isEmpty():
+    nodes_only = materialise(node_ids.select("id").distinct())
+    links = materialise(graph.select("from_id", "to_id").distinct().join(nodes_only.withColumnRenamed("id", "to_id"), "to_id", "left_semi"))
+    waiting = links.select(F.col("to_id").alias("id")).distinct()
+    parts = [nodes_only.join(waiting, "id", "left_anti")]
+    sources = parts[0].unionByName(links.select(F.col("from_id").alias("id")).distinct().join(waiting, "id", "left_anti"))
+    left = links.count()
+    while left:
+        rest = materialise(links.join(sources.select(F.col("id").alias("from_id")), "from_id", "left_anti"))
+        kept = rest.count()
+        if kept == left:
             break
-        part = sources.withColumn("level", F.lit(level))
-        done = part if done is None else done.unionByName(part)
-        left = materialise(left.join(sources, "id", "left_anti"))
-        links = materialise(links.join(sources.withColumnRenamed("id", "from_id"), "from_id", "left_anti"))
-        level += 1
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)
+        still = rest.select(F.col("to_id").alias("id")).distinct()
+        sources = waiting.join(still, "id", "left_anti")
+        parts.append(sources)
+        links, waiting, left = rest, still, kept
+    out = waiting.withColumn("level", F.lit(None).cast("int"))  # empty unless there is a cycle
+    for level, part in enumerate(parts):
+        out = out.unionByName(part.withColumn("level", F.lit(level)))
+    return out
 
 
 def gold_traces(graph: DataFrame, jobs: DataFrame, keyword: str, task: str = "gold_compute") -> DataFrame:

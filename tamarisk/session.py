@@ -52,6 +52,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages reread files, not a recomputed shuffle."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A written copy in the shared folder: later stages reread files, not a recomputed shuffle.
+
+    Unlike a checkpointed RDD the copy is columnar and its size is known to the planner.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -50,17 +50,24 @@ def normalise_nulls(df: DataFrame, keep: tuple[str, ...] = (POSITION,)) -> DataF
     return df.select(*[null_tokens(F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns])
 
 
+# Shapes of text a type can read. Matching beats trying casts: a failed cast costs an exception per cell.
+SHAPES = {
+    "bigint": r"^[+-]?[0-9]{1,18}$",
+    "double": r"^[+-]?([0-9]{1,18}|[0-9]+\.[0-9]*|\.[0-9]+|[0-9]+(\.[0-9]*)?[eE][+-]?[0-9]{1,3}|[iI]nf|[iI]nfinity)$",
+    "boolean": r"^(true|false|True|False|TRUE|FALSE)$",
+}
+
+
 def infer_types(df: DataFrame, keep: tuple[str, ...] = (POSITION,)) -> dict[str, str]:
     """Narrowest type that reads every value of each text column; one aggregate over the data."""
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in keep]
-    kinds = ("bigint", "double", "boolean")
-    exprs = [F.count(c).alias(f"n{i}") for i, c in enumerate(text)]
-    for i, c in enumerate(text):
-        exprs += [F.count(F.col(c).try_cast(k)).alias(f"{k}{i}") for k in kinds]
     if not text:
         return {}
+    exprs = [F.count(c).alias(f"n{i}") for i, c in enumerate(text)]
+    for i, c in enumerate(text):
+        exprs += [F.count_if(F.rlike(c, F.lit(shape))).alias(f"{kind}{i}") for kind, shape in SHAPES.items()]
     seen = df.agg(*exprs).first()
-    pick = lambda i: next((k for k in kinds if seen[f"n{i}"] and seen[f"{k}{i}"] == seen[f"n{i}"]), "string")
+    pick = lambda i: next((k for k in SHAPES if seen[f"n{i}"] and seen[f"{k}{i}"] == seen[f"n{i}"]), "string")
     return {c: pick(i) for i, c in enumerate(text)}
 
 

@@ -36,6 +36,13 @@ def test_min_cross_ratio_equals_brute_force():
     assert sim.min_cross_ratio(sort(inside), None) == pytest.approx(min(plain_ratio(a, b) for i, a in enumerate(inside) for b in inside[i + 1:]))
 
 
+def test_long_names_and_empty_names():
+    long = ["x" * 30 + "ab" * 30, "ab" * 40, "q" * 64, "", "b"]
+    pairs = lambda xs: [(a, b) for i, a in enumerate(xs) for b in xs[i + 1:]]
+    for some in (long, long[:2], long[1:3], [long[0], "b"], ["", ""], ["q" * 64, "q" * 63 + "z"]):
+        assert sim.min_cross_ratio(some, None) == pytest.approx(min(plain_ratio(a, b) for a, b in pairs(some)))
+
+
 def people(spark, rows):
     return spark.createDataFrame(rows, "dataset string, CUST_ID string, FULL_NAME string, DOB string, PHONE string, row_pos long")
 
