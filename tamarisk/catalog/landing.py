@@ -162,12 +162,11 @@ def registry_list(spark, sf):
     SELECT count(*) AS rows, count(*) AS positions, 0::BIGINT AS first_pos, count(*) - 1 AS last_pos, CAST(sum(order_id) AS BIGINT) AS order_ids,
            CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount, count(status) AS with_status, count(mostly_empty) AS with_extra FROM v_raw""")
 def raw_landing(spark, sf):
-    """Whole table to CSV files, raw scan with positions, null tokens and types, Bronze, read back."""
+    """Whole table to CSV files, raw text scan with positions, Bronze, then null tokens and types."""
     inbox = scratch_path(spark, "inbox")
     spark_sql(spark, sf, f"SELECT {', '.join(RAW)} FROM v_raw").write.option("header", True).option("nullValue", "NA").csv(inbox)
-    rows = tt.read_table(spark, inbox)
-    path = zones.land_bronze(rows, scratch_path(spark, "lake"), "orders_raw", "20260901T080000")
-    back = zones.read_zone(spark, path, "orders_raw")
+    path = zones.land_bronze(tt.read_raw(spark, inbox), scratch_path(spark, "lake"), "orders_raw", "20260901T080000")
+    back = medallion.bronze_rows(spark, path, as_text=True)
     pos = F.col("_row_pos")
     return back.agg(F.count("*").alias("rows"), F.count_distinct(pos).alias("positions"), F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"),
                     F.sum("order_id").alias("order_ids"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("amount"),
@@ -237,12 +236,13 @@ _LOAN_TOTAL = credit.AMOUNT(credit.TOTAL("ecl_base"))
 
 
 @R.query("gold_results", credit.MODEL_SQL.replace("FROM v_loans l", f"FROM (SELECT DISTINCT {', '.join(LOANS)}, false AS WATCHLIST, NULL AS PD, NULL AS LGD FROM v_loans) l")
-         + f" SELECT 48.3::DOUBLE AS display_score, 60.2::DOUBLE AS overall_compliance_pct, 'Developing' AS maturity_level, {_LOAN_TOTAL} AS total_ecl, '2026-08-07' AS reporting_date, 'lookup' AS engine_mode FROM loss")
+         + f" SELECT 'ndi' AS result, 48.3::DOUBLE AS figure, 'Developing' AS label UNION ALL SELECT 'ifrs9', {_LOAN_TOTAL}, '2026-08-07 lookup' FROM loss")
 def gold_results(spark, sf):
-    """The two Gold tables of the loan data set, read back side by side."""
+    """The two Gold tables of the loan data set, read back."""
     lakehouse.promote_dataset(spark, silver_of(spark, sf, "loans"), "loans_gold")
-    loss = spark.table("gold.loans_gold_ifrs9").withColumn("one", F.lit(1))
-    return spark.table("gold.loans_gold_ndi").withColumn("one", F.lit(1)).join(loss, "one").drop("one")
+    score = spark.table("gold.loans_gold_ndi").select(F.lit("ndi").alias("result"), F.col("display_score").alias("figure"), F.col("maturity_level").alias("label"))
+    loss = spark.table("gold.loans_gold_ifrs9").select(F.lit("ifrs9").alias("result"), F.col("total_ecl").alias("figure"), F.concat_ws(" ", "reporting_date", "engine_mode").alias("label"))
+    return score.unionByName(loss)
 
 
 # ---- names, sheets, documents -----------------------------------------------------------------

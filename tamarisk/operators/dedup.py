@@ -87,16 +87,16 @@ def summary(clusters: DataFrame) -> DataFrame:
 def unseen(clusters: DataFrame, rows: DataFrame, decided_members: DataFrame) -> DataFrame:
     """Clusters whose exact member set has not been decided before.
 
-    Sets are equal when the rows they share are as many as each of them has; that needs
+    Sets are equal when the members they share are as many as each of them has; that needs
     counts only, so a cluster of any size is compared without building its member list.
+    Only blocks holding a whole decided set are counted.
     """
-    new_members = rows.select(*BLOCK, "row_id").join(clusters.select(*BLOCK), BLOCK).distinct()
     old = decided_members.select("dataset", "cluster_id", "row_id").distinct()
-    shared = new_members.join(old, ["dataset", "row_id"]).groupBy(*BLOCK, "cluster_id").agg(F.count("*").alias("shared"))
-    new_sizes = new_members.groupBy(*BLOCK).agg(F.count("*").alias("new_size"))
     old_sizes = old.groupBy("dataset", "cluster_id").agg(F.count("*").alias("old_size"))
-    same = (shared.join(new_sizes, BLOCK).join(old_sizes, ["dataset", "cluster_id"])
-            .where((F.col("shared") == F.col("new_size")) & (F.col("shared") == F.col("old_size"))))
+    shared = rows.select(*BLOCK, "row_id").join(old, ["dataset", "row_id"]).groupBy(*BLOCK, "cluster_id").agg(F.count_distinct("row_id").alias("shared"))
+    inside = shared.join(old_sizes, ["dataset", "cluster_id"]).where(F.col("shared") == F.col("old_size")).groupBy(*BLOCK).agg(F.max("shared").alias("largest"))
+    sizes = rows.select(*BLOCK, "row_id").join(inside.select(*BLOCK), BLOCK, "left_semi").groupBy(*BLOCK).agg(F.count_distinct("row_id").alias("new_size"))
+    same = inside.join(sizes, BLOCK).where(F.col("largest") == F.col("new_size"))
     return clusters.join(same.select(*BLOCK), BLOCK, "left_anti")
 
 

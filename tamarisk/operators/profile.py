@@ -45,25 +45,28 @@ def hold_threshold(rows: Column) -> Column:
     return F.when(rows < P.SMALL_TABLE_ROWS, F.lit(P.SMALL_TABLE_NULL_HOLD)).otherwise(F.lit(P.NULL_HOLD))
 
 
-def gate(profile: DataFrame) -> DataFrame:
-    """One row per dataset: counts, worst relevant null rate, held or not, and why.
-
-    Columns more than half null do not hold a dataset back: Gold drops them anyway.
-    """
+def _gate_figures() -> list[Column]:
     rate = F.when(F.col("rows") > 0, F.col("null_count") / F.col("rows"))
-    relevant = F.when(rate <= P.GOLD_DROP, rate)
-    one = profile.groupBy("dataset").agg(
-        F.max("rows").alias("rows"), (F.max("raw_rows") - F.max("rows")).alias("duplicate_rows_removed"),
-        F.coalesce(F.max(relevant), F.lit(0.0)).alias("max_null_rate"))
+    relevant = F.when(rate <= P.GOLD_DROP, rate)  # sparser columns are dropped by Gold anyway
+    return [F.max("rows").alias("rows"), (F.max("raw_rows") - F.max("rows")).alias("duplicate_rows_removed"),
+            F.coalesce(F.max(relevant), F.lit(0.0)).alias("max_null_rate")]
+
+
+def _with_verdict(figures: DataFrame) -> DataFrame:
     held = F.col("max_null_rate") > hold_threshold(F.col("rows"))
     percent = lambda c: F.concat(F.format_number(F.bround(c * 100, 0), 0), F.lit("%"))
     small = F.when(F.col("rows") < P.SMALL_TABLE_ROWS, F.concat(F.lit(" (small-table threshold, "), F.col("rows").cast("string"), F.lit(" rows)"))).otherwise("")
     reason = F.concat(F.lit("a column is "), percent(F.col("max_null_rate")), F.lit(" null, over the "),
                       percent(hold_threshold(F.col("rows"))), F.lit(" auto-promotion threshold"), small)
-    return (one.withColumn("held", held).withColumn("stage", F.when(held, "silver_held").otherwise("gold"))
+    return (figures.withColumn("held", held).withColumn("stage", F.when(held, "silver_held").otherwise("gold"))
             .withColumn("hold_reason", F.when(held, reason)))
 
 
+def gate(profile: DataFrame) -> DataFrame:
+    """One row per dataset: counts, worst relevant null rate, held or not, and why."""
+    return _with_verdict(profile.groupBy("dataset").agg(*_gate_figures()))
+
+
 def sparse_columns(profile: DataFrame) -> DataFrame:
     """Columns more than half null in Silver: dropped on the way to Gold."""
     share = F.when(F.col("rows") > 0, F.col("null_after") / F.col("rows"))
@@ -120,19 +123,20 @@ def top_categories(df: DataFrame, max_distinct: int = 20, top: int = 5, max_colu
 
 
 def registry_rows(profile: DataFrame) -> DataFrame:
-    """The dataset registry entry of each profiled dataset; null counts as a map of non-zero columns."""
-    columns = profile.groupBy("dataset").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "column_name", "null_count", "null_after", "rows"))).alias("c"))
-    names = F.transform("c", lambda x: x["column_name"])
+    """The dataset registry entry of each profiled dataset; null counts as a map of non-zero columns.
+
+    The profile has one row per column, so the collected list is as long as the schema.
+    """
+    entry = F.struct("pos", "column_name", "null_count", "null_after")
+    one = _with_verdict(profile.groupBy("dataset").agg(*_gate_figures(), F.array_sort(F.collect_list(entry)).alias("c")))
     with_nulls = F.filter("c", lambda x: x["null_count"] > 0)
-    sparse = F.filter("c", lambda x: (x["rows"] > 0) & (x["null_after"] > x["rows"] * F.lit(P.GOLD_DROP)))
-    maps = columns.select("dataset", names.alias("columns"),
-                          F.map_from_entries(F.transform(with_nulls, lambda x: F.struct(x["column_name"], x["null_count"]))).alias("null_counts"),
-                          F.transform(sparse, lambda x: x["column_name"]).alias("sparse"))
-    return gate(profile).join(maps, "dataset").select(
-        F.col("dataset").alias("safe_name"), "stage", "rows", "columns", "duplicate_rows_removed", "null_counts",
-        F.when(F.col("held"), F.array().cast("array<string>")).otherwise(F.col("sparse")).alias("dropped_columns"),
-        F.col("sparse").alias("sparse_columns"), "hold_reason")
+    sparse = F.filter("c", lambda x: (F.col("rows") > 0) & (x["null_after"] > F.col("rows") * F.lit(P.GOLD_DROP)))
+    names = lambda entries: F.transform(entries, lambda x: x["column_name"])
+    return one.select(
+        F.col("dataset").alias("safe_name"), "stage", "rows", names(F.col("c")).alias("columns"), "duplicate_rows_removed",
+        F.map_from_entries(F.transform(with_nulls, lambda x: F.struct(x["column_name"], x["null_count"]))).alias("null_counts"),
+        F.when(F.col("held"), F.array().cast("array<string>")).otherwise(names(sparse)).alias("dropped_columns"),
+        names(sparse).alias("sparse_columns"), "hold_reason")
 
 
 def promote(registry: DataFrame, safe_name: str) -> DataFrame:

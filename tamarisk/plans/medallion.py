@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.operators import profile as prof
-from tamarisk.sources import zones
+from tamarisk.sources import text_tables as tt, zones
 
 
 @dataclass
@@ -19,19 +19,22 @@ class Landed:
     registry: DataFrame
 
 
-def bronze_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def bronze_rows(spark: SparkSession, path: str, as_text: bool) -> DataFrame:
+    """One landed load; text loads get their null tokens and types here, from columnar files."""
+    rows = zones.read_zone(spark, path, path)
+    return tt.typed(tt.normalise_nulls(rows)) if as_text else rows
 
 
-def run_upload(raw: DataFrame, root: str, safe_name: str, load_ts: str) -> Landed:
+def run_upload(raw: DataFrame, root: str, safe_name: str, load_ts: str, as_text: bool = False) -> Landed:
     """Lands ``raw`` (with row positions) and carries it as far as its null rates allow.
 
-    Only the gate's one row and the list of sparse columns come to the driver; the raw rows
-    are shuffled once, for the exact de-duplication that writes Silver.
+    ``as_text`` marks a raw text scan, landed as it is. Only the gate's one row and the list
+    of sparse columns come to the driver; the rows are shuffled once, for the exact
+    de-duplication that writes Silver.
     """
     spark = raw.sparkSession
     bronze_path = zones.land_bronze(raw, root, safe_name, load_ts)
-    silver_path = zones.write_version(prof.to_silver(bronze_rows(spark, bronze_path)), root, "silver", safe_name, load_ts)
+    silver_path = zones.write_version(prof.to_silver(bronze_rows(spark, bronze_path, as_text)), root, "silver", safe_name, load_ts)
     silver = zones.read_zone(spark, silver_path, safe_name)
     registry = prof.registry_rows(prof.column_profile(silver, safe_name))
     entry = registry.select("stage", "dropped_columns").first()

@@ -24,9 +24,10 @@ def sales(rows, null_at):
 
 
 def test_heavy_nulls_hold_at_silver_then_promote(spark, tmp_path):
-    raw = tt.read_table(spark, write(tmp_path, "sales.csv", sales(21, 5)))
+    raw = tt.read_raw(spark, write(tmp_path, "sales.csv", sales(21, 5)))
     root = scratch_path(spark, "t")
-    landed = medallion.run_upload(raw, root, "sales", "20260101T000000")
+    landed = medallion.run_upload(raw, root, "sales", "20260101T000000", as_text=True)
+    assert dict(spark.read.parquet(landed.bronze_path).dtypes)["quantity"] == "string" and dict(spark.read.parquet(landed.silver_path).dtypes)["quantity"] == "bigint"
     reg = landed.registry.first()
     assert (reg["rows"], reg["duplicate_rows_removed"], reg["stage"], landed.gold_path) == (21, 1, "silver_held", None)
     assert reg["null_counts"] == {"quantity": 5} and reg["hold_reason"] == "a column is 24% null, over the 10% auto-promotion threshold"
