@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.catalog.base import Registry, view
 from tamarisk.operators import dedup, golden
+from tamarisk.plans import people as plan
 
 R = Registry()
 FIELDS = ["CUST_ID", "FULL_NAME", "DOB", "PHONE", "EMAIL", "NATIONAL_ID", "NATION"]
@@ -207,6 +208,47 @@ def golden_merge_errors(spark, sf):
     return golden.merge_errors(confirmed, golden.merge(left, view(spark, sf, "v_members"), FIELDS)).select("dataset", "cluster_id", "reason")
 
 
+def _confirmed_and_merged(spark, sf):
+    """Existing golden records, then all pending clusters confirmed; customer rows have left Silver since."""
+    rows = view(spark, sf, "v_customers").withColumn("row_id", F.col("CUST_ID")).where("CUST_ID NOT LIKE 'C%'")
+    return plan.confirm_and_merge(rows, view(spark, sf, "v_members"), view(spark, sf, "v_decisions"), golden_records_of(spark, sf), FIELDS, "lead", "2026-09-01 08:00:00")
+
+
+@R.query("confirm_and_merge", """SELECT d.dataset, d.cluster_id, d.status <> 'confirmed_duplicate' AS new_record FROM v_decisions d WHERE d.status IN ('confirmed_duplicate', 'pending')
+    AND (d.status = 'confirmed_duplicate' OR EXISTS (SELECT 1 FROM v_members m WHERE m.dataset = d.dataset AND m.cluster_id = d.cluster_id AND NOT m.row_id LIKE 'C%'))""")
+def confirm_and_merge(spark, sf):
+    out = _confirmed_and_merged(spark, sf)
+    return out.golden.join(out.decisions.select("dataset", "cluster_id", F.col("newly_confirmed").alias("new_record")), ["dataset", "cluster_id"]).select("dataset", "cluster_id", "new_record")
+
+
+@R.query("confirm_and_merge_errors", """SELECT d.dataset, d.cluster_id, 'source rows not found in the current silver data' AS reason FROM v_decisions d WHERE d.status = 'pending'
+    AND NOT EXISTS (SELECT 1 FROM v_members m WHERE m.dataset = d.dataset AND m.cluster_id = d.cluster_id AND NOT m.row_id LIKE 'C%')""")
+def confirm_and_merge_errors(spark, sf):
+    return _confirmed_and_merged(spark, sf).errors
+
+
+@R.query("dup_refreshed_queue", _CLUSTERS + f""", {_OLD}, os AS (SELECT dataset, cluster_id, list_sort(list(DISTINCT row_id)) AS ids FROM old GROUP BY 1, 2),
+    ns AS (SELECT dataset, DOB AS dob, list_sort(list(DISTINCT CUST_ID)) AS ids FROM v_customers WHERE DOB <> '' GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT dataset, dob, size, tier, status FROM v_decisions WHERE status <> 'pending'
+    UNION ALL SELECT c.dataset, c.dob, CAST(c.size AS BIGINT), c.tier, 'pending' FROM clusters c JOIN ns ON ns.dataset = c.dataset AND ns.dob = c.dob
+      WHERE NOT EXISTS (SELECT 1 FROM os WHERE os.dataset = ns.dataset AND os.ids = ns.ids)""")
+def dup_refreshed_queue(spark, sf):
+    """Whole review cycle: detect, suppress decided member sets, replace the pending queue."""
+    decisions = view(spark, sf, "v_decisions")
+    decided = decisions.where("status <> 'pending'").select("dataset", "cluster_id")
+    old = view(spark, sf, "v_members").where("row_id NOT LIKE 'U%'").join(decided, ["dataset", "cluster_id"], "left_semi")
+    return plan.refresh_queue(_rows(spark, sf), decisions, old)
+
+
+@R.query("golden_json", _GOLDEN + " SELECT dataset, cluster_id, FULL_NAME AS full_name, src_EMAIL AS email_source FROM golden")
+def golden_json(spark, sf):
+    """Maps written as JSON text and read back."""
+    maps = golden.as_maps(golden_records_of(spark, sf), FIELDS)
+    text = maps.select("dataset", "cluster_id", F.to_json("merged").alias("m"), F.to_json("field_sources").alias("s"))
+    back = lambda c: F.from_json(c, "map<string,string>")
+    return text.select("dataset", "cluster_id", F.try_element_at(back("m"), F.lit("FULL_NAME")).alias("full_name"), F.try_element_at(back("s"), F.lit("EMAIL")).alias("email_source"))
+
+
 @R.query("dup_lifecycle", _GOLDEN + """
     SELECT d.dataset, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'confirmed_duplicate') AS confirmed_duplicate,
            count(*) FILTER (WHERE status = 'not_duplicate') AS not_duplicate,

@@ -76,7 +76,7 @@ def min_cross_ratio(left: list[str], right: list[str] | None) -> float:
     lowest = 100.0
     for i in range(len(a)):
         start = i + 1 if right is None else 0
-        if start >= len(b):
+        if start >= len(b) or lowest == 0.0:
             break
         if la[i] <= 64:
             lcs = _bit_lcs(dense_a[i, : la[i]], columns[:, start:], symbols)

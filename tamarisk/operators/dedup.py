@@ -21,6 +21,7 @@ from tamarisk.session import materialise
 BLOCK = ["dataset", "dob"]
 SHORT_BLOCK = 32
 CHUNK_NAMES = 2048
+MOST_CHUNKS = 1024  # a longer block gets longer chunks: a name is sent this many times at most
 
 
 def candidates(df: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def _short_scores(names: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _long_scores(names: DataFrame, found: DataFrame, chunk_names: int) -> DataFrame:
-    long = found.where(F.col("n_names") > SHORT_BLOCK).select(*BLOCK, F.ceil(F.col("n_names") / chunk_names).cast("int").alias("chunks"))
+    long = found.where(F.col("n_names") > SHORT_BLOCK).select(*BLOCK, F.least(F.ceil(F.col("n_names") / chunk_names), F.lit(MOST_CHUNKS)).cast("int").alias("chunks"))
     placed = names.select(*BLOCK, "sorted_name").join(long, BLOCK).withColumn(
         "chunk", F.pmod(F.xxhash64("sorted_name"), F.col("chunks")).cast("int"))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.operators import profile as prof
+from tamarisk.session import materialise
 from tamarisk.sources import text_tables as tt, zones
 
 
@@ -36,7 +37,7 @@ def run_upload(raw: DataFrame, root: str, safe_name: str, load_ts: str, as_text:
     bronze_path = zones.land_bronze(raw, root, safe_name, load_ts)
     silver_path = zones.write_version(prof.to_silver(bronze_rows(spark, bronze_path, as_text)), root, "silver", safe_name, load_ts)
     silver = zones.read_zone(spark, silver_path, safe_name)
-    registry = prof.registry_rows(prof.column_profile(silver, safe_name))
+    registry = materialise(prof.registry_rows(prof.column_profile(silver, safe_name)))  # one row; Silver is scanned once
     entry = registry.select("stage", "dropped_columns").first()
     gold_path = None
     if entry and entry["stage"] == "gold":
