@@ -9,6 +9,7 @@ from tamarisk.catalog.base import Registry, table, view
 from tamarisk.catalog.people import FIELDS, golden_records_of
 from tamarisk.functions.times import freshness, seconds_between
 from tamarisk.operators import dedup, drift, ecl, golden, lineage, models, profile as prof, runs
+from tamarisk.session import materialise
 
 R = Registry()
 
@@ -93,12 +94,12 @@ _FIELD = _GRAPH + """, dec AS (SELECT dataset, count(*) FILTER (WHERE status = '
 
 @R.query("field_lineage", _FIELD + " SELECT dataset, field, available, reason, CAST(x.n AS INT) AS step_no, x.s AS stage, x.t AS text FROM s")
 def field_lineage(spark, sf):
-    merged = golden_records_of(spark, sf)
+    merged = materialise(golden_records_of(spark, sf))
     ids = golden.contributions(golden.as_maps(merged, FIELDS), "NATIONAL_ID")
     states = dedup.lifecycle_counts(view(spark, sf, "v_decisions"), merged)
     jobs = _jobs(spark, sf)
     graph = lineage.edges(jobs)
-    return lineage.field_report(field_registry(spark, sf), ids, states, lineage.gold_traces(graph, jobs, "ifrs9"), lineage.gold_traces(graph, jobs, "ndi"), assessed=False)
+    return lineage.field_report(materialise(field_registry(spark, sf)), ids, states, lineage.gold_traces(graph, jobs, "ifrs9"), lineage.gold_traces(graph, jobs, "ndi"), assessed=False)
 
 
 # ---- runs ----------------------------------------------------------------------------------------

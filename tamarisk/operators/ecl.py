@@ -14,6 +14,7 @@ from tamarisk import params as P
 from tamarisk.functions import credit as C
 from tamarisk.functions.text import flag
 from tamarisk.operators import roles
+from tamarisk.session import materialise
 
 # trigger: (column names looked for, stage it forces)
 TRIGGERS = (
@@ -146,6 +147,8 @@ def top_loans(loss: DataFrame, customers: DataFrame | None = None, k: int = 5, s
     ecl = F.col(ecl_column(scenario))
     keep = [c for c in dict.fromkeys([ident, name, key]) if c]
     top = loss.select(*keep, ecl.alias("loss")).orderBy(F.desc_nulls_last("loss"), *keep).limit(k)
+    if customers is not None and key is not None:
+        top = materialise(top)  # k rows used twice below; the loans are read once
     own_name = F.col(name).cast("string") if name else F.lit(None).cast("string")
     if customers is None or key is None:
         return top.select(F.col(ident).cast("string").alias("id"), F.round("loss", 2).alias("ecl"),

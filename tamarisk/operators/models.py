@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tamarisk import params as P
 from tamarisk.operators.ecl import rating_table
+from tamarisk.session import materialise
 
 LGD_FLOOR, LGD_CAP = 0.05, 0.95
 
@@ -21,9 +22,9 @@ def fit_default_scorecard(labels: DataFrame) -> DataFrame:
     """
     spark = labels.sparkSession
     ranks = rating_table(spark)
-    counts = (labels.join(F.broadcast(ranks), F.col("RATING") == F.col("rating_key"))
-              .groupBy(F.col("rating_rank").cast("double").alias("rating_rank"), F.col("defaulted").cast("double").alias("label"))
-              .agg(F.count("*").cast("double").alias("weight")))
+    counts = materialise(labels.join(F.broadcast(ranks), F.col("RATING") == F.col("rating_key"))
+                         .groupBy(F.col("rating_rank").cast("double").alias("rating_rank"), F.col("defaulted").cast("double").alias("label"))
+                         .agg(F.count("*").cast("double").alias("weight")))
     total = counts.agg(F.sum("weight")).first()[0]
     if not total:
         raise ValueError("no labelled loans with a known rating")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.functions.text import clean_text, file_extension, safe_file_name
-from tamarisk.session import scratch_path
+from tamarisk.session import scratch_path, shared_folder
 
 
 def land_bronze(raw: DataFrame, root: str, dataset: str, load_ts: str) -> str:
@@ -38,7 +38,7 @@ def write_table(df: DataFrame, table: str, location: str | None = None) -> int:
     """Creates or replaces ``schema.table`` and gives back its row count (from the footers)."""
     spark = df.sparkSession
     schema, name = table.split(".")
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema} LOCATION '{shared_folder(spark)}/schemas/{schema}'")
     path = location or scratch_path(spark, f"{schema}-{name}")
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     df.write.mode("overwrite").option("path", path).saveAsTable(table)
