@@ -117,3 +117,14 @@ def ecl_simple(spark, sf):
 @R.query("ecl_simple_stages", "SELECT STAGE AS stage, count(*) AS loans FROM v_loans GROUP BY 1")
 def ecl_simple_stages(spark, sf):
     return ecl.simple_stages(view(spark, sf, "v_loans"))
+
+
+_TRIGGERS = ("days past due backstop (30/90 days)", *[t[0] for t in ecl.TRIGGERS], "two-notch rating downgrade")
+_FIRED = {0: ("'DPD'", "count(*) FILTER (WHERE DPD >= 30)"), 1: ("'WATCHLIST'", "count(*) FILTER (WHERE WATCHLIST)")}
+
+
+@R.query("ecl_triggers", " UNION ALL ".join(
+    f"SELECT {i} AS trigger_no, '{t}' AS trigger, {_FIRED.get(i, ('NULL', ''))[0]} AS column_used, {i in _FIRED} AS evaluated, {_FIRED.get(i, ('', 'NULL::BIGINT'))[1]} AS loans FROM "
+    + ("v_loans" if i in _FIRED else "(SELECT 1)") for i, t in enumerate(_TRIGGERS)))
+def ecl_triggers(spark, sf):
+    return ecl.triggers(view(spark, sf, "v_loans"))

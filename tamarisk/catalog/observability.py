@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamarisk import params as P
-from tamarisk.catalog.base import Registry, table, view
+from tamarisk.catalog.base import Registry, spark_sql, table, view
 from tamarisk.catalog.people import FIELDS, golden_records_of
 from tamarisk.functions.times import freshness, seconds_between
 from tamarisk.operators import dedup, drift, ecl, golden, lineage, models, profile as prof, runs
@@ -153,6 +153,21 @@ def job_list(spark, sf):
     return runs.job_list(dags.unionByName(tasks))
 
 
+_FACETS = """SELECT concat(job, '#', run_key, '-', task_no) AS job, CASE WHEN task = 'notify' THEN 'DAG' ELSE 'TASK' END AS job_type,
+    concat('{"latestRun": {"state": ', CASE WHEN state = 'running' THEN 'null' ELSE concat('"', state, '"') END, ', "durationMs": ', run_key % 100000,
+      ', "facets": {"task": {"inlets": "', replace(inlets, '"', chr(39)), '"}, "dagRun": {"run_id": "', dataset, '__', run_key, '", "conf": ',
+      CASE WHEN task = 'archive' THEN '{}' ELSE concat('{"dataset_name": "', dataset, '"}') END, '}}}}') AS facets FROM v_jobs"""
+
+
+@R.query("job_facets", f"""WITH f AS ({_FACETS}) SELECT job, job_type, coalesce(json_extract_string(facets, '$.latestRun.state'), 'UNKNOWN') AS state,
+    json_extract_string(facets, '$.latestRun.facets.dagRun.run_id') AS run_id, json_extract_string(facets, '$.latestRun.facets.dagRun.conf.dataset_name') AS dataset,
+    CAST(json_extract_string(facets, '$.latestRun.durationMs') AS BIGINT) / 1000.0::DOUBLE AS seconds,
+    len(regexp_extract_all(json_extract_string(facets, '$.latestRun.facets.task.inlets'), 'uri', 0)) AS inputs FROM f""")
+def job_facets(spark, sf):
+    out = lineage.job_facets(spark_sql(spark, sf, _FACETS))
+    return out.select("job", "job_type", "state", "run_id", "dataset", "seconds", F.size("in_uris").cast("bigint").alias("inputs"))
+
+
 @R.query("event_properties", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.unit'), 'none') AS unit FROM events")
 def event_properties(spark, sf):
     """Nested JSON read with a schema, absent paths defaulted."""

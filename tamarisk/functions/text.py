@@ -72,7 +72,7 @@ def matched_keyword(name: Column, keywords) -> Column:
     return F.coalesce(*[F.when(affix_match(name, kw), F.lit(kw)) for kw in keywords])
 
 
-def last_segment_uris(c: Column) -> Column:
+def listed_uris(c: Column) -> Column:
     """A Python-style list of {'uri': ..} records as an array of uris; malformed text is empty."""
     as_json = F.regexp_replace(c, r"\bNone\b", "null")
     parsed = F.from_json(as_json, "array<struct<uri:string>>", {"allowSingleQuotes": "true"})

@@ -42,13 +42,18 @@ def staged(df: DataFrame, substring_match: bool = False) -> Column:
 
 
 def triggers(df: DataFrame, substring_match: bool = False) -> DataFrame:
-    """Which staging triggers this table's columns let us evaluate."""
-    rows = [(0, "days past due backstop (30/90 days)", None, True)]
-    for i, (label, names, _) in enumerate(TRIGGERS, 1):
+    """Which staging triggers this table's columns let us evaluate, and on how many loans each fires."""
+    types = dict(df.dtypes)
+    entries = [("days past due backstop (30/90 days)", "DPD", F.col("DPD") >= 30)]
+    for label, names, _ in TRIGGERS:
         found = _trigger_column(df.columns, names, substring_match)
-        rows.append((i, label, found, found is not None))
-    rows.append((len(rows), "two-notch rating downgrade", None, False))
-    return P.inline_table(df.sparkSession, "trigger_no, trigger, column_used, evaluated", rows)
+        entries.append((label, found, flag(F.col(found), types[found]) if found else None))
+    entries.append(("two-notch rating downgrade", None, None))  # needs a rating at origination
+    one = df.agg(F.count("*").alias("n"), *[F.count_if(hit).alias(f"t{i}") for i, (_, _, hit) in enumerate(entries) if hit is not None])
+    rows = F.array(*[F.struct(F.lit(i).alias("trigger_no"), F.lit(label).alias("trigger"), F.lit(column).cast("string").alias("column_used"),
+                              F.lit(hit is not None).alias("evaluated"), (F.col(f"t{i}") if hit is not None else F.lit(None).cast("bigint")).alias("loans"))
+                     for i, (label, column, hit) in enumerate(entries)])
+    return one.select(F.inline(rows))
 
 
 def rating_table(spark) -> DataFrame:
@@ -145,14 +150,16 @@ def top_loans(loss: DataFrame, customers: DataFrame | None = None, k: int = 5, s
     ident = roles.find_containing(loss.columns, ("loan_id", "national_id", "cust_id", "customer_id", "id"))
     key = roles.find_exact(loss.columns, ("cust_id",))
     ecl = F.col(ecl_column(scenario))
-    keep = [c for c in dict.fromkeys([ident, name, key]) if c]
+    position = "_row_pos" if "_row_pos" in loss.columns else None
+    keep = [c for c in dict.fromkeys([ident, name, key, position]) if c]
     top = loss.select(*keep, ecl.alias("loss")).orderBy(F.desc_nulls_last("loss"), *keep).limit(k)
     if customers is not None and key is not None:
         top = materialise(top)  # k rows used twice below; the loans are read once
     own_name = F.col(name).cast("string") if name else F.lit(None).cast("string")
+    unnamed = F.concat(F.lit("Record "), F.col(position).cast("string")) if position else F.lit("unnamed record")
     if customers is None or key is None:
         return top.select(F.col(ident).cast("string").alias("id"), F.round("loss", 2).alias("ecl"),
-                          F.coalesce(own_name, F.lit("unnamed record")).alias("name"))
+                          F.coalesce(own_name, unnamed).alias("name"))
     cust_key = roles.find_exact(customers.columns, ("cust_id",))
     cust_name = roles.find_exact(customers.columns, ("full_name", "name", "customer_name"))
     wanted = top.select(F.col(key).cast("string").alias("_key")).distinct()
@@ -164,7 +171,7 @@ def top_loans(loss: DataFrame, customers: DataFrame | None = None, k: int = 5, s
     )
     return top.join(F.broadcast(names), F.col(key).cast("string") == F.col("_key"), "left").select(
         F.col(ident).cast("string").alias("id"), F.round("loss", 2).alias("ecl"),
-        F.coalesce(F.nullif("_name", F.lit("")), own_name, F.lit("unnamed record")).alias("name"))
+        F.coalesce(F.nullif("_name", F.lit("")), own_name, unnamed).alias("name"))
 
 
 def unknown_values(loss: DataFrame) -> DataFrame:

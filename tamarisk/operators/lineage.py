@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.functions.text import last_segment_uris, uri_tail
+from tamarisk.functions.text import listed_uris, uri_tail
 from tamarisk.session import materialise
 
 
@@ -15,13 +15,30 @@ def latest_runs(task_runs: DataFrame) -> DataFrame:
     return task_runs.groupBy("job").agg(F.max_by(run, F.struct("started_at", "run_key", "task_no")).alias("r")).select("job", "r.*")
 
 
+FACETS = """struct<latestRun: struct<state: string, durationMs: bigint,
+    facets: struct<task: struct<inlets: string, outlets: string>, dagRun: struct<run_id: string, conf: struct<dataset_name: string>>>>>"""
+
+
+def job_facets(jobs: DataFrame) -> DataFrame:
+    """(job, job_type, facets as JSON text) flattened; absent paths are null or their default.
+
+    Pipelines come before their tasks, then by name.
+    """
+    run = F.from_json("facets", FACETS)["latestRun"]
+    out = jobs.select("job", "job_type", run.alias("r")).select(
+        "job", "job_type", F.coalesce("r.state", F.lit("UNKNOWN")).alias("state"), F.col("r.facets.dagRun.run_id").alias("run_id"),
+        F.col("r.facets.dagRun.conf.dataset_name").alias("dataset"), (F.col("r.durationMs") / 1000).alias("seconds"),
+        listed_uris(F.col("r.facets.task.inlets")).alias("in_uris"), listed_uris(F.col("r.facets.task.outlets")).alias("out_uris"))
+    return out.orderBy(F.col("job_type") != "DAG", "job")
+
+
 def with_outlets(latest: DataFrame) -> DataFrame:
     """Latest runs with parsed uris; jobs with neither in- nor outlets are left out.
 
     Written once: nodes, edges and traces all start here, and the run history behind it is
     far larger than one row per job.
     """
-    return materialise(latest.withColumn("in_uris", last_segment_uris(F.col("inlets"))).withColumn("out_uris", last_segment_uris(F.col("outlets")))
+    return materialise(latest.withColumn("in_uris", listed_uris(F.col("inlets"))).withColumn("out_uris", listed_uris(F.col("outlets")))
             .where((F.size("in_uris") > 0) | (F.size("out_uris") > 0)))
 
 

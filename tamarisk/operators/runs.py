@@ -18,7 +18,8 @@ def run_tasks(runs: DataFrame, tasks: DataFrame, k: int = 10) -> DataFrame:
     """Tasks with durations (null while running) of the newest k runs of each dataset."""
     recent = newest_runs(runs, "dataset", k).select("run_key", "dataset", "run_id", "run_rank", F.col("state").alias("run_state"),
                                                     seconds_between(F.col("started_at"), F.col("ended_at")).alias("run_seconds"))
-    return recent.join(tasks, "run_key", "left").withColumn("task_seconds", seconds_between(F.col("started_at"), F.col("ended_at")))
+    out = recent.join(tasks, "run_key", "left").withColumn("task_seconds", seconds_between(F.col("started_at"), F.col("ended_at")))
+    return out.orderBy("dataset", "run_rank", "started_at", "task_no")
 
 
 def runs_of(runs: DataFrame, dataset: str) -> DataFrame:

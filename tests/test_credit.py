@@ -80,7 +80,8 @@ def test_substring_matching_lets_a_request_count_as_restructured(loans):
 
 def test_trigger_disclosure(loans):
     t = ecl.triggers(loans.withColumn("watchlist", F.lit(True))).collect()
-    assert [r["trigger"] for r in t if r["evaluated"]] == ["days past due backstop (30/90 days)", "watchlist flag"]
+    assert [(r["trigger"], r["loans"]) for r in t if r["evaluated"]] == [("days past due backstop (30/90 days)", 2), ("watchlist flag", 4)]
+    assert len(t) == 7
 
 
 def test_names_come_from_the_customer_file(spark, loans):
@@ -89,6 +90,8 @@ def test_names_come_from_the_customer_file(spark, loans):
     names = {r["id"]: r["name"] for r in top}
     assert [r["ecl"] for r in top] == sorted((r["ecl"] for r in top), reverse=True)
     assert names.get("L1", "New") == "New" and names["L2"] == "unnamed record"
+    placed = loans.withColumn("_row_pos", F.lit(7))
+    assert {r["id"]: r["name"] for r in ecl.top_loans(ecl.per_loan(placed), customers, k=3).collect()}["L2"] == "Record 7"
 
 
 def test_fitted_scorecard_rises_with_rank(spark):
