@@ -15,20 +15,23 @@ from pyspark.sql import functions as F
 from tamarisk.session import materialise
 
 BUCKET = "_range_bucket"
+KEY = "_range_key"
 
 
 def range_bucketed(df: DataFrame, keys: list[str], order: list[Column | str], buckets: int | None = None) -> DataFrame:
+    """Rows with their bucket, and the keys as one struct (so that a null key is a key like any other)."""
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialise(df.repartitionByRange(n, *keys, *order).withColumn(BUCKET, F.spark_partition_id()))
+    cut = df.repartitionByRange(n, *keys, *order).withColumn(BUCKET, F.spark_partition_id())
+    return materialise(cut.withColumn(KEY, F.struct(*keys) if keys else F.lit(0)))
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list[Column | str], totals: dict[str, Column],
                    buckets: int | None = None) -> DataFrame:
     """Adds inclusive running sums of each expression, per key, in the given order."""
     cut = range_bucketed(df, keys, order, buckets)
-    on = [*keys, BUCKET]
+    on = [KEY, BUCKET]
     per_bucket = cut.groupBy(*on).agg(*[F.sum(e).alias(n) for n, e in totals.items()])
-    earlier = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(KEY).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_bucket.select(*on, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in totals])
     inside = W.partitionBy(*on).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = cut.select("*", *[F.sum(e).over(inside).alias(f"_inside_{n}") for n, e in totals.items()])
@@ -45,10 +48,10 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list
                   prefix: str = "prev_", buckets: int | None = None) -> DataFrame:
     """Adds each value column of the previous row of the same key (null on the first row)."""
     cut = range_bucketed(df, keys, order, buckets)
-    on = [*keys, BUCKET]
+    on = [KEY, BUCKET]
     row = F.struct(*values)
     tails = cut.groupBy(*on).agg(F.max_by(row, F.struct(*order)).alias("_tail"))
-    carried = tails.select(*on, F.lag("_tail").over(W.partitionBy(*keys).orderBy(BUCKET)).alias("_carried"))
+    carried = tails.select(*on, F.lag("_tail").over(W.partitionBy(KEY).orderBy(BUCKET)).alias("_carried"))
     local = cut.withColumn("_local", F.lag(row).over(W.partitionBy(*on).orderBy(*order)))
     out = local.join(carried, on).withColumn("_prev", F.coalesce("_local", "_carried"))
     return out.select(*df.columns, *[F.col("_prev")[v].alias(prefix + v) for v in values])

@@ -33,8 +33,11 @@ def with_row_positions(scan: DataFrame) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Every cell as text, with row positions; a malformed file is an error, so is an empty one."""
-    scan = spark.read.options(header=True, mode="FAILFAST", multiLine=False, **options).csv(path)
+    """Every cell as text, with row positions; a malformed file is an error, so is an empty one.
+
+    Files with line breaks inside quoted cells need ``multiLine=True``, which gives up splitting them.
+    """
+    scan = spark.read.options(**{"header": True, "mode": "FAILFAST", "escape": '"', **options}).csv(path)
     if scan.isEmpty():
         raise ValueError(f"{path} contains no rows")
     return with_row_positions(scan)

@@ -74,6 +74,12 @@ def test_positions_follow_the_file_over_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_quoted_cells(spark, tmp_path):
+    path = write(tmp_path, "q.csv", ["id,text", '1,"a, b"', '2,"say ""hi"""', '3,"two', 'lines"'])
+    got = {r["id"]: (r["text"], r["_row_pos"]) for r in tt.read_raw(spark, path, multiLine=True).collect()}
+    assert got == {"1": ("a, b", 0), "2": ('say "hi"', 1), "3": ("two\nlines", 2)}
+
+
 def test_null_tokens_and_types(spark, tmp_path):
     lines = ["a,b,c,d,e", "1,1.5,True,x,NA", "NA,null,False,NaN,", "3,2,True,None,n/a"]
     df = tt.read_table(spark, write(tmp_path, "t.csv", lines))
