@@ -44,7 +44,7 @@ def maturity_oe_split(spark, sf):
     return mt.oe_split(view(spark, sf, "v_scores"))
 
 
-@R.query("maturity_priority", f"""SELECT entity, code, compliance_pct, priority, round(compliance_pct / greatest(top, 1), 4) AS bar_share FROM
+@R.query("maturity_priority", f"""SELECT entity, code, compliance_pct, CAST(priority AS INT) AS priority, round(compliance_pct / greatest(top, 1), 4) AS bar_share FROM
     (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY compliance_pct, list_position({[c for c, *_ in P.MATURITY_DOMAINS]!r}, code)) AS priority,
      max(compliance_pct) OVER (PARTITION BY entity) AS top FROM v_scores) WHERE priority <= 6""")
 def maturity_priority(spark, sf):
@@ -66,7 +66,7 @@ def readiness_scorecard(spark, sf):
     return mt.readiness(_card(spark, sf), ["sheet"])
 
 
-@R.query("readiness_gaps", _CARD + """ SELECT sheet, row_pos, label, current_score, target_score, round(target_score - current_score, 2) AS gap, rank FROM
+@R.query("readiness_gaps", _CARD + """ SELECT sheet, row_pos, label, current_score, target_score, round(target_score - current_score, 2) AS gap, CAST(rank AS INT) AS rank FROM
     (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY round(target_score - current_score, 2) DESC, row_pos) AS rank FROM rows) WHERE rank <= 5""")
 def readiness_gaps(spark, sf):
     return mt.top_gaps(_card(spark, sf), ["sheet"])

@@ -108,7 +108,7 @@ _CATS = lambda rel, cols: " UNION ALL ".join(
 @R.query("gold_top_categories", f"""
     WITH c AS ({_CATS('part', ['p_name', 'p_brand', 'p_type'])} UNION ALL {_CATS('(SELECT DISTINCT order_id, status, mostly_empty, priority FROM v_raw)', ['status', 'mostly_empty', 'priority'])}),
     r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank, count(*) OVER (PARTITION BY column_name) AS d FROM c)
-    SELECT column_name, value, n, rank FROM r WHERE d <= 20 AND rank <= 5""")
+    SELECT column_name, value, n, CAST(rank AS INT) AS rank FROM r WHERE d <= 20 AND rank <= 5""")
 def gold_top_categories(spark, sf):
     return prof.top_categories(raw_table(spark, sf, "parts")).unionByName(prof.top_categories(silver_of(spark, sf, "orders_raw"), probe=raw_table(spark, sf, "orders_raw")))
 

@@ -108,7 +108,7 @@ _SECONDS = lambda a, b: f"(epoch_us({b}) - epoch_us({a})) / 1000000.0::DOUBLE"
 
 
 @R.query("run_history", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY started_at DESC, run_key DESC) AS run_rank FROM v_runs)
-    SELECT r.dataset, r.run_id, run_rank, r.state AS run_state, {_SECONDS('r.started_at', 'r.ended_at')} AS run_seconds, t.task, t.task_no, t.state, {_SECONDS('t.started_at', 't.ended_at')} AS task_seconds
+    SELECT r.dataset, r.run_id, CAST(run_rank AS INT) AS run_rank, r.state AS run_state, {_SECONDS('r.started_at', 'r.ended_at')} AS run_seconds, t.task, t.task_no, t.state, {_SECONDS('t.started_at', 't.ended_at')} AS task_seconds
     FROM r LEFT JOIN v_tasks t ON t.run_key = r.run_key WHERE run_rank <= 10""")
 def run_history(spark, sf):
     out = runs.run_tasks(view(spark, sf, "v_runs"), view(spark, sf, "v_tasks"))
