@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from parity import compare, connect
+from tamarisk import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,10 +14,10 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
-    sql = entry.oracle_sql().get(name)
+    sql = catalog.oracles().get(name)
     if sql is None:
         assert len(df.collect()) > 0
     else:
@@ -25,7 +26,7 @@ def test_query(spark, con, name):
 
 def test_every_check_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"pd_model", "ecl_trained"}
+    assert set(catalog.queries()) - set(catalog.oracles()) == {"pd_model", "ecl_trained"}
 
 
 def test_entry(spark):
