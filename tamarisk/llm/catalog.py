@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarisk.llm import quality, secrets
+from tamarisk.llm import chat, mixing, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op4_source_mixing": mixing.op4_source_mixing,
+        "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
 
 def oracles() -> dict[str, str]:
     return {
+        "op4_source_mixing": mixing.OP4_SQL,
+        "op9_chat_formatting": chat.OP9_SQL,
         "op10_quality_rules": quality.OP10_SQL,
     }
