@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarisk.llm import chat, mixing, quality, secrets
+from tamarisk.llm import chat, line_dedup, mixing, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_source_mixing": mixing.op4_source_mixing,
         "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_quality_rules": quality.op10_quality_rules,
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     return {
+        "op3_line_dedup": line_dedup.OP3_SQL,
         "op4_source_mixing": mixing.OP4_SQL,
         "op9_chat_formatting": chat.OP9_SQL,
         "op10_quality_rules": quality.OP10_SQL,
