@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarisk.llm import chat, line_dedup, mixing, quality, secrets
+from tamarisk.llm import chat, line_dedup, mixing, quality, secrets, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_token_files": token_files.op2_token_files,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_source_mixing": mixing.op4_source_mixing,
         "op9_chat_formatting": chat.op9_chat_formatting,
