@@ -72,3 +72,31 @@ def entropy_spans(text: str | None, window: int, thresholds: dict, allowed: tupl
                     spans.append([i + m.start(), i + window + m.start()])
         out += spans
     return [tuple(s) for s in out]
+
+
+def simhash(text: str | None, k: int = 3) -> int:
+    import xxhash
+
+    ws = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words(text)]
+    if not ws:
+        return 0
+    shingles = [" ".join(ws[i:i + k]) for i in range(max(1, len(ws) - k + 1))]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(fps: dict[int, int], max_bits: int = 2) -> dict[int, int]:
+    """id -> smallest id reachable over links of at most max_bits, by all pairs."""
+    ids, parent = sorted(fps), {i: i for i in fps}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, a in enumerate(ids):
+        for b in ids[x + 1:]:
+            if (fps[a] ^ fps[b]).bit_count() <= max_bits:
+                ra, rb = root(a), root(b)
+                parent[max(ra, rb)] = min(ra, rb)
+    return {i: root(i) for i in ids}
