@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarisk.llm import chat, line_dedup, mixing, private_data, quality, secrets, simhash, token_files
+from tamarisk.llm import chat, decontaminate, line_dedup, mixing, private_data, quality, secrets, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": token_files.op2_token_files,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_source_mixing": mixing.op4_source_mixing,
+        "op5_decontamination": decontaminate.op5_decontamination,
         "op6_simhash_dedup": simhash.op6_simhash_dedup,
         "op7_private_data": private_data.op7_private_data,
         "op9_chat_formatting": chat.op9_chat_formatting,
