@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarisk.llm import chat, decontaminate, line_dedup, mixing, private_data, quality, secrets, simhash, token_files
+from tamarisk.llm import chat, decontaminate, line_dedup, lm_score, mixing, private_data, quality, secrets, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_simhash_dedup": simhash.op6_simhash_dedup,
         "op7_private_data": private_data.op7_private_data,
+        "op8_lm_score": lm_score.op8_lm_score,
         "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_quality_rules": quality.op10_quality_rules,
     }
