@@ -1,4 +1,12 @@
-"""The corpus pipeline: each stage's rows are written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: each stage's rows are written as Parquet and read again as the next one's input.
+
+The stages: bad lines and rejected documents go; one document of each near-duplicate group stays;
+documents that hold a benchmark item go; sources are mixed to their targets, so that rows are copies in
+training order; token files are written and read back.
+
+Rows with null, empty or wordless texts end at the first stage; a null source, repeated rows and further
+columns are kept as each operator defines it; empty tables pass through all stages.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +14,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarisk.llm import quality
-from tamarisk.session import materialise
+from tamarisk.llm import decontaminate, mixing, quality, simhash, token_files
+from tamarisk.session import materialise, scratch_path
+
+SHINGLE_WORDS = 5
+MAX_BITS = 3
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bad lines go, then documents that the rules reject."""
     return quality.clean(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs, SHINGLE_WORDS, MAX_BITS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def binary_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every trained copy, read back from the token files."""
+    path = scratch_path(spark, "tokens")
+    token_files.write(docs, path, token_files.public_vocabulary())
+    return token_files.read(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+    ("binary_tokens", binary_tokens),
 ]
-ORACLE_SQL = None
+ORACLE_SQL = None  # fingerprints, edit-distance windows and a public vocabulary are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
