@@ -28,6 +28,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamarisk.llm.base import SPACE_BYTES, over_rows, table
 from tamarisk.session import materialise
@@ -252,7 +253,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     hashes = materialise(line_hashes(docs))
     drops = lines_to_drop(hashes).groupBy(F.col("doc_id").alias("_d_id")).agg(F.collect_set("drop").alias("_d_drop"))
     joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_d_id")), "left").drop("_d_id")
-    schema = joined.drop("_d_drop").schema.add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
+    schema = T.StructType([*docs.schema.fields, *T.StructType().add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamarisk.llm.base import over_rows, table, worker_object
 
@@ -250,7 +251,8 @@ def span_text(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """Adds ``private``: spans (kind, start, end) by kind and start; a column of that name is replaced."""
     docs = docs.drop("private")
-    schema = docs.schema.add("private", "array<struct<kind:string,start:int,end:int>>")
+    span = T.StructType().add("kind", "string").add("start", "integer").add("end", "integer")
+    schema = T.StructType([*docs.schema.fields, T.StructField("private", T.ArrayType(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
