@@ -10,6 +10,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tamarisk.functions.ordered import numbered
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -235,6 +238,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark_sql(spark, sf_dir, f"SELECT * FROM {name}")
 
 
+def placed(ordered: DataFrame) -> DataFrame:
+    """Adds each row's place in an ordered result, so that a check of values also checks the order."""
+    return numbered(ordered.withColumn("_at", F.monotonically_increasing_id()), [], ["_at"], "place").drop("_at")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

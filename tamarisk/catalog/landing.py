@@ -256,9 +256,9 @@ _CELLS_DUCK = """cells AS (SELECT doc_id AS file, i - 1 AS row_pos, string_split
     FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))"""
 _HEAD_DUCK = f"""WITH {_CELLS_DUCK},
     n AS (SELECT file, row_pos, cells, len(cells) AS w, len(list_filter(cells, lambda c: trim(c) <> '')) AS named FROM cells),
-    x AS (SELECT file, max(w) AS width FROM n GROUP BY 1),
+    x AS (SELECT file, max(w) AS width, max(row_pos) FILTER (WHERE named > 0) AS last FROM n GROUP BY 1),
     h AS (SELECT n.file, n.row_pos AS header_row, x.width, x.width - n.named AS unnamed, n.cells AS header FROM n JOIN x ON n.file = x.file
-          WHERE row_pos < 5 AND named > 0 QUALIFY row_number() OVER (PARTITION BY n.file ORDER BY x.width - n.named, n.row_pos) = 1)"""
+          WHERE row_pos < 5 AND named > 0 AND row_pos < last QUALIFY row_number() OVER (PARTITION BY n.file ORDER BY x.width - n.named, n.row_pos) = 1)"""
 
 
 def _cells(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tamarisk.catalog.base import Registry, view
+from tamarisk.catalog.base import Registry, placed, spark_sql, view
 from tamarisk.operators import dedup, golden
 from tamarisk.plans import people as plan
 
@@ -88,7 +88,6 @@ _CHOICES = """SELECT cluster_id + CASE WHEN tier = 'needs_review' THEN 0 ELSE 10
 
 
 def _decided(spark, sf):
-    from tamarisk.catalog.base import spark_sql
     return dedup.decide(view(spark, sf, "v_decisions"), spark_sql(spark, sf, _CHOICES))
 
 
@@ -118,7 +117,7 @@ def dup_queue(spark, sf):
 @R.query("dup_audit", """SELECT dataset, cluster_id, status, decided_by, strftime(decided_at, '%Y-%m-%d') AS decided_on
     FROM v_decisions WHERE status <> 'pending' ORDER BY decided_at DESC, cluster_id DESC LIMIT 200""")
 def dup_audit(spark, sf):
-    return dedup.audit(view(spark, sf, "v_decisions")).select("dataset", "cluster_id", "status", "decided_by", F.date_format("decided_at", "yyyy-MM-dd").alias("decided_on"))
+    return dedup.audit(view(spark, sf, "v_decisions"), limit=200).select("dataset", "cluster_id", "status", "decided_by", F.date_format("decided_at", "yyyy-MM-dd").alias("decided_on"))
 
 
 @R.query("dup_audit_stats", """
@@ -185,9 +184,9 @@ def golden_contributions(spark, sf):
 @R.query("golden_listing", _GOLDEN + """
     SELECT g.dataset, g.cluster_id, g.base_row_id, d.tier, d.size, d.decided_by FROM golden g
     LEFT JOIN v_decisions d ON g.dataset = d.dataset AND g.cluster_id = d.cluster_id
-    ORDER BY d.decided_at DESC NULLS LAST, g.cluster_id DESC LIMIT 200""")
+    ORDER BY d.decided_at DESC NULLS LAST, g.cluster_id DESC LIMIT 20""")
 def golden_listing(spark, sf):
-    out = golden.listing(golden_records_of(spark, sf), view(spark, sf, "v_decisions"))
+    out = golden.listing(golden_records_of(spark, sf), view(spark, sf, "v_decisions"), limit=20)
     return out.select("dataset", "cluster_id", "base_row_id", "tier", "size", "decided_by")
 
 
@@ -227,12 +226,14 @@ def confirm_and_merge_errors(spark, sf):
     return _confirmed_and_merged(spark, sf).errors
 
 
-@R.query("dup_refreshed_queue", _CLUSTERS + f""", {_OLD}, os AS (SELECT dataset, cluster_id, list_sort(list(DISTINCT row_id)) AS ids FROM old GROUP BY 1, 2),
-    ns AS (SELECT dataset, DOB AS dob, list_sort(list(DISTINCT CUST_ID)) AS ids FROM v_customers WHERE DOB <> '' GROUP BY 1, 2 HAVING count(*) > 1)
-    SELECT dataset, dob, size, tier, status FROM v_decisions WHERE status <> 'pending'
-    UNION ALL SELECT c.dataset, c.dob, CAST(c.size AS BIGINT), c.tier, 'pending' FROM clusters c JOIN ns ON ns.dataset = c.dataset AND ns.dob = c.dob
-      WHERE NOT EXISTS (SELECT 1 FROM os WHERE os.dataset = ns.dataset AND os.ids = ns.ids)""")
-def dup_refreshed_queue(spark, sf):
+_REFRESHED = _CLUSTERS + f""", {_OLD}, os AS (SELECT dataset, cluster_id, list_sort(list(DISTINCT row_id)) AS ids FROM old GROUP BY 1, 2),
+    ns AS (SELECT dataset, DOB AS dob, list_sort(list(DISTINCT CUST_ID)) AS ids FROM v_customers WHERE DOB <> '' GROUP BY 1, 2 HAVING count(*) > 1),
+    queue AS (SELECT dataset, dob, size, tier, status, NULL::DOUBLE AS min_name_similarity, NULL::BIGINT AS cluster_index, decided_by FROM v_decisions WHERE status <> 'pending'
+    UNION ALL SELECT c.dataset, c.dob, CAST(c.size AS BIGINT), c.tier, 'pending', c.min_name_similarity, row_number() OVER (PARTITION BY c.dataset ORDER BY c.cluster_index) - 1, NULL
+      FROM clusters c WHERE (c.dataset, c.dob) IN (SELECT (dataset, dob) FROM ns WHERE NOT EXISTS (SELECT 1 FROM os WHERE os.dataset = ns.dataset AND os.ids = ns.ids)))"""
+
+
+def _refreshed(spark, sf):
     """Whole review cycle: detect, suppress decided member sets, replace the pending queue."""
     decisions = view(spark, sf, "v_decisions")
     decided = decisions.where("status <> 'pending'").select("dataset", "cluster_id")
@@ -240,6 +241,62 @@ def dup_refreshed_queue(spark, sf):
     return plan.refresh_queue(_rows(spark, sf), decisions, old)
 
 
+@R.query("dup_refreshed_queue", _REFRESHED + " SELECT * FROM queue")
+def dup_refreshed_queue(spark, sf):
+    return _refreshed(spark, sf).drop("decided_at")
+
+
+@R.query("dup_pending_ordered", _REFRESHED + " SELECT dataset, dob, cluster_index, row_number() OVER (ORDER BY dataset, cluster_index) AS place FROM queue WHERE status = 'pending'")
+def dup_pending_ordered(spark, sf):
+    """The pending list with each row's place in it."""
+    return placed(dedup.pending(_refreshed(spark, sf)).select("dataset", "dob", "cluster_index"))
+
+
+# Three members of every cluster name their row twice, and two rows share each id of the second data set.
+_REPEATED = "SELECT *, CASE WHEN dataset = 'ds_b' THEN concat('R', row_pos // 2) ELSE CUST_ID END AS row_id FROM v_customers"
+_REPEATED_MEMBERS = f"""SELECT m.dataset, m.cluster_id, r.row_id FROM v_members m JOIN ({_REPEATED}) r ON m.dataset = r.dataset AND m.row_id = r.CUST_ID
+    UNION ALL SELECT m.dataset, m.cluster_id, r.row_id FROM v_members m JOIN ({_REPEATED}) r ON m.dataset = r.dataset AND m.row_id = r.CUST_ID WHERE m.row_pos % 3 = 0"""
+
+
+@R.query("golden_repeated_ids", f"""
+    WITH r AS ({_REPEATED}), i AS ({_REPEATED_MEMBERS}), c AS (SELECT DISTINCT dataset, cluster_id FROM i)
+    SELECT c.dataset, c.cluster_id, (SELECT count(*) FROM r WHERE r.dataset = c.dataset AND r.row_id IN (SELECT row_id FROM i WHERE i.dataset = c.dataset AND i.cluster_id = c.cluster_id)) AS source_rows FROM c""")
+def golden_repeated_ids(spark, sf):
+    rows = spark_sql(spark, sf, _REPEATED.replace("row_pos // 2", "row_pos div 2"))
+    ids = spark_sql(spark, sf, _REPEATED_MEMBERS.replace("row_pos // 2", "row_pos div 2"))
+    return golden.merge(rows, ids, FIELDS).select("dataset", "cluster_id", "source_rows")
+
+
+# Of each pending cluster: a valid choice, then an invalid one; some confirm, some name no cluster.
+_MIXED = """SELECT cluster_id, CASE WHEN cluster_id % 3 = 0 THEN 'confirmed_duplicate' ELSE 'not_duplicate' END AS choice, 'first' AS actor, TIMESTAMP '2026-09-02 00:00:00' AS at FROM v_decisions WHERE status = 'pending'
+    UNION ALL SELECT cluster_id, 'perhaps', 'second', TIMESTAMP '2026-09-03 00:00:00' FROM v_decisions WHERE status = 'pending'
+    UNION ALL SELECT cluster_id, CAST(NULL AS STRING), 'third', TIMESTAMP '2026-09-04 00:00:00' FROM v_decisions WHERE status = 'pending' AND size > 2
+    UNION ALL SELECT -1 - cluster_id, 'not_duplicate', 'fourth', TIMESTAMP '2026-09-05 00:00:00' FROM v_decisions WHERE status = 'pending'"""
+
+
+@R.query("dup_decide_mixed", f"""
+    WITH c AS ({_MIXED}), bad AS (SELECT cluster_id FROM c WHERE choice IS NULL OR choice = 'perhaps' OR cluster_id NOT IN (SELECT cluster_id FROM v_decisions))
+    SELECT status, decided_by, count(*) AS clusters FROM (SELECT CASE WHEN status <> 'pending' THEN status WHEN cluster_id % 3 = 0 THEN 'confirmed_duplicate' ELSE 'not_duplicate' END AS status,
+      CASE WHEN status = 'pending' THEN 'first' ELSE decided_by END AS decided_by FROM v_decisions) GROUP BY 1, 2
+    UNION ALL SELECT 'refused', NULL, count(*) FROM bad""")
+def dup_decide_mixed(spark, sf):
+    updated, refused = dedup.decide(view(spark, sf, "v_decisions"), spark_sql(spark, sf, _MIXED))
+    return updated.groupBy("status", "decided_by").agg(F.count("*").alias("clusters")).unionByName(
+        refused.agg(F.lit("refused").alias("status"), F.lit(None).cast("string").alias("decided_by"), F.count("*").alias("clusters")))
+
+
+@R.query("decide_and_merge", f"""
+    WITH c AS ({_MIXED}), d AS (SELECT dataset, cluster_id, status = 'confirmed_duplicate' AS old, status = 'confirmed_duplicate' OR (status = 'pending' AND cluster_id % 3 = 0) AS confirmed FROM v_decisions),
+    left_rows AS (SELECT dataset, cluster_id FROM v_members WHERE NOT row_id LIKE 'C%')
+    SELECT dataset, cluster_id, 'golden' AS outcome FROM d WHERE old OR (confirmed AND EXISTS (SELECT 1 FROM left_rows l WHERE l.dataset = d.dataset AND l.cluster_id = d.cluster_id))
+    UNION ALL SELECT dataset, cluster_id, 'error' FROM d WHERE confirmed AND NOT old AND NOT EXISTS (SELECT 1 FROM left_rows l WHERE l.dataset = d.dataset AND l.cluster_id = d.cluster_id)""")
+def decide_and_merge(spark, sf):
+    """Choices applied and merged; customer rows have left Silver, so some merges fail and their decisions stand."""
+    rows = view(spark, sf, "v_customers").withColumn("row_id", F.col("CUST_ID")).where("CUST_ID NOT LIKE 'C%'")
+    out, _ = plan.decide_and_merge(rows, view(spark, sf, "v_members"), view(spark, sf, "v_decisions"), spark_sql(spark, sf, _MIXED), golden_records_of(spark, sf), FIELDS)
+    return out.golden.select("dataset", "cluster_id", F.lit("golden").alias("outcome")).unionByName(out.errors.select("dataset", "cluster_id", F.lit("error").alias("outcome")))
+
+
 @R.query("golden_json", _GOLDEN + " SELECT dataset, cluster_id, FULL_NAME AS full_name, src_EMAIL AS email_source FROM golden")
 def golden_json(spark, sf):
     """Maps written as JSON text and read back."""

@@ -31,10 +31,13 @@ def dpd_stage(dpd: Column) -> Column:
 def total(x: Column) -> Column:
     """Sum in whole millionths: exact, so it does not depend on the order of addition.
 
-    Millionths of one loan fit a long (an amount beyond 10^12 is an error, not a wrong
-    sum), which keeps the per-row work off arbitrary-precision arithmetic.
+    Millionths of most loans fit a long, which keeps the per-row work off arbitrary-precision
+    arithmetic. From 10^12 on a double has no millionths left to round: such amounts are whole
+    numbers of millionths as they are, and are summed apart.
     """
-    return F.sum(F.floor(x * 1e6 + 0.5).cast("decimal(18,0)"))
+    large = F.abs(x) >= 1e12
+    small = F.sum(F.when(large, F.lit(0)).otherwise(F.floor(x * 1e6 + 0.5)).cast("decimal(18,0)"))
+    return small + F.coalesce(F.sum(F.when(large, (x * 1e6).cast("decimal(32,0)"))), F.lit(0))
 
 
 def amount(total_millionths: Column, places: int = 2) -> Column:

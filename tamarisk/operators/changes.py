@@ -6,6 +6,8 @@ change sets are broadcast by the adaptive planner) and first reduces them to one
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,35 +15,58 @@ from tamarisk import params as P
 from tamarisk.functions.text import clean_text
 
 
-def latest(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last change of each key (map-side combine, so a hot key costs nothing)."""
+NO_KEY, TAKEN = "the key is missing", "the key is taken"
+
+
+def keyed(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Changes that name a whole key; a change without one can neither match nor be matched."""
+    return changes.dropna(subset=keys)
+
+
+def without_key(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The other changes, with the reason why they are refused."""
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    return changes.where(missing).withColumn("reason", F.lit(NO_KEY))
+
+
+def _one_of_each(changes: DataFrame, keys: list[str], order: str, pick, settle) -> DataFrame:
+    """One change of each key. The order's extreme is a number that combines in hash maps before the
+    shuffle; the changes that reach it are then few, and of several the settled value counts."""
     rest = [c for c in changes.columns if c not in keys]
-    one = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_c"))
-    return one.select(*keys, "_c.*")
+    named = keyed(changes, keys)
+    ends = named.groupBy(*keys).agg(pick(order).alias("_end"))
+    at_end = named.join(ends, keys).where(F.col(order).eqNullSafe(F.col("_end")))
+    one = at_end.groupBy(*keys).agg(settle(F.collect_set(F.struct(*rest))).alias("_c"))
+    return one.select(*keys, "_c.*").select(*changes.columns)
+
+
+def latest(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The last change of each key; of several last ones the greatest."""
+    return _one_of_each(changes, keys, order, F.max, F.array_max)
 
 
 def first(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    rest = [c for c in changes.columns if c not in keys]
-    one = changes.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_c"))
-    return one.select(*keys, "_c.*")
+    """The first change of each key; of several first ones the smallest."""
+    return _one_of_each(changes, keys, order, F.min, F.array_min)
 
 
 def upsert_by_key(base: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The table with each key's last change in place; changes without a key are left out (see ``without_key``)."""
     new = latest(changes, keys, order).select(*base.columns)
     return base.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
 def insert_new(base: DataFrame, changes: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
-    """(table with the new keys added, changes rejected because the key was taken)."""
+    """(table with the new keys added, every change not added and why)."""
     fresh = first(changes, keys, order).join(base.select(*keys), keys, "left_anti")
     accepted = base.unionByName(fresh.select(*base.columns))
-    rejected = changes.join(fresh.select(*keys, order), [*keys, order], "left_anti")
-    return accepted, rejected
+    taken = keyed(changes, keys).exceptAll(fresh).withColumn("reason", F.lit(TAKEN))
+    return accepted, taken.unionByName(without_key(changes, keys))
 
 
 def update_existing(base: DataFrame, changes: DataFrame, keys: list[str], columns: list[str], order: str) -> tuple[DataFrame, DataFrame]:
-    """(table with the listed columns changed where given, changes of unknown keys)."""
-    last = changes.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_new_{c}") for c in columns])
+    """(table with the listed columns changed where given, changes of unknown or missing keys)."""
+    last = changes.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(f"_new_{c}") for c in columns])
     joined = base.join(last, keys, "left")
     for c in columns:
         joined = joined.withColumn(c, F.coalesce(f"_new_{c}", c))

@@ -101,10 +101,21 @@ def unseen(clusters: DataFrame, rows: DataFrame, decided_members: DataFrame) ->
     return clusters.join(same.select(*BLOCK), BLOCK, "left_anti")
 
 
+EVIDENCE = {"min_name_similarity": "double", "cluster_index": "bigint", "decided_by": "string", "decided_at": "timestamp"}
+
+
 def refreshed_queue(decisions: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Decided clusters stay; the old pending ones are replaced by the fresh findings."""
-    kept = decisions.where("status <> 'pending'").select("dataset", "dob", "size", "tier", "status")
-    return kept.unionByName(fresh.select("dataset", "dob", "size", "tier", F.lit("pending").alias("status")))
+    """Decided clusters stay; the old pending ones are replaced by the fresh findings, renumbered without those suppressed."""
+    facts = ["dataset", "dob", "size", "tier", "status"]
+    shaped = lambda df: df.select(*facts, *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in EVIDENCE.items()])
+    if "cluster_index" in fresh.columns:
+        fresh = numbered(fresh, ["dataset"], ["cluster_index", "dob"], "_n").withColumn("cluster_index", F.col("_n") - 1).drop("_n")
+    return shaped(decisions.where("status <> 'pending'")).unionByName(shaped(fresh.withColumn("status", F.lit("pending"))))
+
+
+def pending(queue: DataFrame) -> DataFrame:
+    """The clusters to review, in the order of their index."""
+    return queue.where("status = 'pending'").orderBy("dataset", F.asc_nulls_last("cluster_index"))
 
 
 # ---- decisions -----------------------------------------------------------------------
@@ -131,16 +142,21 @@ def confirm_target(decisions: DataFrame) -> str:
 
 
 def decide(decisions: DataFrame, choices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Applies (cluster_id, choice, actor, at) rows; invalid or unknown ones come back with a reason."""
-    last = choices.groupBy("cluster_id").agg(F.max_by(F.struct("choice", "actor", "at"), "at").alias("c")).select("cluster_id", "c.*")
-    valid = last.where(F.col("choice").isin("confirmed_duplicate", "not_duplicate"))
+    """Applies (cluster_id, choice, actor, at) rows; every invalid or unknown one comes back with a reason.
+
+    A cluster's last valid choice counts (of equal times the greatest); a refused one changes nothing.
+    """
+    allowed = F.coalesce(F.col("choice").isin("confirmed_duplicate", "not_duplicate"), F.lit(False))
+    order = F.struct(F.coalesce("at", F.lit("0001-01-01").cast("timestamp")), "choice", "actor")
+    valid = (choices.where(allowed).groupBy("cluster_id").agg(F.max(F.struct(order.alias("o"), "choice", "actor", "at")).alias("c"))
+             .select("cluster_id", "c.choice", "c.actor", "c.at"))
     updated = (decisions.join(valid, "cluster_id", "left")
                .withColumn("status", F.coalesce("choice", "status"))
                .withColumn("decided_by", F.coalesce("actor", "decided_by"))
                .withColumn("decided_at", F.coalesce("at", "decided_at")).drop("choice", "actor", "at"))
-    unknown = valid.join(decisions, "cluster_id", "left_anti").withColumn("reason", F.lit("unknown cluster"))
-    invalid = last.where(~F.coalesce(F.col("choice").isin("confirmed_duplicate", "not_duplicate"), F.lit(False))).withColumn("reason", F.lit("invalid status"))
-    return updated, unknown.unionByName(invalid)
+    given = choices.select("cluster_id", "choice", "actor", "at")
+    unknown = given.where(allowed).join(decisions, "cluster_id", "left_anti").withColumn("reason", F.lit("unknown cluster"))
+    return updated, unknown.unionByName(given.where(~allowed).withColumn("reason", F.lit("invalid status")))
 
 
 def queue(decisions: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -148,8 +164,10 @@ def queue(decisions: DataFrame, datasets: DataFrame) -> DataFrame:
     return decisions.join(datasets.select("dataset"), "dataset", "left_semi").withColumn("pending", F.col("status") == "pending")
 
 
-def audit(decisions: DataFrame, limit: int = 200) -> DataFrame:
-    return decisions.where("status <> 'pending'").orderBy(F.desc("decided_at"), F.desc("cluster_id")).limit(limit)
+def audit(decisions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Decided clusters, newest first; a page of them where a limit is given."""
+    out = decisions.where("status <> 'pending'").orderBy(F.desc("decided_at"), F.desc("cluster_id"))
+    return out if limit is None else out.limit(limit)
 
 
 def audit_statistics(decisions: DataFrame) -> DataFrame:

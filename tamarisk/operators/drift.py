@@ -26,28 +26,33 @@ def shifted(df: DataFrame, feature: str, is_reference: Column, multiplier: float
     return df.withColumn(feature, F.when(is_reference, F.col(feature)).otherwise(F.col(feature) * multiplier + offset))
 
 
-def value_counts(df: DataFrame, features: list[str], is_reference: Column, kind: str) -> DataFrame:
-    """(feature, value, n_reference, n_current): one pass over the rows, combined map-side."""
+def value_counts(df: DataFrame, features: list[str], is_reference: Column, kind: str, weight: Column | None = None) -> DataFrame:
+    """(feature, value, n_reference, n_current): one pass over the rows, combined map-side.
+
+    ``weight``: how many observations a row stands for, when the rows are counts already.
+    """
     entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast(kind).alias("value")) for f in features])
-    long = df.select(is_reference.alias("_ref"), F.explode(entries).alias("e")).where(F.col("e.value").isNotNull())
-    return long.groupBy("e.feature", "e.value").agg(F.count_if("_ref").alias("n_reference"), F.count_if(~F.col("_ref")).alias("n_current"))
+    times = F.lit(1) if weight is None else weight
+    long = df.select(is_reference.alias("_ref"), times.cast("long").alias("_n"), F.explode(entries).alias("e")).where(F.col("e.value").isNotNull())
+    count = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("_n"))), F.lit(0))
+    return long.groupBy("e.feature", "e.value").agg(count(F.col("_ref")).alias("n_reference"), count(~F.col("_ref")).alias("n_current"))
 
 
 def kolmogorov_p(statistic: Column, n: Column, m: Column) -> Column:
     """Asymptotic two-sided p-value of the two-sample statistic."""
-    x = F.sqrt(n * m / (n + m)) * statistic
+    x = F.sqrt(n.cast("double") * m / (n + m)) * statistic  # the product of two counts is beyond a long
     series = F.aggregate(F.sequence(F.lit(1), F.lit(SERIES_TERMS)), F.lit(0.0),
                          lambda acc, k: acc + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x * x))
     return F.when(x < 0.04, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 
-def numeric_drift(df: DataFrame, features: list[str], is_reference: Column) -> DataFrame:
+def numeric_drift(df: DataFrame, features: list[str], is_reference: Column, weight: Column | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test per numeric feature.
 
     The distribution functions are running totals over distinct values, range-partitioned
     so that neither a feature nor a stretch of its values has to fit one task.
     """
-    counts = value_counts(df, features, is_reference, "double")
+    counts = value_counts(df, features, is_reference, "double", weight)
     run = running_totals(counts, ["feature"], ["value"], {"c_reference": F.col("n_reference"), "c_current": F.col("n_current")})
     # the last running total is the size, so the rows themselves are read only once
     sizes = run.groupBy("feature").agg(F.max("c_reference").alias("n"), F.max("c_current").alias("m"))
@@ -79,15 +84,15 @@ def chi_square_p(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([tail(float(x), int(k)) if x == x else None for x, k in zip(statistic, dof)], dtype="float64")
 
 
-def categorical_drift(df: DataFrame, features: list[str], is_reference: Column) -> DataFrame:
+def categorical_drift(df: DataFrame, features: list[str], is_reference: Column, weight: Column | None = None) -> DataFrame:
     """Chi-square test of homogeneity per category feature, from the table of counts."""
-    counts = value_counts(df, features, is_reference, "string")
+    counts = value_counts(df, features, is_reference, "string", weight)
     sizes = counts.groupBy("feature").agg(F.sum("n_reference").alias("n"), F.sum("n_current").alias("m"), F.count("*").alias("values"))
     both = counts.join(F.broadcast(sizes), "feature")
     all_rows, of_value = F.col("n") + F.col("m"), F.col("n_reference") + F.col("n_current")
 
     def part(observed: str, size: str) -> Column:
-        expected = of_value * F.col(size) / all_rows
+        expected = of_value.cast("double") * F.col(size) / all_rows
         return F.when(expected > 0, F.pow(F.col(observed) - expected, F.lit(2.0)) / expected).otherwise(0.0)
 
     cell = F.round(part("n_reference", "n") + part("n_current", "m"), 10).cast("decimal(30,10)")

@@ -12,17 +12,28 @@ def merge(rows: DataFrame, members: DataFrame, data_columns: list[str]) -> DataF
     """One golden record per cluster.
 
     The base is the row with most values (first on a tie); a field it lacks is taken from
-    the first other row that has it. Both are order statistics, so a single partial
-    aggregate per cluster suffices: the base row as a whole, and the first non-null value
-    of each field. When the base lacks a field, that first value is by definition another
-    row's.
+    the first other row that has it. A member id names every row that carries it, once.
+
+    Where those rows are is a minimum of numbers per cluster, which combines in hash maps
+    before the shuffle, however large a cluster is. Only the rows found (one for the base and
+    one for each field at most) are read again with their texts. When the base lacks a field,
+    the first value is by definition another row's.
     """
-    filled = sum((F.col(c).isNotNull().cast("int") for c in data_columns), F.lit(0))
-    joined = rows.join(members.select("dataset", "cluster_id", "row_id"), ["dataset", "row_id"])
-    firsts = [F.min_by(F.struct(F.col(c).alias("v"), F.col("row_id").alias("r")), F.when(F.col(c).isNotNull(), F.col("row_pos"))).alias(f"_first_{c}")
-              for c in data_columns]
-    base = F.min_by(F.struct("row_id", *data_columns), F.struct((-filled).alias("gaps"), F.col("row_pos"))).alias("_base")
-    agg = joined.groupBy("dataset", "cluster_id").agg(F.count("*").alias("source_rows"), base, *firsts)
+    filled = sum((F.col(c).isNotNull().cast("long") for c in data_columns), F.lit(0).cast("long"))
+    ids = members.select("dataset", "cluster_id", "row_id").distinct()
+    joined = rows.select("dataset", "row_id", "row_pos", *data_columns).join(ids, ["dataset", "row_id"])
+    firsts = [F.min(F.when(F.col(c).isNotNull(), F.col("row_pos"))).alias(f"_at{i}") for i, c in enumerate(data_columns)]
+    most = [F.min(F.when(filled == n, F.col("row_pos"))).alias(f"_with{n}") for n in range(len(data_columns) + 1)]
+    places = joined.groupBy("dataset", "cluster_id").agg(F.count("*").alias("source_rows"), *firsts, *most)
+    base_at = F.coalesce(*[F.col(f"_with{n}") for n in range(len(data_columns), -1, -1)])
+    places = places.select("dataset", "cluster_id", "source_rows", base_at.alias("_base_at"), *[f"_at{i}" for i in range(len(data_columns))])
+    wanted = F.array_contains(F.array_compact(F.array("_base_at", *[f"_at{i}" for i in range(len(data_columns))])), F.col("row_pos"))
+    found = joined.join(places, ["dataset", "cluster_id"]).where(wanted)
+    only = lambda hit, value: F.get(F.array_sort(F.collect_list(F.when(hit, value))), F.lit(0))
+    base = only(F.col("row_pos") == F.col("_base_at"), F.struct("row_id", *data_columns)).alias("_base")
+    firsts = [only(F.col("row_pos") == F.col(f"_at{i}"), F.struct(F.col(c).alias("v"), F.col("row_id").alias("r"))).alias(f"_first_{c}")
+              for i, c in enumerate(data_columns)]
+    agg = found.groupBy("dataset", "cluster_id", "source_rows").agg(base, *firsts)
     out = [F.col("_base.row_id").alias("base_row_id")]
     for c in data_columns:
         own = F.col("_base")[c]
@@ -68,10 +79,11 @@ def contributions(registry: DataFrame, field: str) -> DataFrame:
     return registry.where(value.isNotNull()).select("dataset", "cluster_id", F.try_element_at("field_sources", F.lit(field)).alias("source_row_id"))
 
 
-def listing(golden: DataFrame, decisions: DataFrame, dataset: str | None = None, limit: int = 200) -> DataFrame:
-    """Newest golden records with their cluster's evidence."""
+def listing(golden: DataFrame, decisions: DataFrame, dataset: str | None = None, limit: int | None = None) -> DataFrame:
+    """Golden records with their cluster's evidence, newest first; a page of them where a limit is given."""
     facts = decisions.select("dataset", "cluster_id", "tier", "size", "status", "decided_by", "decided_at")
     out = golden.join(facts, ["dataset", "cluster_id"], "left")
     if dataset:
         out = out.where(F.col("dataset") == dataset)
-    return out.orderBy(F.desc_nulls_last("decided_at"), F.desc("cluster_id")).limit(limit)
+    out = out.orderBy(F.desc_nulls_last("decided_at"), F.desc("cluster_id"))
+    return out if limit is None else out.limit(limit)

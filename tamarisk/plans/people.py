@@ -31,7 +31,19 @@ def confirm_and_merge(rows: DataFrame, members: DataFrame, decisions: DataFrame,
     All clusters merge in one job. A cluster whose rows are gone is reported; its
     confirmation stands.
     """
-    confirmed = dedup.bulk_confirm(decisions, decided_by, decided_at, tier, dataset)
-    wanted = materialise(golden.pending_merges(confirmed, existing).select("dataset", "cluster_id"))
+    return _merged(rows, members, dedup.bulk_confirm(decisions, decided_by, decided_at, tier, dataset), existing, data_columns)
+
+
+def decide_and_merge(rows: DataFrame, members: DataFrame, decisions: DataFrame, choices: DataFrame, existing: DataFrame, data_columns: list[str]) -> tuple[Merged, DataFrame]:
+    """Applies the choices; a confirmed cluster merges at once. Also gives the choices refused.
+
+    A cluster whose rows are gone is reported among the merge errors; its decision stands.
+    """
+    decided, refused = dedup.decide(decisions, choices)
+    return _merged(rows, members, decided, existing, data_columns), refused
+
+
+def _merged(rows: DataFrame, members: DataFrame, decided: DataFrame, existing: DataFrame, data_columns: list[str]) -> Merged:
+    wanted = materialise(golden.pending_merges(decided, existing).select("dataset", "cluster_id"))
     made = materialise(golden.merge(rows, members.join(wanted, ["dataset", "cluster_id"], "left_semi"), data_columns))
-    return Merged(confirmed, existing.unionByName(made.select(*existing.columns)), golden.merge_errors(wanted, made))
+    return Merged(decided, existing.unionByName(made.select(*existing.columns)), golden.merge_errors(wanted, made))

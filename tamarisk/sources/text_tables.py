@@ -13,7 +13,6 @@ from tamarisk.functions.ordered import running_totals
 from tamarisk.session import materialise
 
 POSITION = "_row_pos"
-MAX_BROADCAST_SPLITS = 200_000
 
 
 def with_row_positions(scan: DataFrame) -> DataFrame:
@@ -27,8 +26,8 @@ def with_row_positions(scan: DataFrame) -> DataFrame:
     splits = tagged.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     upto = running_totals(splits, [], ["_file", "_block"], {"_upto": F.col("_n")})
     starts = materialise(upto.select("_file", "_block", (F.col("_upto") - F.col("_n") - F.col("_first")).alias("_shift")))
-    # one row per split: broadcast while few, so that the rows themselves are not shuffled
-    out = tagged.join(F.broadcast(starts) if starts.count() <= MAX_BROADCAST_SPLITS else starts, ["_file", "_block"])
+    # one row per split, in a written copy whose size the planner knows
+    out = tagged.join(starts, ["_file", "_block"])
     return out.select(*scan.columns, (F.col("_id") + F.col("_shift")).alias(POSITION))
 
 
@@ -54,11 +53,22 @@ def normalise_nulls(df: DataFrame, keep: tuple[str, ...] = (POSITION,)) -> DataF
 
 
 # Shapes of text a type can read. Matching beats trying casts: a failed cast costs an exception per cell.
+# Blanks around a number belong to it. A whole number of 19 digits may or may not fit a long.
 SHAPES = {
-    "bigint": r"^[+-]?[0-9]{1,18}$",
-    "double": r"^[+-]?([0-9]{1,18}|[0-9]+\.[0-9]*|\.[0-9]+|[0-9]+(\.[0-9]*)?[eE][+-]?[0-9]{1,3}|[iI]nf|[iI]nfinity)$",
+    "bigint": r"^\s*[+-]?[0-9]{1,18}\s*$",
+    "double": r"^\s*[+-]?([0-9]{1,18}|[0-9]+\.[0-9]*|\.[0-9]+|[0-9]+(\.[0-9]*)?[eE][+-]?[0-9]{1,3}|[iI]nf|[iI]nfinity)\s*$",
     "boolean": r"^(true|false|True|False|TRUE|FALSE)$",
 }
+_LONG_WHOLE = r"^\s*[+-]?0*[0-9]{19}\s*$"
+
+
+def has_shape(c: str, kind: str) -> Column:
+    hit = F.rlike(c, F.lit(SHAPES[kind]))
+    if kind == "boolean":
+        return hit
+    long_whole = F.rlike(c, F.lit(_LONG_WHOLE))
+    fits = F.when(long_whole, F.col(c).try_cast("bigint").isNotNull()).otherwise(F.lit(False))
+    return hit | (fits if kind == "bigint" else long_whole)
 
 
 def infer_types(df: DataFrame, keep: tuple[str, ...] = (POSITION,)) -> dict[str, str]:
@@ -68,7 +78,7 @@ def infer_types(df: DataFrame, keep: tuple[str, ...] = (POSITION,)) -> dict[str,
         return {}
     exprs = [F.count(c).alias(f"n{i}") for i, c in enumerate(text)]
     for i, c in enumerate(text):
-        exprs += [F.count_if(F.rlike(c, F.lit(shape))).alias(f"{kind}{i}") for kind, shape in SHAPES.items()]
+        exprs += [F.count_if(has_shape(c, kind)).alias(f"{kind}{i}") for kind in SHAPES]
     seen = df.agg(*exprs).first()
     pick = lambda i: next((k for k in SHAPES if seen[f"n{i}"] and seen[f"{k}{i}"] == seen[f"n{i}"]), "string")
     return {c: pick(i) for i, c in enumerate(text)}
@@ -84,14 +94,24 @@ def read_table(spark: SparkSession, path: str, types: dict[str, str] | None = No
     return typed(normalise_nulls(read_raw(spark, path, **options)), types)
 
 
+WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def common_type(names: set[str]) -> str:
+    """The narrowest type that holds the values of all; text when they are not all numbers."""
+    if names <= set(WHOLE_NUMBERS):
+        return max(names, key=WHOLE_NUMBERS.index)
+    return "double" if names <= {*WHOLE_NUMBERS, "float", "double"} else "string"
+
+
 def union_parts(*parts: DataFrame) -> DataFrame:
-    """Union by name; a column whose type differs between parts becomes text, absent ones null."""
+    """Union by name; numbers of different types widen, other mixed types become text, absent columns null."""
     types: dict[str, set] = {}
     for p in parts:
         for f in p.schema:
             types.setdefault(f.name, set()).add(f.dataType.simpleString())
-    mixed = {c for c, t in types.items() if len(t) > 1}
-    cast = lambda p: p.select(*[F.col(c).cast("string").alias(c) if c in mixed else F.col(c) for c in p.columns])
+    wider = {c: common_type(t) for c, t in types.items() if len(t) > 1}
+    cast = lambda p: p.select(*[F.col(c).cast(wider[c]).alias(c) if c in wider else F.col(c) for c in p.columns])
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(cast, parts))
 
 
@@ -101,14 +121,15 @@ def header_rows(cells: DataFrame, first: int = 5) -> DataFrame:
     """The header row of each file: of its first rows, the one leaving fewest columns unnamed.
 
     ``cells`` is (file, row_pos, cells array). The earliest row wins a tie; a row naming no
-    column is never a header, and a file without a candidate is left out.
+    column or with nothing below it is never a header, and a file without a candidate is left out.
     """
     width = F.size("cells")
     named = F.size(F.filter("cells", lambda c: F.coalesce(F.trim(c) != "", F.lit(False))))
-    widest = cells.groupBy("file").agg(F.max(width).alias("width"))
+    filled = F.exists("cells", lambda c: F.coalesce(F.trim(c) != "", F.lit(False)))
+    widest = cells.groupBy("file").agg(F.max(width).alias("width"), F.max(F.when(filled, F.col("row_pos"))).alias("last"))
     tried = cells.where(F.col("row_pos") < first).select("file", "row_pos", named.alias("named"), "cells")
     share = 1 - F.col("named") / F.col("width")
-    return (tried.join(widest, "file").where((F.col("named") > 0) & (F.col("width") > 0))
+    return (tried.join(widest, "file").where((F.col("named") > 0) & (F.col("width") > 0) & (F.col("row_pos") < F.col("last")))
             .groupBy("file").agg(F.min_by(F.struct("row_pos", "width", (F.col("width") - F.col("named")).alias("unnamed"), "cells"),
                                           F.struct(share, F.col("row_pos"))).alias("h"))
             .select("file", F.col("h.row_pos").alias("header_row"), "h.width", "h.unnamed", F.col("h.cells").alias("header")))
