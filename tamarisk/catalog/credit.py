@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tamarisk import params as P
 from tamarisk.catalog.base import Registry, view
 from tamarisk.operators import ecl
+from tamarisk.operators import profile as prof
 
 R = Registry()
 
@@ -128,3 +131,35 @@ _FIRED = {0: ("'DPD'", "count(*) FILTER (WHERE DPD >= 30)"), 1: ("'WATCHLIST'",
     + ("v_loans" if i in _FIRED else "(SELECT 1)") for i, t in enumerate(_TRIGGERS)))
 def ecl_triggers(spark, sf):
     return ecl.triggers(view(spark, sf, "v_loans"))
+
+
+# Exposures of 10^11 to 10^12: many loans are beyond the millionths that fit a long.
+_BIG_TOTAL = lambda x: (f"(CAST(coalesce(sum(CAST(floor(CASE WHEN abs({x}) < 1e12 THEN ({x}) * 1e6::DOUBLE + 0.5::DOUBLE END) AS DECIMAL(18,0))), 0) AS HUGEINT)"
+                        f" + CAST(coalesce(sum(CAST(CASE WHEN abs({x}) >= 1e12 THEN ({x}) * 1e6::DOUBLE END AS DECIMAL(38,0))), 0) AS HUGEINT))")
+
+
+@R.query("ecl_large_amounts", MODEL_SQL.replace("SELECT l.* EXCLUDE (PD, LGD)", "SELECT l.* EXCLUDE (PD, LGD) REPLACE (EAD * 1e7::DOUBLE AS EAD)") + f"""
+    SELECT count(*) AS loan_count, round(CAST({_BIG_TOTAL('EAD')} AS DOUBLE) / 1e6::DOUBLE) AS total_ead, round(CAST({_BIG_TOTAL('ecl_base')} AS DOUBLE) / 1e6::DOUBLE) AS total_ecl FROM loss""")
+def ecl_large_amounts(spark, sf):
+    loans = view(spark, sf, "v_loans")
+    out = ecl.totals(ecl.per_loan(loans.withColumn("EAD", loans["EAD"] * 1e7)))
+    return out.select("loan_count", F.round("total_ead").alias("total_ead"), F.round("total_ecl").alias("total_ecl"))
+
+
+@R.query("ecl_agreement_partial", MODEL_SQL + f"""
+    SELECT CAST(NULL AS DOUBLE) AS stage_agreement, {AMOUNT(TOTAL('ECL_SAR'))} AS stated_ecl, {AMOUNT(TOTAL('ecl_base'))} AS computed_ecl,
+           abs({TOTAL('ECL_SAR')}::DOUBLE - {TOTAL('ecl_base')}::DOUBLE) < greatest(1::DOUBLE, {TOTAL('ECL_SAR')}::DOUBLE * 0.001::DOUBLE) AS matches_source FROM loss
+    UNION ALL SELECT round(count(*) FILTER (WHERE STAGE = computed_stage) / count(*)::DOUBLE, 4), NULL, {AMOUNT(TOTAL('ecl_base'))}, NULL FROM loss""")
+def ecl_agreement_partial(spark, sf):
+    """Files that state the loss or the stage alone."""
+    return ecl.source_agreement(_loss(spark, sf).drop("STAGE")).unionByName(ecl.source_agreement(_loss(spark, sf).drop("ECL_SAR")))
+
+
+@R.query("ecl_top5_from_silver", MODEL_SQL + """
+    , t AS (SELECT LOAN_ID, CUST_ID, ecl_base FROM loss ORDER BY ecl_base DESC NULLS LAST, LOAN_ID, CUST_ID LIMIT 5),
+    c AS (SELECT CUST_ID, arg_max(FULL_NAME, row_pos) AS nm FROM v_customers GROUP BY 1)
+    SELECT t.LOAN_ID AS id, round(t.ecl_base, 2) AS ecl, coalesce(c.nm, 'unnamed record') AS name FROM t LEFT JOIN c USING (CUST_ID)""")
+def ecl_top5_from_silver(spark, sf):
+    """Names from the engine's own Silver, whose rows are placed by ``_row_pos``."""
+    customers = prof.to_silver(view(spark, sf, "v_customers").withColumnRenamed("row_pos", "_row_pos").drop("dataset"))
+    return ecl.top_loans(_loss(spark, sf), customers)

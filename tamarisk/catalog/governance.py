@@ -195,15 +195,30 @@ def history_export(spark, sf):
     return back.select("dataset", "id", F.coalesce("score_tenths", F.lit("")).alias("score_tenths"))
 
 
-@R.query("snapshot_recorded", """WITH n AS (SELECT entity, count(*) AS n FROM v_scores GROUP BY 1)
-    SELECT entity, concat('rec', n) AS recorded_by, CASE WHEN n > 6 THEN 'note' END AS note, code, compliance_pct FROM v_scores JOIN n USING (entity) WHERE n > 2""")
-def snapshot_recorded(spark, sf):
+def _recorded(spark, sf):
     """Assessments stored with their domain rows inside, then exploded again; unnamed recorders are refused."""
     stored = view(spark, sf, "v_scores").groupBy("entity").agg(F.collect_list(F.struct("code", "compliance_pct")).alias("domains"))
     n = F.size("domains")
     recorder = F.when(n > 2, F.concat(F.lit(" rec"), n.cast("string"))).otherwise(F.lit("  "))
-    out = hs.record(stored, recorder, F.lit("2026-09-01").cast("timestamp"), F.when(n > 6, F.lit(" note ")).otherwise(F.lit("  ")))
-    return out.select("entity", "recorded_by", "note", F.inline("domains"))
+    return hs.record(stored, recorder, F.lit("2026-09-01").cast("timestamp"), F.when(n > 6, F.lit(" note ")).otherwise(F.lit("  ")))
+
+
+@R.query("snapshot_recorded", """WITH n AS (SELECT entity, count(*) AS n FROM v_scores GROUP BY 1)
+    SELECT entity, concat('rec', n) AS recorded_by, CASE WHEN n > 6 THEN 'note' END AS note, code, compliance_pct FROM v_scores JOIN n USING (entity) WHERE n > 2""")
+def snapshot_recorded(spark, sf):
+    return _recorded(spark, sf)[0].select("entity", "recorded_by", "note", F.inline("domains"))
+
+
+@R.query("snapshot_refused", "SELECT entity, count(*) AS domains, 'the recorder must be named' AS reason FROM v_scores GROUP BY 1 HAVING count(*) <= 2")
+def snapshot_refused(spark, sf):
+    return _recorded(spark, sf)[1].select("entity", F.size("domains").cast("bigint").alias("domains"), "reason")
+
+
+@R.query("snapshot_one", "SELECT id, dataset, score FROM v_snapshots WHERE id = (SELECT min(id) FROM v_snapshots)")
+def snapshot_one(spark, sf):
+    snapshots = view(spark, sf, "v_snapshots")
+    first = snapshots.agg(F.min("id")).first()[0]
+    return (snapshots.limit(0) if first is None else hs.one(snapshots, first)).select("id", "dataset", "score")
 
 
 # ---- access -------------------------------------------------------------------------------------
@@ -318,6 +333,87 @@ def changes_insert_rejected(spark, sf):
     return _inserted(spark, sf)[1].select("dataset", "role", "seq")
 
 
+# Every tenth change has no data set, every eleventh no role; every change of a fifth sequence number is there twice.
+_LOOSE = """SELECT CASE WHEN seq % 10 = 0 THEN NULL ELSE dataset END AS dataset, CASE WHEN seq % 11 = 0 THEN NULL ELSE role END AS role, assignee_name, seq - seq % 3 AS seq FROM v_changes"""
+_LOOSE_TWICE = f"{_LOOSE} UNION ALL SELECT * FROM ({_LOOSE}) t WHERE seq % 5 = 0"
+
+
+@R.query("changes_null_keys", f"""WITH c AS ({_LOOSE_TWICE}),
+    k AS (SELECT * FROM c WHERE dataset IS NOT NULL AND role IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_assignments a WHERE a.dataset = c.dataset AND a.role = c.role))
+    SELECT 'table' AS part, (SELECT count(*) FROM v_assignments) + (SELECT count(DISTINCT (dataset, role)) FROM k) AS rows
+    UNION ALL SELECT 'the key is missing', count(*) FROM c WHERE dataset IS NULL OR role IS NULL
+    UNION ALL SELECT 'the key is taken', count(*) FILTER (WHERE dataset IS NOT NULL AND role IS NOT NULL) - (SELECT count(DISTINCT (dataset, role)) FROM k) FROM c
+    UNION ALL SELECT 'after upsert', (SELECT count(*) FROM (SELECT dataset, role FROM v_assignments UNION SELECT dataset, role FROM c WHERE dataset IS NOT NULL AND role IS NOT NULL))""")
+def changes_null_keys(spark, sf):
+    """Changes without a key are refused, and of equal ones one is taken; every change is in one part."""
+    base, given = view(spark, sf, "v_assignments"), spark_sql(spark, sf, _LOOSE_TWICE)
+    done, refused = ch.insert_new(base, given, ["dataset", "role"], "seq")
+    counted = lambda df, part: df.agg(F.lit(part).alias("part"), F.count("*").alias("rows"))
+    out = counted(done, "table").unionByName(counted(ch.upsert_by_key(base, given, ["dataset", "role"], "seq"), "after upsert"))
+    return out.unionByName(refused.groupBy(F.col("reason").alias("part")).agg(F.count("*").alias("rows")))
+
+
+_REASONS = lambda conditions: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {bad} THEN '{text}' END" for bad, text in conditions) + "], lambda r: r IS NOT NULL), '; ') AS reasons"
+_BLANK = lambda c: (f"trim(coalesce({c}, '')) = ''", f"{c} is required")
+
+
+def _judged(spark, sf, given, key, conditions):
+    df = spark_sql(spark, sf, given) if isinstance(given, str) else given
+    return ch.validate(df, conditions).select(key, F.array_join("reasons", "; ").alias("reasons"))
+
+
+_GIVEN_TASKS = "SELECT seq, CASE WHEN seq % 13 = 0 THEN ' ' ELSE dataset END AS dataset, CASE WHEN seq % 9 = 0 THEN NULL ELSE role END AS title, assignee_name, assigned_by AS created_by FROM v_changes"
+
+
+@R.query("tasks_validate", f"SELECT seq, {_REASONS([_BLANK('dataset'), _BLANK('title'), _BLANK('assignee_name'), _BLANK('created_by')])} FROM ({_GIVEN_TASKS})")
+def tasks_validate(spark, sf):
+    return _judged(spark, sf, _GIVEN_TASKS, "seq", ch.task_conditions())
+
+
+_GIVEN_TERMS = """SELECT id, CASE WHEN id % 11 = 0 THEN ' ' ELSE term END AS term, CASE WHEN id % 7 = 0 THEN NULL ELSE definition END AS definition,
+    CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Nowhere' WHEN 2 THEN '' ELSE domain END AS domain, CASE id % 4 WHEN 0 THEN 'a, b' WHEN 1 THEN '["a", "b"]' WHEN 2 THEN '[' END AS tags,
+    CASE WHEN id % 17 = 0 THEN NULL ELSE 'me' END AS created_by FROM v_terms"""
+
+
+@R.query("terms_validate", f"""SELECT id, CASE WHEN coalesce(domain, '') = '' THEN 'Other' ELSE domain END AS domain,
+    {_REASONS([_BLANK('term'), _BLANK('definition'), ("domain = 'Nowhere'", 'domain is not one of the allowed values'), ("tags IN ('a, b', '[')", 'tags must be a list'), _BLANK('created_by')])} FROM ({_GIVEN_TERMS})""")
+def terms_validate(spark, sf):
+    checked = ch.validate(ch.with_default_domain(spark_sql(spark, sf, _GIVEN_TERMS)), ch.term_conditions())
+    return checked.select("id", "domain", F.array_join("reasons", "; ").alias("reasons"))
+
+
+_GIVEN_LISTS = """SELECT p_partkey AS seq, CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE concat('Name ', p_partkey % 300) END AS name,
+    CASE WHEN p_partkey % 23 = 0 THEN ' ' ELSE concat('Slug ', p_partkey % 170) END AS slug, CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE 'me' END AS created_by FROM {part}"""
+
+
+@R.query("lists_validate", f"SELECT seq, {_REASONS([_BLANK('name'), _BLANK('slug'), _BLANK('created_by')])} FROM ({_GIVEN_LISTS})")
+def lists_validate(spark, sf):
+    return _judged(spark, sf, _GIVEN_LISTS, "seq", ch.list_conditions())
+
+
+_GIVEN_VALUES = """SELECT event_id AS seq, CASE WHEN event_id % 6 = 0 THEN NULL ELSE user_id END AS list_id, CASE WHEN event_id % 8 = 0 THEN '' ELSE event_type END AS code,
+    CASE WHEN event_id % 10 = 0 THEN NULL ELSE concat('l', event_id) END AS label FROM {events}"""
+
+
+@R.query("values_validate", f"SELECT seq, {_REASONS([('list_id IS NULL', 'list_id is required'), _BLANK('code'), _BLANK('label')])} FROM ({_GIVEN_VALUES})")
+def values_validate(spark, sf):
+    return _judged(spark, sf, _GIVEN_VALUES, "seq", ch.value_conditions())
+
+
+@R.query("lists_insert", f"""WITH RECURSIVE g AS (SELECT row_number() OVER (ORDER BY seq) AS i, name, replace(lower(trim(slug)), ' ', '-') AS slug FROM ({_GIVEN_LISTS}) WHERE name IS NOT NULL AND trim(slug) <> '' AND created_by IS NOT NULL),
+    walk AS (SELECT 0::BIGINT AS i, (SELECT list(r_name) FROM region) AS names, ['slug-3', 'slug-5'] AS slugs, 0 AS added
+      UNION ALL SELECT g.i, CASE WHEN ok THEN list_append(names, g.name) ELSE names END, CASE WHEN ok THEN list_append(slugs, g.slug) ELSE slugs END, CAST(ok AS INT)
+      FROM (SELECT walk.*, walk.i + 1 AS at FROM walk) w JOIN g ON g.i = w.at, LATERAL (SELECT NOT list_contains(w.names, g.name) AND NOT list_contains(w.slugs, g.slug) AS ok))
+    SELECT g.name, g.slug, walk.added = 1 AS accepted FROM walk JOIN g ON g.i = walk.i""")
+def lists_insert(spark, sf):
+    """Name and slug are each unique; an earlier accepted list refuses a later one."""
+    given = ch.validate(spark_sql(spark, sf, _GIVEN_LISTS), ch.list_conditions()).where("accepted").select("seq", "name", X.slug(F.col("slug")).alias("slug"))
+    base = spark_sql(spark, sf, "SELECT r_regionkey AS seq, r_name AS name, CASE r_regionkey WHEN 0 THEN 'slug-3' WHEN 1 THEN 'slug-5' ELSE concat('r', r_regionkey) END AS slug FROM {region}")
+    done, refused = ch.insert_unique(base, given, ["name", "slug"], "seq")
+    added = done.join(base.select("name"), "name", "left_anti")
+    return added.select("name", "slug", F.lit(True).alias("accepted")).unionByName(refused.select("name", "slug", F.lit(False).alias("accepted")))
+
+
 _EDITS = "SELECT seq, seq AS id, CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS domain, CASE WHEN event_type = 'click' THEN NULL ELSE concat('v', seq) END AS definition FROM (SELECT event_id AS seq, event_type FROM {events})"
 
 

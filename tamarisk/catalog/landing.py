@@ -214,13 +214,65 @@ def zone_stats(spark, sf):
     return zones.table_counts(spark, {"silver": ["silver.orders_stats", "silver.not_there"], "gold": ["gold.parts_stats"], "archive": ["archive.none"]})
 
 
-@R.query("bronze_zone_stats", "SELECT 'orders_raw' AS dataset, true AS has_objects, true AS has_bytes UNION ALL SELECT 'parts', true, true")
+@R.query("bronze_zone_stats", """SELECT 'orders_raw' AS dataset, true AS has_bytes, (SELECT count(*) FROM v_raw) AS rows, true AS has_time
+    UNION ALL SELECT 'parts', true, (SELECT count(*) FROM part), true""")
 def bronze_zone_stats(spark, sf):
+    """The listing's objects and bytes beside the rows that the listed files hold."""
     root = scratch_path(spark, "zones")
-    for name in ("orders_raw", "parts"):
-        zones.land_bronze(raw_table(spark, sf, name), root, name, "20260901T080000")
-    out = zones.bronze_stats(spark, root)
-    return out.select("dataset", (F.col("objects") > 0).alias("has_objects"), (F.col("bytes") > 0).alias("has_bytes"))
+    counted = [spark.read.parquet(zones.land_bronze(raw_table(spark, sf, name), root, name, "20260901T080000")).agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"))
+               for name in ("orders_raw", "parts")]
+    out = zones.bronze_stats(spark, root).where("objects > 0").join(counted[0].unionByName(counted[1]), "dataset")
+    return out.select("dataset", (F.col("bytes") > 0).alias("has_bytes"), "rows", F.col("newest").isNotNull().alias("has_time"))
+
+
+@R.query("bronze_two_loads", "SELECT n AS load, count(*) AS rows, count(DISTINCT row_pos) AS positions FROM v_raw, (VALUES (1), (2)) t(n) GROUP BY 1")
+def bronze_two_loads(spark, sf):
+    """Two loads of one second: each is read by itself."""
+    root, raw = scratch_path(spark, "zones"), raw_table(spark, sf, "orders_raw")
+    loads = [spark.read.parquet(zones.land_bronze(raw, root, "orders_raw", "20260901T080000")) for _ in range(2)]
+    counted = [x.agg(F.lit(n).alias("load"), F.count("*").alias("rows"), F.count_distinct("_row_pos").alias("positions")) for n, x in enumerate(loads, 1)]
+    return counted[0].unionByName(counted[1])
+
+
+@R.query("lake_odd_names", "SELECT name, (SELECT count(*) FROM part) AS rows FROM (VALUES ('silver.my-parts'), ('silver.2024')) t(name)")
+def lake_odd_names(spark, sf):
+    """Names with a hyphen or a leading digit, each written twice: the second files take the first ones' place."""
+    out = None
+    for name in ("silver.my-parts", "silver.2024"):
+        for _ in range(2):
+            zones.write_table(table(spark, sf, "part"), name)
+        one = spark.table(zones.quoted(name)).agg(F.lit(name).alias("name"), F.count("*").alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@R.query("schema_union_numeric", """SELECT CAST(CAST(n_nationkey AS INT) AS BIGINT) AS k, CAST(n_regionkey AS DOUBLE) AS v FROM nation
+    UNION ALL SELECT c_custkey, c_acctbal FROM customer""")
+def schema_union_numeric(spark, sf):
+    a = spark_sql(spark, sf, "SELECT CAST(n_nationkey AS INT) AS k, CAST(n_regionkey AS BIGINT) AS v FROM {nation}")
+    b = spark_sql(spark, sf, "SELECT CAST(c_custkey AS BIGINT) AS k, c_acctbal AS v FROM {customer}")
+    return tt.union_parts(a, b)
+
+
+_EXTREME = """SELECT CASE l_linenumber WHEN 1 THEN CAST('NaN' AS DOUBLE) WHEN 2 THEN l_quantity * 1e24 ELSE l_quantity END AS mixed_amount,
+    CASE WHEN l_linenumber = 3 THEN CAST('Infinity' AS DOUBLE) ELSE l_extendedprice END AS endless_amount, l_quantity * 1e25 AS huge_amount,
+    CASE WHEN l_linenumber < 4 THEN CAST('NaN' AS DOUBLE) END AS no_amount FROM {lineitem}"""
+_LARGE = lambda c: f"CAST(sum(CAST(CASE WHEN abs({c}) >= 1e18 THEN {c} END AS DECIMAL(38,0))) AS DOUBLE)"
+_SCALED = lambda x: f"CASE WHEN abs({x}) >= 1e15 THEN round({x} / 1e20, 2) ELSE {x} END"
+_PLACES = lambda x: f"CASE WHEN abs({x}) < 1e15 THEN round({x}, 2) ELSE {x} END"
+
+
+@R.query("numeric_summary_extremes", f"""WITH x AS ({_EXTREME}),
+    m AS (SELECT mixed_amount AS v FROM x WHERE NOT isnan(mixed_amount)), h AS (SELECT huge_amount AS v FROM x),
+    s AS (SELECT 'mixed_amount' AS column_name, {_LARGE('v')} + CAST(sum(CAST(CASE WHEN abs(v) < 1e18 THEN v END AS DECIMAL(28,8))) AS DOUBLE) AS s, count(v) AS n, min(v) AS lo, max(v) AS hi FROM m
+      UNION ALL SELECT 'huge_amount', {_LARGE('v')}, count(v), min(v), max(v) FROM h
+      UNION ALL SELECT 'endless_amount', 'inf'::DOUBLE, count(*), min(endless_amount), 'inf'::DOUBLE FROM x)
+    SELECT column_name, {_SCALED('s')} AS sum, {_SCALED('s / n')} AS mean, {_PLACES('lo')} AS min, {_PLACES('hi')} AS max FROM s""")
+def numeric_summary_extremes(spark, sf):
+    """Missing numbers, infinities and amounts beyond every decimal."""
+    out = prof.numeric_summary(spark_sql(spark, sf, _EXTREME))
+    scaled = lambda c: F.when(F.abs(c) >= 1e15, F.round(F.col(c) / 1e20, 2)).otherwise(F.col(c))  # doubles of this size differ in how they print
+    return out.withColumns({"sum": scaled("sum"), "mean": scaled("mean")})
 
 
 @R.query("gold_outputs", "SELECT 'loans' AS dataset, uri, direction FROM (VALUES ('silver.loans_lake', 'input'), ('gold.loans_lake_ndi', 'output'), ('gold.loans_lake_ifrs9', 'output')) t(uri, direction) "

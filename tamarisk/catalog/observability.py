@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tamarisk import params as P
 from tamarisk.catalog.base import Registry, spark_sql, table, view
 from tamarisk.catalog.people import FIELDS, golden_records_of
+from tamarisk.functions import text as X
 from tamarisk.functions.times import freshness, seconds_between
 from tamarisk.operators import dedup, drift, ecl, golden, lineage, models, profile as prof, runs
 from tamarisk.session import materialise
@@ -235,6 +236,38 @@ def drift_categorical_p(spark, sf):
     return drift.categorical_drift(df, ["l_returnflag"], ref).select("feature", F.round("p_value", 9).alias("p_value"))
 
 
+# A row stands for a million observations: products of two counts leave the range of a long.
+_MANY = "count(*) * 1000000"
+
+
+@R.query("drift_large_counts", "WITH " + _SHIFT + f""",
+    c AS (SELECT l_tax AS v, {_MANY} FILTER (WHERE ref) AS a, {_MANY} FILTER (WHERE NOT ref) AS b FROM base GROUP BY 1),
+    r AS (SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER () AS n, sum(b) OVER () AS m FROM c WINDOW w AS (ORDER BY v)),
+    q AS (SELECT ship_quarter AS v, {_MANY} FILTER (WHERE ref) AS a, {_MANY} FILTER (WHERE NOT ref) AS b FROM base GROUP BY 1),
+    t AS (SELECT a::DOUBLE AS a, b::DOUBLE AS b, sum(a) OVER ()::DOUBLE AS n, sum(b) OVER ()::DOUBLE AS m FROM q)
+    SELECT 'l_tax' AS feature, CAST(max(n) AS BIGINT) AS n, CAST(max(m) AS BIGINT) AS m, round(max(abs(ca / n::DOUBLE - cb / m::DOUBLE)), 9) AS statistic FROM r
+    UNION ALL SELECT 'ship_quarter', CAST(max(n) AS BIGINT), CAST(max(m) AS BIGINT),
+      round(sum(pow(a - (a + b) * n / (n + m), 2) / ((a + b) * n / (n + m)) + pow(b - (a + b) * m / (n + m), 2) / ((a + b) * m / (n + m))), 2) FROM t""".replace(
+        "count(*) * 1000000 FILTER (WHERE ref)", "1000000 * count(*) FILTER (WHERE ref)").replace("count(*) * 1000000 FILTER (WHERE NOT ref)", "1000000 * count(*) FILTER (WHERE NOT ref)"))
+def drift_large_counts(spark, sf):
+    df, ref = _slices(spark, sf)
+    numbers = drift.numeric_drift(df, ["l_tax"], ref, F.lit(1_000_000)).withColumn("statistic", F.round("statistic", 9))
+    kinds = drift.categorical_drift(df, ["ship_quarter"], ref, F.lit(1_000_000)).withColumn("statistic", F.round("statistic", 2))
+    checked = numbers.where("p_value BETWEEN 0 AND 1").unionByName(kinds.where("p_value BETWEEN 0 AND 1"))
+    return checked.select("feature", "n", "m", "statistic")
+
+
+# A list as Python prints it: names of constants as values and inside strings.
+_LITERALS = r"""SELECT event_id, concat('[{\'uri\': \'lake://None/', event_type, '\', \'extra\': ', CASE event_id % 3 WHEN 0 THEN 'None' WHEN 1 THEN 'True' ELSE 'False' END,
+    '}, {"uri": "it\'s True, ', user_id, '"}, {"uri": None}]') AS listed FROM {events}"""
+
+
+@R.query("lineage_python_literals", "SELECT event_id, concat('lake://None/', event_type) AS first_uri, concat('it''s True, ', user_id) AS second_uri, 2 AS uris FROM events")
+def lineage_python_literals(spark, sf):
+    uris = spark_sql(spark, sf, _LITERALS).select("event_id", X.listed_uris(F.col("listed")).alias("u"))
+    return uris.select("event_id", F.get("u", F.lit(0)).alias("first_uri"), F.get("u", F.lit(1)).alias("second_uri"), F.size("u").alias("uris"))
+
+
 # ---- fitted parameters --------------------------------------------------------------------------------
 
 @R.query("pd_model")

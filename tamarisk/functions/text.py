@@ -74,7 +74,16 @@ def matched_keyword(name: Column, keywords) -> Column:
 
 def listed_uris(c: Column) -> Column:
     """A Python-style list of {'uri': ..} records as an array of uris; malformed text is empty."""
-    as_json = F.regexp_replace(c, r"\bNone\b", "null")
+    quoted, rest = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|\'[^\'\\]*+(?:\\.[^\'\\]*+)*+\'', r"[^\"\']+"
+    pieces = F.regexp_extract_all(c, F.lit(f"{quoted}|{rest}"), F.lit(0))  # strings whole, so that words inside them stay
+
+    def as_json_piece(piece: Column) -> Column:
+        word = piece
+        for python, json in (("None", "null"), ("True", "true"), ("False", "false")):
+            word = F.regexp_replace(word, rf"\b{python}\b", json)
+        return F.when(F.rlike(piece, F.lit("^[\"']")), piece).otherwise(word)
+
+    as_json = F.when(F.array_join(pieces, "") == c, F.array_join(F.transform(pieces, as_json_piece), ""))  # else a string has no end
     parsed = F.from_json(as_json, "array<struct<uri:string>>", {"allowSingleQuotes": "true"})
     uris = F.filter(F.transform(parsed, lambda x: x["uri"]), lambda u: u.isNotNull() & (u != ""))
     return F.coalesce(uris, F.array().cast("array<string>"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tamarisk import params as P
 from tamarisk.functions.text import clean_text
+from tamarisk.session import materialise
 
 
 NO_KEY, TAKEN = "the key is missing", "the key is taken"
@@ -64,6 +65,33 @@ def insert_new(base: DataFrame, changes: DataFrame, keys: list[str], order: str)
     return accepted, taken.unionByName(without_key(changes, keys))
 
 
+def insert_unique(base: DataFrame, changes: DataFrame, uniques: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """(table with the accepted changes added, every other change): each of several columns is unique by itself.
+
+    As if the changes came one after another: one is refused when an earlier accepted one, or the table, has
+    any of its values. A round accepts the changes that are the first undecided ones in all their values and
+    refuses those that share a value with them; rounds are as many as the longest chain of such conflicts.
+    """
+    place = F.struct(order, *[c for c in changes.columns if c != order])
+    named = keyed(changes, uniques)
+    for u in uniques:
+        named = named.join(base.select(u), u, "left_anti")
+    open_, accepted = materialise(named.select(*changes.columns).withColumn("_place", place)), []
+    while not open_.isEmpty():
+        first_of_all = open_
+        for u in uniques:
+            firsts = open_.groupBy(u).agg(F.array_min(F.collect_set("_place")).alias("_first"))
+            first_of_all = first_of_all.join(firsts, u).where(F.col("_place") == F.col("_first")).drop("_first")
+        won = materialise(first_of_all.select(*open_.columns).distinct())
+        accepted.append(won)
+        rest = open_
+        for u in uniques:
+            rest = rest.join(won.select(u), u, "left_anti")
+        open_ = materialise(rest.select(*open_.columns))
+    fresh = reduce(DataFrame.unionByName, accepted, changes.limit(0).withColumn("_place", place)).select(*changes.columns)
+    return base.unionByName(fresh.select(*base.columns)), changes.exceptAll(fresh)
+
+
 def update_existing(base: DataFrame, changes: DataFrame, keys: list[str], columns: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """(table with the listed columns changed where given, changes of unknown or missing keys)."""
     last = changes.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(f"_new_{c}") for c in columns])
@@ -130,9 +158,32 @@ def policy_conditions() -> list[tuple[Column, str]]:
             percentage("threshold_pct"), required("assigned_by")]
 
 
+def json_list(column: str) -> tuple[Column, str]:
+    """Absent, or the text of a list."""
+    given = clean_text(F.col(column))
+    return given.isNotNull() & F.from_json(F.when(given.startswith("["), given), "array<string>").isNull(), f"{column} must be a list"
+
+
 def task_conditions() -> list[tuple[Column, str]]:
+    return [required("dataset"), required("title"), required("assignee_name"), required("created_by")]
+
+
+def task_status_conditions() -> list[tuple[Column, str]]:
     return [required("dataset"), member_of("status", P.TASK_STATUSES)]
 
 
+def with_default_domain(terms: DataFrame) -> DataFrame:
+    """A term without a domain belongs to the last one, which is for all others."""
+    return terms.withColumn("domain", F.coalesce(F.nullif("domain", F.lit("")), F.lit(P.GLOSSARY_DOMAINS[-1])))
+
+
 def term_conditions() -> list[tuple[Column, str]]:
-    return [required("term"), required("definition"), member_of("domain", P.GLOSSARY_DOMAINS)]
+    return [required("term"), required("definition"), member_of("domain", P.GLOSSARY_DOMAINS), json_list("tags"), required("created_by")]
+
+
+def list_conditions() -> list[tuple[Column, str]]:
+    return [required("name"), required("slug"), required("created_by")]
+
+
+def value_conditions() -> list[tuple[Column, str]]:
+    return [(F.col("list_id").isNull(), "list_id is required"), required("code"), required("label")]

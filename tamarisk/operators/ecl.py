@@ -160,14 +160,15 @@ def top_loans(loss: DataFrame, customers: DataFrame | None = None, k: int = 5, s
     if customers is None or key is None:
         return top.select(F.col(ident).cast("string").alias("id"), F.round("loss", 2).alias("ecl"),
                           F.coalesce(own_name, unnamed).alias("name"))
+    place = next((c for c in ("_row_pos", "row_pos") if c in customers.columns), None)
     cust_key = roles.find_exact(customers.columns, ("cust_id",))
     cust_name = roles.find_exact(customers.columns, ("full_name", "name", "customer_name"))
     wanted = top.select(F.col(key).cast("string").alias("_key")).distinct()
     names = (
-        customers.select(F.col(cust_key).cast("string").alias("_key"), F.col(cust_name).alias("_name"), "row_pos")
+        customers.select(F.col(cust_key).cast("string").alias("_key"), F.col(cust_name).alias("_name"), (F.col(place) if place else F.lit(0)).alias("_place"))
         .where(F.col("_key").isNotNull() & F.col("_name").isNotNull())
         .join(F.broadcast(wanted), "_key")
-        .groupBy("_key").agg(F.max_by("_name", "row_pos").alias("_name"))
+        .groupBy("_key").agg(F.max_by("_name", F.struct("_place", "_name")).alias("_name"))
     )
     return top.join(F.broadcast(names), F.col(key).cast("string") == F.col("_key"), "left").select(
         F.col(ident).cast("string").alias("id"), F.round("loss", 2).alias("ecl"),
@@ -193,9 +194,10 @@ def parameters_used(loss: DataFrame) -> DataFrame:
 
 
 def source_agreement(loss: DataFrame, scenario: str = "base") -> DataFrame:
-    """Agreement of the computed stage and loss with the figures stated in the file."""
-    one = loss.agg(F.count_if(F.col("STAGE") == F.col("computed_stage")).alias("same"), F.count("*").alias("n"),
-                   C.total(F.col("ECL_SAR")).alias("s"), C.total(F.col(ecl_column(scenario))).alias("l"))
+    """Agreement of the computed stage and loss with the figures stated in the file, each where the file has them."""
+    given = lambda c: F.col(c) if c in loss.columns else F.lit(None).cast("double")
+    same = F.count_if(F.col("STAGE") == F.col("computed_stage")) if "STAGE" in loss.columns else F.lit(None).cast("long")
+    one = loss.agg(same.alias("same"), F.count("*").alias("n"), C.total(given("ECL_SAR")).alias("s"), C.total(F.col(ecl_column(scenario))).alias("l"))
     return one.select(F.round(F.col("same") / F.nullif("n", F.lit(0)), 4).alias("stage_agreement"),
                       C.amount(F.col("s")).alias("stated_ecl"), C.amount(F.col("l")).alias("computed_ecl"),
                       _matches(F.col("s").cast("double"), F.col("l").cast("double")).alias("matches_source"))

@@ -59,10 +59,17 @@ def compare(domain_rows: DataFrame, pairs: DataFrame) -> DataFrame:
                       F.col("earlier_maturity").isNotNull().alias("comparable"))
 
 
-def record(assessment: DataFrame, recorder: Column, at: Column, note: Column) -> DataFrame:
-    """Snapshot rows to append: values as computed, a named recorder, blank notes null."""
+def record(assessment: DataFrame, recorder: Column, at: Column, note: Column) -> tuple[DataFrame, DataFrame]:
+    """(snapshot rows to append, rows refused for want of a recorder): values as computed, blank notes null."""
     out = assessment.withColumns({"recorded_by": clean_text(recorder), "recorded_at": at, "note": clean_text(note)})
-    return out.where(F.col("recorded_by").isNotNull())
+    named = F.col("recorded_by").isNotNull()
+    return out.where(named), out.where(~named).withColumn("reason", F.lit("the recorder must be named"))
+
+
+def one_exported(snapshots: DataFrame, snapshot_id: int, array_column: str, path: str) -> None:
+    """One snapshot with its domain rows as CSV with a header; an unknown id is an error."""
+    rows = one(snapshots, snapshot_id)
+    rows.select("id", "recorded_at", "recorded_by", F.inline(array_column)).coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
 
 
 def one(snapshots: DataFrame, snapshot_id: int) -> DataFrame:

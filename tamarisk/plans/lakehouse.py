@@ -20,7 +20,7 @@ def gold_compute(spark: SparkSession, dataset: str) -> DataFrame:
 
     Gives back the lineage rows (job, uri, direction) of what was really read and written.
     """
-    silver = spark.table(f"silver.{dataset}")
+    silver = spark.table(zones.quoted(f"silver.{dataset}"))
     assessment = maturity.assess(maturity.baseline_scores(spark))
     outputs = [f"gold.{dataset}_ndi"]
     zones.write_table(assessment.select("display_score", "overall_compliance_pct", "maturity_level"), outputs[0])

@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tamarisk import params as P
 
 COUNTRIES, CURRENCIES, REGIONS = "iso-country-codes", "iso-currency-codes", "saudi-administrative-regions"
 
 
-def country_codes(spark: SparkSession) -> list[tuple[str, str]]:
-    """ISO 3166-1 codes and English names from the locale tables of the Java runtime."""
-    locale = spark.sparkContext._jvm.java.util.Locale
-    return [(code, locale("", code).getDisplayCountry(locale.ENGLISH)) for code in locale.getISOCountries()]
-
-
-def standard_values(spark: SparkSession, countries: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(slug, code, label); ``countries`` replaces the runtime's country table."""
-    lists = {COUNTRIES: country_codes(spark) if countries is None else countries, CURRENCIES: P.CURRENCIES, REGIONS: P.ADMIN_REGIONS}
-    return P.inline_table(spark, "slug, code, label", [(slug, c, n) for slug, values in lists.items() for c, n in values])
+def standard_values(spark: SparkSession, countries: DataFrame) -> DataFrame:
+    """(slug, code, label); ``countries`` is the published list (code, label), as a file or table of the user's."""
+    fixed = {CURRENCIES: P.CURRENCIES, REGIONS: P.ADMIN_REGIONS}
+    rows = P.inline_table(spark, "slug, code, label", [(slug, c, n) for slug, values in fixed.items() for c, n in values])
+    return countries.select(F.lit(COUNTRIES).alias("slug"), F.col("code").cast("string").alias("code"), "label").unionByName(rows)

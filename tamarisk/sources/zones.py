@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,12 +13,15 @@ from tamarisk.functions.text import clean_text, file_extension, safe_file_name
 from tamarisk.session import scratch_path, shared_folder
 
 
-def land_bronze(raw: DataFrame, root: str, dataset: str, load_ts: str) -> str:
-    """Appends one load, untouched, under its data set and UTC second."""
-    path = f"{root}/bronze"
-    (raw.withColumn("dataset", F.lit(dataset)).withColumn("load_ts", F.lit(load_ts))
-     .write.partitionBy("dataset", "load_ts").mode("append").parquet(path))
-    return f"{path}/dataset={dataset}/load_ts={load_ts}"
+def land_bronze(raw: DataFrame, root: str, dataset: str, load_ts: str, load_id: str | None = None) -> str:
+    """Writes one load, untouched, under its data set, UTC second and load id.
+
+    Two loads of one second stay apart. A load id that is there already is an error, so a retried
+    job that names its load cannot land it twice.
+    """
+    path = f"{root}/bronze/dataset={dataset}/load_ts={load_ts}/load_id={load_id or uuid.uuid4().hex}"
+    raw.write.mode("errorifexists").parquet(path)
+    return path
 
 
 def write_version(df: DataFrame, root: str, zone: str, dataset: str, version: str) -> str:
@@ -35,18 +41,40 @@ def read_zone(spark: SparkSession, path: str | None, dataset: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, table: str, location: str | None = None) -> int:
-    """Creates or replaces ``schema.table`` and gives back its row count (from the footers)."""
+    """Creates or replaces ``schema.table`` and gives back its row count (from the footers).
+
+    The rows are written to a folder of their own first; the catalog is changed only when they are
+    there, so a failed write leaves the table as it was. Readers of the old files finish on them:
+    they are not removed here.
+    """
     spark = df.sparkSession
-    schema, name = table.split(".")
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema} LOCATION '{shared_folder(spark)}/schemas/{schema}'")
-    path = location or scratch_path(spark, f"{schema}-{name}")
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    df.write.mode("overwrite").option("path", path).saveAsTable(table)
-    return spark.table(table).count()
+    schema, _ = table.split(".", 1)
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{schema}` LOCATION '{shared_folder(spark)}/schemas/{schema}'")
+    path = location or scratch_path(spark, "table")
+    df.write.mode("errorifexists").parquet(path)
+    target = quoted(table)
+    if spark.catalog.tableExists(target) and spark.table(target).dtypes == spark.read.parquet(path).dtypes:
+        spark.sql(f"ALTER TABLE {target} SET LOCATION '{path}'")
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {target}")
+        spark.sql(f"CREATE TABLE {target} USING parquet LOCATION '{path}'")
+    spark.catalog.refreshTable(target)
+    return spark.table(target).count()
+
+
+def quoted(table: str) -> str:
+    """``schema.table`` as the catalog knows it.
+
+    Table names hold letters a-z, digits and '_' there; any other character becomes its number, as in
+    ``my_x2d_data``, and so does the '_' of a literal ``_x``, so that two names never meet.
+    """
+    schema, name = table.split(".", 1)
+    name = re.sub(r"_(?=x)|[^A-Za-z0-9_]", lambda m: f"_x{ord(m[0]):x}_", name)
+    return f"`{schema}`.`{name}`"
 
 
 def ready(spark: SparkSession, table: str) -> bool:
-    return spark.catalog.tableExists(table) and not spark.table(table).isEmpty()
+    return spark.catalog.tableExists(quoted(table)) and not spark.table(quoted(table)).isEmpty()
 
 
 def bronze_stats(spark: SparkSession, root: str) -> DataFrame:
@@ -61,8 +89,8 @@ def table_counts(spark: SparkSession, tables: dict[str, list[str]]) -> DataFrame
     """Existing tables and rows per zone; a zone without tables has 0 rows and never ran."""
     out = None
     for zone, names in tables.items():
-        found = [n for n in names if spark.catalog.tableExists(n)]
-        rows = [spark.table(n).agg(F.count("*").alias("rows")) for n in found] or [spark.range(0).agg(F.count("*").alias("rows"))]
+        found = [n for n in names if spark.catalog.tableExists(quoted(n))]
+        rows = [spark.table(quoted(n)).agg(F.count("*").alias("rows")) for n in found] or [spark.range(0).agg(F.count("*").alias("rows"))]
         for counted, name in zip(rows, found or [None]):
             one = counted.select(F.lit(zone).alias("zone"), F.lit(name).cast("string").alias("table_name"), "rows")
             out = one if out is None else out.unionByName(one)

@@ -100,9 +100,11 @@ def test_compare_is_chronological_and_driven_by_the_later(spark):
 
 def test_recording(spark):
     df = spark.sql("SELECT 1 AS id, array(named_struct('code', 'DG', 'score', 1.5D), named_struct('code', 'DQ', 'score', 2D)) AS domains")
-    out = hs.record(df, F.lit("  me "), F.lit("2026-01-01").cast("timestamp"), F.lit("  "))
+    out, refused = hs.record(df, F.lit("  me "), F.lit("2026-01-01").cast("timestamp"), F.lit("  "))
+    assert refused.count() == 0
     assert out.select("recorded_by", "note").first() == ("me", None)
-    assert hs.record(df, F.lit(" "), F.lit("2026-01-01").cast("timestamp"), F.lit("n")).count() == 0
+    none, refused = hs.record(df, F.lit(" "), F.lit("2026-01-01").cast("timestamp"), F.lit("n"))
+    assert none.count() == 0 and {r["reason"] for r in refused.collect()} == {"the recorder must be named"}
     assert [r["code"] for r in hs.exploded(out).collect()] == ["DG", "DQ"]
 
 
