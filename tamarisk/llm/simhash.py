@@ -249,13 +249,19 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """id, fp, component_id (the smallest id that links reach) for every row."""
     rows = materialise(fingerprints(docs, key, shingle_words))
-    distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
     roots = materialise(components(links(distinct, max_bits)))
     linked = distinct.join(roots, F.col("fp") == F.col("node"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("least"))
     known = linked.join(smallest, "root").select("fp", "least")
-    names = distinct.join(known, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(names, "fp").select("id", "fp", "component_id")
+    names = materialise(distinct.join(known, "fp", "left").select("fp", "copies", F.coalesce("least", "first").alias("component_id")))
+    # The texts with very many copies are fewer than four for each partition: their rows need no shuffle,
+    # and without them no fingerprint fills a task.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = F.col("copies") > F.lit(rows.count() // (4 * parts))
+    hot = F.broadcast(names.filter(common).drop("copies"))
+    rest = rows.join(hot, "fp", "left_anti").join(names.filter(~common), "fp")
+    return rows.join(hot, "fp").select("id", "fp", "component_id").unionAll(rest.select("id", "fp", "component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
