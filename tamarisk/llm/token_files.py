@@ -239,7 +239,8 @@ def read_some(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     blocks = _placed(spark.read.parquet(f"{path}/blocks"))
     hit = F.lit(False)
     for d in doc_ids:
-        hit = hit | ((F.col("first_doc") <= d) & (F.col("last_doc") >= d))
+        # a block that begins with a null id begins before every other id
+        hit = hit | (F.coalesce(F.col("first_doc") <= d, F.lit(True)) & F.coalesce(F.col("last_doc") >= d, F.lit(False)))
     return _documents(blocks.filter(hit), spark, path, True, frozenset(doc_ids))
 
 
