@@ -50,11 +50,19 @@ def over_rows(df: DataFrame, batch: Callable, schema: str) -> DataFrame:
 
 
 def worker_object(key: tuple, make: Callable):
-    """One object for each Python worker and key.
+    """One object for each Python worker and key; of keys that begin alike, the newest alone is kept.
 
     Functions reach workers by value, so a module global would be made anew for every task.
     """
     kept = sys.modules.setdefault("tamarisk_worker_objects", types.ModuleType("tamarisk_worker_objects")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get(key[0], (None,))[0] != key:
+        kept.pop(key[0], None)  # before the new one is made, so that they are never there together
+        kept[key[0]] = key, make()
+    return kept[key[0]][1]
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], at_once: int = 256) -> Iterator[tuple]:
+    """The rows as Python values, a few at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, at_once):
+            yield from zip(*[c.to_pylist() for c in b.slice(at, at_once).columns])
