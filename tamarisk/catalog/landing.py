@@ -206,6 +206,25 @@ def medallion_run(spark, sf):
     return out.select("safe_name", "stage", "rows", "duplicate_rows_removed", F.col("gold_path").isNotNull().alias("in_gold"))
 
 
+@R.query("medallion_gold_profile", f"""
+    WITH o AS (SELECT DISTINCT order_id, cust_id, status, amount, mostly_empty, priority FROM v_raw),
+    c AS ({_CATS('part', ['p_name', 'p_brand', 'p_type'])} UNION ALL {_CATS('o', ['status', 'priority'])}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank, count(*) OVER (PARTITION BY column_name) AS d FROM c),
+    num AS ({" UNION ALL ".join(_NUM(x) + " FROM part" for x in ("p_partkey", "p_size", "p_retailprice"))} UNION ALL {_NUM("amount")} FROM o)
+    SELECT column_name, value, CAST(n AS DOUBLE) AS figure FROM r WHERE d <= 20 AND rank <= 5 UNION ALL SELECT column_name, 'mean', mean FROM num""")
+def medallion_gold_profile(spark, sf):
+    """Figures of the Gold columns: one data set promoted by the gate, one by hand without its sparse column."""
+    root, out = scratch_path(spark, "zones"), None
+    for name in ("parts", "orders_raw"):
+        landed = medallion.run_upload(raw_table(spark, sf, name), root, name, "20260901T080000")
+        path = landed.gold_path or medallion.promote(spark, landed.registry, name, root, "20260902T080000").first()["gold_path"]
+        made = medallion.gold_profile(spark, path, name)
+        one = made.categories.select("column_name", "value", F.col("n").cast("double").alias("figure")).unionByName(
+            made.numeric.select("column_name", F.lit("mean").alias("value"), F.col("mean").alias("figure")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @R.query("zone_stats", """SELECT 'silver' AS zone, 1::BIGINT AS tables, (SELECT count(*) FROM (SELECT DISTINCT order_id, cust_id, status, amount, mostly_empty, priority FROM v_raw)) AS rows, false AS never_run
     UNION ALL SELECT 'gold', 1, (SELECT count(*) FROM part), false UNION ALL SELECT 'archive', 0, 0, true""")
 def zone_stats(spark, sf):

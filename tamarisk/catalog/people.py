@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tamarisk.catalog.base import Registry, placed, spark_sql, view
+from tamarisk.catalog.base import Registry, oracle, placed, spark_sql, view
 from tamarisk.operators import dedup, golden
 from tamarisk.plans import people as plan
 
@@ -115,9 +115,31 @@ def dup_queue(spark, sf):
 
 
 @R.query("dup_audit", """SELECT dataset, cluster_id, status, decided_by, strftime(decided_at, '%Y-%m-%d') AS decided_on
-    FROM v_decisions WHERE status <> 'pending' ORDER BY decided_at DESC, cluster_id DESC LIMIT 200""")
+    FROM v_decisions WHERE status <> 'pending'""")
 def dup_audit(spark, sf):
-    return dedup.audit(view(spark, sf, "v_decisions"), limit=200).select("dataset", "cluster_id", "status", "decided_by", F.date_format("decided_at", "yyyy-MM-dd").alias("decided_on"))
+    return dedup.audit(view(spark, sf, "v_decisions")).select("dataset", "cluster_id", "status", "decided_by", F.date_format("decided_at", "yyyy-MM-dd").alias("decided_on"))
+
+
+@R.query("dup_audit_page", """SELECT cluster_id, row_number() OVER (ORDER BY decided_at DESC, cluster_id DESC) AS place
+    FROM v_decisions WHERE status <> 'pending' ORDER BY decided_at DESC, cluster_id DESC LIMIT 20""")
+def dup_audit_page(spark, sf):
+    """A page that cuts, with each row's place."""
+    return placed(dedup.audit(view(spark, sf, "v_decisions"), limit=20).select("cluster_id"))
+
+
+# All customers on one date, with names that share letters, and some that share none with the shortest.
+_HOT = "SELECT dataset, row_pos, CUST_ID, CASE WHEN dataset = 'ds_b' AND row_pos % 97 = 0 THEN concat('Xyz', row_pos) ELSE coalesce(FULL_NAME, 'Li') END AS FULL_NAME, '1900-01-01' AS DOB FROM v_customers"
+
+
+# Too slow in SQL on whole tables (a list program for every pair of names); the tests run it on the smallest ones.
+HOT_SQL = oracle(_CLUSTERS.replace("FROM v_customers WHERE DOB <> ''", f"FROM ({_HOT}) t") + " SELECT dataset, dob, CAST(size AS BIGINT) AS size, n_names, min_name_similarity, tier FROM clusters")
+
+
+@R.query("dup_hot_block")
+def dup_hot_block(spark, sf):
+    """A placeholder date that holds every row."""
+    found = dedup.find_clusters(dedup.candidates(spark_sql(spark, sf, _HOT)))
+    return found.select("dataset", "dob", "size", "n_names", "min_name_similarity", "tier")
 
 
 @R.query("dup_audit_stats", """

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PAIR_SLICE = 16384
+LONG_NAME = 256   # a longer name is compared by itself, so that no array is padded to it
 
 # Python workers get these functions by value: they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,7 +35,7 @@ def code_points(names) -> tuple[np.ndarray, np.ndarray]:
 def lcs_lengths(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """LCS of each left row with the right row beside it (or of one left row with all)."""
     n, width = right.shape
-    best = np.zeros((n, width + 1), np.int16)
+    best = np.zeros((n, width + 1), np.int32)
     for i in range(left.shape[1]):
         ch = left[:, i : i + 1]
         hit = (ch == right) & (ch != 0)
@@ -42,6 +43,35 @@ def lcs_lengths(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return best[:, -1]
 
 
+def lcs_of_long(a: str, b: str) -> int:
+    """LCS with one bit of a number for each character of the longer name."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    where: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        where[ch] = where.get(ch, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    state = whole
+    for ch in b:
+        hit = state & where.get(ch, 0)
+        state = ((state + hit) | (state - hit)) & whole
+    return len(a) - state.bit_count()
+
+
+def ratio(a: str, b: str) -> float:
+    return 100.0 if not a and not b else 200.0 * lcs_of_long(a, b) / (len(a) + len(b))
+
+
+def lowest_with_long(names: list[str], others: list[str] | None) -> float:
+    """Smallest ratio of the pairs that have a long name in them."""
+    lowest, right = 100.0, names if others is None else others
+    long_right = [n for n in right if len(n) > LONG_NAME]
+    for i, a in enumerate(names):
+        for b in (right[i + 1:] if others is None else right) if len(a) > LONG_NAME else long_right:
+            if a is not b and lowest > 0.0:
+                lowest = min(lowest, ratio(a, b))
+    return lowest
+
+
 def ratios(lcs: np.ndarray, total_length: np.ndarray) -> np.ndarray:
     return np.where(total_length == 0, 100.0, 200.0 * lcs / np.maximum(total_length, 1))
 
@@ -68,12 +98,16 @@ def _bit_lcs(name: np.ndarray, others: np.ndarray, symbols: int) -> np.ndarray:
 
 def min_cross_ratio(left: list[str], right: list[str] | None) -> float:
     """Smallest ratio between two lists of names, or inside one list when right is None."""
+    lowest = lowest_with_long(left, right)
+    left = [n for n in left if len(n) <= LONG_NAME]
+    right = None if right is None else [n for n in right if len(n) <= LONG_NAME]
+    if not left or right == []:
+        return lowest
     a, la = code_points(left)
     b, lb = (a, la) if right is None else code_points(right)
     dense_a, dense_b = _symbols(a, b)
     symbols = int(max(dense_a.max(initial=0), dense_b.max(initial=0)))
     columns = np.ascontiguousarray(dense_b.T)
-    lowest = 100.0
     for i in range(len(a)):
         start = i + 1 if right is None else 0
         if start >= len(b) or lowest == 0.0:
@@ -89,10 +123,11 @@ def min_cross_ratio(left: list[str], right: list[str] | None) -> float:
 @F.pandas_udf(T.DoubleType())
 def min_ratio_in(blocks: pd.Series) -> pd.Series:
     """Smallest pairwise ratio inside each short list of names; pairs of a batch are scored together."""
+    lowest = np.array([lowest_with_long(list(b), None) if any(len(n) > LONG_NAME for n in b) else 100.0 for b in blocks])
+    blocks = [[n for n in b if len(n) <= LONG_NAME] for b in blocks]
     sizes = np.fromiter((len(b) for b in blocks), np.int64, len(blocks))
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
     codes, lengths = code_points([n for b in blocks for n in b])
-    lowest = np.full(len(blocks), 100.0)
     for size in np.unique(sizes[sizes > 1]):
         rows = np.flatnonzero(sizes == size)
         p, q = np.triu_indices(size, 1)
@@ -103,10 +138,16 @@ def min_ratio_in(blocks: pd.Series) -> pd.Series:
             left = codes[i, : max(int(lengths[i].max()), 1)]
             right = codes[j, : max(int(lengths[j].max()), 1)]
             scores = ratios(lcs_lengths(left, right), lengths[i] + lengths[j])
-            lowest[some] = scores.reshape(len(some), len(p)).min(axis=1)
+            lowest[some] = np.minimum(lowest[some], scores.reshape(len(some), len(p)).min(axis=1))
     return pd.Series(lowest)
 
 
+@F.pandas_udf(T.DoubleType())
+def min_ratio_to(names: pd.Series, pivots: pd.Series) -> pd.Series:
+    """Smallest ratio of each name with the pivots beside it, itself left out."""
+    return pd.Series([min((ratio(n, p) for p in ps if p != n), default=100.0) for n, ps in zip(names, pivots)], dtype="float64")
+
+
 def score_chunk_pair(part: pd.DataFrame) -> pd.DataFrame:
     """One row: the smallest ratio between the two chunks of names (ci, cj) of a block."""
     head = part.iloc[0]

@@ -3,23 +3,26 @@
 Nothing here depends on how the rows are spread over birth dates. Members stay in exploded
 form (one row per member) and are never collected into an array. Names are first reduced to
 the distinct sorted-token names of a block, with a map-side combine, so copies cost nothing.
-Short blocks are scored as one bounded list each; a long block is cut into chunks of names
+Short blocks are scored as one bounded list each. In a long block every name is first compared
+with the block's few shortest ones: two names without a common letter give 0, below which no
+score can be, and such a block is done after one pass. What is left is cut into chunks of names
 and its chunk pairs become separate tasks, each giving back one number. No pair is ever a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tamarisk import params as P
 from tamarisk.functions.ordered import numbered
-from tamarisk.functions.similarity import min_ratio_in, score_chunk_pair, sorted_tokens
+from tamarisk.functions.similarity import min_ratio_in, min_ratio_to, score_chunk_pair, sorted_tokens
 from tamarisk.operators import roles
 from tamarisk.session import materialise
 
 BLOCK = ["dataset", "dob"]
 SHORT_BLOCK = 32
+PIVOTS = 6
 CHUNK_NAMES = 2048
 MOST_CHUNKS = 1024  # a longer block gets longer chunks: a name is sent this many times at most
 
@@ -51,8 +54,23 @@ def _short_scores(names: DataFrame, found: DataFrame) -> DataFrame:
     return lists.select(*BLOCK, min_ratio_in("names").alias("score"))
 
 
+def _pivot_scores(names: DataFrame, found: DataFrame) -> DataFrame:
+    """An upper bound of each long block's score: the lowest of all its names against its shortest ones."""
+    long = found.where(F.col("n_names") > SHORT_BLOCK).select(*BLOCK)
+    inside = names.join(long, BLOCK).select(*BLOCK, "sorted_name")
+    place = F.row_number().over(W.partitionBy(*BLOCK).orderBy(F.char_length("sorted_name"), "sorted_name"))
+    pivots = inside.withColumn("_n", place).where(F.col("_n") <= PIVOTS).groupBy(*BLOCK).agg(F.collect_list("sorted_name").alias("pivots"))
+    return inside.join(pivots, BLOCK).select(*BLOCK, min_ratio_to("sorted_name", "pivots").alias("score")).groupBy(*BLOCK).agg(F.min("score").alias("score"))
+
+
 def _long_scores(names: DataFrame, found: DataFrame, chunk_names: int) -> DataFrame:
-    long = found.where(F.col("n_names") > SHORT_BLOCK).select(*BLOCK, F.least(F.ceil(F.col("n_names") / chunk_names), F.lit(MOST_CHUNKS)).cast("int").alias("chunks"))
+    bounds = materialise(_pivot_scores(names, found))
+    undecided = found.join(bounds.where("score > 0").select(*BLOCK), BLOCK, "left_semi")
+    return bounds.unionByName(_chunk_scores(names, undecided, chunk_names))
+
+
+def _chunk_scores(names: DataFrame, found: DataFrame, chunk_names: int) -> DataFrame:
+    long = found.select(*BLOCK, F.least(F.ceil(F.col("n_names") / chunk_names), F.lit(MOST_CHUNKS)).cast("int").alias("chunks"))
     placed = names.select(*BLOCK, "sorted_name").join(long, BLOCK).withColumn(
         "chunk", F.pmod(F.xxhash64("sorted_name"), F.col("chunks")).cast("int"))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(

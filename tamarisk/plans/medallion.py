@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.operators import profile as prof
-from tamarisk.session import materialise
 from tamarisk.sources import text_tables as tt, zones
 
 
@@ -20,6 +19,18 @@ class Landed:
     registry: DataFrame
 
 
+@dataclass
+class GoldProfile:
+    numeric: DataFrame
+    categories: DataFrame
+
+
+def gold_profile(spark: SparkSession, gold_path: str, dataset: str) -> GoldProfile:
+    """What promotion reports of the Gold columns: figures of the quantities, most frequent values of the categories."""
+    gold = zones.read_zone(spark, gold_path, dataset)
+    return GoldProfile(prof.numeric_summary(gold), prof.top_categories(gold))
+
+
 def bronze_rows(spark: SparkSession, path: str, as_text: bool) -> DataFrame:
     """One landed load; text loads get their null tokens and types here, from columnar files."""
     rows = zones.read_zone(spark, path, path)
@@ -37,8 +48,9 @@ def run_upload(raw: DataFrame, root: str, safe_name: str, load_ts: str, as_text:
     bronze_path = zones.land_bronze(raw, root, safe_name, load_ts)
     silver_path = zones.write_version(prof.to_silver(bronze_rows(spark, bronze_path, as_text)), root, "silver", safe_name, load_ts)
     silver = zones.read_zone(spark, silver_path, safe_name)
-    registry = materialise(prof.registry_rows(prof.column_profile(silver, safe_name)))  # one row; Silver is scanned once
-    entry = registry.select("stage", "dropped_columns").first()
+    profiled = prof.registry_rows(prof.column_profile(silver, safe_name))
+    entry = profiled.first()  # one row; Silver is scanned once
+    registry = spark.createDataFrame([entry] if entry else [], profiled.schema)
     gold_path = None
     if entry and entry["stage"] == "gold":
         gold_path = zones.write_version(prof.to_gold(silver, entry["dropped_columns"]), root, "gold", safe_name, load_ts)
