@@ -4,6 +4,9 @@ The stages: bad lines and rejected documents go; one document of each near-dupli
 documents that hold a benchmark item go; sources are mixed to their targets, so that rows are copies in
 training order; token files are written and read back.
 
+A stage is given a direct scan of the Parquet files that the stage before it wrote (the first one the
+table itself), so rows can be told apart by their place in a file.
+
 Rows with null, empty or wordless texts end at the first stage; a null source, repeated rows and further
 columns are kept as each operator defines it; empty tables pass through all stages.
 """
@@ -26,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, SHINGLE_WORDS, MAX_BITS)
+    return simhash.one_of_each(docs, SHINGLE_WORDS, MAX_BITS, scanned=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, scanned=True)
 
 
 def binary_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

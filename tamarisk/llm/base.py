@@ -11,6 +11,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarisk.functions.ordered import running_totals
+from tamarisk.session import materialise
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The six ASCII white-space characters, as a pattern and as text.
@@ -49,6 +52,20 @@ def over_rows(df: DataFrame, batch: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def with_row_numbers(docs: DataFrame, name: str, scanned: bool) -> DataFrame:
+    """Adds a number of its own to every row, the same whenever the rows are read again.
+
+    ``scanned``: the frame is a direct scan of Parquet files, whose rows have a place in their file; only
+    one row per file is ordered to find where each file starts. Any other frame is written first.
+    """
+    scan = docs if scanned else materialise(docs)
+    tagged = scan.select("*", F.col("_metadata.file_path").alias("_r_file"), F.col("_metadata.row_index").alias("_r_at"))
+    files = tagged.groupBy("_r_file").agg(F.count("*").alias("_r_rows"))
+    upto = running_totals(files, [], ["_r_file"], {"_r_end": F.col("_r_rows")})
+    starts = materialise(upto.select("_r_file", (F.col("_r_end") - F.col("_r_rows")).alias("_r_start")))
+    return tagged.join(starts, "_r_file").select(*docs.columns, (F.col("_r_start") + F.col("_r_at")).alias(name))
+
+
 def worker_object(key: tuple, make: Callable):
     """One object for each Python worker and key; of keys that begin alike, the newest alone is kept.
 

@@ -25,8 +25,10 @@ from __future__ import annotations
 import math
 import string
 import sys
+import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.llm.base import table, worker_object
-from tamarisk.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -201,58 +202,72 @@ def leaks_in(index: ItemIndex, docs: list[list[bytes]]) -> Iterator[tuple[int, i
         yield d, i, edits, first, end
 
 
-_OUT = "doc_id long, item_id long, item_words int, edits int, first_word long, end_word long"
+_OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int32()), ("edits", pa.int32()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 
 
-def _pass(docs: DataFrame, ids: list, texts: list, edit_share: float, recall: float, key: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
-    out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int32()), ("edits", pa.int32()), ("first_word", pa.int64()), ("end_word", pa.int64())])
-    name = ("items", zlib.crc32(repr((ids, texts, edit_share, recall)).encode()), len(texts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = worker_object(name, lambda: ItemIndex(*shared.value, edit_share, recall))
-        for b in batches:
-            doc_ids, rows, held, size = b.column(0).to_pylist(), [], [], 0
-
-            def flush():
-                for d, item, *rest in leaks_in(index, [w for _, w in held]):
-                    rows.append((doc_ids[held[d][0]], index.ids[item], len(index.words[item]), *rest))
-
-            for k, text in enumerate(b.column(1).to_pylist()):
-                words = plain_words(text)
-                held.append((k, words))
-                size += len(words)
-                if size >= CHUNK_WORDS:
-                    flush()
-                    held, size = [], 0
-            flush()
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(out), out)], schema=out)
-
-    return docs.select(F.col(key).cast("long"), "text").mapInArrow(run, _OUT)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = MAX_EDIT_SHARE, recall: float = TARGET_RECALL,
-          part_bytes: int = PART_BYTES, key: str = "doc_id") -> DataFrame:
-    """A row for each document and item that it holds, with the fewest edits and where."""
+def _parts(benchmark: DataFrame, part_bytes: int) -> Iterator[tuple[list, list]]:
+    """The items (ids, texts) in parts of about part_bytes, dealt by a hash of the whole row."""
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     parts = max(1, -(-size // part_bytes))
-    out = None
     for p in range(parts):
-        # dealt by a hash of the whole row, so that a part has about part_bytes; equal items may share a part
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).toPandas() if parts > 1 else items.toPandas()
-        ordered = part.sort_values(["item_id", "text"])
-        ids = [None if i != i else int(i) for i in ordered["item_id"]]
-        found = _pass(docs, ids, ordered["text"].tolist(), edit_share, recall, key)
-        out = found if out is None else out.unionAll(found)
-    return out
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).toArrow().to_pylist()
+        ordered = sorted(part, key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))
+        yield [r["item_id"] for r in ordered], [r["text"] for r in ordered]
+
+
+def _found(index: ItemIndex, texts: Iterator) -> Iterator[tuple]:
+    """(place of the text, item, edits, first word, end word), a bounded number of words at once."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        words = plain_words(text)
+        held.append((k, words))
+        size += len(words)
+        if size >= CHUNK_WORDS:
+            yield from ((held[d][0], *rest) for d, *rest in leaks_in(index, [w for _, w in held]))
+            held, size = [], 0
+    yield from ((held[d][0], *rest) for d, *rest in leaks_in(index, [w for _, w in held]))
+
+
+def _index_of(docs: DataFrame, ids: list, texts: list, edit_share: float, recall: float):
+    """A function that gives a task its worker's index of the items."""
+    shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
+    name = ("items", uuid.uuid4().hex)
+    return lambda: worker_object(name, lambda: ItemIndex(*shared.value, edit_share, recall))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item; the columns stay."""
-    numbered = materialise(docs.withColumn("_c_row", F.monotonically_increasing_id()))
-    held = leaks(numbered, benchmark, key="_c_row").select(F.col("doc_id").alias("_c_row")).distinct()
-    return numbered.join(held, "_c_row", "left_anti").drop("_c_row")
+def leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = MAX_EDIT_SHARE, recall: float = TARGET_RECALL,
+          part_bytes: int = PART_BYTES) -> DataFrame:
+    """A row for each document and item that it holds, with the fewest edits and where."""
+    def one_pass(make) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = make()
+            for b in batches:
+                doc_ids = b.column(0).to_pylist()
+                rows = [(doc_ids[k], index.ids[item], len(index.words[item]), *rest) for k, item, *rest in _found(index, b.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_OUT), _OUT)], schema=_OUT)
+
+        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, item_words int, edits int, first_word long, end_word long")
+
+    passes = [one_pass(_index_of(docs, *part, edit_share, recall)) for part in _parts(benchmark, part_bytes)]
+    return reduce(DataFrame.unionAll, passes)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = MAX_EDIT_SHARE, recall: float = TARGET_RECALL,
+                  part_bytes: int = PART_BYTES) -> DataFrame:
+    """The documents that hold no item, filtered where they are read; the columns stay."""
+    def one_pass(left: DataFrame, make) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = make()
+            for b in batches:
+                held = {k for k, *_ in _found(index, b.column("text").to_pylist())}
+                yield b.filter(pa.array([k not in held for k in range(b.num_rows)], pa.bool_()))
+
+        return left.mapInArrow(run, left.schema)
+
+    for part in _parts(benchmark, part_bytes):
+        docs = one_pass(docs, _index_of(docs, *part, edit_share, recall))
+    return docs
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm.base import over_rows, table
+from tamarisk.llm.base import over_rows, table, with_row_numbers
 from tamarisk.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -264,9 +264,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle_words: int = S
     return rows.join(hot, "fp").select("id", "fp", "component_id").unionAll(rest.select("id", "fp", "component_id"))
 
 
-def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component, the earliest of the written rows; the columns stay."""
-    numbered = materialise(docs.withColumn("_n_row", F.monotonically_increasing_id()))
+def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, scanned: bool = False) -> DataFrame:
+    """One row of each component, the earliest in file order; the columns stay. ``scanned`` as in with_row_numbers."""
+    numbered = with_row_numbers(docs, "_n_row", scanned)
     kept = near_duplicates(numbered, "_n_row", shingle_words, max_bits).filter("id = component_id").select(F.col("id").alias("_n_row"))
     return numbered.join(kept, "_n_row", "left_semi").drop("_n_row")
 
