@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamarisk import params as P
+from tamarisk.catalog import credit
 from tamarisk.catalog.base import Registry, spark_sql, table, view
 from tamarisk.catalog.people import FIELDS, golden_records_of
 from tamarisk.functions import text as X
@@ -270,9 +271,22 @@ def lineage_python_literals(spark, sf):
 
 # ---- fitted parameters --------------------------------------------------------------------------------
 
-@R.query("pd_model")
+_RANKS = ", ".join(f"('{k}', {i})" for i, k in enumerate(P.PD_BY_RATING))
+# Newton steps over the counts of (rank, label): intercept and slope, the slope penalised by one over all rows.
+_NEWTON = f"""rk(k, x) AS (VALUES {_RANKS}),
+    cn AS (SELECT x::DOUBLE AS x, CAST(DPD > 90 AS INT)::DOUBLE AS y, count(*)::DOUBLE AS w FROM v_loans JOIN rk ON RATING = k GROUP BY 1, 2),
+    tt AS (SELECT sum(w) AS n, sum(w * y) / sum(w) AS mean FROM cn),
+    nw(i, a, b) AS (SELECT 0, ln(mean / (1 - mean)), 0::DOUBLE FROM tt
+      UNION ALL SELECT i + 1, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+        SELECT i, a, b, sum(w * (p - y)) / max(n) AS g0, sum(w * (p - y) * x) / max(n) + b / max(n) AS g1, sum(w * p * (1 - p)) / max(n) AS h00,
+          sum(w * p * (1 - p) * x) / max(n) AS h01, sum(w * p * (1 - p) * x * x) / max(n) + 1 / max(n) AS h11
+        FROM (SELECT nw.i, nw.a, nw.b, cn.*, tt.n, 1 / (1 + exp(-(nw.a + nw.b * cn.x))) AS p FROM nw, cn, tt WHERE nw.i < 30) GROUP BY i, a, b)),
+    fit AS (SELECT k, x, 1 / (1 + exp(-(a + b * x))) AS pd FROM rk, nw WHERE i = 30)"""
+
+
+@R.query("pd_model", f"WITH RECURSIVE {_NEWTON} SELECT k AS rating_key, x AS rating_rank, round(pd, 6) AS rating_pd FROM fit")
 def pd_model(spark, sf):
-    """Default scorecard fitted on all loans; there is no closed form to state in SQL."""
+    """Default scorecard fitted on all loans."""
     labels = view(spark, sf, "v_loans").select("RATING", (F.col("DPD") > 90).alias("defaulted"))
     return models.fit_default_scorecard(labels).select("rating_key", "rating_rank", F.round("rating_pd", 6).alias("rating_pd"))
 
@@ -290,7 +304,11 @@ def lgd_model(spark, sf):
     return _severity(spark, sf).withColumn("facility_lgd", F.round("facility_lgd", 9))
 
 
-@R.query("ecl_trained")
+@R.query("ecl_trained", credit.MODEL_SQL.replace("WITH ", f"WITH RECURSIVE {_NEWTON}, sev AS ({_SEV}), ", 1)
+         .replace("coalesce(rpd, 0.1::DOUBLE) AS pd0, coalesce(flgd, 0.55::DOUBLE) AS lgd",
+                  "coalesce((SELECT pd FROM fit WHERE k = RATING), 0.1::DOUBLE) AS pd0, coalesce((SELECT facility_lgd FROM sev WHERE facility_key = FACILITY_TYPE), 0.55::DOUBLE) AS lgd") + f"""
+    SELECT count(*) AS loan_count, {credit.AMOUNT(credit.TOTAL('EAD'))} AS total_ead, {credit.AMOUNT(credit.TOTAL('ecl_base'))} AS total_ecl,
+           round({credit.TOTAL('ecl_base')}::DOUBLE / {credit.TOTAL('EAD')}::DOUBLE, 4) AS coverage_ratio FROM loss""")
 def ecl_trained(spark, sf):
     """Credit loss with both fitted parameter tables in place of the stated ones."""
     loans = view(spark, sf, "v_loans")

@@ -31,7 +31,7 @@ def test_hot_block(spark, con):
 
 def test_every_check_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalog.queries()) - set(catalog.oracles()) == {"pd_model", "ecl_trained", "dup_hot_block"}
+    assert set(catalog.queries()) - set(catalog.oracles()) == {"dup_hot_block"}
 
 
 def test_entry(spark):
