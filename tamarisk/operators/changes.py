@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk import params as P
+from tamarisk.functions.ordered import extreme_of_each
 from tamarisk.functions.text import clean_text
 from tamarisk.session import materialise
 
@@ -30,25 +31,14 @@ def without_key(changes: DataFrame, keys: list[str]) -> DataFrame:
     return changes.where(missing).withColumn("reason", F.lit(NO_KEY))
 
 
-def _one_of_each(changes: DataFrame, keys: list[str], order: str, pick, settle) -> DataFrame:
-    """One change of each key. The order's extreme is a number that combines in hash maps before the
-    shuffle; the changes that reach it are then few, and of several the settled value counts."""
-    rest = [c for c in changes.columns if c not in keys]
-    named = keyed(changes, keys)
-    ends = named.groupBy(*keys).agg(pick(order).alias("_end"))
-    at_end = named.join(ends, keys).where(F.col(order).eqNullSafe(F.col("_end")))
-    one = at_end.groupBy(*keys).agg(settle(F.collect_set(F.struct(*rest))).alias("_c"))
-    return one.select(*keys, "_c.*").select(*changes.columns)
-
-
 def latest(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last change of each key; of several last ones the greatest."""
-    return _one_of_each(changes, keys, order, F.max, F.array_max)
+    return extreme_of_each(keyed(changes, keys), keys, [order])
 
 
 def first(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first change of each key; of several first ones the smallest."""
-    return _one_of_each(changes, keys, order, F.min, F.array_min)
+    return extreme_of_each(keyed(changes, keys), keys, [order], last=False)
 
 
 def upsert_by_key(base: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarisk.functions.ordered import extreme_of_each
 from tamarisk.functions.text import listed_uris, uri_tail
 from tamarisk.session import materialise
 
 
 def latest_runs(task_runs: DataFrame) -> DataFrame:
-    """The newest run of every job: one mergeable maximum, no sort of a job's whole history."""
-    run = F.struct("dataset", "task", "state", "inlets", "outlets", "started_at", "ended_at", "run_key")
-    return task_runs.groupBy("job").agg(F.max_by(run, F.struct("started_at", "run_key", "task_no")).alias("r")).select("job", "r.*")
+    """The newest run of every job, without a sort of a job's whole history."""
+    run = ["job", "dataset", "task", "state", "inlets", "outlets", "started_at", "ended_at", "run_key", "task_no"]
+    return extreme_of_each(task_runs.select(*run), ["job"], ["started_at", "run_key", "task_no"]).drop("task_no")
 
 
 FACETS = """struct<latestRun: struct<state: string, durationMs: bigint,
@@ -58,30 +59,26 @@ def nodes(jobs: DataFrame) -> DataFrame:
 def levels(node_ids: DataFrame, graph: DataFrame) -> DataFrame:
     """Longest-path level of every node: sources are peeled off, round by round.
 
-    A node leaves in the round after its last input, so the round number is its level. Only
-    the remaining edges are written per round (their counts come from the file footers), and
-    the number of rounds is the depth of the graph. Nodes on or behind a cycle never become
-    sources; their level is null.
+    A node leaves in the round after its last input, so the round number is its level. A round counts,
+    for each node, the inputs that left in the round before, takes them from the inputs it still waits
+    for, and writes the nodes once; the links are never rewritten. The cost is the depth of the graph in
+    rounds. Nodes on or behind a cycle never become sources; their level is null.
     """
-    nodes_only = materialise(node_ids.select("id").distinct())
-    links = materialise(graph.select("from_id", "to_id").distinct().join(nodes_only.withColumnRenamed("id", "to_id"), "to_id", "left_semi"))
-    waiting = links.select(F.col("to_id").alias("id")).distinct()
-    parts = [nodes_only.join(waiting, "id", "left_anti")]
-    sources = parts[0].unionByName(links.select(F.col("from_id").alias("id")).distinct().join(waiting, "id", "left_anti"))
-    left = links.count()
-    while left:
-        rest = materialise(links.join(sources.select(F.col("id").alias("from_id")), "from_id", "left_anti"))
-        kept = rest.count()
-        if kept == left:
-            break
-        still = rest.select(F.col("to_id").alias("id")).distinct()
-        sources = waiting.join(still, "id", "left_anti")
-        parts.append(sources)
-        links, waiting, left = rest, still, kept
-    out = waiting.withColumn("level", F.lit(None).cast("int"))  # empty unless there is a cycle
-    for level, part in enumerate(parts):
-        out = out.unionByName(part.withColumn("level", F.lit(level)))
-    return out
+    listed = node_ids.select("id").distinct().withColumn("listed", F.lit(True))
+    links = materialise(graph.select("from_id", "to_id").distinct().join(listed.select(F.col("id").alias("to_id")), "to_id", "left_semi"))
+    inputs = links.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("waiting"))
+    known = listed.join(links.select(F.col("from_id").alias("id")).distinct(), "id", "full").join(inputs, "id", "left")
+    state = materialise(known.select("id", "listed", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.when(F.col("waiting").isNull(), 0).alias("level")))
+    level = 0
+    while True:
+        left = state.where(F.col("level") == level).select(F.col("id").alias("from_id"))
+        met = links.join(left, "from_id").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("met"))
+        waiting = F.col("waiting") - F.coalesce("met", F.lit(0))
+        reached = F.when(F.col("level").isNull() & (waiting == 0), level + 1).otherwise(F.col("level"))
+        state = materialise(state.join(met, "id", "left").select("id", "listed", waiting.alias("waiting"), reached.alias("level")))
+        level += 1
+        if state.where(F.col("level") == level).isEmpty():
+            return state.where("listed").select("id", "level")
 
 
 def gold_traces(graph: DataFrame, jobs: DataFrame, keyword: str, task: str = "gold_compute") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from tamarisk.functions.ordered import extreme_of_each
 from tamarisk.functions.times import seconds_between
 
 
@@ -34,8 +35,8 @@ def by_prefix(runs: DataFrame) -> DataFrame:
 
 def last_finished(tasks: DataFrame, key: str = "dataset") -> DataFrame:
     """The latest finished run of every task per key."""
-    done = tasks.where(F.col("ended_at").isNotNull())
-    return done.groupBy(key, "task").agg(F.max_by(F.struct("state", "ended_at"), F.struct("ended_at", "started_at", "run_key", "task_no")).alias("r")).select(key, "task", "r.*")
+    done = tasks.where(F.col("ended_at").isNotNull()).select(key, "task", "state", "ended_at", "started_at", "run_key", "task_no")
+    return extreme_of_each(done, [key, "task"], ["ended_at", "started_at", "run_key", "task_no"]).select(key, "task", "state", "ended_at")
 
 
 def job_list(latest: DataFrame) -> DataFrame:
