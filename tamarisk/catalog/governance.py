@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamarisk import params as P
-from tamarisk.catalog.base import Registry, spark_sql, table, view
+from tamarisk.catalog.base import Registry, placed, spark_sql, table, view
 from tamarisk.functions import text as X
 from tamarisk.functions.times import quarter_label
 from tamarisk.operators import access, changes as ch, compliance as cp, history as hs, maturity as mt, stewardship as st
@@ -304,9 +304,10 @@ def steward_policy(spark, sf):
     return st.policies(view(spark, sf, "v_datasets"), settings).select("dataset", "retention_days", "review_frequency", "frequency_label", "configured")
 
 
-@R.query("steward_tasks", "SELECT id, dataset, status, status NOT IN ('done', 'cancelled') AS is_open FROM v_tasks_list")
+@R.query("steward_tasks", """SELECT id, dataset, status, status NOT IN ('done', 'cancelled') AS is_open,
+    row_number() OVER (ORDER BY CASE WHEN status IN ('done', 'cancelled') THEN 1 ELSE 0 END, id DESC) AS place FROM v_tasks_list""")
 def steward_tasks(spark, sf):
-    return st.task_list(view(spark, sf, "v_tasks_list"))
+    return placed(st.task_list(view(spark, sf, "v_tasks_list")))
 
 
 @R.query("steward_task_counts", "SELECT dataset, count(*) AS tasks, count(*) FILTER (WHERE status NOT IN ('done', 'cancelled')) AS open_tasks FROM v_tasks_list GROUP BY 1")
@@ -476,9 +477,10 @@ def reference_counts(spark, sf):
     return st.child_counts(table(spark, sf, "region"), members, "r_regionkey", "value_count")
 
 
-@R.query("reference_search", "SELECT p_partkey AS code, p_name AS label FROM part WHERE contains(CAST(p_partkey AS VARCHAR), '12') OR contains(lower(p_name), '12')")
+@R.query("reference_search", """SELECT p_partkey AS code, p_name AS label, row_number() OVER (ORDER BY CAST(p_partkey AS VARCHAR)) AS place FROM part
+    WHERE contains(CAST(p_partkey AS VARCHAR), '12') OR contains(lower(p_name), '12')""")
 def reference_search(spark, sf):
-    return st.search_values(table(spark, sf, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("label")), "12")
+    return placed(st.search_values(table(spark, sf, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("label")), "12"))
 
 
 @R.query("reference_seeded", "SELECT replace(lower(p_name), ' ', '-') AS slug, p_partkey AS code FROM part WHERE replace(lower(p_name), ' ', '-') NOT IN (SELECT replace(lower(p_name), ' ', '-') FROM part WHERE p_size > 45)")
@@ -487,10 +489,10 @@ def reference_seeded(spark, sf):
     return st.seed_values(parts.where("p_size > 45"), parts.drop("p_size"))
 
 
-@R.query("glossary_search", """SELECT id, term, array_to_string(list_filter(list_transform(string_split(tags, ','), lambda t: trim(t)), lambda t: t <> ''), '|') AS tags FROM v_terms
+@R.query("glossary_search", """SELECT id, term, array_to_string(list_filter(list_transform(string_split(tags, ','), lambda t: trim(t)), lambda t: t <> ''), '|') AS tags, row_number() OVER (ORDER BY lower(term)) AS place FROM v_terms
     WHERE contains(lower(term), 'small') OR contains(lower(definition), 'small') OR contains(lower(tags), 'small')""")
 def glossary_search(spark, sf):
-    return st.search_terms(st.glossary(view(spark, sf, "v_terms")), " Small ").select("id", "term", F.array_join("tag_list", "|").alias("tags"))
+    return placed(st.search_terms(st.glossary(view(spark, sf, "v_terms")), " Small ").select("id", "term", F.array_join("tag_list", "|").alias("tags")))
 
 
 @R.query("glossary_domains", "SELECT domain, count(*) AS terms FROM v_terms GROUP BY 1")

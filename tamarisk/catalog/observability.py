@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tamarisk import params as P
 from tamarisk.catalog import credit
-from tamarisk.catalog.base import Registry, spark_sql, table, view
+from tamarisk.catalog.base import Registry, placed, spark_sql, table, view
 from tamarisk.catalog.people import FIELDS, golden_records_of
 from tamarisk.functions import text as X
 from tamarisk.functions.times import freshness, seconds_between
@@ -147,12 +147,12 @@ def freshness_labels(spark, sf):
     return view(spark, sf, "v_runs").select("run_id", freshness(F.col("ended_at"), now).alias("label"))
 
 
-@R.query("job_list", """SELECT job, job_type, state FROM (SELECT concat(dataset, '') AS job, 'DAG' AS job_type, state, row_number() OVER (PARTITION BY dataset ORDER BY started_at DESC, run_key DESC) AS n FROM v_runs
+@R.query("job_list", """SELECT job, job_type, state, row_number() OVER (ORDER BY CASE job_type WHEN 'DAG' THEN 0 ELSE 1 END, job) AS place FROM (SELECT concat(dataset, '') AS job, 'DAG' AS job_type, state, row_number() OVER (PARTITION BY dataset ORDER BY started_at DESC, run_key DESC) AS n FROM v_runs
     UNION ALL SELECT job, 'TASK', state, row_number() OVER (PARTITION BY job ORDER BY started_at DESC, run_key DESC, task_no DESC) FROM v_jobs) WHERE n = 1""")
 def job_list(spark, sf):
     dags = view(spark, sf, "v_runs").groupBy(F.col("dataset").alias("job")).agg(F.max_by("state", F.struct("started_at", "run_key")).alias("state")).withColumn("job_type", F.lit("DAG"))
     tasks = lineage.latest_runs(view(spark, sf, "v_jobs")).select("job", "state").withColumn("job_type", F.lit("TASK"))
-    return runs.job_list(dags.unionByName(tasks))
+    return placed(runs.job_list(dags.unionByName(tasks)))
 
 
 _FACETS = """SELECT concat(job, '#', run_key, '-', task_no) AS job, CASE WHEN task = 'notify' THEN 'DAG' ELSE 'TASK' END AS job_type,
