@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     return {
+        "op1_secret_scan": secrets.OP1_SQL,
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op4_source_mixing": mixing.OP4_SQL,
         "op9_chat_formatting": chat.OP9_SQL,

@@ -143,3 +143,34 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("secrets", lambda x: x["kind"] != "entropy")
     counts = [F.array_size(F.array_compact(F.transform("secrets", _if_kind(kind)))).cast("long").alias(f"n_{kind}") for kind in KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"))
+
+
+def _sql_spans(pattern: str) -> str:
+    """Matches of a pattern in ``text`` as (start, end, hit): the lengths of what lies before, summed anew for each."""
+    p = pattern.replace("'", "''")
+    gaps, hits = f"string_split_regex(text, '{p}')", f"regexp_extract_all(text, '{p}')"
+    return (f"list_transform(range(1, len({hits}) + 1), lambda i: {{'start': CAST(list_sum(list_transform(({gaps})[1:i], lambda g: length(g))) "
+            f"+ coalesce(list_sum(list_transform(({hits})[1:i - 1], lambda h: length(h))), 0) AS BIGINT), 'hit': ({hits})[i]}})")
+
+
+_ALLOWED_SQL = " OR ".join(f"regexp_matches(hit, '{a}')" for a in ALLOWED)
+# Every window's sum from its own counts, and islands of windows that overlap or touch.
+OP1_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT rid, 0 AS rank, 'assign' AS kind, unnest({_sql_spans(ASSIGN)}) AS s FROM d
+  UNION ALL SELECT rid, 1, 'access', unnest({_sql_spans(ACCESS)}) FROM d UNION ALL SELECT rid, 2, 'hex', unnest({_sql_spans(HEX)}) FROM d
+  UNION ALL SELECT rid, 3, 'run', unnest({_sql_spans(CANDIDATE)}) FROM d),
+f AS (SELECT rid, rank, kind, s.start AS a, s.start + length(s.hit) AS z, s.hit AS hit FROM m),
+base AS (SELECT rid, rank, kind, a, z FROM f WHERE rank < 3 AND (rank > 0 OR length(regexp_extract(hit, '{ASSIGN.replace("'", "''")}', 2)) >= {MIN_VALUE})),
+c AS (SELECT rid, a, hit, CASE WHEN regexp_matches(hit, '^([0-9a-f]+|[0-9A-F]+)$') THEN {_bound(THRESHOLDS['hex'])}
+        WHEN regexp_matches(hit, '^([^A-Z]*|[^a-z]*)$') THEN {_bound(THRESHOLDS['single'])} ELSE {_bound(THRESHOLDS['mixed'])} END AS bound
+      FROM f WHERE rank = 3 AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT ({_ALLOWED_SQL})),
+w AS (SELECT rid, a, bound, i, string_split(substring(hit, i + 1, {WINDOW}), '') AS chars FROM (SELECT *, unnest(range(length(hit) - {WINDOW - 1})) AS i FROM c)),
+hot AS (SELECT rid, a, i FROM w WHERE list_sum(list_transform(list_distinct(chars), lambda x:
+        {[0] + _weights()[1:]}[1 + len(list_filter(chars, lambda y: y = x))])) <= bound),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, a ORDER BY i) AS island FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY rid, a ORDER BY i) <= {WINDOW} THEN 0 ELSE 1 END AS fresh FROM hot)),
+spans AS (SELECT * FROM base UNION ALL SELECT rid, 3, 'entropy', a + min(i), a + max(i) + {WINDOW} FROM g GROUP BY rid, a, island),
+t AS (SELECT rid, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) AS spans, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) FILTER (WHERE rank < 3) AS base,
+        count(*) FILTER (WHERE rank = 0) AS n0, count(*) FILTER (WHERE rank = 1) AS n1, count(*) FILTER (WHERE rank = 2) AS n2 FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN t USING (rid)"""
