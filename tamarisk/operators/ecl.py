@@ -64,6 +64,13 @@ def facility_table(spark) -> DataFrame:
     return P.inline_table(spark, "facility_key, facility_lgd", list(P.LGD_BY_FACILITY.items()))
 
 
+def _one_row_each(given: DataFrame, key: str) -> DataFrame:
+    """A given parameter table: a repeated key would repeat its loans. Its size is the planner's to judge."""
+    if not given.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError(f"{key} is repeated in the given parameters")
+    return given
+
+
 def per_loan(loans: DataFrame, reporting_date: str = P.REPORTING_DATE, ratings: DataFrame | None = None,
              facilities: DataFrame | None = None, substring_match: bool = False) -> DataFrame:
     """Loans with unknown flags, stage, effective PD, LGD and one loss per scenario.
@@ -75,12 +82,12 @@ def per_loan(loans: DataFrame, reporting_date: str = P.REPORTING_DATE, ratings:
     if missing:
         raise ValueError(f"missing modelling columns: {missing}")
     spark = loans.sparkSession
-    ratings = rating_table(spark) if ratings is None else ratings
-    facilities = facility_table(spark) if facilities is None else facilities
+    ratings = F.broadcast(rating_table(spark)) if ratings is None else _one_row_each(ratings, "rating_key")
+    facilities = F.broadcast(facility_table(spark)) if facilities is None else _one_row_each(facilities, "facility_key")
     default_pd = P.PD_BY_RATING[P.DEFAULT_RATING]
     out = (
-        loans.join(F.broadcast(ratings), F.col("RATING") == F.col("rating_key"), "left")
-        .join(F.broadcast(facilities), F.col("FACILITY_TYPE") == F.col("facility_key"), "left")
+        loans.join(ratings, F.col("RATING") == F.col("rating_key"), "left")
+        .join(facilities, F.col("FACILITY_TYPE") == F.col("facility_key"), "left")
         .withColumn("unknown_rating", F.col("rating_key").isNull())
         .withColumn("unknown_facility", F.col("facility_key").isNull())
         .withColumn("computed_stage", staged(loans, substring_match))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tamarisk.functions import credit
 from tamarisk.operators import ecl, models
 
 LOANS = """SELECT * FROM VALUES
@@ -104,3 +105,15 @@ def test_fitted_scorecard_rises_with_rank(spark):
 def test_fitted_severity_is_the_clipped_mean(spark):
     df = spark.sql("SELECT * FROM VALUES ('تمويل عقاري', 0.2D), ('تمويل عقاري', 0.3D), ('تمويل شخصي', 1.5D), ('other', 0.9D) AS t(FACILITY_TYPE, severity)")
     assert {r[0]: r[1] for r in models.fit_severity(df).collect()} == {"تمويل عقاري": 0.25, "تمويل شخصي": 0.95}
+
+
+def test_repeated_parameters_are_refused(spark, loans):
+    twice = spark.sql("SELECT * FROM VALUES ('AAA', 0, 0.1D), ('AAA', 0, 0.2D) AS t(rating_key, rating_rank, rating_pd)")
+    with pytest.raises(ValueError, match="rating_key is repeated"):
+        ecl.per_loan(loans, ratings=twice)
+
+
+def test_large_exposures_are_summed_exactly(spark):
+    df = spark.sql("SELECT * FROM VALUES (0.0000005D), (2e12D), (3e20D), (CAST(NULL AS DOUBLE)) AS t(x)")
+    assert int(df.agg(credit.total(F.col("x")).alias("t")).first()[0]) == 300000000000000000000 * 10**6 + 2 * 10**18 + 1
+    assert df.where("x IS NULL").agg(credit.total(F.col("x")).alias("t")).first()[0] is None
