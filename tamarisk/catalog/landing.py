@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -199,9 +200,10 @@ def lake_round_trip(spark, sf):
 @R.query("medallion_run", _GATE + """ SELECT dataset AS safe_name, CASE WHEN held THEN 'silver_held' ELSE 'gold' END AS stage, rows,
     duplicate_rows_removed, NOT held AS in_gold FROM gate""")
 def medallion_run(spark, sf):
-    """Every source through the written zones."""
+    """Every source through the written zones, side by side: they share nothing but the cluster."""
     root = scratch_path(spark, "zones")
-    landed = [medallion.run_upload(raw_table(spark, sf, n), root, n, "20260901T080000") for n in SOURCES]
+    with ThreadPoolExecutor(len(SOURCES)) as side:
+        landed = list(side.map(lambda n: medallion.run_upload(raw_table(spark, sf, n), root, n, "20260901T080000"), SOURCES))
     out = reduce(lambda a, b: a.unionByName(b), [x.registry for x in landed])
     return out.select("safe_name", "stage", "rows", "duplicate_rows_removed", F.col("gold_path").isNotNull().alias("in_gold"))
 

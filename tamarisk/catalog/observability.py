@@ -59,7 +59,7 @@ def lineage_levels(spark, sf):
     FROM k WHERE task = 'gold_compute' AND len(list_filter(o, lambda x: contains(lower(x), 'ifrs9'))) > 0""")
 def lineage_gold_traces(spark, sf):
     jobs = _jobs(spark, sf)
-    return lineage.gold_traces(lineage.edges(jobs), jobs, "ifrs9").select("dataset", "state", "output", F.array_join("in_uris", ",").alias("inputs"))
+    return lineage.gold_traces(jobs, "ifrs9").select("dataset", "state", "output", F.array_join("in_uris", ",").alias("inputs"))
 
 
 def field_registry(spark, sf):
@@ -100,8 +100,7 @@ def field_lineage(spark, sf):
     ids = golden.contributions(golden.as_maps(merged, FIELDS), "NATIONAL_ID")
     states = dedup.lifecycle_counts(view(spark, sf, "v_decisions"), merged)
     jobs = _jobs(spark, sf)
-    graph = lineage.edges(jobs)
-    return lineage.field_report(materialise(field_registry(spark, sf)), ids, states, lineage.gold_traces(graph, jobs, "ifrs9"), lineage.gold_traces(graph, jobs, "ndi"), assessed=False)
+    return lineage.field_report(materialise(field_registry(spark, sf)), ids, states, lineage.gold_traces(jobs, "ifrs9"), lineage.gold_traces(jobs, "ndi"), assessed=False)
 
 
 # ---- runs ----------------------------------------------------------------------------------------

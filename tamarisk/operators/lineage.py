@@ -81,7 +81,7 @@ def levels(node_ids: DataFrame, graph: DataFrame) -> DataFrame:
             return state.where("listed").select("id", "level")
 
 
-def gold_traces(graph: DataFrame, jobs: DataFrame, keyword: str, task: str = "gold_compute") -> DataFrame:
+def gold_traces(jobs: DataFrame, keyword: str, task: str = "gold_compute") -> DataFrame:
     """Per dataset: the first output of its Gold job whose uri holds the keyword, and the job's inputs."""
     hit = jobs.where(F.col("task") == task).select(
         "dataset", "job", "state", "in_uris", F.try_element_at(F.filter("out_uris", lambda u: F.contains(F.lower(u), F.lit(keyword))), F.lit(1)).alias("output"))

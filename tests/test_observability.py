@@ -79,7 +79,7 @@ def test_lineage_from_run_reports(spark):
     assert edges == {("s/clean.csv", "pipe.silver"), ("pipe.silver", "t/silver/"), ("t/silver/", "pipe.gold"), ("pipe.gold", "t/gold_ndi"), ("pipe.gold", "t/gold_IFRS9")}
     labels = {r["id"]: r["label"] for r in lineage.nodes(jobs).collect()}
     assert labels["t/silver/"] == "t/silver/" and labels["s/clean.csv"] == "clean.csv" and "pipe.verify" not in labels
-    trace = lineage.gold_traces(lineage.edges(jobs), jobs, "ifrs9").first()
+    trace = lineage.gold_traces(jobs, "ifrs9").first()
     assert (trace["output"], trace["state"]) == ("t/gold_IFRS9", "ok")
 
 
