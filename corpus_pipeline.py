@@ -21,7 +21,10 @@ from tamarisk.llm import decontaminate, mixing, quality, simhash, token_files
 from tamarisk.session import materialise, scratch_path
 
 SHINGLE_WORDS = 5
-MAX_BITS = 3
+SIMILARITY = 0.8
+MAX_BITS = 7          # between the fingerprints of two texts' words, of 64
+MAX_CHECK_BITS = 10   # between their second fingerprints, which keeps chance neighbours apart
+GROUP_ROWS = 5_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, SHINGLE_WORDS, MAX_BITS, scanned=True)
+    """Near copies are found by their words' fingerprints and verified by their five-word shingles."""
+    return simhash.one_of_each(docs, SHINGLE_WORDS, SIMILARITY, MAX_BITS, MAX_CHECK_BITS, GROUP_ROWS, scanned=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarisk.functions.ordered import extreme_of_each
 from tamarisk.llm.base import over_rows, table, with_row_numbers
 from tamarisk.session import materialise
 
@@ -81,7 +83,8 @@ class GrayIndex:
     """A tree over fingerprints in Gray order; each node holds the bits shared below it that its parent lacks."""
 
     def __init__(self, fps: np.ndarray):
-        self.fps = fps[np.argsort(gray_rank(fps), kind="stable")]
+        self.order = np.argsort(gray_rank(fps), kind="stable")
+        self.fps = fps[self.order]
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # from the leaves up: mask, pattern
         masks, patterns = np.full(len(fps), ~np.uint64(0)), self.fps
         while True:
@@ -139,24 +142,27 @@ def small_group_links(group: np.ndarray, fps: np.ndarray, max_bits: int) -> tupl
     return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
-def group_stars(mask: np.ndarray, value: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, smaller linked fingerprint) for rows sorted by group, whole groups only."""
+def group_stars(mask: np.ndarray, value: np.ndarray, fps: np.ndarray, checks: np.ndarray, nodes: np.ndarray,
+                max_bits: int, max_check_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smaller linked node) for rows sorted by group, whole groups only."""
     starts = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])
     sizes = np.diff(np.r_[starts, len(fps)])
     group = np.repeat(np.arange(len(starts)), sizes)
-    bits = fps.view(np.uint64)
+    bits, checks = fps.view(np.uint64), checks.view(np.uint64)
+
+    def checked(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = np.bitwise_count(checks[i] ^ checks[j]) <= max_check_bits
+        return i[good], j[good]
+
     small = sizes[group] <= SMALL_GROUP
-    i, j = small_group_links(np.where(small, group, -1 - np.arange(len(group))), bits, max_bits)
-    labels = smallest_reachable(fps.copy(), i, j)
+    found = [checked(*small_group_links(np.where(small, group, -1 - np.arange(len(group))), bits, max_bits))]
     for g in np.flatnonzero(sizes > SMALL_GROUP):
-        part = slice(starts[g], starts[g] + sizes[g])
-        index = GrayIndex(bits[part])
-        own = index.fps.view(np.int64).copy()
-        found = list(index.links(max_bits))
-        own = smallest_reachable(own, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-        fps[part], labels[part] = index.fps.view(np.int64), own
-    linked = labels != fps
-    return fps[linked], labels[linked]
+        index = GrayIndex(bits[starts[g]:starts[g] + sizes[g]])
+        places = starts[g] + index.order
+        found += [checked(places[i], places[j]) for i, j in index.links(max_bits)]
+    labels = smallest_reachable(nodes.copy(), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+    linked = labels != nodes
+    return nodes[linked], labels[linked]
 
 
 def _parts(free: int, count: int) -> list[int]:
@@ -170,15 +176,19 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """a, b: stars whose components are those of all links between the distinct fingerprints ``fp``."""
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_ROWS, max_check_bits: int = 64) -> DataFrame:
+    """a, b: stars whose components are those of all links between the rows (node, fp, check).
+
+    A link has at most max_bits between the fingerprints ``fp`` and max_check_bits between ``check``, a
+    second fingerprint that is not routed by.
+    """
     everything = (1 << 64) - 1
-    masks, routed, stars = {0}, distinct.select(F.lit(0).cast("long").alias("mask"), "fp"), []
+    masks, routed, stars = {0}, distinct.select(F.lit(0).cast("long").alias("mask"), "fp", "check", "node"), []
     while True:
         finer = {m: [m | p for p in _parts(everything & ~m, max_bits + 1)] for m in masks}
         options = F.create_map(*[x for m, subs in finer.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(s)) for s in subs]))])
         masks = {s for subs in finer.values() for s in subs}
-        routed = routed.select("fp", F.explode(options[F.col("mask")]).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        routed = routed.select("fp", "check", "node", F.explode(options[F.col("mask")]).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         if len(finer) > 1:
             routed = routed.distinct()  # the same bits can be fixed in either order
         routed = materialise(routed)
@@ -187,8 +197,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP
         fits = F.col("rows") <= group_rows
         # a group whose free bits cannot be dealt out again is bounded by them
         smallest = min(64 - m.bit_count() for m in masks)
-        stars.append(_searched(sized.filter(fits) if smallest > max_bits else sized, max_bits))
-        routed = sized.filter(~fits).select("mask", "fp")
+        stars.append(_searched(sized.filter(fits) if smallest > max_bits else sized, max_bits, max_check_bits))
+        routed = sized.filter(~fits).select("mask", "fp", "check", "node")
         if smallest <= max_bits or routed.isEmpty():
             break
     out = stars[0]
@@ -197,7 +207,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP
     return out
 
 
-def _searched(groups: DataFrame, max_bits: int) -> DataFrame:
+def _searched(groups: DataFrame, max_bits: int, max_check_bits: int) -> DataFrame:
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,17 +216,17 @@ def _searched(groups: DataFrame, max_bits: int) -> DataFrame:
             rows = [c.to_numpy() for c in b.columns]
             if rest is not None:
                 rows = [np.concatenate([x, y]) for x, y in zip(rest, rows)]
-            mask, value, _ = rows
+            mask, value = rows[:2]
             last = np.flatnonzero((mask != mask[-1]) | (value != value[-1]))
             cut = last[-1] + 1 if len(last) else 0  # the last group may go on in the next batch
             rest = [x[cut:] for x in rows]
             if cut:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in group_stars(*[x[:cut].copy() for x in rows], max_bits)], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in group_stars(*[x[:cut].copy() for x in rows], max_bits, max_check_bits)], schema=out)
         if rest is not None and len(rest[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in group_stars(*[x.copy() for x in rest], max_bits)], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in group_stars(*[x.copy() for x in rest], max_bits, max_check_bits)], schema=out)
 
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = groups.select("mask", "value", "fp").repartition(parts, "mask", "value").sortWithinPartitions("mask", "value")
+    dealt = groups.select("mask", "value", "fp", "check", "node").repartition(parts, "mask", "value").sortWithinPartitions("mask", "value")
     return dealt.mapInArrow(search, "a long, b long")
 
 
@@ -250,25 +260,106 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle_words: int = S
     """id, fp, component_id (the smallest id that links reach) for every row."""
     rows = materialise(fingerprints(docs, key, shingle_words))
     distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
-    roots = materialise(components(links(distinct, max_bits)))
+    roots = materialise(components(links(distinct.select("fp", F.lit(0).cast("long").alias("check"), F.col("fp").alias("node")), max_bits)))
     linked = distinct.join(roots, F.col("fp") == F.col("node"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("least"))
     known = linked.join(smallest, "root").select("fp", "least")
     names = materialise(distinct.join(known, "fp", "left").select("fp", "copies", F.coalesce("least", "first").alias("component_id")))
-    # The texts with very many copies are fewer than four for each partition: their rows need no shuffle,
-    # and without them no fingerprint fills a task.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    common = F.col("copies") > F.lit(rows.count() // (4 * parts))
-    hot = F.broadcast(names.filter(common).drop("copies"))
-    rest = rows.join(hot, "fp", "left_anti").join(names.filter(~common), "fp")
-    return rows.join(hot, "fp").select("id", "fp", "component_id").unionAll(rest.select("id", "fp", "component_id"))
+    return _named(rows, names, ["fp"], rows.count()).select("id", "fp", "component_id")
+
+
+def _named(rows: DataFrame, names: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Rows joined with the names of their fingerprints, which tell how many ``copies`` each has.
 
+    Fingerprints with very many copies are fewer than four for each partition: their rows need no
+    shuffle, and without them no fingerprint fills a task.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = F.col("copies") > F.lit(total // (4 * parts))
+    hot = F.broadcast(names.filter(common))
+    columns = [*rows.columns, *[c for c in names.columns if c not in on]]
+    rest = rows.join(hot, on, "left_anti").join(names.filter(~common), on)
+    return rows.join(hot, on).select(*columns).unionAll(rest.select(*columns))
+
+
+def word_fingerprints(text: str | None) -> tuple[int, int]:
+    """Two fingerprints of the set of words of a text, as signed 64-bit numbers.
 
-def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, scanned: bool = False) -> DataFrame:
-    """One row of each component, the earliest in file order; the columns stay. ``scanned`` as in with_row_numbers."""
+    A few changed words out of a hundred change a set of words far less than a set of shingles, and
+    common words count once, so copies stay within a few bits and other texts far away.
+    """
+    words = set((text or "").encode().lower().split())
+    total, n = np.zeros(128, np.int64), len(words)
+    hashes = b"".join(map(xxhash.xxh3_128_digest, words))
+    for at in range(0, 16 * n, 16 * HASH_CHUNK):
+        part = np.frombuffer(hashes[at:at + 16 * HASH_CHUNK], np.uint8).reshape(-1, 16)
+        total += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    both = np.packbits(2 * total > n).view("<i8")
+    return int(both[0]), int(both[1])
+
+
+def similarity(a: str | None, b: str | None, shingle_words: int) -> float:
+    """Jaccard similarity of the sets of word shingles; texts of fewer words are one shingle."""
+    if a == b:
+        return 1.0
+    x, y = _shingle_set(a, shingle_words), _shingle_set(b, shingle_words)
+    return len(x & y) / len(x | y)
+
+
+def _shingle_set(text: str | None, shingle_words: int) -> set[bytes]:
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i:i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))}
+
+
+def _centres(members: DataFrame) -> DataFrame:
+    """root, centre: of each component the row nearest to the majority of its fingerprints, which is where copies come from."""
+    bit = lambda b: F.shiftright(F.col("fp"), b).bitwiseAND(F.lit(1).cast("long"))
+    votes = members.groupBy("root").agg(F.count("*").alias("n"), *[F.sum(bit(b)).alias(f"v{b}") for b in range(64)])
+    majority = F.lit(0).cast("long")
+    for b in range(64):
+        majority = majority.bitwiseOR(F.when(F.col(f"v{b}") * 2 > F.col("n"), F.lit(_signed(1 << b))).otherwise(F.lit(0)).cast("long"))
+    voted = members.join(votes.filter("n > 1").select("root", majority.alias("majority")), "root")
+    near = voted.select("root", F.bit_count(F.col("fp").bitwiseXOR(F.col("majority"))).cast("long").alias("off"), "id")
+    return extreme_of_each(near, ["root"], ["off", "id"], last=False).select("root", F.col("id").alias("centre"))
+
+
+def copies(numbered: DataFrame, key: str, shingle_words: int, least: float, max_bits: int, max_check_bits: int, group_rows: int) -> DataFrame:
+    """id of every row that is a copy, exact or near, of a row that stays.
+
+    Rows whose word fingerprints link them form components. Each row of a component is compared with its
+    centre, by the Jaccard similarity of the word shingles of both whole texts; those of at least ``least``
+    are copies. The rest is linked anew without them, until a round finds none.
+    """
+    open_ = materialise(over_rows(
+        numbered.select(key, "text"), lambda ids, texts: [ids, *map(list, zip(*map(word_fingerprints, texts)))] if ids else [[], [], []],
+        "id long, fp long, check long"))
+    found = []
+    while True:
+        distinct = materialise(open_.groupBy("fp", "check").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
+        roots = components(links(distinct, max_bits, group_rows, max_check_bits))
+        names = distinct.join(roots.select("node", "root"), "node", "left").select("fp", "check", "copies", F.coalesce("root", "node").alias("root"))
+        members = materialise(_named(open_, materialise(names), ["fp", "check"], open_.count()))
+        centres = materialise(_centres(members))
+        others = members.join(centres, "root").filter("id <> centre")
+        pairs = others.join(numbered.select(F.col(key).alias("id"), F.col("text").alias("a")), "id").join(
+            centres.join(numbered.select(F.col(key).alias("centre"), F.col("text").alias("b")), "centre").select("root", "b"), "root")
+        judged = materialise(over_rows(
+            pairs.select("id", "fp", "check", "a", "b"),
+            lambda ids, fps, checks, a, b: [ids, fps, checks, [similarity(x, y, shingle_words) >= least for x, y in zip(a, b)]],
+            "id long, fp long, check long, copy boolean"))
+        new = judged.filter("copy").select("id")
+        found.append(new)
+        open_ = judged.filter("not copy").select("id", "fp", "check")
+        if new.isEmpty() or open_.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+
+
+def one_of_each(docs: DataFrame, shingle_words: int, least: float, max_bits: int, max_check_bits: int = 64,
+                group_rows: int = GROUP_ROWS, scanned: bool = False) -> DataFrame:
+    """The documents without the copies; the columns stay. ``scanned`` as in with_row_numbers."""
     numbered = with_row_numbers(docs, "_n_row", scanned)
-    kept = near_duplicates(numbered, "_n_row", shingle_words, max_bits).filter("id = component_id").select(F.col("id").alias("_n_row"))
-    return numbered.join(kept, "_n_row", "left_semi").drop("_n_row")
+    gone = copies(numbered, "_n_row", shingle_words, least, max_bits, max_check_bits, group_rows).select(F.col("id").alias("_n_row"))
+    return numbered.join(gone, "_n_row", "left_anti").drop("_n_row")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

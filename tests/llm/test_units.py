@@ -84,7 +84,7 @@ def test_large_groups_are_split_without_losing_links(spark):
     while len(fps) < 1500:
         fps.add(rng.choice(sorted(fps)[-40:]) ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) ^ (rng.random() < 0.3) << rng.randrange(64))
     fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
-    distinct = spark.createDataFrame([(f,) for f in fps], "fp long")
+    distinct = spark.createDataFrame([(f, 0, f) for f in fps], "fp long, check long, node long")
     root = {r.node: r.root for r in simhash.components(simhash.links(distinct, 2, group_rows=40)).collect()}
     want = brute.components({f: f & (1 << 64) - 1 for f in fps})
     groups = {}
@@ -93,6 +93,40 @@ def test_large_groups_are_split_without_losing_links(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_word_fingerprints_of_a_set_of_words():
+    assert simhash.word_fingerprints(None) == simhash.word_fingerprints(" \n") == (0, 0)
+    assert simhash.word_fingerprints("A b b") == simhash.word_fingerprints("b a") != simhash.word_fingerprints("b c")
+
+
+def test_similarity_of_shingles():
+    a = "one two three four five six"
+    assert simhash.similarity(a, a, 5) == 1.0 and simhash.similarity(a, a.upper() + " ", 5) == 1.0
+    assert simhash.similarity(a, a + " seven", 5) == 2 / 3 and simhash.similarity("x", None, 5) == 0.0 and simhash.similarity(None, "", 5) == 1.0
+
+
+def test_second_fingerprints_part_chance_neighbours(spark):
+    rows = spark.createDataFrame([(1, 0, 10), (3, 0, 11), (1, -1, 12)], "fp long, check long, node long")
+    assert {(r.a, r.b) for r in simhash.links(rows, 2, max_check_bits=10).collect()} == {(11, 10)}
+
+
+def test_copies_around_one_text_leave_one(spark):
+    """Copies of one text that are not similar to each other: the text in their middle is found, wherever it stands."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for k in range(40):
+        copy = list(words)
+        for p in rng.sample(range(300), 5):
+            copy[p] = f"new{k}x{p}"
+        texts.append(" ".join(copy))
+    texts[17] = " ".join(words)
+    assert simhash.similarity(texts[0], texts[1], 5) < 0.8 < simhash.similarity(texts[0], texts[17], 5)
+    clean = [" ".join(f"w{rng.randrange(5000)}" for _ in range(120)) for _ in range(30)]
+    docs = spark.createDataFrame([(k, t, "extra") for k, t in enumerate([*texts, *clean, clean[0]])], "doc_id long, text string, fp string")
+    kept = simhash.one_of_each(docs, 5, 0.8, 7, 10).collect()
+    assert len([r for r in kept if r.doc_id < 40]) == 1 and len(kept) == 31 and kept[0].asDict().keys() == {"doc_id", "text", "fp"}
+
+
 def test_long_chains_become_one_component(spark):
     edges = spark.range(400).selectExpr("id AS a", "id + 1 AS b")
     assert {r.root for r in simhash.components(edges).collect()} == {0}
