@@ -24,7 +24,6 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 MAX_BITS = 7          # between the fingerprints of two texts' words, of 64
 MAX_CHECK_BITS = 10   # between their second fingerprints, which keeps chance neighbours apart
-GROUP_ROWS = 5_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near copies are found by their words' fingerprints and verified by their five-word shingles."""
-    return simhash.one_of_each(docs, SHINGLE_WORDS, SIMILARITY, MAX_BITS, MAX_CHECK_BITS, GROUP_ROWS, scanned=True)
+    return simhash.one_of_each(docs, SHINGLE_WORDS, SIMILARITY, MAX_BITS, MAX_CHECK_BITS, scanned=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,6 +129,24 @@ def smallest_reachable(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.n
             return labels
 
 
+class Roots:
+    """Components of places under links that come in runs; a run is forgotten once its components are joined."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        a, b = self.root[i], self.root[j]
+        new = a != b
+        if new.any():
+            ends = np.unique(np.column_stack([a[new], b[new]]), axis=0)
+            joined = np.unique(ends)
+            to = smallest_reachable(joined.copy(), np.searchsorted(joined, ends[:, 0]), np.searchsorted(joined, ends[:, 1]))
+            moved = np.arange(len(self.root))
+            moved[joined] = to
+            self.root = moved[self.root]
+
+
 def small_group_links(group: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside runs of equal group number, by distance between neighbours."""
     left, right = [], []
@@ -155,12 +173,18 @@ def group_stars(mask: np.ndarray, value: np.ndarray, fps: np.ndarray, checks: np
         return i[good], j[good]
 
     small = sizes[group] <= SMALL_GROUP
-    found = [checked(*small_group_links(np.where(small, group, -1 - np.arange(len(group))), bits, max_bits))]
+    roots = Roots(len(fps))
+    roots.join(*checked(*small_group_links(np.where(small, group, -1 - np.arange(len(group))), bits, max_bits)))
     for g in np.flatnonzero(sizes > SMALL_GROUP):
         index = GrayIndex(bits[starts[g]:starts[g] + sizes[g]])
-        places = starts[g] + index.order
-        found += [checked(places[i], places[j]) for i, j in index.links(max_bits)]
-    labels = smallest_reachable(nodes.copy(), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+        places, own = starts[g] + index.order, Roots(sizes[g])
+        for i, j in index.links(max_bits):
+            good = np.bitwise_count(checks[places[i]] ^ checks[places[j]]) <= max_check_bits
+            own.join(i[good], j[good])
+        roots.join(places, places[own.root])
+    least = nodes.copy()
+    np.minimum.at(least, roots.root, nodes)
+    labels = least[roots.root]
     linked = labels != nodes
     return nodes[linked], labels[linked]
 
