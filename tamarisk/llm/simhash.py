@@ -43,7 +43,7 @@ HASH_SEED = 42
 GROUP_ROWS = 20_000    # a larger group is split, never cut
 FANOUT = 16
 SMALL_GROUP = 32       # compared by neighbour distance
-QUERY_ROWS = 256       # queries that go down the index together
+QUERY_ROWS = 64        # queries that go down the index together; in a dense group their frontier is as many times the group
 HASH_CHUNK = 1 << 16
 
 
