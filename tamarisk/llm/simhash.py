@@ -28,11 +28,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamarisk.functions.ordered import extreme_of_each
-from tamarisk.llm.base import over_rows, table, with_row_numbers
+from tamarisk.llm.base import over_rows, rows_of, table, with_row_numbers
 from tamarisk.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -45,6 +44,8 @@ FANOUT = 16
 SMALL_GROUP = 32       # compared by neighbour distance
 QUERY_ROWS = 64        # queries that go down the index together; in a dense group their frontier is as many times the group
 HASH_CHUNK = 1 << 16
+SMALL_BUCKET = 8       # all of its rows are compared at once
+CENTRES = 64           # rows of a bucket with which the others are compared in one round; the first round takes one
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -322,6 +323,12 @@ def word_fingerprints(text: str | None) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
+def words_hash(text: str | None) -> tuple[int, int]:
+    """128 bits of the sequence of words, as two signed numbers."""
+    both = np.frombuffer(xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split())), "<i8")
+    return int(both[0]), int(both[1])
+
+
 def similarity(a: str | None, b: str | None, shingle_words: int) -> float:
     """Jaccard similarity of the sets of word shingles; texts of fewer words are one shingle."""
     if a == b:
@@ -335,47 +342,84 @@ def _shingle_set(text: str | None, shingle_words: int) -> set[bytes]:
     return {b" ".join(words[i:i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))}
 
 
-def _centres(members: DataFrame) -> DataFrame:
-    """root, centre: of each component the row nearest to the majority of its fingerprints, which is where copies come from."""
+def _off_centre(members: DataFrame) -> DataFrame:
+    """id, off: how many bits each row of a component is from the majority of its fingerprints, which is where copies come from."""
     bit = lambda b: F.shiftright(F.col("fp"), b).bitwiseAND(F.lit(1).cast("long"))
-    votes = members.groupBy("root").agg(F.count("*").alias("n"), *[F.sum(bit(b)).alias(f"v{b}") for b in range(64)])
+    votes = members.groupBy("root").agg(F.count("*").alias("copies"), *[F.sum(bit(b)).alias(f"v{b}") for b in range(64)]).filter("copies > 1")
     majority = F.lit(0).cast("long")
     for b in range(64):
-        majority = majority.bitwiseOR(F.when(F.col(f"v{b}") * 2 > F.col("n"), F.lit(_signed(1 << b))).otherwise(F.lit(0)).cast("long"))
-    voted = members.join(votes.filter("n > 1").select("root", majority.alias("majority")), "root")
-    near = voted.select("root", F.bit_count(F.col("fp").bitwiseXOR(F.col("majority"))).cast("long").alias("off"), "id")
-    return extreme_of_each(near, ["root"], ["off", "id"], last=False).select("root", F.col("id").alias("centre"))
+        majority = majority.bitwiseOR(F.when(F.col(f"v{b}") * 2 > F.col("copies"), F.lit(_signed(1 << b))).otherwise(F.lit(0)).cast("long"))
+    voted = _named(members.drop("copies"), materialise(votes.select("root", "copies", majority.alias("majority"))), ["root"], members.count())
+    return voted.select("root", "id", F.bit_count(F.col("fp").bitwiseXOR(F.col("majority"))).cast("long").alias("off"))
+
+
+def _judged(pairs: DataFrame, texts: DataFrame, shingle_words: int, least: float) -> DataFrame:
+    """The pairs (id, c) whose whole texts have a similarity of at least ``least``."""
+    named = pairs.groupBy("c").agg(F.count("*").alias("copies")).join(texts.select(F.col("id").alias("c"), F.col("text").alias("b")), "c")
+    both = _named(pairs, materialise(named), ["c"], pairs.count()).join(texts.select("id", F.col("text").alias("a")), "id")
+    out = pa.schema([("id", pa.int64()), ("c", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = [(i, c) for i, c, a, b in rows_of(batches) if similarity(a, b, shingle_words) >= least]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*good) if good else ((), ()))], schema=out)
+
+    return materialise(both.select("id", "c", "a", "b").mapInArrow(run, "id long, c long"))
+
+
+def copies_in_buckets(entries: DataFrame, texts: DataFrame, shingle_words: int, least: float) -> DataFrame:
+    """id of every row that is a copy of a row that stays, by the entries (key, id, off) and the texts (id, text).
+
+    Rows that share a bucket ``key`` are candidates; a row has one ``off``, and rows of low (off, id) come
+    first. A round takes the first few rows of each bucket as centres if they are among the first in all
+    their buckets, and compares every later row of their buckets with them. A centre without a similar
+    row before it stays, the rows similar to it go, and both leave their buckets. So any two
+    rows of a bucket are compared unless one has gone; the rounds end when no bucket has two rows.
+    """
+    open_, gone, batch = entries, [], 1
+    while True:
+        open_ = materialise(open_)
+        sizes = materialise(open_.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"))
+        if sizes.isEmpty():
+            return reduce(DataFrame.unionAll, gone) if gone else open_.select("id").limit(0)
+        live = materialise(_named(open_, sizes, ["key"], open_.count()))
+        first = Window.partitionBy("key").orderBy("off", "id")
+        top = materialise(live.withColumn("place", F.row_number().over(first)).filter((F.col("place") <= batch) | (F.col("copies") <= SMALL_BUCKET)))
+        held = live.groupBy("id").agg(F.count("*").alias("n")).join(top.groupBy("id").agg(F.count("*").alias("m")), "id").filter("n = m").select("id")
+        centres = top.join(held.withColumn("centre", F.lit(1)), "id", "left").withColumn("centre", F.coalesce("centre", F.lit(0)))
+        centres = materialise(centres.withColumn("sure", F.min("centre").over(first)))  # no row before it that is not a centre
+        sure = centres.groupBy("id").agg(F.min("sure").alias("sure"), F.count("*").alias("m")).filter("sure = 1").select("id")
+        with_centres = _named(live.drop("copies"), centres.filter("centre = 1").select(
+            "key", "copies", F.col("id").alias("c"), F.col("off").alias("c_off")), ["key"], live.count())
+        pairs = materialise(with_centres.filter("c_off < off OR c_off = off AND c < id").select("id", "c").distinct())
+        alike = _judged(pairs, texts, shingle_words, least)
+        stays = materialise(sure.join(alike.select("id"), "id", "left_anti"))
+        went = materialise(alike.join(stays.select(F.col("id").alias("c")), "c", "left_semi").select("id").distinct())
+        gone.append(went)
+        open_ = live.select("key", "id", "off").join(stays.unionAll(went), "id", "left_anti")
+        batch = min(8 * batch, CENTRES)
 
 
 def copies(numbered: DataFrame, key: str, shingle_words: int, least: float, max_bits: int, max_check_bits: int, group_rows: int) -> DataFrame:
     """id of every row that is a copy, exact or near, of a row that stays.
 
-    Rows whose word fingerprints link them form components. Each row of a component is compared with its
-    centre, by the Jaccard similarity of the word shingles of both whole texts; those of at least ``least``
-    are copies. The rest is linked anew without them, until a round finds none.
+    Of rows with the same words one stays. The others form components by the links of their word
+    fingerprints, and the rows of a component are compared by the Jaccard similarity of the word shingles
+    of both whole texts until none is left that was compared with no row that stays; those of at
+    least ``least`` are copies.
     """
-    open_ = materialise(over_rows(
-        numbered.select(key, "text"), lambda ids, texts: [ids, *map(list, zip(*map(word_fingerprints, texts)))] if ids else [[], [], []],
-        "id long, fp long, check long"))
-    found = []
-    while True:
-        distinct = materialise(open_.groupBy("fp", "check").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
-        roots = components(links(distinct, max_bits, group_rows, max_check_bits))
-        names = distinct.join(roots.select("node", "root"), "node", "left").select("fp", "check", "copies", F.coalesce("root", "node").alias("root"))
-        members = materialise(_named(open_, materialise(names), ["fp", "check"], open_.count()))
-        centres = materialise(_centres(members))
-        others = members.join(centres, "root").filter("id <> centre")
-        pairs = others.join(numbered.select(F.col(key).alias("id"), F.col("text").alias("a")), "id").join(
-            centres.join(numbered.select(F.col(key).alias("centre"), F.col("text").alias("b")), "centre").select("root", "b"), "root")
-        judged = materialise(over_rows(
-            pairs.select("id", "fp", "check", "a", "b"),
-            lambda ids, fps, checks, a, b: [ids, fps, checks, [similarity(x, y, shingle_words) >= least for x, y in zip(a, b)]],
-            "id long, fp long, check long, copy boolean"))
-        new = judged.filter("copy").select("id")
-        found.append(new)
-        open_ = judged.filter("not copy").select("id", "fp", "check")
-        if new.isEmpty() or open_.isEmpty():
-            return reduce(DataFrame.unionAll, found)
+    rows = materialise(over_rows(
+        numbered.select(key, "text"), lambda ids, texts: [ids, *map(list, zip(*[(*word_fingerprints(t), *words_hash(t)) for t in texts]))] if ids else [[]] * 5,
+        "id long, fp long, check long, h1 long, h2 long"))
+    firsts = materialise(rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
+    alike = materialise(_named(rows, firsts.filter("copies > 1"), ["h1", "h2"], rows.count()).filter("id <> first").select("id"))
+    open_ = materialise(rows.join(alike, "id", "left_anti").select("id", "fp", "check"))
+    distinct = materialise(open_.groupBy("fp", "check").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
+    roots = components(links(distinct, max_bits, group_rows, max_check_bits))
+    names = distinct.join(roots.select("node", "root"), "node", "left").select("fp", "check", "copies", F.coalesce("root", "node").alias("root"))
+    members = materialise(_named(open_, materialise(names), ["fp", "check"], open_.count()))
+    entries = materialise(_off_centre(members).select(F.col("root").alias("key"), "id", "off"))
+    texts = materialise(numbered.select(F.col(key).alias("id"), "text").join(entries.select("id").distinct(), "id"))
+    return alike.unionAll(copies_in_buckets(entries, texts, shingle_words, least))
 
 
 def one_of_each(docs: DataFrame, shingle_words: int, least: float, max_bits: int, max_check_bits: int = 64,

@@ -127,6 +127,18 @@ def test_copies_around_one_text_leave_one(spark):
     assert len([r for r in kept if r.doc_id < 40]) == 1 and len(kept) == 31 and kept[0].asDict().keys() == {"doc_id", "text", "fp"}
 
 
+def test_copies_behind_a_chance_neighbour_are_found(spark):
+    """Two copies in a bucket of many texts that come first and are like none: no round without a copy ends the search."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(20)]
+    texts.append(texts[-1] + " more")
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    one = frame.selectExpr("1L AS key", "id", "if(id < 19, 0L, 9L) AS off")
+    assert [r.id for r in simhash.copies_in_buckets(one, frame, 5, 0.8).collect()] == [20]
+    more = one.unionAll(frame.selectExpr("2 + id % 7 AS key", "id", "if(id < 19, 0L, 9L) AS off"))
+    assert [r.id for r in simhash.copies_in_buckets(more, frame, 5, 0.8).collect()] == [20]
+
+
 def test_long_chains_become_one_component(spark):
     edges = spark.range(400).selectExpr("id AS a", "id + 1 AS b")
     assert {r.root for r in simhash.components(edges).collect()} == {0}
