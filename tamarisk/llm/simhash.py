@@ -19,6 +19,7 @@ null id is never the smallest id of a component that has another. Extra columns
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from functools import reduce
@@ -44,6 +45,9 @@ FANOUT = 16
 SMALL_GROUP = 32       # compared by neighbour distance
 QUERY_ROWS = 64        # queries that go down the index together; in a dense group their frontier is as many times the group
 HASH_CHUNK = 1 << 16
+RECALL = 0.999         # of pairs at the least similarity, by their bands alone
+BAND_ROWS = 4
+BAND_CHUNK = 1 << 12
 SMALL_BUCKET = 8       # all of its rows are compared at once
 CENTRES = 64           # rows of a bucket with which the others are compared in one round; the first round takes one
 
@@ -323,6 +327,28 @@ def word_fingerprints(text: str | None) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
+def bands(recall: float, least: float, rows: int = BAND_ROWS) -> int:
+    """How many bands of ``rows`` minima find a pair of similarity ``least`` with the stated recall.
+
+    A minimum over the hashed shingles is the same for two texts with a probability of their Jaccard
+    similarity, whatever the edits were, and a band when all of its minima are.
+    """
+    return math.ceil(math.log(1 - recall) / math.log(1 - least ** rows))
+
+
+def band_keys(text: str | None, shingle_words: int, count: int, rows: int = BAND_ROWS) -> list[int]:
+    """A signed 64-bit key for each band of minima over the text's word shingles."""
+    rng = np.random.default_rng(HASH_SEED)
+    odd = rng.integers(0, 1 << 63, (count * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    start = rng.integers(0, 1 << 63, (count * rows, 1), dtype=np.uint64)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x, HASH_SEED) for x in _shingle_set(text, shingle_words)), np.uint64)
+    least = np.full(count * rows, ~np.uint64(0))
+    for at in range(0, len(hashes), BAND_CHUNK):
+        x = (hashes[at:at + BAND_CHUNK] ^ start) * odd
+        np.minimum(least, ((x ^ (x >> np.uint64(32))) * odd).min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(count, rows))]
+
+
 def words_hash(text: str | None) -> tuple[int, int]:
     """128 bits of the sequence of words, as two signed numbers."""
     both = np.frombuffer(xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split())), "<i8")
@@ -402,23 +428,37 @@ def copies_in_buckets(entries: DataFrame, texts: DataFrame, shingle_words: int,
 def copies(numbered: DataFrame, key: str, shingle_words: int, least: float, max_bits: int, max_check_bits: int, group_rows: int) -> DataFrame:
     """id of every row that is a copy, exact or near, of a row that stays.
 
-    Of rows with the same words one stays. The others form components by the links of their word
-    fingerprints, and the rows of a component are compared by the Jaccard similarity of the word shingles
-    of both whole texts until none is left that was compared with no row that stays; those of at
-    least ``least`` are copies.
+    Of rows with the same words one stays. The others are candidates in two ways: they share a band of
+    minima over their shingles, or a component by the links of their word fingerprints. Bands alone reach
+    a pair at ``least`` with a probability of RECALL, and more similar ones with a higher one. Candidates
+    are compared by the Jaccard similarity of the word shingles of both whole texts; those of at least
+    ``least`` are copies. The row that shares the most buckets with others comes first.
     """
+    count = bands(RECALL, least)
+    read = lambda t: (*word_fingerprints(t), *words_hash(t), band_keys(t, shingle_words, count))
     rows = materialise(over_rows(
-        numbered.select(key, "text"), lambda ids, texts: [ids, *map(list, zip(*[(*word_fingerprints(t), *words_hash(t)) for t in texts]))] if ids else [[]] * 5,
-        "id long, fp long, check long, h1 long, h2 long"))
-    firsts = materialise(rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
-    alike = materialise(_named(rows, firsts.filter("copies > 1"), ["h1", "h2"], rows.count()).filter("id <> first").select("id"))
-    open_ = materialise(rows.join(alike, "id", "left_anti").select("id", "fp", "check"))
+        numbered.select(key, "text"), lambda ids, texts: [ids, *map(list, zip(*map(read, texts)))] if ids else [[]] * 6,
+        "id long, fp long, check long, h1 long, h2 long, bands array<long>"))
+    marks = rows.select("id", "h1", "h2")
+    firsts = materialise(marks.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
+    alike = materialise(_named(marks, firsts.filter("copies > 1"), ["h1", "h2"], marks.count()).filter("id <> first").select("id"))
+    left = rows.join(alike, "id", "left_anti")
+    open_ = materialise(left.select("id", "fp", "check"))
     distinct = materialise(open_.groupBy("fp", "check").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
     roots = components(links(distinct, max_bits, group_rows, max_check_bits))
     names = distinct.join(roots.select("node", "root"), "node", "left").select("fp", "check", "copies", F.coalesce("root", "node").alias("root"))
     members = materialise(_named(open_, materialise(names), ["fp", "check"], open_.count()))
-    entries = materialise(_off_centre(members).select(F.col("root").alias("key"), "id", "off"))
-    texts = materialise(numbered.select(F.col(key).alias("id"), "text").join(entries.select("id").distinct(), "id"))
+    linked = materialise(_off_centre(members))
+    banded = materialise(left.select("id", F.explode("bands").alias("key")))
+    sizes = materialise(banded.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    banded = materialise(_named(banded, sizes, ["key"], banded.count()))
+    # bucket mates first, then bits off the majority of the component
+    mates = banded.groupBy("id").agg(F.sum(F.col("copies") - 1).alias("mates"))
+    ranks = materialise(mates.join(linked.select("id", F.col("off").alias("bits")), "id", "full").select(
+        "id", (F.coalesce("bits", F.lit(64)) - 65 * F.coalesce("mates", F.lit(0))).alias("off")))
+    every = linked.select("id", F.xxhash64("root").alias("key")).unionAll(banded.select("id", "key"))
+    entries = materialise(every.join(ranks, "id").select("key", "id", "off"))
+    texts = materialise(numbered.select(F.col(key).alias("id"), "text").join(ranks.select("id"), "id"))
     return alike.unionAll(copies_in_buckets(entries, texts, shingle_words, least))
 
 

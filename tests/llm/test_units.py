@@ -139,6 +139,38 @@ def test_copies_behind_a_chance_neighbour_are_found(spark):
     assert [r.id for r in simhash.copies_in_buckets(more, frame, 5, 0.8).collect()] == [20]
 
 
+def test_near_copies_are_reached_whatever_the_edit():
+    """Appended, truncated and substituted copies just above 0.8 share a band at every size of the text."""
+    rng = random.Random(12)
+    count = simhash.bands(simhash.RECALL, 0.8)
+    assert 1 - (1 - 0.8 ** simhash.BAND_ROWS) ** count >= simhash.RECALL
+    for size in (60, 250, 1000):
+        for edit in ("appended", "truncated", "substituted"):
+            missed = 0
+            for _ in range(60):
+                words = [f"w{rng.randrange(20000)}" for _ in range(size)]
+                changed = words + [f"n{rng.randrange(20000)}" for _ in range(int(size * 0.23))] if edit == "appended" else words[:int(size * 0.82)]
+                if edit == "substituted":
+                    changed = list(words)
+                    for p in rng.sample(range(size), max(1, size // 50)):
+                        changed[p] = "changed"
+                a, b = " ".join(words), " ".join(changed)
+                assert simhash.similarity(a, b, 5) >= 0.78
+                missed += simhash.similarity(a, b, 5) >= 0.8 and not set(simhash.band_keys(a, 5, count)) & set(simhash.band_keys(b, 5, count))
+            assert missed <= 1, (size, edit)
+
+
+def test_appended_copies_go(spark):
+    """Copies whose word fingerprints are too far apart for a link."""
+    rng = random.Random(13)
+    texts = [" ".join(f"w{rng.randrange(20000)}" for _ in range(250)) for _ in range(12)]
+    longer = [" ".join([t, *(f"n{rng.randrange(20000)}" for _ in range(50))]) for t in texts]
+    apart = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    far = sum(apart(simhash.word_fingerprints(a)[0], simhash.word_fingerprints(b)[0]) > 7 for a, b in zip(texts, longer))
+    docs = spark.createDataFrame(list(enumerate([*texts, *longer])), "doc_id long, text string")
+    assert far > 0 and len(simhash.one_of_each(docs, 5, 0.8, 7, 10).collect()) == len(texts)
+
+
 def test_long_chains_become_one_component(spark):
     edges = spark.range(400).selectExpr("id AS a", "id + 1 AS b")
     assert {r.root for r in simhash.components(edges).collect()} == {0}
