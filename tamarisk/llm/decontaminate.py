@@ -7,6 +7,10 @@ embeddings differ in few places: edit distance has become Hamming distance. Bit-
 few sampled places of the embeddings. All windows of a text walk at once, and only windows whose
 samples so far agree with some item's walk on, so most of them stop at their first word.
 
+Items of fewer than ``WALK_WORDS`` words leave the repetitions too few different words to read. They are
+cut into one piece more than they may have edits, so one piece at least stands unchanged in any leak, and
+every window that begins with a piece is a candidate: no leak of theirs is missed.
+
 One repetition misses an item when an edit falls on the words it reads. Repetitions have random bits
 and samples of their own and start further and further into the item, and their number follows from
 the target recall. Every candidate is verified by the exact edit distance, in words, between the item and
@@ -46,6 +50,7 @@ SAMPLES = 4               # sampled places of an embedding: the first step, and
 GAP = 3                   # a walk that stays half of the time has seldom stood still for so long
 STEPS = 2 + (SAMPLES - 1) * GAP  # steps of a walk, about half as many words
 MIN_WORDS = 12           # no fewer than STEPS, so that a walk stays inside an item
+WALK_WORDS = 30          # shorter items are found by unchanged pieces, without loss
 PART_BYTES = 32 << 20     # item text in one pass
 CHUNK_WORDS = 1 << 18
 PUNCTUATION = string.punctuation.encode()
@@ -78,6 +83,16 @@ class Repetition:
         return (words * self.multipliers[step]) >> np.uint32(31)
 
 
+class Pieces:
+    """A walk that reads every word of a piece of ``size`` words."""
+
+    def __init__(self, size: int):
+        self.steps = list(range(size))
+
+    def moves(self, step: int, words: np.ndarray) -> np.ndarray:
+        return np.ones(len(words), np.uint32)
+
+
 def _combined(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     x = (keys ^ words.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -94,12 +109,20 @@ class ItemIndex:
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.slack = np.array(self.allowed, np.int64)
         self.bag = np.unique(np.concatenate([h.astype(np.uint64) | np.uint64(k << 32) for k, h in enumerate(self.hashes)])) if found else np.empty(0, np.uint64)
-        self.tables = [self._table(Repetition(r), r, repetitions(edit_share, recall)) for r in range(repetitions(edit_share, recall))] if found else []
-
-    def _table(self, rep: Repetition, number: int, of: int) -> tuple:
+        long = [i for i, n in enumerate(self.sizes) if n >= WALK_WORDS]
+        of = repetitions(edit_share, recall)
+        self.tables = [self._table(Repetition(r), [(i, (len(self.hashes[i]) - MIN_WORDS) * r // max(1, of - 1)) for i in long]) for r in range(of)] if long else []
+        pieces: dict[int, list[tuple[int, int]]] = {}
+        for i, n in enumerate(self.sizes.tolist()):
+            if n < WALK_WORDS:
+                size = n // (self.allowed[i] + 1)
+                pieces.setdefault(size, []).extend((i, size * k) for k in range(self.allowed[i] + 1))
+        self.tables += [self._table(Pieces(size), starts) for size, starts in sorted(pieces.items())]
+
+    def _table(self, rep: Repetition | Pieces, starts: list[tuple[int, int]]) -> tuple:
         keys, items, offsets = [[] for _ in rep.steps], [], []
-        for item, hashes in enumerate(self.hashes):
-            start = (len(hashes) - MIN_WORDS) * number // max(1, of - 1)
+        for item, start in starts:
+            hashes = self.hashes[item]
             at, key, path = start, np.zeros(1, np.uint64), []
             for step in range(rep.steps[-1] + 1):
                 word = hashes[at:at + 1]

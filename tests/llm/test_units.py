@@ -192,6 +192,27 @@ def test_recall_of_edited_items():
     assert hits >= 0.95 * len(items)
 
 
+def recall_at(size, trials=200):
+    """The share of items of one size found with as many substituted words as they may have."""
+    rng = random.Random(size)
+    items = [[f"i{k}x{j}".encode() for j in range(size)] for k in range(trials)]
+    index = decontaminate.ItemIndex(list(range(trials)), [b" ".join(i).decode() for i in items], 0.2, 0.99)
+    docs = []
+    for item in items:
+        changed = list(item)
+        for p in rng.sample(range(size), int(size * 0.2)):
+            changed[p] = b"changed%d" % p
+        docs.append([b"before"] * 40 + changed + [b"after"] * 40)
+    return len({(d, i) for d, i, *_ in decontaminate.leaks_in(index, docs) if d == i}) / trials
+
+
+def test_recall_of_each_item_length():
+    for size in range(12, decontaminate.WALK_WORDS):
+        assert recall_at(size, 60) == 1.0, size
+    for size in (30, 34, 40, 50, 60):
+        assert recall_at(size) >= 0.97, size  # 0.99 is promised; 200 trials
+
+
 def test_items_in_parts_give_the_same(spark):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(decontaminate.leaks(docs, items).collect())
