@@ -19,8 +19,8 @@ the best stretch around the window, so nothing that is too far away is reported.
 The items travel to the tasks in parts of a checked size; each part is one pass over the documents.
 Documents are never shuffled.
 
-Defined cases: null or empty texts hold nothing; items of fewer than ``MIN_WORDS`` words are not looked
-for, since they occur by chance; repeated items each report; repeated rows each report. A null document
+Defined cases: null or empty texts hold nothing; items without words are not looked for;
+shorter ones than five words are found without edits; repeated items each report; repeated rows each report. A null document
 or item id stays null. Extra columns stay in ``without_leaks``.
 """
 
@@ -49,7 +49,7 @@ TARGET_RECALL = 0.99
 SAMPLES = 4               # sampled places of an embedding: the first step, and one of each run of GAP steps after it
 GAP = 3                   # a walk that stays half of the time has seldom stood still for so long
 STEPS = 2 + (SAMPLES - 1) * GAP  # steps of a walk, about half as many words
-MIN_WORDS = 12           # no fewer than STEPS, so that a walk stays inside an item
+MIN_WORDS = 12           # the last start of a walk is so many words before an item's end, no fewer than STEPS
 WALK_WORDS = 30          # shorter items are found by unchanged pieces, without loss
 PART_BYTES = 32 << 20     # item text in one pass
 CHUNK_WORDS = 1 << 18
@@ -102,7 +102,7 @@ class ItemIndex:
     """The items' sampled embeddings for each repetition, as sorted keys of each number of samples."""
 
     def __init__(self, ids: list, texts: list, edit_share: float, recall: float):
-        found = [(i, w) for i, w in ((i, plain_words(t)) for i, t in zip(ids, texts)) if len(w) >= MIN_WORDS]
+        found = [(i, w) for i, w in ((i, plain_words(t)) for i, t in zip(ids, texts)) if w]
         self.ids, self.words = [i for i, _ in found], [w for _, w in found]
         self.hashes = [word_hashes(w) for w in self.words]
         self.allowed = [int(len(w) * edit_share) for w in self.words]

@@ -213,6 +213,25 @@ def test_recall_of_each_item_length():
         assert recall_at(size) >= 0.97, size  # 0.99 is promised; 200 trials
 
 
+def test_short_items_equal_every_window():
+    """Items of 1 to 29 words against the exact distance to any stretch, at the edges of texts too."""
+    rng = random.Random(9)
+    letters = [b"%c" % c for c in b"abcdefghijkl"]
+    items = [[rng.choice(letters) for _ in range(n)] for n in range(1, 30)] + [[b"q%d" % k for k in range(n)] for n in (4, 5, 9, 10, 11)]
+    docs = [[rng.choice(letters) for _ in range(rng.randint(0, 40))] for _ in range(60)] + [[b"q0"]]
+    for item in items:
+        for _ in range(8):
+            changed = list(item)
+            for _ in range(rng.randint(0, len(item) // 5 + 1)):
+                p = rng.randrange(len(changed) + 1)
+                changed[p:p + rng.randint(0, 1)] = [rng.choice(letters)] * rng.randint(0, 1)
+            docs.append([b"x"] * rng.randint(0, 2) + changed + [b"y"] * rng.randint(0, 2))
+    index = decontaminate.ItemIndex(list(range(len(items) + 1)), [*(b" ".join(i).decode() for i in items), " .,"], 0.2, 0.99)
+    found = {(d, i): e for d, i, e, *_ in decontaminate.leaks_in(index, docs)}
+    want = {(d, i): e for d, doc in enumerate(docs) for i, item in enumerate(items) if (e := decontaminate.best_edits(item, doc)[0]) <= len(item) // 5}
+    assert found == want and {len(items[i]) for _, i in want} == set(range(1, 30))
+
+
 def test_items_in_parts_give_the_same(spark):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(decontaminate.leaks(docs, items).collect())
