@@ -83,3 +83,17 @@ def rows_of(batches: Iterator[pa.RecordBatch], at_once: int = 256) -> Iterator[t
     for b in batches:
         for at in range(0, b.num_rows, at_once):
             yield from zip(*[c.to_pylist() for c in b.slice(at, at_once).columns])
+
+
+def join_names(rows: DataFrame, names: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Rows joined with the names of their keys, which tell how many ``copies`` each key has.
+
+    Keys with very many copies are fewer than four for each partition: their rows need no shuffle,
+    and without them no key fills a task.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = F.col("copies") > F.lit(total // (4 * parts))
+    hot = F.broadcast(names.filter(common))
+    columns = [*rows.columns, *[c for c in names.columns if c not in on]]
+    rest = rows.join(hot, on, "left_anti").join(names.filter(~common), on)
+    return rows.join(hot, on).select(*columns).unionAll(rest.select(*columns))

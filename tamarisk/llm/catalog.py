@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarisk.llm import chat, decontaminate, line_dedup, lm_score, mixing, private_data, quality, secrets, simhash, token_files
+from tamarisk.llm import chat, decontaminate, line_dedup, lm_score, mixing, private_data, quality, secrets, simhash, token_files, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": lm_score.op8_lm_score,
         "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
     }
 
 
@@ -31,4 +32,5 @@ def oracles() -> dict[str, str]:
         "op4_source_mixing": mixing.OP4_SQL,
         "op9_chat_formatting": chat.OP9_SQL,
         "op10_quality_rules": quality.OP10_SQL,
+        "op11_vector_codes": vector_codes.OP11_SQL,
     }

@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamarisk.llm.base import over_rows, rows_of, table, with_row_numbers
+from tamarisk.llm.base import join_names, over_rows, rows_of, table, with_row_numbers
 from tamarisk.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -294,21 +294,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle_words: int = S
     smallest = linked.groupBy("root").agg(F.min("first").alias("least"))
     known = linked.join(smallest, "root").select("fp", "least")
     names = materialise(distinct.join(known, "fp", "left").select("fp", "copies", F.coalesce("least", "first").alias("component_id")))
-    return _named(rows, names, ["fp"], rows.count()).select("id", "fp", "component_id")
-
-
-def _named(rows: DataFrame, names: DataFrame, on: list[str], total: int) -> DataFrame:
-    """Rows joined with the names of their fingerprints, which tell how many ``copies`` each has.
-
-    Fingerprints with very many copies are fewer than four for each partition: their rows need no
-    shuffle, and without them no fingerprint fills a task.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    common = F.col("copies") > F.lit(total // (4 * parts))
-    hot = F.broadcast(names.filter(common))
-    columns = [*rows.columns, *[c for c in names.columns if c not in on]]
-    rest = rows.join(hot, on, "left_anti").join(names.filter(~common), on)
-    return rows.join(hot, on).select(*columns).unionAll(rest.select(*columns))
+    return join_names(rows, names, ["fp"], rows.count()).select("id", "fp", "component_id")
 
 
 def word_fingerprints(text: str | None) -> tuple[int, int]:
@@ -375,14 +361,14 @@ def _off_centre(members: DataFrame) -> DataFrame:
     majority = F.lit(0).cast("long")
     for b in range(64):
         majority = majority.bitwiseOR(F.when(F.col(f"v{b}") * 2 > F.col("copies"), F.lit(_signed(1 << b))).otherwise(F.lit(0)).cast("long"))
-    voted = _named(members.drop("copies"), materialise(votes.select("root", "copies", majority.alias("majority"))), ["root"], members.count())
+    voted = join_names(members.drop("copies"), materialise(votes.select("root", "copies", majority.alias("majority"))), ["root"], members.count())
     return voted.select("root", "id", F.bit_count(F.col("fp").bitwiseXOR(F.col("majority"))).cast("long").alias("off"))
 
 
 def _judged(pairs: DataFrame, texts: DataFrame, shingle_words: int, least: float) -> DataFrame:
     """The pairs (id, c) whose whole texts have a similarity of at least ``least``."""
     named = pairs.groupBy("c").agg(F.count("*").alias("copies")).join(texts.select(F.col("id").alias("c"), F.col("text").alias("b")), "c")
-    both = _named(pairs, materialise(named), ["c"], pairs.count()).join(texts.select("id", F.col("text").alias("a")), "id")
+    both = join_names(pairs, materialise(named), ["c"], pairs.count()).join(texts.select("id", F.col("text").alias("a")), "id")
     out = pa.schema([("id", pa.int64()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,14 +393,14 @@ def copies_in_buckets(entries: DataFrame, texts: DataFrame, shingle_words: int,
         sizes = materialise(open_.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"))
         if sizes.isEmpty():
             return reduce(DataFrame.unionAll, gone) if gone else open_.select("id").limit(0)
-        live = materialise(_named(open_, sizes, ["key"], open_.count()))
+        live = materialise(join_names(open_, sizes, ["key"], open_.count()))
         first = Window.partitionBy("key").orderBy("off", "id")
         top = materialise(live.withColumn("place", F.row_number().over(first)).filter((F.col("place") <= batch) | (F.col("copies") <= SMALL_BUCKET)))
         held = live.groupBy("id").agg(F.count("*").alias("n")).join(top.groupBy("id").agg(F.count("*").alias("m")), "id").filter("n = m").select("id")
         centres = top.join(held.withColumn("centre", F.lit(1)), "id", "left").withColumn("centre", F.coalesce("centre", F.lit(0)))
         centres = materialise(centres.withColumn("sure", F.min("centre").over(first)))  # no row before it that is not a centre
         sure = centres.groupBy("id").agg(F.min("sure").alias("sure"), F.count("*").alias("m")).filter("sure = 1").select("id")
-        with_centres = _named(live.drop("copies"), centres.filter("centre = 1").select(
+        with_centres = join_names(live.drop("copies"), centres.filter("centre = 1").select(
             "key", "copies", F.col("id").alias("c"), F.col("off").alias("c_off")), ["key"], live.count())
         pairs = materialise(with_centres.filter("c_off < off OR c_off = off AND c < id").select("id", "c").distinct())
         alike = _judged(pairs, texts, shingle_words, least)
@@ -441,17 +427,17 @@ def copies(numbered: DataFrame, key: str, shingle_words: int, least: float, max_
         "id long, fp long, check long, h1 long, h2 long, bands array<long>"))
     marks = rows.select("id", "h1", "h2")
     firsts = materialise(marks.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
-    alike = materialise(_named(marks, firsts.filter("copies > 1"), ["h1", "h2"], marks.count()).filter("id <> first").select("id"))
+    alike = materialise(join_names(marks, firsts.filter("copies > 1"), ["h1", "h2"], marks.count()).filter("id <> first").select("id"))
     left = rows.join(alike, "id", "left_anti")
     open_ = materialise(left.select("id", "fp", "check"))
     distinct = materialise(open_.groupBy("fp", "check").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
     roots = components(links(distinct, max_bits, group_rows, max_check_bits))
     names = distinct.join(roots.select("node", "root"), "node", "left").select("fp", "check", "copies", F.coalesce("root", "node").alias("root"))
-    members = materialise(_named(open_, materialise(names), ["fp", "check"], open_.count()))
+    members = materialise(join_names(open_, materialise(names), ["fp", "check"], open_.count()))
     linked = materialise(_off_centre(members))
     banded = materialise(left.select("id", F.explode("bands").alias("key")))
     sizes = materialise(banded.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"))
-    banded = materialise(_named(banded, sizes, ["key"], banded.count()))
+    banded = materialise(join_names(banded, sizes, ["key"], banded.count()))
     # bucket mates first, then bits off the majority of the component
     mates = banded.groupBy("id").agg(F.sum(F.col("copies") - 1).alias("mates"))
     ranks = materialise(mates.join(linked.select("id", F.col("off").alias("bits")), "id", "full").select(
