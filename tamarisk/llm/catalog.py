@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarisk.llm import chat, decontaminate, line_dedup, lm_score, mixing, private_data, quality, secrets, simhash, token_files, vector_codes
+from tamarisk.llm import chat, decontaminate, line_dedup, lm_score, merkle, mixing, private_data, quality, secrets, simhash, token_files, vector_codes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_quality_rules": quality.op10_quality_rules,
         "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_warc_captures": warc.op13_warc_captures,
     }
 
 
@@ -33,4 +35,6 @@ def oracles() -> dict[str, str]:
         "op9_chat_formatting": chat.OP9_SQL,
         "op10_quality_rules": quality.OP10_SQL,
         "op11_vector_codes": vector_codes.OP11_SQL,
+        "op12_merkle_manifest": merkle.OP12_SQL,
+        "op13_warc_captures": warc.OP13_SQL,
     }

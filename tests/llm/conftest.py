@@ -66,12 +66,29 @@ def awkward(tmp_path_factory):
     pq.write_table(pa.table({
         "conv_id": pa.array([t[0] for t in turns], pa.int64()), "turn": pa.array([t[1] for t in turns], pa.int32()), "role": pa.array([t[2] for t in turns]),
         "text": pa.array([t[3] for t in turns]), "start": pa.array(["s"] * len(turns)), "segment": pa.array([7] * len(turns))}), folder / "conversations.parquet")
+    rng = random.Random(5)
+    vectors = [[rng.gauss(0, 1) for _ in range(48)] for _ in range(150)] + [[0.0] * 48] * 9 + [[rng.choice([-1.0, 1.0]) for _ in range(48)] for _ in range(40)]
+    vectors += [None, [None] + [0.5] * 47, [float("nan")] + [1.0] * 47, [1.0] * 47 + [float("-inf")], [-0.001953125] * 48, [1.0, 2.0], []]
+    vec_ids = [k * 7 % 211 for k in range(len(vectors))]
+    vec_ids[3:6] = [None, 20, 20]
+    pq.write_table(pa.table({
+        "vec_id": pa.array(vec_ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())),
+        "label": pa.array([None if k % 9 == 0 else k % 3 for k in range(len(vectors))], pa.int32()), "code": pa.array(["c"] * len(vectors)),
+        "error": pa.array([1.5] * len(vectors)), "codes": pa.array([7] * len(vectors)), "_v_numbers": pa.array(["n"] * len(vectors))}), folder / "embeddings.parquet")
+    pages = [None, "", "", "<p>é</p>", "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", "WARC/1.1\r\n", "\r\n\r\n", "z" * 300_000,
+             *["<html>same</html>"] * 30, *[f"<html>{prose(300 + k, 30)}</html>" for k in range(20)], "<html>same</html>"]
+    page_ids = [900 - k for k in range(len(pages))]
+    page_ids[9:12], page_ids[-1] = [None, 5, 5], None
+    urls = [None if k % 8 == 0 else "" if k % 8 == 1 else f"http://a.example/é {k}\r\nX: y" if k % 8 == 2 else f"https://b.example/{k}?q=%41" for k in range(len(pages))]
+    pq.write_table(pa.table({
+        "page_id": pa.array(page_ids, pa.int64()), "url": pa.array(urls), "html": pa.array(pages), "record_id": pa.array(["r"] * len(pages)),
+        "same": pa.array([1] * len(pages)), "number": pa.array(["n"] * len(pages)), "payload": pa.array([b"p"] * len(pages))}), folder / "pages.parquet")
     return str(folder)
 
 
 @pytest.fixture(scope="session")
 def empty(awkward, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "benchmark", "conversations"):
+    for name in ("documents", "benchmark", "conversations", "embeddings", "pages"):
         pq.write_table(pq.read_table(f"{awkward}/{name}.parquet").slice(0, 0), folder / f"{name}.parquet")
     return str(folder)

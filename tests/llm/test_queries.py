@@ -38,7 +38,7 @@ def multiset(dicts):
 @pytest.mark.parametrize("name", sorted(catalog.oracles()))
 def test_sql(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "benchmark"):
+    for t in ("documents", "conversations", "benchmark", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     assert compare(catalog.queries()[name](spark, folder), con, catalog.oracles()[name]) is None
 
