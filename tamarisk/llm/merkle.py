@@ -17,7 +17,7 @@ the builder's log. So no row is joined with its siblings, and a tree of any size
 
 Log: tree, tier, segment (which builder), leaves, digests (64 hex characters for each node, in completion order).
 
-Defined cases: a null field is ``-``; a null source is a tree of its own, the first; null ids come first;
+Defined cases: a null field is ``-``; the query tampers with no null id; a null source is a tree of its own, the first; null ids come first;
 repeated ids are ordered by leaf; an empty table has no rows and no root. Extra columns are left out.
 """
 
@@ -319,7 +319,7 @@ _CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transfo
 SQL_LEVELS, SQL_TREE_LEVELS = 6, 4  # 16 ** 6 documents of a source, 16 ** 4 sources
 OP12_SQL = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || source, '') AS g, {_leaf_sql("text")} AS leaf,
-  CASE WHEN coalesce({_CRC} % 5 = 0, false) THEN {_leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} END AS other FROM documents),
+  CASE WHEN doc_id IS NOT NULL AND {_CRC} % 5 = 0 THEN {_leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} END AS other FROM documents),
 l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
 tl AS (SELECT g, i, leaf AS h FROM l),
 {_tree_sql("t", "tl", SQL_LEVELS)},
