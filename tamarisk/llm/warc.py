@@ -13,7 +13,8 @@ its record then comes up short, and the files that have such a record are read a
 Gzipped archives are read whole as well. Malformed records are an error, never skipped.
 
 Assembly. The links of WARC-Concurrent-To, in either direction and through any number of records, make
-components; each response or revisit of a component, with the component's requests and metadata, is one capture.
+components. A record with one link, to a record without any, belongs to that one at once; only records that link to more, or
+to one that links on, take rounds of contraction. Each response or revisit of a component, with the component's requests and metadata, is one capture.
 A component without one is a capture without a response. A revisit gets the target of its reference: references
 are counted first, and responses referred to very often, which are few by their number, need no shuffle.
 
@@ -197,15 +198,29 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return found.unionAll(_rows(spark.read.format("binaryFile").load(odd).select("content"), records_of)) if odd else found
 
 
+def _transactions(light: DataFrame) -> DataFrame:
+    """Adds ``capture``, the same for all records that links connect."""
+    first, count = F.get("concurrent_to", F.lit(0)), F.size("concurrent_to")
+    sources = light.filter(count > 0).select(F.col("record_id").alias("to"))
+    chained = light.filter(count == 1).select("record_id", first.alias("to")).join(sources, "to", "left_semi").select("record_id")
+    odd = materialise(chained.unionAll(light.filter(count > 1).select("record_id")).distinct())
+    if odd.isEmpty():
+        return light.withColumn("capture", F.coalesce(first, "record_id"))
+    marked = light.join(odd.withColumn("odd", F.lit(True)), "record_id", "left")
+    hubs = materialise(marked.withColumn("hub", F.when(F.col("odd"), F.col("record_id")).otherwise(F.coalesce(first, "record_id"))))
+    ends = hubs.filter("odd").select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("to"))
+    edges = ends.join(hubs.select(F.col("record_id").alias("to"), "hub"), "to", "left").select("a", F.coalesce("hub", "to").alias("b"))
+    groups = materialise(components(edges))
+    return hubs.join(groups.withColumnRenamed("node", "hub"), "hub", "left").select(*light.columns, F.coalesce("root", "hub").alias("capture"))
+
+
 def captures(records: DataFrame) -> DataFrame:
     """One row for each capture: response (null if there is none), requests, metadata."""
     answer = F.col("kind").isin("response", "revisit", "resource", "conversion", "continuation")
     about = F.col("kind").isin("request", "metadata")
     part = F.struct("record_id", "target", "date", "content_type", "head", "payload")
     light = materialise(records.filter(answer | about).select("record_id", "kind", "concurrent_to", F.when(about, part).alias("part")))
-    groups = materialise(components(light.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))))
-    marked = materialise(light.join(groups.withColumnRenamed("node", "record_id"), "record_id", "left").select(
-        "record_id", "kind", "part", F.coalesce("root", "record_id").alias("capture")))
+    marked = _transactions(light)
     listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("part"))))
     beside = marked.filter(about).groupBy("capture").agg(listed("request").alias("requests"), listed("metadata").alias("metadata"))
     around = marked.filter(answer).select("record_id", "capture").join(beside, "capture", "full")
