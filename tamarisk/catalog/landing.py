@@ -174,6 +174,26 @@ def raw_landing(spark, sf):
                     F.count("status").alias("with_status"), F.count("mostly_empty").alias("with_extra"))
 
 
+# Orders as text in which every third note is a quoted cell of several lines, with separators and quotes inside.
+_NOTE = """CASE order_id % 3 WHEN 0 THEN concat(priority, chr(10), '"', cust_id, '", and', chr(10), chr(10), coalesce(status, '-'))
+    WHEN 1 THEN concat('"', coalesce(status, '-'), '"') ELSE priority END"""
+
+
+@R.query("raw_positions_replanned", f"SELECT row_number() OVER (ORDER BY row_pos) - 1 AS position, CAST(row_pos AS VARCHAR) AS row_pos, {_NOTE} AS note FROM v_raw")
+def raw_positions_replanned(spark, sf):
+    """Every row of quoted text of many splits with its place, built under a split size that is gone when the rows are read."""
+    inbox = scratch_path(spark, "inbox")
+    rows = spark_sql(spark, sf, f"SELECT row_pos, {_NOTE} AS note FROM v_raw")
+    rows.orderBy("row_pos").write.option("header", True).option("escape", '"').csv(inbox)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        raw = tt.read_raw(spark, inbox)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return raw.select(F.col(tt.POSITION).alias("position"), "row_pos", "note")
+
+
 _CELL = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'NA' WHEN 1 THEN 'None' WHEN 2 THEN '' WHEN 3 THEN 'null' WHEN 4 THEN 'n/a'
     WHEN 5 THEN 'na' ELSE event_type END AS cell FROM {events}"""
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tamarisk import params as P
 from tamarisk.functions.ordered import running_totals
 from tamarisk.session import materialise
+from tamarisk.sources import text_scan
 
 POSITION = "_row_pos"
 
@@ -18,11 +19,12 @@ POSITION = "_row_pos"
 def with_row_positions(scan: DataFrame) -> DataFrame:
     """Adds the 0-based position of each row in (file, offset) order.
 
-    ``scan`` is a direct file scan. Inside one file split, rows keep their order and get
-    consecutive ids; only one small row per split is ordered to find where it starts.
+    ``scan`` is a direct file scan. It is run once and written with its splits, and positions come from that
+    copy: a second scan might be planned into other splits, in which no row would be found again. Inside one
+    split, rows keep their order and get consecutive ids; only one small row per split is ordered.
     """
-    tagged = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-                         F.monotonically_increasing_id().alias("_id"))
+    tagged = materialise(scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                                     F.monotonically_increasing_id().alias("_id")))
     splits = tagged.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     upto = running_totals(splits, [], ["_file", "_block"], {"_upto": F.col("_n")})
     starts = materialise(upto.select("_file", "_block", (F.col("_upto") - F.col("_n") - F.col("_first")).alias("_shift")))
@@ -34,12 +36,17 @@ def with_row_positions(scan: DataFrame) -> DataFrame:
 def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
     """Every cell as text, with row positions; a malformed file is an error, so is an empty one.
 
-    Files with line breaks inside quoted cells need ``multiLine=True``, which gives up splitting them.
+    Quoted cells may hold line breaks; files with them are read by as many tasks as any other.
+    ``options`` are those of Spark's CSV reader.
     """
-    scan = spark.read.options(**{"header": True, "mode": "FAILFAST", "escape": '"', **options}).csv(path)
-    if scan.isEmpty():
-        raise ValueError(f"{path} contains no rows")
-    return with_row_positions(scan)
+    given = {"header": True, "mode": "FAILFAST", "escape": '"', **options, "multiLine": True}
+    schema = spark.read.options(**given).csv(path).schema
+    header = str(given.pop("header")).lower() == "true"
+    rows = text_scan.numbered_records(spark, path, header, given.get("sep", given.get("delimiter", ",")), given.get("quote", '"'), given["escape"], given.get("comment"))
+    given["lineSep"] = "\n"  # a record is one row, whatever line ends are in it
+    cells = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(schema))])
+    parsed = rows.select(F.from_csv("record", cells.simpleString()[7:-1].replace(":", " "), {k: str(v) for k, v in given.items()}).alias("r"), "position")
+    return parsed.select(*[F.col(f"r.c{k}").alias(f.name) for k, f in enumerate(schema)], F.col("position").alias(POSITION))
 
 
 def null_tokens(c: Column) -> Column:

@@ -75,10 +75,61 @@ def test_positions_follow_the_file_over_many_splits(spark, tmp_path):
 
 def test_quoted_cells(spark, tmp_path):
     path = write(tmp_path, "q.csv", ["id,text", '1,"a, b"', '2,"say ""hi"""', '3,"two', 'lines"'])
-    got = {r["id"]: (r["text"], r["_row_pos"]) for r in tt.read_raw(spark, path, multiLine=True).collect()}
+    got = {r["id"]: (r["text"], r["_row_pos"]) for r in tt.read_raw(spark, path).collect()}
     assert got == {"1": ("a, b", 0), "2": ('say "hi"', 1), "3": ("two\nlines", 2)}
 
 
+def odd_cells(rng):
+    plain = ["", "a", "é", " x", "b c", "a\\", "it''s"]
+    quoted = ['"a, b"', '"say ""hi"""', '"two\nlines"', '"""\n"""', '","', '"\n\n"', '""', '"\r\n,\n"', '"tail"x', '"#"']
+    return rng.choice(quoted if rng.random() < 0.4 else plain)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_over_many_splits(spark, tmp_path, end):
+    """The same rows as by a reader that takes a file whole, in file order, whatever the splits."""
+    import random
+
+    rng = random.Random(len(end))
+    for f in range(3):
+        rows = ["n,one,two", *[f"{f}-{k},{odd_cells(rng)},{odd_cells(rng)}" for k in range(400)]]
+        (tmp_path / f"part-{f}.csv").write_bytes((end.join(rows) + (end if f else "")).encode())
+    (tmp_path / "part-1a.csv").write_bytes(b"")
+    path = str(tmp_path)
+    whole = spark.read.options(header=True, multiLine=True, escape='"', mode="FAILFAST").csv(path)
+    want = {r.n: (r.one, r.two) for r in whole.collect()}
+    assert len(want) == 1200
+    for size in ("400b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            raw = tt.read_raw(spark, path)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        got = raw.orderBy("_row_pos").collect()
+        plain = lambda cells: tuple(c and c.replace("\r\n", "\n") for c in cells)  # the other reader rewrites the file's own line end in cells
+        assert {r.n: plain((r.one, r.two)) for r in got} == {n: plain(cells) for n, cells in want.items()}
+        assert end == "\r\n" or {r.n: (r.one, r.two) for r in got} == want
+        assert [(r.n, r["_row_pos"]) for r in got] == [(f"{k // 400}-{k % 400}", k) for k in range(1200)]
+
+
+def test_positions_do_not_depend_on_later_planning(spark, tmp_path):
+    path = write(tmp_path, "many.csv", ["n,text"] + [f"{i},{'x' * (i % 50)}" for i in range(20000)])
+    scan = spark.read.option("header", True).csv(path)
+    for change in ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes"):
+        spark.conf.set(change, "24" if change.endswith("Parallelism") else "30k")
+        made = [tt.read_raw(spark, path), tt.with_row_positions(scan)]
+        spark.conf.unset(change)
+        for df in made:
+            assert df.select(F.count_if(F.col("n").cast("long") == F.col("_row_pos"))).first()[0] == df.count() == 20000
+
+
+def test_a_quote_left_open_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tt.read_raw(spark, write(tmp_path, "open.csv", ["a,b", '1,"x', "2,y"]))
+
+
 def test_null_tokens_and_types(spark, tmp_path):
     lines = ["a,b,c,d,e", "1,1.5,True,x,NA", "NA,null,False,NaN,", "3,2,True,None,n/a"]
     df = tt.read_table(spark, write(tmp_path, "t.csv", lines))
