@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tamarisk.catalog.base import Registry, oracle, placed, spark_sql, view
+from tamarisk.catalog.base import Registry, placed, spark_sql, view
 from tamarisk.operators import dedup, golden
 from tamarisk.plans import people as plan
 
@@ -127,15 +127,14 @@ def dup_audit_page(spark, sf):
     return placed(dedup.audit(view(spark, sf, "v_decisions"), limit=20).select("cluster_id"))
 
 
-# All customers on one date, with names that share letters, and some that share none with the shortest.
-_HOT = "SELECT dataset, row_pos, CUST_ID, CASE WHEN dataset = 'ds_b' AND row_pos % 97 = 0 THEN concat('Xyz', row_pos) ELSE coalesce(FULL_NAME, 'Li') END AS FULL_NAME, '1900-01-01' AS DOB FROM v_customers"
+# All customers on one date: names of two words, a fifth of them with few letters in common with the others.
+_HOT = """SELECT dataset, row_pos, CUST_ID, CASE WHEN row_pos % 5 = 0
+        THEN concat(translate(CAST(row_pos AS STRING), '0123456789', 'kalesimort'), ' ', translate(reverse(CAST(row_pos AS STRING)), '0123456789', 'bucdyhfwgp'))
+        ELSE coalesce(FULL_NAME, 'No Name') END AS FULL_NAME, '1900-01-01' AS DOB FROM v_customers"""
 
 
-# Too slow in SQL on whole tables (a list program for every pair of names); the tests run it on the smallest ones.
-HOT_SQL = oracle(_CLUSTERS.replace("FROM v_customers WHERE DOB <> ''", f"FROM ({_HOT}) t") + " SELECT dataset, dob, CAST(size AS BIGINT) AS size, n_names, min_name_similarity, tier FROM clusters")
-
-
-@R.query("dup_hot_block")
+@R.query("dup_hot_block", _CLUSTERS.replace("FROM v_customers WHERE DOB <> ''", f"FROM ({_HOT}) t")
+         + " SELECT dataset, dob, CAST(size AS BIGINT) AS size, n_names, min_name_similarity, tier FROM clusters")
 def dup_hot_block(spark, sf):
     """A placeholder date that holds every row."""
     found = dedup.find_clusters(dedup.candidates(spark_sql(spark, sf, _HOT)))

@@ -142,10 +142,104 @@ def min_ratio_in(blocks: pd.Series) -> pd.Series:
     return pd.Series(lowest)
 
 
+def lowest_to(names: list[str], pivots: list[str]) -> np.ndarray:
+    """For each name its smallest ratio with the pivots, itself left out."""
+    lowest = np.full(len(names), 100.0)
+    short = np.array([k for k, n in enumerate(names) if len(n) <= LONG_NAME], np.int64)
+    if len(short):
+        codes, lengths = code_points([names[k] for k in short])
+        for p in pivots:
+            if len(p) > 64:
+                continue
+            dense, own = _symbols(codes, code_points([p])[0])
+            lcs = _bit_lcs(own[0, :len(p)], np.ascontiguousarray(dense.T), int(max(dense.max(initial=0), own.max(initial=0))))
+            same = np.array([names[k] == p for k in short])
+            lowest[short] = np.minimum(lowest[short], np.where(same, 100.0, ratios(lcs, lengths + len(p))))
+    for p in pivots:
+        for k, n in enumerate(names):
+            if n != p and (len(p) > 64 or len(n) > LONG_NAME):
+                lowest[k] = min(lowest[k], ratio(n, p))
+    return lowest
+
+
 @F.pandas_udf(T.DoubleType())
 def min_ratio_to(names: pd.Series, pivots: pd.Series) -> pd.Series:
-    """Smallest ratio of each name with the pivots beside it, itself left out."""
-    return pd.Series([min((ratio(n, p) for p in ps if p != n), default=100.0) for n, ps in zip(names, pivots)], dtype="float64")
+    """Smallest ratio of each name with the pivots beside it; names with the same pivots are scored together."""
+    out = np.full(len(names), 100.0)
+    groups: dict[tuple, list[int]] = {}
+    for k, ps in enumerate(pivots):
+        groups.setdefault(tuple(ps), []).append(k)
+    values = names.tolist()
+    for ps, rows in groups.items():
+        out[rows] = lowest_to([values[k] for k in rows], list(ps))
+    return pd.Series(out)
+
+
+def common_at_least(shared: int, words_a, m1_a, m2_a, words_b, m1_b, m2_b) -> np.ndarray:
+    """Characters that two names surely share in order, from the letters of their first words and of the rest."""
+    several = 1 + ((m1_a & m1_b) != 0).astype(np.int64) + ((m2_a & m2_b) != 0)
+    return shared + np.where(words_a & words_b, several, ((m1_a | m2_a) & (m1_b | m2_b)) != 0)
+
+
+def groups_to_meet(part: pd.DataFrame, letters: int) -> pd.DataFrame:
+    """Pairs of a block's groups whose names could be below its score, with the lengths that would take.
+
+    One row with group -1 when that is over half of all pairs of names.
+    """
+    part = part.sort_values("grp")
+    grp, n, longest = (part[c].to_numpy(np.int64) for c in ("grp", "n", "longest"))
+    score, shared = float(part["score"].iloc[0]), int(part["shared"].iloc[0])
+    some = (1 << letters) - 1
+    words, m1, m2 = grp >> 2 * letters == 1, grp >> letters & some, grp & some
+    head = {"dataset": part["dataset"].iloc[0], "dob": part["dob"].iloc[0]}
+    left, right, least, other, pairs = [], [], [], [], 0
+    for i in range(len(grp)):
+        sure = common_at_least(shared, words[i], m1[i], m2[i], words[i:], m1[i:], m2[i:])
+        # 200 * sure / (a + b) < score; a pair of empty names is alike
+        total = np.floor(200.0 * sure / score).astype(np.int64)
+        j = np.flatnonzero(longest[i] + longest[i:] > total - 1)  # a length to spare for rounding
+        left.append(np.full(len(j), grp[i])), right.append(grp[i:][j])
+        least.append(total[j] - longest[i:][j] - 1), other.append(total[j] - longest[i] - 1)
+        pairs += int(n[i] * n[i:][j].sum())
+        if pairs > n.sum() ** 2 // 4:
+            return pd.DataFrame([{**head, "grp": -1, "other": -1, "least": 0, "other_least": 0, "n": 0, "others": 0}])
+    left, right = np.concatenate(left), np.concatenate(right)
+    size = dict(zip(grp.tolist(), n.tolist()))
+    return pd.DataFrame({"dataset": head["dataset"], "dob": head["dob"], "grp": left, "other": right, "least": np.concatenate(least), "other_least": np.concatenate(other),
+                         "n": [size[g] for g in left.tolist()], "others": [size[g] for g in right.tolist()]})
+
+
+def score_cell(part: pd.DataFrame) -> pd.DataFrame:
+    """One row: the block's score so far, or a smaller ratio of a name of its own with one of the others."""
+    head = part.iloc[0]
+    best, shared = float(head["score"]), int(head["shared"])
+    own = part["own"].to_numpy(bool)
+    sides = []
+    for rows in (part[own], part[~own]):
+        sides.append((rows["sorted_name"].tolist(), rows["len"].to_numpy(np.int64), rows["words"].to_numpy(bool), rows["m1"].to_numpy(np.int64), rows["m2"].to_numpy(np.int64)))
+    (a, la, wa, a1, a2), (b, lb, wb, b1, b2) = sides
+    if a and b:
+        plain = np.array([len(x) <= LONG_NAME for x in b])
+        codes_a, _ = code_points([x if len(x) <= 64 else "" for x in a])
+        codes_b, _ = code_points([x if p else "" for x, p in zip(b, plain)])
+        dense_a, dense_b = _symbols(codes_a, codes_b)
+        symbols, columns = int(max(dense_a.max(initial=0), dense_b.max(initial=0))), np.ascontiguousarray(dense_b.T)
+        bound = lambda i: 200.0 * common_at_least(shared, wa[i], a1[i], a2[i], wb, b1, b2) / np.maximum(la[i] + lb, 1)
+        lowest = np.array([bound(i).min() for i in range(len(a))])
+        for i in np.argsort(lowest, kind="stable"):
+            if lowest[i] >= best:
+                break
+            near = np.flatnonzero(bound(i) < best)
+            fast = near[plain[near]] if len(a[i]) <= 64 else near[:0]
+            if len(fast):
+                lcs = _bit_lcs(dense_a[i, :len(a[i])], columns[:, fast], symbols)
+                found = ratios(lcs, la[i] + lb[fast])
+                found[[k for k, j in enumerate(fast) if b[j] == a[i]]] = 100.0
+                best = min(best, float(found.min()))
+            for j in near if not len(fast) else near[~plain[near]]:
+                if a[i] != b[j]:
+                    best = min(best, ratio(a[i], b[j]))
+    return pd.DataFrame({"dataset": [head["dataset"]], "dob": [head["dob"]], "score": [best]})
 
 
 def score_chunk_pair(part: pd.DataFrame) -> pd.DataFrame:

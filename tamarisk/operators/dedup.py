@@ -4,19 +4,30 @@ Nothing here depends on how the rows are spread over birth dates. Members stay i
 form (one row per member) and are never collected into an array. Names are first reduced to
 the distinct sorted-token names of a block, with a map-side combine, so copies cost nothing.
 Short blocks are scored as one bounded list each. In a long block every name is first compared
-with the block's few shortest ones: two names without a common letter give 0, below which no
-score can be, and such a block is done after one pass. What is left is cut into chunks of names
-and its chunk pairs become separate tasks, each giving back one number. No pair is ever a row.
+with the block's few shortest and longest ones, which gives a score to beat; a block whose score is
+0 is done. Then names are bounded from below by signatures. What all names of a block begin with is
+common to any two of them. Behind it, two names of several words share the blank, one character more if
+their first words have a common letter, and one more if the rest has; other names share one if they
+have a common letter at all. So letters and lengths bound a pair's score without comparing it. Names
+are grouped by the most frequent of their letters, whose sets are few whatever the number of names; two
+groups are out when even their longest names are bounded above the score to beat. Names of the groups that
+remain meet in cells, by all of their letters first, and only pairs that could still be lower are scored,
+the lowest bounds first. Every name that is left out has a bound that says why.
+
+Where the signatures spare less than half of a block's pairs, its names are cut into chunks and all chunk pairs
+are scored. No pair is ever a row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tamarisk import params as P
 from tamarisk.functions.ordered import numbered
-from tamarisk.functions.similarity import min_ratio_in, min_ratio_to, score_chunk_pair, sorted_tokens
+from tamarisk.functions.similarity import groups_to_meet, min_ratio_in, min_ratio_to, score_cell, score_chunk_pair, sorted_tokens
 from tamarisk.operators import roles
 from tamarisk.session import materialise
 
@@ -25,6 +36,8 @@ SHORT_BLOCK = 32
 PIVOTS = 6
 CHUNK_NAMES = 2048
 MOST_CHUNKS = 1024  # a longer block gets longer chunks: a name is sent this many times at most
+LETTERS = 60        # the most frequent ones, which a signature knows
+GROUP_LETTERS = 6   # the most frequent of these, by which names are grouped
 
 
 def candidates(df: DataFrame) -> DataFrame:
@@ -54,19 +67,65 @@ def _short_scores(names: DataFrame, found: DataFrame) -> DataFrame:
     return lists.select(*BLOCK, min_ratio_in("names").alias("score"))
 
 
-def _pivot_scores(names: DataFrame, found: DataFrame) -> DataFrame:
-    """An upper bound of each long block's score: the lowest of all its names against its shortest ones."""
-    long = found.where(F.col("n_names") > SHORT_BLOCK).select(*BLOCK)
-    inside = names.join(long, BLOCK).select(*BLOCK, "sorted_name")
-    place = F.row_number().over(W.partitionBy(*BLOCK).orderBy(F.char_length("sorted_name"), "sorted_name"))
-    pivots = inside.withColumn("_n", place).where(F.col("_n") <= PIVOTS).groupBy(*BLOCK).agg(F.collect_list("sorted_name").alias("pivots"))
+def _pivot_scores(inside: DataFrame) -> DataFrame:
+    """An upper bound of each long block's score: the lowest of all its names against its shortest and longest ones."""
+    place = lambda order: F.row_number().over(W.partitionBy(*BLOCK).orderBy(order, "sorted_name"))
+    ends = [inside.withColumn("_n", place(order)).where(F.col("_n") <= PIVOTS) for order in (F.asc("len"), F.desc("len"))]  # cut before the shuffle
+    pivots = ends[0].unionByName(ends[1]).groupBy(*BLOCK).agg(F.sort_array(F.collect_set("sorted_name")).alias("pivots"))
     return inside.join(pivots, BLOCK).select(*BLOCK, min_ratio_to("sorted_name", "pivots").alias("score")).groupBy(*BLOCK).agg(F.min("score").alias("score"))
 
 
+def _signatures(inside: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Names with the letters of their first word and of the rest, behind what all names of their block begin with."""
+    letters = (inside.select(F.explode(F.split("sorted_name", "")).alias("c")).where("c NOT IN ('', ' ')")
+               .groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS).collect())
+    held = lambda text: reduce(lambda x, y: x.bitwiseOR(y), [
+        F.when(F.contains(text, F.lit(r.c)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, r in enumerate(letters)], F.lit(0).cast("long"))
+    ends = inside.groupBy(*BLOCK).agg(F.min("sorted_name").alias("a"), F.max("sorted_name").alias("z"))
+    longest = F.least(F.char_length("a"), F.char_length("z"), F.lit(256))
+    common = F.size(F.filter(F.sequence(F.lit(0), longest), lambda i: F.substr("a", F.lit(1), i) == F.substr("z", F.lit(1), i))) - 1
+    known = ends.select(*BLOCK, common.alias("shared")).join(bounds, BLOCK)
+    tail = F.substr("sorted_name", F.col("shared") + 1)
+    placed = inside.join(known, BLOCK).withColumn("tail", tail)
+    first = F.substring_index("tail", " ", 1)
+    placed = placed.select(*BLOCK, "sorted_name", "len", "shared", "score", F.contains("tail", F.lit(" ")).alias("words"),
+                           held(first).alias("m1"), held(F.substr("tail", F.char_length(first) + 1)).alias("m2"))
+    some = F.lit((1 << GROUP_LETTERS) - 1).cast("long")
+    group = F.shiftleft(F.col("words").cast("long"), 2 * GROUP_LETTERS) + F.shiftleft(F.col("m1").bitwiseAND(some), GROUP_LETTERS) + F.col("m2").bitwiseAND(some)
+    return placed.withColumn("grp", group)
+
+
 def _long_scores(names: DataFrame, found: DataFrame, chunk_names: int) -> DataFrame:
-    bounds = materialise(_pivot_scores(names, found))
-    undecided = found.join(bounds.where("score > 0").select(*BLOCK), BLOCK, "left_semi")
-    return bounds.unionByName(_chunk_scores(names, undecided, chunk_names))
+    long = found.where(F.col("n_names") > SHORT_BLOCK).select(*BLOCK)
+    inside = materialise(names.join(long, BLOCK).select(*BLOCK, "sorted_name", F.char_length("sorted_name").alias("len")))
+    bounds = materialise(_pivot_scores(inside))
+    undecided = bounds.where("score > 0")
+    if undecided.isEmpty():
+        return bounds
+    signed = materialise(_signatures(inside, undecided))
+    groups = signed.groupBy(*BLOCK, "grp", "shared", "score").agg(F.max("len").cast("long").alias("longest"), F.count("*").alias("n"))
+    meetings = materialise(groups.groupBy(*BLOCK).applyInPandas(
+        lambda part: groups_to_meet(part, GROUP_LETTERS), "dataset string, dob string, grp long, other long, least long, other_least long, n long, others long"))
+    all_pairs = found.join(meetings.where("grp < 0").select(*BLOCK), BLOCK, "left_semi")
+    met = meetings.where("grp >= 0")
+    out = bounds.unionByName(_chunk_scores(names, all_pairs, chunk_names))
+    return out if met.isEmpty() else out.unionByName(_cell_scores(signed, met, chunk_names))
+
+
+def _cell_scores(signed: DataFrame, met: DataFrame, chunk_names: int) -> DataFrame:
+    """The lowest score in each cell: a chunk of a group's names with a chunk of the names of the groups it meets."""
+    on = [*BLOCK, "grp"]
+    chunks = lambda n: F.greatest(F.ceil(F.col(n) / chunk_names), F.lit(1)).cast("int")
+    own = met.groupBy(*on).agg(F.min("least").alias("least"), F.first("n").alias("n"), F.sum("others").alias("others")).select(
+        *on, "least", chunks("n").alias("own_chunks"), chunks("others").alias("other_chunks"))
+    facts = ["sorted_name", "len", "m1", "m2", "words", "shared", "score"]
+    at = lambda of: F.pmod(F.xxhash64("sorted_name"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = signed.join(own, on).where("len >= least").select(*on, *facts, F.lit(True).alias("own"), at("own_chunks").alias("ci"), every("other_chunks").alias("cj"))
+    sides = met.join(own.select(*on, "own_chunks", "other_chunks"), on).select(*BLOCK, F.col("grp").alias("to"), F.col("other").alias("grp"), "other_least", "own_chunks", "other_chunks")
+    right = signed.join(sides, on).where("len >= other_least").select(
+        *BLOCK, F.col("to").alias("grp"), *facts, F.lit(False).alias("own"), every("own_chunks").alias("ci"), at("other_chunks").alias("cj"))
+    return left.unionByName(right).groupBy(*on, "ci", "cj").applyInPandas(score_cell, "dataset string, dob string, score double")
 
 
 def _chunk_scores(names: DataFrame, found: DataFrame, chunk_names: int) -> DataFrame:

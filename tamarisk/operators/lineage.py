@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,29 +58,85 @@ def nodes(jobs: DataFrame) -> DataFrame:
     return work.unionByName(data, allowMissingColumns=True)
 
 
-def levels(node_ids: DataFrame, graph: DataFrame) -> DataFrame:
-    """Longest-path level of every node: sources are peeled off, round by round.
+def _heads(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contracts chains: (id, up, d) for every node of one input, and the links left between the other nodes.
 
-    A node leaves in the round after its last input, so the round number is its level. A round counts,
-    for each node, the inputs that left in the round before, takes them from the inputs it still waits
-    for, and writes the nodes once; the links are never rewritten. The cost is the depth of the graph in
-    rounds. Nodes on or behind a cycle never become sources; their level is null.
+    ``links`` is (from_id, to_id, w): to_id is at least w levels below from_id. A node of one input points at it; pointers are
+    followed by doubling, so a chain takes as many rounds as its length has bits. A pointer that still moves when it
+    has covered more steps than there are nodes is on or behind a cycle and ends as null.
     """
-    listed = node_ids.select("id").distinct().withColumn("listed", F.lit(True))
-    links = materialise(graph.select("from_id", "to_id").distinct().join(listed.select(F.col("id").alias("to_id")), "to_id", "left_semi"))
-    inputs = links.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("waiting"))
-    known = listed.join(links.select(F.col("from_id").alias("id")).distinct(), "id", "full").join(inputs, "id", "left")
-    state = materialise(known.select("id", "listed", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.when(F.col("waiting").isNull(), 0).alias("level")))
-    level = 0
+    inputs = materialise(links.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("n"), F.min("from_id").alias("up"), F.max("w").alias("d")))
+    chain = inputs.where("n = 1").select("id", "up", "d", F.lit(True).alias("moved"))
+    covered, most = 1, None
     while True:
-        left = state.where(F.col("level") == level).select(F.col("id").alias("from_id"))
-        met = links.join(left, "from_id").groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("met"))
-        waiting = F.col("waiting") - F.coalesce("met", F.lit(0))
-        reached = F.when(F.col("level").isNull() & (waiting == 0), level + 1).otherwise(F.col("level"))
-        state = materialise(state.join(met, "id", "left").select("id", "listed", waiting.alias("waiting"), reached.alias("level")))
-        level += 1
-        if state.where(F.col("level") == level).isEmpty():
-            return state.where("listed").select("id", "level")
+        further = chain.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("d").alias("more"), F.lit(True).alias("found"))
+        moved = chain.join(further, "up", "left").select(
+            "id", F.when(F.col("found"), F.col("next")).otherwise(F.col("up")).alias("up"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"),
+            F.coalesce("found", F.lit(False)).alias("moved"))
+        chain, covered = materialise(moved), 2 * covered
+        if chain.where("moved").isEmpty():
+            break
+        most = chain.count() if most is None else most
+        if covered > 2 * most:
+            chain = materialise(chain.withColumn("up", F.when(~F.col("moved"), F.col("up"))))
+            break
+    chain = chain.select("id", "up", "d")
+    joins = links.join(inputs.where("n > 1").select(F.col("id").alias("to_id")), "to_id", "left_semi")
+    at = chain.select(F.col("id").alias("from_id"), "up", "d", F.lit(True).alias("found"))
+    lifted = joins.join(at, "from_id", "left").select(
+        F.when(F.col("found"), F.col("up")).otherwise(F.col("from_id")).alias("from_id"), "to_id", (F.col("w") + F.coalesce("d", F.lit(0))).alias("w"))
+    return chain, materialise(lifted.groupBy("from_id", "to_id").agg(F.max("w").alias("w")))
+
+
+def _peeled(links: DataFrame) -> DataFrame:
+    """id, level of every target of the links: a node is done in the round after its last input.
+
+    A round reads the links of the nodes done in the round before and rewrites only the nodes that wait.
+    """
+    inputs = materialise(links.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("inputs")))
+    sources = links.select(F.col("from_id").alias("id")).distinct().join(inputs, "id", "left_anti").where("id IS NOT NULL")
+    front, waiting, done = materialise(sources.withColumn("level", F.lit(0).cast("long"))), None, []
+    while not front.isEmpty():
+        met = links.join(front.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(
+            F.count("*").alias("met"), F.max(F.col("level") + F.col("w")).alias("level"))
+        if waiting is not None:
+            met = met.unionAll(waiting).groupBy("id").agg(F.sum("met").alias("met"), F.max("level").alias("level"))
+        touched = materialise(met.join(inputs, "id"))
+        front, waiting = touched.where("met = inputs").select("id", "level"), touched.where("met < inputs").select("id", "met", "level")
+        done.append(front)
+    known = reduce(DataFrame.unionAll, done) if done else inputs.select("id", F.lit(None).cast("long").alias("level")).limit(0)
+    return materialise(inputs.select("id").join(known, "id", "left"))
+
+
+def levels(node_ids: DataFrame, graph: DataFrame) -> DataFrame:
+    """Longest-path level of every node; nodes on or behind a cycle have none.
+
+    Chains are contracted first, again and again while contraction makes new ones; what is left, nodes that
+    several paths meet in, is peeled from its sources. The levels then go back down the chains.
+    """
+    listed = node_ids.select("id").distinct()
+    links = materialise(graph.select("from_id", "to_id").distinct().join(listed.select(F.col("id").alias("to_id")), "to_id", "left_semi")
+                        .select("from_id", "to_id", F.lit(1).cast("long").alias("w")))
+    chains = []
+    while not links.isEmpty():
+        chain, left = _heads(links)
+        chains.append(chain)
+        if chain.isEmpty():
+            break
+        links = left
+    known = _peeled(links) if not links.isEmpty() else None
+    for chain in reversed(chains):
+        level = F.when(F.col("up").isNotNull(), F.col("d"))
+        if known is not None:
+            up = known.select(F.col("id").alias("up"), F.col("level").alias("up_level"), F.lit(True).alias("found"))
+            level = F.when(F.col("found"), F.col("up_level") + F.col("d")).otherwise(level)
+            chain = chain.join(up, "up", "left")
+        here = chain.select("id", level.alias("level"))
+        known = here if known is None else known.unionAll(here)
+    if known is None:
+        return listed.select("id", F.lit(0).alias("level"))
+    out = listed.join(known.withColumn("found", F.lit(True)), "id", "left")
+    return out.select("id", F.when(F.col("found"), F.col("level")).otherwise(F.lit(0)).cast("int").alias("level"))
 
 
 def gold_traces(jobs: DataFrame, keyword: str, task: str = "gold_compute") -> DataFrame:

@@ -125,3 +125,41 @@ def test_text_helpers(spark):
     assert tuple(row) == (["a", "b"], "my-list", "x/y/", ".pdf", None)
     flags = spark.sql("SELECT explode(array('true', 'False', 'yes', '0', '2', 'maybe', NULL)) AS c").select(X.flag(F.col("c")))
     assert [r[0] for r in flags.collect()] == [True, False, True, False, True, False, False]
+
+
+def plain_levels(links):
+    """Longest path from a source to every node, None on or behind a cycle."""
+    inputs = {}
+    for a, b in links:
+        inputs.setdefault(b, set()).add(a)
+        inputs.setdefault(a, set())
+    level = {}
+    while True:
+        ready = [n for n, up in inputs.items() if n not in level and all(u in level for u in up)]
+        if not ready:
+            return {n: level.get(n) for n in inputs}
+        level.update({n: max((level[u] + 1 for u in inputs[n]), default=0) for n in ready})
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_levels_of_random_graphs(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    nodes = [f"n{k}" for k in range(40)]
+    links = {(nodes[a], nodes[b]) for a, b in (sorted(rng.sample(range(40), 2)) for _ in range((30, 45, 60, 90)[seed]))}
+    links |= {(f"c{k}", f"c{k + 1}") for k in range(30)} | {("c30", nodes[20]), (nodes[3], "c0")}  # a chain into and out of the rest
+    links |= {("x1", "x2"), ("x2", "x1"), ("x2", "x3"), ("x3", nodes[39]), ("s", "s"), ("s", "t")}  # cycles, and what is behind them
+    if seed % 2:
+        links |= {(nodes[30], "y1"), ("y1", "y2"), ("y2", "y1")}
+    graph = spark.createDataFrame(sorted(links), "from_id string, to_id string")
+    want = plain_levels(links)
+    got = {r.id: r.level for r in lineage.levels(spark.createDataFrame([(n,) for n in [*want, "alone"]], "id string"), graph).collect()}
+    assert got == {**want, "alone": 0}
+
+
+def test_levels_of_a_long_chain_take_few_rounds(spark):
+    graph = spark.range(2000).select(F.concat(F.lit("j"), F.col("id")).alias("from_id"), F.concat(F.lit("j"), F.col("id") + 1).alias("to_id"))
+    ids = spark.range(2001).select(F.concat(F.lit("j"), F.col("id")).alias("id"))
+    got = lineage.levels(ids, graph)
+    assert got.where(F.substr("id", F.lit(2)).cast("int") != F.col("level")).isEmpty() and got.agg(F.max("level")).first()[0] == 2000

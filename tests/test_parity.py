@@ -5,7 +5,6 @@ import pytest
 import __spark_entry__ as entry
 from parity import compare, connect
 from tamarisk import catalog
-from tamarisk.catalog import people
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,13 +24,9 @@ def test_query(spark, con, name):
         assert compare(df, con, sql) is None
 
 
-def test_hot_block(spark, con):
-    assert compare(entry.queries()["dup_hot_block"](spark, SF), con, people.HOT_SQL) is None
-
-
 def test_every_check_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalog.queries()) - set(catalog.oracles()) == {"dup_hot_block"}
+    assert set(catalog.queries()) == set(catalog.oracles())
 
 
 def test_entry(spark):
