@@ -19,20 +19,18 @@ null id is never the smallest id of a component that has another. Extra columns
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Iterator
-from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm.base import join_names, over_rows, rows_of, table, with_row_numbers
+from tamarisk.llm.base import join_names, over_rows, table, with_row_numbers
 from tamarisk.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -45,11 +43,6 @@ FANOUT = 16
 SMALL_GROUP = 32       # compared by neighbour distance
 QUERY_ROWS = 64        # queries that go down the index together; in a dense group their frontier is as many times the group
 HASH_CHUNK = 1 << 16
-RECALL = 0.999         # of pairs at the least similarity, by their bands alone
-BAND_ROWS = 4
-BAND_CHUNK = 1 << 12
-SMALL_BUCKET = 8       # all of its rows are compared at once
-CENTRES = 64           # rows of a bucket with which the others are compared in one round; the first round takes one
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -297,162 +290,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle_words: int = S
     return join_names(rows, names, ["fp"], rows.count()).select("id", "fp", "component_id")
 
 
-def word_fingerprints(text: str | None) -> tuple[int, int]:
-    """Two fingerprints of the set of words of a text, as signed 64-bit numbers.
-
-    A few changed words out of a hundred change a set of words far less than a set of shingles, and
-    common words count once, so copies stay within a few bits and other texts far away.
-    """
-    words = set((text or "").encode().lower().split())
-    total, n = np.zeros(128, np.int64), len(words)
-    hashes = b"".join(map(xxhash.xxh3_128_digest, words))
-    for at in range(0, 16 * n, 16 * HASH_CHUNK):
-        part = np.frombuffer(hashes[at:at + 16 * HASH_CHUNK], np.uint8).reshape(-1, 16)
-        total += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    both = np.packbits(2 * total > n).view("<i8")
-    return int(both[0]), int(both[1])
-
-
-def bands(recall: float, least: float, rows: int = BAND_ROWS) -> int:
-    """How many bands of ``rows`` minima find a pair of similarity ``least`` with the stated recall.
-
-    A minimum over the hashed shingles is the same for two texts with a probability of their Jaccard
-    similarity, whatever the edits were, and a band when all of its minima are.
-    """
-    return math.ceil(math.log(1 - recall) / math.log(1 - least ** rows))
-
-
-def band_keys(text: str | None, shingle_words: int, count: int, rows: int = BAND_ROWS) -> list[int]:
-    """A signed 64-bit key for each band of minima over the text's word shingles."""
-    rng = np.random.default_rng(HASH_SEED)
-    odd = rng.integers(0, 1 << 63, (count * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    start = rng.integers(0, 1 << 63, (count * rows, 1), dtype=np.uint64)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x, HASH_SEED) for x in _shingle_set(text, shingle_words)), np.uint64)
-    least = np.full(count * rows, ~np.uint64(0))
-    for at in range(0, len(hashes), BAND_CHUNK):
-        x = (hashes[at:at + BAND_CHUNK] ^ start) * odd
-        np.minimum(least, ((x ^ (x >> np.uint64(32))) * odd).min(axis=1), out=least)
-    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(count, rows))]
-
-
-def words_hash(text: str | None) -> tuple[int, int]:
-    """128 bits of the sequence of words, as two signed numbers."""
-    both = np.frombuffer(xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split())), "<i8")
-    return int(both[0]), int(both[1])
-
-
-def similarity(a: str | None, b: str | None, shingle_words: int) -> float:
-    """Jaccard similarity of the sets of word shingles; texts of fewer words are one shingle."""
-    if a == b:
-        return 1.0
-    x, y = _shingle_set(a, shingle_words), _shingle_set(b, shingle_words)
-    return len(x & y) / len(x | y)
-
-
-def _shingle_set(text: str | None, shingle_words: int) -> set[bytes]:
-    words = (text or "").encode().lower().split()
-    return {b" ".join(words[i:i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))}
-
-
-def _off_centre(members: DataFrame) -> DataFrame:
-    """id, off: how many bits each row of a component is from the majority of its fingerprints, which is where copies come from."""
-    bit = lambda b: F.shiftright(F.col("fp"), b).bitwiseAND(F.lit(1).cast("long"))
-    votes = members.groupBy("root").agg(F.count("*").alias("copies"), *[F.sum(bit(b)).alias(f"v{b}") for b in range(64)]).filter("copies > 1")
-    majority = F.lit(0).cast("long")
-    for b in range(64):
-        majority = majority.bitwiseOR(F.when(F.col(f"v{b}") * 2 > F.col("copies"), F.lit(_signed(1 << b))).otherwise(F.lit(0)).cast("long"))
-    voted = join_names(members.drop("copies"), materialise(votes.select("root", "copies", majority.alias("majority"))), ["root"], members.count())
-    return voted.select("root", "id", F.bit_count(F.col("fp").bitwiseXOR(F.col("majority"))).cast("long").alias("off"))
-
-
-def _judged(pairs: DataFrame, texts: DataFrame, shingle_words: int, least: float) -> DataFrame:
-    """The pairs (id, c) whose whole texts have a similarity of at least ``least``."""
-    named = pairs.groupBy("c").agg(F.count("*").alias("copies")).join(texts.select(F.col("id").alias("c"), F.col("text").alias("b")), "c")
-    both = join_names(pairs, materialise(named), ["c"], pairs.count()).join(texts.select("id", F.col("text").alias("a")), "id")
-    out = pa.schema([("id", pa.int64()), ("c", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good = [(i, c) for i, c, a, b in rows_of(batches) if similarity(a, b, shingle_words) >= least]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*good) if good else ((), ()))], schema=out)
-
-    return materialise(both.select("id", "c", "a", "b").mapInArrow(run, "id long, c long"))
-
-
-def copies_in_buckets(entries: DataFrame, texts: DataFrame, shingle_words: int, least: float) -> DataFrame:
-    """id of every row that is a copy of a row that stays, by the entries (key, id, off) and the texts (id, text).
-
-    Rows that share a bucket ``key`` are candidates; a row has one ``off``, and rows of low (off, id) come
-    first. A round takes the first few rows of each bucket as centres if they are among the first in all
-    their buckets, and compares every later row of their buckets with them. A centre without a similar
-    row before it stays, the rows similar to it go, and both leave their buckets. So any two
-    rows of a bucket are compared unless one has gone; the rounds end when no bucket has two rows.
-    """
-    open_, gone, batch = entries, [], 1
-    while True:
-        open_ = materialise(open_)
-        sizes = materialise(open_.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"))
-        if sizes.isEmpty():
-            return reduce(DataFrame.unionAll, gone) if gone else open_.select("id").limit(0)
-        live = materialise(join_names(open_, sizes, ["key"], open_.count()))
-        first = Window.partitionBy("key").orderBy("off", "id")
-        top = materialise(live.withColumn("place", F.row_number().over(first)).filter((F.col("place") <= batch) | (F.col("copies") <= SMALL_BUCKET)))
-        held = live.groupBy("id").agg(F.count("*").alias("n")).join(top.groupBy("id").agg(F.count("*").alias("m")), "id").filter("n = m").select("id")
-        centres = top.join(held.withColumn("centre", F.lit(1)), "id", "left").withColumn("centre", F.coalesce("centre", F.lit(0)))
-        centres = materialise(centres.withColumn("sure", F.min("centre").over(first)))  # no row before it that is not a centre
-        sure = centres.groupBy("id").agg(F.min("sure").alias("sure"), F.count("*").alias("m")).filter("sure = 1").select("id")
-        with_centres = join_names(live.drop("copies"), centres.filter("centre = 1").select(
-            "key", "copies", F.col("id").alias("c"), F.col("off").alias("c_off")), ["key"], live.count())
-        pairs = materialise(with_centres.filter("c_off < off OR c_off = off AND c < id").select("id", "c").distinct())
-        alike = _judged(pairs, texts, shingle_words, least)
-        stays = materialise(sure.join(alike.select("id"), "id", "left_anti"))
-        went = materialise(alike.join(stays.select(F.col("id").alias("c")), "c", "left_semi").select("id").distinct())
-        gone.append(went)
-        open_ = live.select("key", "id", "off").join(stays.unionAll(went), "id", "left_anti")
-        batch = min(8 * batch, CENTRES)
-
-
-def copies(numbered: DataFrame, key: str, shingle_words: int, least: float, max_bits: int, max_check_bits: int, group_rows: int) -> DataFrame:
-    """id of every row that is a copy, exact or near, of a row that stays.
-
-    Of rows with the same words one stays. The others are candidates in two ways: they share a band of
-    minima over their shingles, or a component by the links of their word fingerprints. Bands alone reach
-    a pair at ``least`` with a probability of RECALL, and more similar ones with a higher one. Candidates
-    are compared by the Jaccard similarity of the word shingles of both whole texts; those of at least
-    ``least`` are copies. The row that shares the most buckets with others comes first.
-    """
-    count = bands(RECALL, least)
-    read = lambda t: (*word_fingerprints(t), *words_hash(t), band_keys(t, shingle_words, count))
-    rows = materialise(over_rows(
-        numbered.select(key, "text"), lambda ids, texts: [ids, *map(list, zip(*map(read, texts)))] if ids else [[]] * 6,
-        "id long, fp long, check long, h1 long, h2 long, bands array<long>"))
-    marks = rows.select("id", "h1", "h2")
-    firsts = materialise(marks.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
-    alike = materialise(join_names(marks, firsts.filter("copies > 1"), ["h1", "h2"], marks.count()).filter("id <> first").select("id"))
-    left = rows.join(alike, "id", "left_anti")
-    open_ = materialise(left.select("id", "fp", "check"))
-    distinct = materialise(open_.groupBy("fp", "check").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
-    roots = components(links(distinct, max_bits, group_rows, max_check_bits))
-    names = distinct.join(roots.select("node", "root"), "node", "left").select("fp", "check", "copies", F.coalesce("root", "node").alias("root"))
-    members = materialise(join_names(open_, materialise(names), ["fp", "check"], open_.count()))
-    linked = materialise(_off_centre(members))
-    banded = materialise(left.select("id", F.explode("bands").alias("key")))
-    sizes = materialise(banded.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"))
-    banded = materialise(join_names(banded, sizes, ["key"], banded.count()))
-    # bucket mates first, then bits off the majority of the component
-    mates = banded.groupBy("id").agg(F.sum(F.col("copies") - 1).alias("mates"))
-    ranks = materialise(mates.join(linked.select("id", F.col("off").alias("bits")), "id", "full").select(
-        "id", (F.coalesce("bits", F.lit(64)) - 65 * F.coalesce("mates", F.lit(0))).alias("off")))
-    every = linked.select("id", F.xxhash64("root").alias("key")).unionAll(banded.select("id", "key"))
-    entries = materialise(every.join(ranks, "id").select("key", "id", "off"))
-    texts = materialise(numbered.select(F.col(key).alias("id"), "text").join(ranks.select("id"), "id"))
-    return alike.unionAll(copies_in_buckets(entries, texts, shingle_words, least))
-
-
-def one_of_each(docs: DataFrame, shingle_words: int, least: float, max_bits: int, max_check_bits: int = 64,
-                group_rows: int = GROUP_ROWS, scanned: bool = False) -> DataFrame:
-    """The documents without the copies; the columns stay. ``scanned`` as in with_row_numbers."""
+def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, scanned: bool = False) -> DataFrame:
+    """The first document of every component; the columns stay. ``scanned`` as in with_row_numbers."""
     numbered = with_row_numbers(docs, "_n_row", scanned)
-    gone = copies(numbered, "_n_row", shingle_words, least, max_bits, max_check_bits, group_rows).select(F.col("id").alias("_n_row"))
+    found = near_duplicates(numbered, "_n_row", shingle_words, max_bits)
+    gone = materialise(found.filter("id <> component_id").select(F.col("id").alias("_n_row")))
     return numbered.join(gone, "_n_row", "left_anti").drop("_n_row")
 
 

@@ -2,7 +2,7 @@
 
 A document's text becomes the ids of a public vocabulary and one end id. Frames are compressed one by
 one with a dictionary that was trained on serialised id arrays, so a short document can be read
-without its neighbours. Documents are in ascending id order: ranges of ids are shards, a shard is cut
+without its neighbours. Documents are in ascending id order, or in that of a column given: ranges are shards, a shard is cut
 into blocks, and a block is one Parquet row: the frames joined (payload), where each starts (offsets),
 the document ids and lengths, the ids before it in its shard, and the dictionary's hash. Reading only
 the index touches no payload; reading one document touches the blocks whose id range holds it.
@@ -14,7 +14,7 @@ The dictionary is trained on a sample of at most ``SAMPLE_DOCS`` documents of at
 ``SAMPLE_CHARS`` characters, chosen by a hash of the id over all rows. It bears on size alone.
 
 Defined cases: a null or empty text is its end id alone; a null id comes first; repeated ids lie side
-by side, ordered by length and frame; with too few rows for a trained dictionary the sample itself is
+by side, ordered by length and a hash of the frame, so that any number of them is spread over shards; with too few rows for a trained dictionary the sample itself is
 the dictionary, with none there is no dictionary. Extra columns are left out.
 """
 
@@ -148,15 +148,15 @@ def train_dictionary(docs: DataFrame, vocabulary: str) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def write(docs: DataFrame, path: str, vocabulary: str) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str, order: str = "doc_id") -> None:
     """Writes ``path/blocks`` and ``path/dictionary``; the texts are encoded once, into ``path/frames``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col(order).cast("long").alias("place"), "text")
     dictionary = train_dictionary(docs, vocabulary)
     dict_hash = Frames(dictionary).hash
     spark.createDataFrame([(dict_hash, dictionary)], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
-    def batch(ids, texts):
+    def batch(ids, places, texts):
         enc = encoder(vocabulary)
         frames = Frames(dictionary)
         raw_sizes, packed = [], []
@@ -164,18 +164,20 @@ def write(docs: DataFrame, path: str, vocabulary: str) -> None:
             raw = enc.encode(text or "")
             raw_sizes.append(len(raw) // enc.width)
             packed.append(frames.packer.compress(raw))
-        return ids, raw_sizes, [enc.width] * len(ids), packed
+        return ids, places, raw_sizes, [enc.width] * len(ids), packed
 
-    over_rows(docs, batch, "doc_id long, n_tokens long, id_bytes int, frame binary").write.parquet(f"{path}/frames")
+    over_rows(docs, batch, "doc_id long, place long, n_tokens long, id_bytes int, frame binary").write.parquet(f"{path}/frames")
     frames = spark.read.parquet(f"{path}/frames")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = frames.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "frame").withColumn("shard", F.spark_partition_id())
+    ordered = [F.col("place"), F.col("n_tokens"), F.xxhash64("frame")]
+    ranged = frames.repartitionByRange(parts, *ordered).sortWithinPartitions(*ordered, "frame").drop("place").withColumn("shard", F.spark_partition_id())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, start, ids, lengths, offsets, payload = 0, 0, [], [], [0], []
 
         def row(shard: int, width: int) -> pa.RecordBatch:
-            values = [shard, block, ids[0], ids[-1], start, ids, lengths, offsets, width, dict_hash, b"".join(payload)]
+            known = [i for i in ids if i is not None]
+            values = [shard, block, min(known, default=None), max(known, default=None), start, ids, lengths, offsets, width, dict_hash, b"".join(payload)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, out)], schema=out)
 
         for b in batches:
@@ -239,8 +241,7 @@ def read_some(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     blocks = _placed(spark.read.parquet(f"{path}/blocks"))
     hit = F.lit(False)
     for d in doc_ids:
-        # a block that begins with a null id begins before every other id
-        hit = hit | (F.coalesce(F.col("first_doc") <= d, F.lit(True)) & F.coalesce(F.col("last_doc") >= d, F.lit(False)))
+        hit = hit | F.coalesce(F.lit(d).between(F.col("first_doc"), F.col("last_doc")), F.lit(False))  # a block of null ids has no range
     return _documents(blocks.filter(hit), spark, path, True, frozenset(doc_ids))
 
 
