@@ -18,35 +18,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tamarisk.llm import decontaminate, mixing, quality, simhash, token_files
+from tamarisk.llm.base import with_row_numbers
 from tamarisk.session import materialise, scratch_path
 
-SHINGLE_WORDS = 5
-SIMILARITY = 0.8
-MAX_BITS = 7          # between the fingerprints of two texts' words, of 64
-MAX_CHECK_BITS = 10   # between their second fingerprints, which keeps chance neighbours apart
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that fail go, then documents that lost too much or fail as a whole."""
     return quality.clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies are found by their words' fingerprints and verified by their five-word shingles."""
-    return simhash.one_of_each(docs, SHINGLE_WORDS, SIMILARITY, MAX_BITS, MAX_CHECK_BITS, scanned=True)
+    """Documents whose fingerprints of three-word shingles link at two bits, directly or over others, are a group; its first row stays."""
+    return simhash.one_of_each(docs, scanned=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with edits, go."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each taken copy, in training order."""
     return mixing.mixed(docs, scanned=True)
 
 
 def binary_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every trained copy, read back from the token files."""
+    """doc_id, start, n_tokens, ids_crc32 of every trained copy, in training order, read back from the token files."""
     path = scratch_path(spark, "tokens")
-    token_files.write(docs, path, token_files.public_vocabulary())
+    token_files.write(with_row_numbers(docs, "_t_row", scanned=True), path, token_files.public_vocabulary(), order="_t_row")
     return token_files.read(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
