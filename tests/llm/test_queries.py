@@ -207,7 +207,19 @@ def test_pipeline(spark, folder):
     plan = mixing.plan(mixing.sized(safe).select("doc_id", "source", "size")).collect()
     assert mixed.columns == names and Counter(d.doc_id for d in mixed.collect()) == Counter(r.doc_id for r in plan for _ in r.positions)
     last = corpus_pipeline.binary_tokens(spark, mixed, folder).orderBy("start").collect()
-    assert [r.doc_id for r in last] == [d.doc_id for d in mixed.collect()]  # copies in training order
+    rows_in_order = mixed.select("doc_id", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()
+    assert [r.doc_id for r in last] == [d.doc_id for d in rows_in_order]
+    place = {}
+    for r in plan:
+        place.setdefault(r.doc_id, []).extend(r.positions)
+    if folder == GIVEN:  # where ids tell rows apart: copies in training order
+        order = sorted((p, i) for i, ps in place.items() for p in ps)
+        ranks = {i: sorted(k for k, (_, x) in enumerate(order) if x == i) for i in place}
+        seen = Counter()
+        for k, r in enumerate(last):
+            at = order[ranks[r.doc_id][seen[r.doc_id]]][0]
+            assert at == order[k][0]
+            seen[r.doc_id] += 1
 
 
 def test_pipeline_runs_all_stages(spark, awkward):
