@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm.base import SPACE_CLASS, WORD_CLASS, table, text_or_empty, words
+from tamarisk.llm.base import SPACE_CLASS, SPACES, table, text_or_empty, words
 
 # Phrases that mark a line as boilerplate.
 BOILERPLATE = (
@@ -44,13 +44,17 @@ def _items(text: Column, pattern: str) -> Column:
     return F.size(F.split(text, pattern)) - 1
 
 
-def line_fails(line: Column) -> Column:
-    """A line with words fails by navigation, boilerplate, or missing, excessive or symbolic punctuation."""
+def line_fails(line: Column, chars: Column | None = None) -> Column:
+    """A line with words fails by navigation, boilerplate, or missing, excessive or symbolic punctuation.
+
+    ``chars``: its number of word characters, where that is known. White space at its ends is no word.
+    """
+    chars = _word_chars(line) if chars is None else chars
     navigation = _items(line, NAVIGATION) >= NAVIGATION_ITEMS - 1
-    symbols = F.char_length(F.regexp_replace(line, r"[^#*$%&|<>]+", "")) * 100 > _word_chars(line) * MAX_SYMBOL_PERCENT
-    unpunctuated = ~F.rlike(line, F.lit(SENTENCE_MARK)) & (_items(F.btrim(line), SPACE_CLASS + "+") + 1 >= UNPUNCTUATED_WORDS)
-    shouting = _items(line, SHOUT) >= MAX_SHOUTS
-    return F.rlike(line, F.lit(WORD_CLASS)) & (navigation | F.rlike(line, F.lit(BOILERPLATE_PATTERN)) | symbols | unpunctuated | shouting)
+    symbols = F.char_length(F.regexp_replace(line, r"[^#*$%&|<>]+", "")) * 100 > chars * MAX_SYMBOL_PERCENT
+    unpunctuated = ~F.rlike(line, F.lit(SENTENCE_MARK)) & (_items(F.btrim(line, F.lit(SPACES)), SPACE_CLASS + "+") + 1 >= UNPUNCTUATED_WORDS)
+    shouting = F.contains(line, F.lit("!!")) & (_items(line, SHOUT) >= MAX_SHOUTS)
+    return (chars > 0) & (unpunctuated | symbols | navigation | shouting | F.rlike(line, F.lit(BOILERPLATE_PATTERN)))
 
 
 def repeated_words(df: DataFrame, array: str, name: str) -> DataFrame:
@@ -79,15 +83,20 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     df = docs.withColumn("_q_text", text_or_empty(text))
     df = df.withColumn("_q_words", words(F.col("_q_text"))).withColumn("_q_lines", F.split(F.col("_q_text"), "\n"))
     df = repeated_words(df, "_q_words", "n_repeat_words")
-    df = df.withColumn("_q_full", F.filter("_q_lines", lambda x: F.rlike(x, F.lit(WORD_CLASS))))
-    df = df.withColumn("_q_good", F.filter("_q_lines", lambda x: ~line_fails(x)))
-    df = df.withColumn("clean_text", F.array_join("_q_good", "\n"))
+    measured = F.transform("_q_lines", lambda x: F.struct(x.alias("line"), _word_chars(x).alias("chars")))
+    # A second pass over the structs, so that a line's characters are counted once and its verdict is stored.
+    judged = F.transform(measured, lambda x: F.struct(x["line"].alias("line"), x["chars"].alias("chars"), line_fails(x["line"], x["chars"]).alias("fails")))
+    df = df.withColumn("_q_judged", judged)
+    df = df.withColumn("_q_full", F.filter("_q_judged", lambda x: x["chars"] > 0)["line"])
+    df = df.withColumn("_q_good", F.filter("_q_judged", lambda x: ~x["fails"]))
+    df = df.withColumn("clean_text", F.array_join(F.col("_q_good")["line"], "\n"))
+    total = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + x["chars"])
     df = df.withColumns({
         "n_words": F.size("_q_words").cast("long"),
-        "word_chars": _word_chars(F.col("_q_text")).cast("long"),
+        "word_chars": total(F.col("_q_judged")),
         "n_symbols": F.char_length(F.regexp_replace("_q_text", r"[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": (F.size("_q_full") - F.size(F.array_distinct("_q_full"))).cast("long"),
-        "kept_chars": _word_chars(F.col("clean_text")).cast("long"),
+        "kept_chars": total(F.col("_q_good")),
     })
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     lost = (F.col("word_chars") - F.col("kept_chars")) * 100 > F.col("word_chars") * MAX_LOST_PERCENT
@@ -122,7 +131,7 @@ bad AS (SELECT rid, l, length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AS
           (len(string_split_regex(l, '[\x20\t][|»›·•][\x20\t]')) >= {NAVIGATION_ITEMS}
            OR regexp_matches(l, '(?i){"|".join(BOILERPLATE)}')
            OR length(regexp_replace(l, '[^#*$%&|<>]+', '', 'g')) * 100 > length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) * {MAX_SYMBOL_PERCENT}
-           OR (NOT regexp_matches(l, '[.!?:;…。！？]') AND len(string_split_regex(trim(l, ' '), '[\x20\x09-\x0D]+')) >= {UNPUNCTUATED_WORDS})
+           OR (NOT regexp_matches(l, '[.!?:;…。！？]') AND len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) >= {UNPUNCTUATED_WORDS})
            OR len(string_split_regex(l, '!!+')) >= {MAX_SHOUTS + 1}) AS fails
         FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 lost AS (SELECT rid, sum(wc) FILTER (WHERE NOT fails) AS kept_chars, count(*) - count(DISTINCT l) AS dup FROM bad GROUP BY rid),
