@@ -53,12 +53,12 @@ def secret_base(text: str | None) -> list[tuple[int, int, str, int]]:
     return sorted(out)
 
 
-def entropy_spans(text: str | None, window: int, thresholds: dict, allowed: tuple) -> list[tuple[int, int]]:
-    """Every window's entropy from its own counts."""
+def entropy_spans(text: str | None, window: int, thresholds: dict, uuid: str, allowed: tuple) -> list[tuple[int, int]]:
+    """Every window's entropy from its own counts; the allow-list judges each span by its own text."""
     out: list[list[int]] = []
     for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{window},}}", text or ""):
         run = m[0]
-        if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or any(re.search(a, run) for a in allowed):
+        if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or re.search(uuid, run):
             continue
         kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) else "single" if not (re.search("[A-Z]", run) and re.search("[a-z]", run)) else "mixed"
         spans: list[list[int]] = []
@@ -70,7 +70,7 @@ def entropy_spans(text: str | None, window: int, thresholds: dict, allowed: tupl
                     spans[-1][1] = i + window + m.start()
                 else:
                     spans.append([i + m.start(), i + window + m.start()])
-        out += spans
+        out += [s for s in spans if not any(re.search(a, text[s[0]:s[1]]) for a in allowed)]
     return [tuple(s) for s in out]
 
 

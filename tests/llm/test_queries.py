@@ -57,7 +57,7 @@ def test_secrets(spark, folder):
     want = []
     for d in rows(folder):
         base = brute.secret_base(d["text"])
-        extra = [(a, 3, "entropy", b) for a, b in brute.entropy_spans(d["text"], secrets.WINDOW, secrets.THRESHOLDS, secrets.ALLOWED)]
+        extra = [(a, 3, "entropy", b) for a, b in brute.entropy_spans(d["text"], secrets.WINDOW, secrets.THRESHOLDS, secrets.UUID, secrets.ALLOWED)]
         as_text = [",".join(f"{k}:{a}:{b}" for a, _, k, b in s) for s in (base, sorted(base + extra))]
         counts = Counter(k for _, _, k, _ in base)
         want.append({"doc_id": d["doc_id"], **{f"n_{k}": counts[k] for k in ("assign", "access", "hex")}, "base_sha256": brute.sha(as_text[0]), "spans": as_text[1]})

@@ -250,4 +250,71 @@ def test_entropy_counts_follow_the_window(spark):
     text = "aaaaaaaaaa0000000000" + "Zx8Qw3nT7vLk2Rb9Yc4Hd6Jf1Mg5Ps0A" + "b" * 40 + " Zx8Qw3nT7vLk2Rb9Yc4H" + " 550e8400-e29b-41d4-a716-446655440000 example" + "Zx8Qw3nT7vLk2Rb9Yc4H"
     row = secrets.scan(spark.createDataFrame([(text, 1)], "text string, secrets int")).first()
     got = [(s.start, s.end) for s in row.secrets if s.kind == "entropy"]
-    assert got == brute.entropy_spans(text, secrets.WINDOW, secrets.THRESHOLDS, secrets.ALLOWED) and len(got) == 2
+    assert got == brute.entropy_spans(text, secrets.WINDOW, secrets.THRESHOLDS, secrets.UUID, secrets.ALLOWED) and len(got) == 2
+
+
+def spans_of(spark, texts):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = secrets.scan(docs).select("doc_id", F.filter("secrets", lambda x: x["kind"] == "entropy").alias("s"))
+    return {r.doc_id: [(x["start"], x["end"]) for x in r.s] for r in found.collect()}
+
+
+def test_allow_list_judges_spans(spark):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "".join(rng.sample(letters, 40))
+    parts = ["".join(rng.sample(letters, 20)) for _ in range(3)]
+    long = "".join(rng.choices(letters + "+/", k=344))
+    texts = [f"key /api/v1/keys/{key} end", "see " + "/".join(parts), long, "open /usr/share/PythonTools/site_packages2/MyModule/index_2024-01/readMe now",
+             "id 3f2504e0-4f89-11d3-9a0c-0305e82c3301 is", f"{key[:20]}{'=' * 30}my-example-{key[:6]}{'-' * 30}"]
+    found = spans_of(spark, texts)
+    assert any(a <= texts[0].index(key) and b >= texts[0].index(key) + 40 for a, b in found[0])
+    assert all(any(a <= texts[1].index(p) and b >= texts[1].index(p) + 20 for a, b in found[1]) for p in parts)
+    assert found[2] and not found[3] and not found[4] and found[5]
+    for k, t in enumerate(texts):
+        assert found[k] == brute.entropy_spans(t, secrets.WINDOW, secrets.THRESHOLDS, secrets.UUID, secrets.ALLOWED)
+
+
+def test_long_candidates_and_many_matches(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=100_000))
+    turns = "".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=22)) + "a" * 25 for _ in range(400))
+    many = " ".join(f"token={k:06d} AKIA{k:016d}" for k in range(10_000))
+    found = spans_of(spark, [long, turns])
+    for k, t in enumerate((long, turns)):
+        assert found[k] == brute.entropy_spans(t, secrets.WINDOW, secrets.THRESHOLDS, secrets.UUID, secrets.ALLOWED)
+    row = secrets.scan(spark.createDataFrame([(1, many)], "doc_id long, text string")).first()
+    assert [(s["start"], s["rank"], s["kind"], s["end"]) for s in row.secrets if s["kind"] != "entropy"] == brute.secret_base(many)
+
+
+def test_white_space_at_line_ends_is_no_word(spark):
+    line = "eleven words without any mark stand in this line right here"
+    assert len(line.split()) == 11
+    lines = [line, f"\t{line}", f"{line}\r", f"{line} more", f" {line} more\r"]
+    found = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "k int, text string").select("k", quality.line_fails(F.col("text")).alias("fails"))
+    assert {r.k: r.fails for r in found.collect()} == {0: False, 1: False, 2: False, 3: True, 4: True}
+    text = "\r\n".join([f"{line}."] * 2 + [line] * 6)
+    one, crlf = (quality.judge(spark.createDataFrame([(t,)], "text string")).first() for t in (text.replace("\r", ""), text))
+    assert one.kept_chars == crlf.kept_chars == one.word_chars and one.kept == crlf.kept
+
+
+def test_plan_replaces_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, "ab"[k % 2], 5 + k, "x", "y", "z", 1) for k in range(20)], "doc_id long, source string, size long, target string, source_size string, positions string, rank int")
+    found = mixing.plan(docs)
+    assert found.columns == ["doc_id", "source", "size", "source_size", "target", "positions"] and found.count() == 20
+
+
+def test_positions_follow_the_schedules(spark):
+    docs = spark.createDataFrame([(k, "abc"[k % 3], 10) for k in range(3000)], "doc_id long, source string, size long")
+    places = {s: sorted(p for r in rows for p in r.positions) for s, rows in _by_source(mixing.plan(docs).collect()).items()}
+    means = {s: sum(p) / len(p) for s, p in places.items()}
+    assert all(0 <= p[0] and p[-1] <= 1 for p in places.values())
+    # the first third by the early curve, whose mean time is 5/12; the steady one 1/2; the late one 5/8
+    assert abs(means["a"] - 5 / 12) < 0.01 and abs(means["b"] - 0.5) < 0.01 and abs(means["c"] - 5 / 8) < 0.01
+
+
+def _by_source(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.source, []).append(r)
+    return out
