@@ -33,8 +33,10 @@ def total(x: Column) -> Column:
 
     Millionths of most loans fit a long, which keeps the per-row work off arbitrary-precision
     arithmetic. From 10^12 on a double has no millionths left to round: such amounts are whole
-    numbers of millionths as they are, and are summed apart.
+    numbers of millionths as they are, and are summed apart. An infinite amount is an error of the data and
+    ends the query: left out it would make the total look whole. NaN counts as missing.
     """
+    x = F.when(F.abs(x) == float("inf"), F.raise_error(F.lit("an amount is infinite")).cast("double")).otherwise(F.nanvl(x, F.lit(None).cast("double")))
     large = F.abs(x) >= 1e12
     small = F.sum(F.when(large, F.lit(0)).otherwise(F.floor(x * 1e6 + 0.5)).cast("decimal(18,0)"))
     return small + F.coalesce(F.sum(F.when(large, (x * 1e6).cast("decimal(32,0)"))), F.lit(0))

@@ -48,14 +48,14 @@ def extreme_of_each(df: DataFrame, keys: list[str], order: list[str], last: bool
     """The last (or first) row of each key in the given order; of rows alike in it the greatest (or smallest).
 
     The first column of the order is a number or a time, whose extreme combines in hash maps before the
-    shuffle; the rows that reach it are few, and only they are compared whole. A maximum over whole rows
-    would sort every row first.
+    shuffle; only the rows that reach it are compared whole. However many rows of a key reach it (a bulk
+    load stamps one time on all), each task sends one of them on.
     """
-    pick, settle = (F.max, F.array_max) if last else (F.min, F.array_min)
+    pick = F.max if last else F.min
     rest = [*order[1:], *[c for c in df.columns if c not in keys and c not in order[1:]]]
     ends = df.groupBy(*keys).agg(pick(order[0]).alias("_end"))
     at_end = df.join(ends, keys).where(F.col(order[0]).eqNullSafe(F.col("_end")))
-    one = at_end.groupBy(*keys).agg(settle(F.collect_set(F.struct(*rest))).alias("_c"))
+    one = at_end.groupBy(*keys).agg(pick(F.struct(*rest)).alias("_c"))
     return one.select(*keys, "_c.*").select(*df.columns)
 
 

@@ -7,7 +7,7 @@ Silver and the raw rows are shuffled once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk import params as P
@@ -15,6 +15,7 @@ from tamarisk.operators import roles
 
 POSITION, COPIES = "_row_pos", "_copies"
 BOOKKEEPING = {POSITION, COPIES}
+TRACKED = 50  # values that a frequent-items buffer tracks, as a multiple of those allowed
 
 
 def business_columns(df: DataFrame) -> list[str]:
@@ -103,34 +104,25 @@ def numeric_summary(df: DataFrame) -> DataFrame:
     return df.agg(*exprs).select(F.inline(entries)).where("n > 0").drop("n")
 
 
-def narrow_columns(df: DataFrame, columns: list[str], max_distinct: int) -> list[str]:
-    """Columns that may have few distinct values, from a sketch over all rows.
-
-    The sketch's standard error is 1 %, and only columns of more than twice the allowed number
-    are ruled out (names, ids); the values of the others are counted exactly afterwards.
-    """
-    if not columns:
-        return []
-    seen = df.agg(*[F.approx_count_distinct(F.col(c), 0.01).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if seen[f"d{i}"] <= 2 * max_distinct]
-
-
-def top_categories(df: DataFrame, max_distinct: int = 20, top: int = 5, max_columns: int = 5, probe: DataFrame | None = None) -> DataFrame:
+def top_categories(df: DataFrame, max_distinct: int = 20, top: int = 5, max_columns: int = 5) -> DataFrame:
     """Most frequent values of the first text columns with few distinct values.
 
-    Values are counted first; a column with too many distinct values is dropped before the
-    ranking window, so that window sorts at most ``max_distinct`` rows per column. ``probe``
-    is a cheap frame with the same values (the raw rows of a de-duplicated table).
+    One aggregate over all rows: each column keeps a frequent-items buffer of bounded size, which is exact while it
+    has seen fewer values than it tracks, and merges. A column is wide when it has more values, or when its counts do
+    not add up to the rows; no value is shuffled by itself.
     """
-    cols = narrow_columns(df if probe is None else probe, roles.category_columns(df.drop(*BOOKKEEPING), max_columns), max_distinct)
-    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])
-    empty = F.array().cast("array<struct<column_name:string,value:string>>")
-    counts = (df.select(F.explode(entries if cols else empty).alias("e")).select("e.*").where(F.col("value").isNotNull())
-              .groupBy("column_name", "value").agg(F.count("*").alias("n")))
-    few = counts.groupBy("column_name").agg(F.count("*").alias("distinct_values")).where(F.col("distinct_values") <= max_distinct)
-    order = W.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    ranked = counts.join(F.broadcast(few.select("column_name")), "column_name", "left_semi").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= top)
+    cols = roles.category_columns(df.drop(*BOOKKEEPING), max_columns)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, n long, rank int")
+    buffers = [F.call_function("approx_top_k", F.col(c).cast("string"), F.lit(max_distinct + 2), F.lit(TRACKED * max_distinct)).alias(f"t{i}") for i, c in enumerate(cols)]
+    seen = [F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]
+    one = df.agg(F.count("*").alias("rows"), *buffers, *seen)
+    ranked = lambda i: F.array_sort(F.transform(F.filter(f"t{i}", lambda x: x["item"].isNotNull()), lambda x: F.struct((-x["count"]).alias("less"), x["item"].alias("value"))))
+    exact = lambda i: (F.aggregate(f"t{i}", F.lit(0).cast("long"), lambda n, x: n + x["count"]) == F.col("rows")) & (F.col(f"d{i}") <= 2 * max_distinct)
+    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(exact(i), ranked(i)).alias("values")) for i, c in enumerate(cols)])
+    few = one.select(F.inline(entries)).where(F.size("values").between(1, max_distinct))
+    return few.select("column_name", F.posexplode(F.slice("values", 1, top)).alias("at", "v")).select(
+        "column_name", F.col("v.value").alias("value"), (-F.col("v.less")).alias("n"), (F.col("at") + 1).cast("int").alias("rank"))
 
 
 def registry_rows(profile: DataFrame) -> DataFrame:

@@ -117,3 +117,10 @@ def test_large_exposures_are_summed_exactly(spark):
     df = spark.sql("SELECT * FROM VALUES (0.0000005D), (2e12D), (3e20D), (CAST(NULL AS DOUBLE)) AS t(x)")
     assert int(df.agg(credit.total(F.col("x")).alias("t")).first()[0]) == 300000000000000000000 * 10**6 + 2 * 10**18 + 1
     assert df.where("x IS NULL").agg(credit.total(F.col("x")).alias("t")).first()[0] is None
+
+
+def test_an_infinite_amount_is_an_error(spark):
+    one = lambda *values: spark.createDataFrame([(v,) for v in values], "x double").agg(credit.amount(credit.total(F.col("x"))).alias("t"))
+    assert one(1.5, float("nan"), None, 2e12).first().t == 2e12 + 1.5
+    with pytest.raises(Exception, match="an amount is infinite"):
+        one(1.5, float("inf")).collect()

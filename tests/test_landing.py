@@ -284,3 +284,15 @@ def test_code_lists(spark):
     counts = {r["slug"]: r["count"] for r in values.groupBy("slug").count().collect()}
     assert counts[code_lists.CURRENCIES] == 37 and counts[code_lists.REGIONS] == 13 and counts[code_lists.COUNTRIES] == 2
     assert values.where("code = 'SA' AND label = 'Saudi Arabia'").count() == 1
+
+
+def test_top_categories_in_one_pass(spark):
+    df = spark.range(60_000, numPartitions=6).select(
+        F.concat(F.lit("g"), F.col("id") % 20).alias("grp"), F.concat(F.lit("w"), F.col("id") % 21).alias("wide"), F.col("id").cast("string").alias("name"),
+        F.when(F.col("id") % 5 == 0, F.lit("x")).alias("sparse"), F.lit(None).cast("string").alias("nothing"))
+    found = {}
+    for r in prof.top_categories(df).collect():
+        found.setdefault(r.column_name, []).append((r.rank, r.value, r.n))
+    assert sorted(found) == ["grp", "sparse"] and found["sparse"] == [(1, "x", 12_000)]
+    assert sorted(found["grp"]) == [(k + 1, v, 3000) for k, v in enumerate(sorted(f"g{i}" for i in range(20))[:5])]
+    assert prof.top_categories(df.limit(0)).count() == 0 and prof.top_categories(df.select(F.lit(1).alias("n"))).count() == 0

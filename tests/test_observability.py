@@ -163,3 +163,42 @@ def test_levels_of_a_long_chain_take_few_rounds(spark):
     ids = spark.range(2001).select(F.concat(F.lit("j"), F.col("id")).alias("id"))
     got = lineage.levels(ids, graph)
     assert got.where(F.substr("id", F.lit(2)).cast("int") != F.col("level")).isEmpty() and got.agg(F.max("level")).first()[0] == 2000
+
+
+def test_ks_on_extreme_values_equals_brute_force(spark):
+    """Few cells, so that stretches are cut again; values of every magnitude, infinities, NaN and heavy single values."""
+    rng = random.Random(12)
+    far = [1e308, -1e308, 1e-308, 0.0, -0.0, math.inf, -math.inf, math.nan, 1.0]
+    rows = [(rng.random() < 0.3, rng.choice(far), 5.0 if rng.random() < 0.4 else rng.choice([-1, 1]) * math.exp(rng.gauss(0, 9)), 3.0, None, 1.0 if k % 2 else None)
+            for k in range(4000)]
+    df = spark.createDataFrame(rows, "ref boolean, far double, heavy double, one double, none double, half double")
+    features = ["far", "heavy", "one", "none", "half"]
+
+    def plain(k):
+        key = lambda x: (math.isnan(x), x)
+        values = sorted(((key(r[k]), r[0]) for r in rows if r[k] is not None))
+        n, m = sum(r for _, r in values), sum(not r for _, r in values)
+        best = a = b = 0
+        for i, (x, r) in enumerate(values):
+            a, b = a + r, b + (not r)
+            if i + 1 == len(values) or values[i + 1][0] != x and not (x[0] and values[i + 1][0][0]):
+                best = max(best, abs(a / n - b / m))
+        return n, m, best
+
+    want = {f: plain(k + 1) for k, f in enumerate(features) if f != "none"}
+    for cells, few in ((drift.CELLS, drift.FEW_VALUES), (16, 40)):
+        found = drift.numeric_drift(df, features, F.col("ref"), cells=cells, few=few).collect()
+        assert {r.feature: (r.n, r.m, r.statistic) for r in found} == want
+
+
+def test_ks_shuffles_no_values(spark):
+    df = spark.range(50_000).select((F.col("id") % 3 == 0).alias("ref"), F.rand(3).alias("x"))
+    cells = drift._in_cells(drift._observations(df, ["x"], F.col("ref"), None), [(0, 0, 0.0, 1.0, 64)]).groupBy("stretch", "cell").count()
+    assert cells.count() <= 65
+
+
+def test_ties_of_one_time_on_one_key(spark):
+    df = spark.range(20_000, numPartitions=8).select(F.lit(1).alias("k"), F.lit(5).alias("t"), (F.col("id") * 7919 % 20_000).alias("a"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("b"))
+    last, first = (ordered.extreme_of_each(df, ["k"], ["t"], last=l) for l in (True, False))
+    assert last.first().a == 19_999 and first.first().a == 0
+    assert "collect_set" not in last._jdf.queryExecution().optimizedPlan().toString()
