@@ -214,6 +214,20 @@ def snapshot_refused(spark, sf):
     return _recorded(spark, sf)[1].select("entity", F.size("domains").cast("bigint").alias("domains"), "reason")
 
 
+@R.query("snapshot_exported", """SELECT CAST(s.id AS VARCHAR) AS id, s.dataset AS recorded_by, d.code, CAST(CAST(floor(d.compliance) AS BIGINT) AS VARCHAR) AS compliance
+    FROM v_snapshots s JOIN v_snapshot_domains d ON d.snapshot_id = s.id WHERE s.id = (SELECT max(snapshot_id) FROM v_snapshot_domains JOIN v_snapshots ON id = snapshot_id)""")
+def snapshot_exported(spark, sf):
+    """The newest snapshot with its domain rows as a CSV file, read back as text."""
+    domains = view(spark, sf, "v_snapshot_domains").select(F.col("snapshot_id").alias("id"), "code", F.floor("compliance").alias("compliance"))
+    held = domains.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("code", "compliance"))).alias("domains"))
+    snapshots = view(spark, sf, "v_snapshots").select("id", "recorded_at", F.col("dataset").alias("recorded_by")).join(held, "id")
+    newest, path = snapshots.agg(F.max("id")).first()[0], scratch_path(spark, "export")
+    if newest is None:
+        return spark.createDataFrame([], "id string, recorded_by string, code string, compliance string")
+    hs.one_exported(snapshots, newest, "domains", path)
+    return spark.read.option("header", True).csv(path).select("id", "recorded_by", "code", "compliance")
+
+
 @R.query("snapshot_one", "SELECT id, dataset, score FROM v_snapshots WHERE id = (SELECT min(id) FROM v_snapshots)")
 def snapshot_one(spark, sf):
     snapshots = view(spark, sf, "v_snapshots")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk import params as P
@@ -255,15 +256,19 @@ def zone_stats(spark, sf):
     return zones.table_counts(spark, {"silver": ["silver.orders_stats", "silver.not_there"], "gold": ["gold.parts_stats"], "archive": ["archive.none"]})
 
 
-@R.query("bronze_zone_stats", """SELECT 'orders_raw' AS dataset, true AS has_bytes, (SELECT count(*) FROM v_raw) AS rows, true AS has_time
-    UNION ALL SELECT 'parts', true, (SELECT count(*) FROM part), true""")
+@R.query("bronze_zone_stats", """SELECT 'orders_raw' AS dataset, 0::BIGINT AS objects_off, 0::BIGINT AS bytes_off, (SELECT count(*) FROM v_raw) AS rows, true AS has_time
+    UNION ALL SELECT 'parts', 0::BIGINT, 0::BIGINT, (SELECT count(*) FROM part), true""")
 def bronze_zone_stats(spark, sf):
-    """The listing's objects and bytes beside the rows that the listed files hold."""
+    """The listing's objects and bytes against the files, sizes and rows that a scan of the same data sets meets."""
     root = scratch_path(spark, "zones")
-    counted = [spark.read.parquet(zones.land_bronze(raw_table(spark, sf, name), root, name, "20260901T080000")).agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"))
-               for name in ("orders_raw", "parts")]
-    out = zones.bronze_stats(spark, root).where("objects > 0").join(counted[0].unionByName(counted[1]), "dataset")
-    return out.select("dataset", (F.col("bytes") > 0).alias("has_bytes"), "rows", F.col("newest").isNotNull().alias("has_time"))
+    met = []
+    for name in ("orders_raw", "parts"):
+        files = spark.read.parquet(zones.land_bronze(raw_table(spark, sf, name), root, name, "20260901T080000")).groupBy("_metadata.file_path").agg(
+            F.max("_metadata.file_size").alias("length"), F.count("*").alias("rows"))
+        met.append(files.agg(F.lit(name).alias("dataset"), F.count("*").alias("files"), F.sum("length").alias("length"), F.sum("rows").alias("rows")))
+    out = zones.bronze_stats(spark, root).join(met[0].unionByName(met[1]), "dataset")
+    return out.select("dataset", (F.col("objects") - F.col("files")).alias("objects_off"), (F.col("bytes") - F.col("length")).alias("bytes_off"),
+                      "rows", F.col("newest").isNotNull().alias("has_time"))
 
 
 @R.query("bronze_two_loads", "SELECT n AS load, count(*) AS rows, count(DISTINCT row_pos) AS positions FROM v_raw, (VALUES (1), (2)) t(n) GROUP BY 1")
@@ -316,13 +321,28 @@ def numeric_summary_extremes(spark, sf):
     return out.withColumns({"sum": scaled("sum"), "mean": scaled("mean")})
 
 
-@R.query("gold_outputs", "SELECT 'loans' AS dataset, uri, direction FROM (VALUES ('silver.loans_lake', 'input'), ('gold.loans_lake_ndi', 'output'), ('gold.loans_lake_ifrs9', 'output')) t(uri, direction) "
-         "UNION ALL SELECT 'parts', uri, direction FROM (VALUES ('silver.parts_lake', 'input'), ('gold.parts_lake_ndi', 'output')) t(uri, direction)")
+@R.query("gold_outputs", f"""WITH w AS (SELECT 'loans' AS dataset, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(LOANS)} FROM v_loans)) AS n UNION ALL SELECT 'parts', (SELECT count(*) FROM (SELECT DISTINCT * FROM part)))
+    SELECT dataset, 'silver.' || dataset || '_lake' AS uri, 'input' AS direction, n AS rows FROM w UNION ALL SELECT dataset, 'gold.' || dataset || '_lake_ndi', 'output', 1 FROM w
+    UNION ALL SELECT dataset, 'gold.loans_lake_ifrs9', 'output', 1 FROM w WHERE dataset = 'loans'""")
 def gold_outputs(spark, sf):
-    """Table promotion and Gold results; the credit-loss table is written only where the columns allow."""
-    loans = lakehouse.promote_dataset(spark, silver_of(spark, sf, "loans"), "loans_lake").select(F.lit("loans").alias("dataset"), "uri", "direction")
-    parts = lakehouse.promote_dataset(spark, silver_of(spark, sf, "parts"), "parts_lake").select(F.lit("parts").alias("dataset"), "uri", "direction")
-    return loans.unionByName(parts)
+    """Table promotion and Gold results with the rows that each named table really holds; the credit-loss table is written only where the columns allow."""
+    out = []
+    for name in ("loans", "parts"):
+        reported = lakehouse.promote_dataset(spark, silver_of(spark, sf, name), f"{name}_lake").select("uri", "direction").collect()  # a row for each table
+        out += [spark.table(zones.quoted(r.uri)).agg(F.lit(name).alias("dataset"), F.lit(r.uri).alias("uri"), F.lit(r.direction).alias("direction"), F.count("*").alias("rows")) for r in reported]
+    return reduce(DataFrame.unionByName, out)
+
+
+@R.query("silver_ready", """SELECT 'silver.ready_parts' AS name, (SELECT count(*) FROM part) > 0 AS ready, (SELECT count(*) FROM (SELECT DISTINCT * FROM part)) AS rows
+    UNION ALL SELECT 'silver.ready_none', false, 0 UNION ALL SELECT 'silver.never_written', false, NULL""")
+def silver_ready(spark, sf):
+    """Whether Silver may be promoted: a table with rows, one without and one that was never written."""
+    silver = silver_of(spark, sf, "parts")
+    lakehouse.silver_to_table(silver, "ready_parts")
+    lakehouse.silver_to_table(silver.limit(0), "ready_none")
+    names = ("silver.ready_parts", "silver.ready_none", "silver.never_written")
+    rows = [spark.table(zones.quoted(n)).agg(F.count("*").alias("rows")) if spark.catalog.tableExists(zones.quoted(n)) else spark.range(1).select(F.lit(None).cast("long").alias("rows")) for n in names]
+    return reduce(DataFrame.unionByName, [r.select(F.lit(n).alias("name"), F.lit(zones.ready(spark, n)).alias("ready"), "rows") for n, r in zip(names, rows)])
 
 
 _LOAN_TOTAL = credit.AMOUNT(credit.TOTAL("ecl_base"))

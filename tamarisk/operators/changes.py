@@ -6,16 +6,24 @@ change sets are broadcast by the adaptive planner) and first reduces them to one
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk import params as P
-from tamarisk.functions.ordered import extreme_of_each
+from tamarisk.functions.ordered import extreme_of_each, numbered
 from tamarisk.functions.text import clean_text
 from tamarisk.session import materialise
 
+# Python workers get these functions by value: they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+ROUNDS = 3                # of first claims, before what is left is grouped by shared values
+GROUP_ROWS = 100_000      # changes that one task walks through
 
 NO_KEY, TAKEN = "the key is missing", "the key is taken"
 
@@ -55,30 +63,83 @@ def insert_new(base: DataFrame, changes: DataFrame, keys: list[str], order: str)
     return accepted, taken.unionByName(without_key(changes, keys))
 
 
-def insert_unique(base: DataFrame, changes: DataFrame, uniques: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+def _conflict_groups(open_: DataFrame, uniques: list[str]) -> DataFrame:
+    """(place, group): open changes linked by shared values, directly or over others; the group is its first place.
+
+    Each value links its changes to the first of them. A round hangs every place on the lowest neighbour of its
+    neighbours (the larger ones, then the smaller ones), which at least halves long paths, so rounds grow with the
+    logarithm of the longest path.
+    """
+    places = materialise(open_.select("_n", *uniques))
+    links = reduce(DataFrame.unionByName, [
+        places.join(places.groupBy(u).agg(F.min("_n").alias("b")), u).where("_n > b").select(F.col("_n").alias("a"), "b") for u in uniques])
+    links, last = materialise(links.distinct()), None
+    while True:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("low"))
+        hung = large.join(small, "a")
+        links = materialise(hung.where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(small.select("a", F.col("low").alias("b"))).distinct())
+        now = links.agg(F.count("*"), F.sum("a"), F.sum("b")).first()
+        if now == last:
+            break
+        last = now
+    return places.select("_n").join(links.select(F.col("a").alias("_n"), F.col("b").alias("group")), "_n", "left").withColumn("group", F.coalesce("group", "_n"))
+
+
+def _walk(uniques: list[str]):
+    """The places of one group that are accepted, when its changes come one after another."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_n")
+        taken: list[set] = [set() for _ in uniques]
+        won = []
+        for n, *values in part[["_n", *uniques]].itertuples(index=False, name=None):
+            if not any(v in t for v, t in zip(values, taken)):
+                won.append(n)
+                for v, t in zip(values, taken):
+                    t.add(v)
+        return pd.DataFrame({"_n": won}, dtype="int64")
+    return run
+
+
+def insert_unique(base: DataFrame, changes: DataFrame, uniques: list[str], order: str, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
     """(table with the accepted changes added, every other change): each of several columns is unique by itself.
 
     As if the changes came one after another: one is refused when an earlier accepted one, or the table, has
     any of its values. A round accepts the changes that are the first undecided ones in all their values and
-    refuses those that share a value with them; rounds are as many as the longest chain of such conflicts.
+    refuses those that share a value with them; that settles all but long chains of conflicts. What is left after
+    ``ROUNDS`` falls into groups that share no value: each of at most ``group_rows`` changes is walked through in
+    order by one task, and only larger ones go on in rounds.
     """
     place = F.struct(order, *[c for c in changes.columns if c != order])
     named = keyed(changes, uniques)
     for u in uniques:
         named = named.join(base.select(u), u, "left_anti")
-    open_, accepted = materialise(named.select(*changes.columns).withColumn("_place", place)), []
+    # equal changes are one, and a change's number tells its place
+    open_ = materialise(numbered(named.select(*changes.columns).distinct().withColumn("_place", place), [], ["_place"], "_n").drop("_place"))
+    accepted, rounds = [], 0
     while not open_.isEmpty():
-        first_of_all = open_
+        if rounds == ROUNDS:
+            few = open_.count() <= group_rows  # then all of them are one task's work
+            grouped = open_.withColumn("group", F.lit(0)) if few else materialise(open_.join(_conflict_groups(open_, uniques), "_n"))
+            sizes = grouped.groupBy("group").agg(F.count("*").alias("rows"))
+            small = grouped.join(sizes.where(F.col("rows") <= group_rows), "group", "left_semi")
+            won = materialise(small.groupBy("group").applyInPandas(_walk(uniques), "_n long"))
+            accepted.append(materialise(open_.join(won, "_n", "left_semi")))
+            open_ = materialise(grouped.join(sizes.where(F.col("rows") > group_rows), "group", "left_semi").select(*open_.columns))
+            rounds += 1
+            continue
+        firsts = open_
         for u in uniques:
-            firsts = open_.groupBy(u).agg(F.array_min(F.collect_set("_place")).alias("_first"))
-            first_of_all = first_of_all.join(firsts, u).where(F.col("_place") == F.col("_first")).drop("_first")
-        won = materialise(first_of_all.select(*open_.columns).distinct())
+            firsts = firsts.join(open_.groupBy(u).agg(F.min("_n").alias("_first")), u).where(F.col("_n") == F.col("_first")).drop("_first")
+        won = materialise(firsts.select(*open_.columns))
         accepted.append(won)
         rest = open_
         for u in uniques:
             rest = rest.join(won.select(u), u, "left_anti")
-        open_ = materialise(rest.select(*open_.columns))
-    fresh = reduce(DataFrame.unionByName, accepted, changes.limit(0).withColumn("_place", place)).select(*changes.columns)
+        open_, rounds = materialise(rest.select(*open_.columns)), rounds + 1
+    fresh = reduce(DataFrame.unionByName, accepted, open_.limit(0)).select(*changes.columns)
     return base.unionByName(fresh.select(*base.columns)), changes.exceptAll(fresh)
 
 

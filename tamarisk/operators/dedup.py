@@ -165,17 +165,17 @@ def summary(clusters: DataFrame) -> DataFrame:
 def unseen(clusters: DataFrame, rows: DataFrame, decided_members: DataFrame) -> DataFrame:
     """Clusters whose exact member set has not been decided before.
 
-    Sets are equal when the members they share are as many as each of them has; that needs
-    counts only, so a cluster of any size is compared without building its member list.
-    Only blocks holding a whole decided set are counted.
+    A set has a fingerprint that combines before the shuffle: its number of members and two exclusive-ors of
+    their hashes. Members are compared only where fingerprints agree, so sets of any size are never lists and
+    sets that merely overlap cost nothing further.
     """
     old = decided_members.select("dataset", "cluster_id", "row_id").distinct()
-    old_sizes = old.groupBy("dataset", "cluster_id").agg(F.count("*").alias("old_size"))
-    shared = rows.select(*BLOCK, "row_id").join(old, ["dataset", "row_id"]).groupBy(*BLOCK, "cluster_id").agg(F.count_distinct("row_id").alias("shared"))
-    inside = shared.join(old_sizes, ["dataset", "cluster_id"]).where(F.col("shared") == F.col("old_size")).groupBy(*BLOCK).agg(F.max("shared").alias("largest"))
-    sizes = rows.select(*BLOCK, "row_id").join(inside.select(*BLOCK), BLOCK, "left_semi").groupBy(*BLOCK).agg(F.count_distinct("row_id").alias("new_size"))
-    same = inside.join(sizes, BLOCK).where(F.col("largest") == F.col("new_size"))
-    return clusters.join(same.select(*BLOCK), BLOCK, "left_anti")
+    new = rows.select(*BLOCK, "row_id").distinct()
+    print_of = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("row_id")).alias("f1"), F.bit_xor(F.xxhash64(F.lit("other"), "row_id")).alias("f2")]
+    alike = new.groupBy(*BLOCK).agg(*print_of).join(old.groupBy("dataset", "cluster_id").agg(*print_of), ["dataset", "n", "f1", "f2"])
+    both = new.join(alike.select(*BLOCK, "cluster_id", "n"), BLOCK).join(old, ["dataset", "cluster_id", "row_id"])
+    same = both.groupBy(*BLOCK, "cluster_id", "n").agg(F.count("*").alias("shared")).where(F.col("shared") == F.col("n"))
+    return clusters.join(same.select(*BLOCK).distinct(), BLOCK, "left_anti")
 
 
 EVIDENCE = {"min_name_similarity": "double", "cluster_index": "bigint", "decided_by": "string", "decided_at": "timestamp"}

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +171,19 @@ def test_labels(spark):
     assert [r[0] for r in at.collect()] == ["never run", "just now", "10m ago", "4h ago", "3d ago"]
     assert spark.range(1).select(quarter_label(F.lit("2026-03-31 23:59:59").cast("timestamp"))).first()[0] == "2026 Q1"
     assert P.inline_table(spark, "a, b", [("it's \\ ok", None)]).first()[0] == "it's \\ ok"
+
+
+@pytest.mark.parametrize("group_rows", [100_000, 40])
+def test_conflicts_are_settled_as_if_one_by_one(spark, group_rows):
+    """Chains that rounds would take one by one, random conflicts, and equal changes."""
+    rng = random.Random(2)
+    chain = [(k, f"n{(k + 1) // 2}", f"s{k // 2}") for k in range(1, 2001 if group_rows > 40 else 35)]
+    mixed = [(10_000 + k, f"m{rng.randrange(60)}", f"t{rng.randrange(60)}") for k in range(200)]
+    rows = [*chain, *mixed, chain[4], (None, None, "u"), (3, "n5x", None)]
+    base = spark.createDataFrame([(0, "n5", "x")], "seq long, name string, slug string")
+    done, refused = ch.insert_unique(base, spark.createDataFrame(rows, base.schema), ["name", "slug"], "seq", group_rows)
+    names, slugs, want = {"n5"}, {"x"}, {(0, "n5", "x")}
+    for s, n, g in sorted(r for r in set(rows) if None not in r):
+        if n not in names and g not in slugs:
+            names.add(n), slugs.add(g), want.add((s, n, g))
+    assert sorted(tuple(r) for r in done.collect()) == sorted(want) and refused.count() == len(rows) - len(want) + 1
