@@ -100,3 +100,61 @@ def components(fps: dict[int, int], max_bits: int = 2) -> dict[int, int]:
                 ra, rb = root(a), root(b)
                 parent[max(ra, rb)] = min(ra, rb)
     return {i: root(i) for i in ids}
+
+
+def lm_scores(rows: list[tuple[int | None, str | None]], L) -> list[float]:
+    """The scores bit by bit with plain numbers; ``L`` gives the code tree and the parameters."""
+    from collections import Counter
+
+    texts = [[*(w.encode().lower() for w in words(t)), b""] for _, t in rows]
+    counts = Counter(w for (i, _), ws in zip(rows, texts) if not L.held_out(i) for w in ws)
+    frequent = sorted(counts, key=lambda w: (-counts[w], w))[:L.CODED]
+    total, symbol = sum(counts.values()), {w: k + 1 for k, w in enumerate(frequent)}
+    rest = total - sum(counts[w] for w in frequent)
+    codes, bits = L.Codes([counts[w] for w in frequent], rest), L.table_bits(total)
+
+    def slot(context, node, order):
+        x = ((context << 12 | node) * (0x9E3779B97F4A7C15 + 2 * order)) % 2**64
+        return order, ((x ^ x >> 31) * 0xBF58476D1CE4E5B9 % 2**64) >> 64 - bits
+
+    def events(text):
+        """(place, node, bit, slots) of every bit."""
+        seen = []  # places of coded tokens
+        for at, w in enumerate(text):
+            s = symbol.get(w, 0)
+            one, two = (symbol[text[p]] for p in (seen[-1:] * 2 if len(seen) == 1 else seen[-2:][::-1])) if seen else (0, 0)
+            two = two if len(seen) > 1 else 0
+            near = int(bool(seen) and seen[-1] == at - 1)
+            for k in range(codes.start[s], codes.start[s] + codes.depth[s]):
+                node, bit = int(codes.nodes[k]), int(codes.bits[k])
+                yield at, node, bit, [slot(one * 2 + near, node, 0), slot((one * (L.CODED + 1) + two) * 2 + near, node, 1)]
+            if s:
+                seen.append(at)
+
+    tables = Counter()
+    for (i, _), text in zip(rows, texts):
+        if not L.held_out(i):
+            for _, _, bit, slots in events(text):
+                for x in slots:
+                    tables[x, bit] += 1
+    out = []
+    for text in texts:
+        score = sum(math.log10((counts[w] + L.ALPHA) / (rest + L.ALPHA * (len(counts) - len(frequent) + 1))) for w in text if w not in symbol)
+        weights = [list(w) for w in L._first_weights()]
+        ends, pending, upto = [*L.BLOCKS], {}, L.BLOCKS[0]
+        for at, node, bit, slots in events(text):
+            while at >= upto:
+                for g, (n, sums) in pending.items():
+                    weights[g] = [w + L.RATE * s / (n + 32) for w, s in zip(weights[g], sums)]
+                pending = {}
+                upto = next((e for e in ends if e > upto), upto + L.BLOCKS[-1])
+            seen = [(tables[x, 0], tables[x, 1]) for x in slots]
+            inputs = [float(codes.share[node]), *(min(max(math.log((b + L.PRIOR) / (a + L.PRIOR)), -8), 8) for a, b in seen), L.CONSTANT]
+            level = [sum(a + b >= e for e in L.EVIDENCE) for a, b in seen]
+            g = level[0] * 3 + level[1]
+            p = 1 / (1 + math.exp(-sum(w * x for w, x in zip(weights[g], inputs))))
+            score += math.log10(p if bit else 1 - p)
+            n, sums = pending.get(g, (0, [0.0] * L.INPUTS))
+            pending[g] = n + 1, [s + (bit - p) * x for s, x in zip(sums, inputs)]
+        out.append(score)
+    return out

@@ -13,7 +13,7 @@ import pytest
 import brute
 import corpus_pipeline
 from parity import compare
-from tamarisk.llm import catalog, decontaminate, mixing, private_data, quality, secrets, simhash, token_files
+from tamarisk.llm import catalog, decontaminate, lm_score, mixing, private_data, quality, secrets, simhash, token_files
 
 GIVEN = "/root/testdata/sf0.001"
 
@@ -174,6 +174,9 @@ def test_lm_score(spark, folder):
     found = result(spark, "op8_lm_score", folder)
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in found) == want
     assert all(r["score"] < 0 and r["bits_per_byte"] > 0 for r in found)
+    scored = sorted(zip(((d["doc_id"] or 0, len(brute.words(d["text"]))) for d in rows(folder)), brute.lm_scores([(d["doc_id"], d["text"]) for d in rows(folder)], lm_score)))
+    for (_, s), r in zip(scored, sorted(found, key=lambda r: (r["doc_id"] or 0, r["n_tokens"], r["score"]))):
+        assert abs(s - r["score"]) <= 1e-4 * abs(s)
     if folder == GIVEN:
         out = [r for r in found if r["held_out"]]
         assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)

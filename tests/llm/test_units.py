@@ -188,7 +188,7 @@ def test_score_sums_to_one_over_the_next_token():
     """With the weights of the first block, the probabilities of all tokens after a context sum to 1."""
     counts = {b"": 40, b"the": 30, b"of": 9, b"cat": 2, b"dog": 1}
     frequent = sorted(counts, key=lambda t: (-counts[t], t))
-    tables = np.random.default_rng(2).integers(0, 9, 4 << lm_score.TABLE_BITS)
+    tables = np.random.default_rng(2).integers(0, 9, 4 << lm_score.table_bits(sum(counts.values())))
     model = lm_score.Model(frequent, [counts[t] for t in frequent], sum(counts.values()), len(counts), tables)
     total = 0.0
     for t in range(len(frequent)):
@@ -318,3 +318,16 @@ def _by_source(rows):
     for r in rows:
         out.setdefault(r.source, []).append(r)
     return out
+
+
+def test_context_tables_grow_with_the_corpus():
+    assert [lm_score.table_bits(n) for n in (0, 10**5, 10**6, 10**7)] == [12, 13, 16, 20]
+
+
+def test_an_unlikely_bit_costs_a_finite_score():
+    counts = {b"": 40, b"the": 30, b"of": 9}
+    frequent = sorted(counts, key=lambda t: (-counts[t], t))
+    tables = np.zeros(4 << lm_score.table_bits(79), np.int64)
+    tables[::2] = 10**9
+    model = lm_score.Model(frequent, [counts[t] for t in frequent], 79, 3, tables)
+    assert np.isfinite(lm_score.mixed_log(model, np.array([2, 1] * 5000), np.array([10_000]))).all()
