@@ -21,6 +21,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_BYTES = SPACES.encode()
+ROWS_AT_ONCE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +39,10 @@ def words(text: Column) -> Column:
 
 
 def over_rows(df: DataFrame, batch: Callable, schema: str) -> DataFrame:
-    """mapInArrow with plain lists: ``batch(*columns)`` returns one list or array for each output column."""
+    """mapInArrow with plain lists: ``batch(*columns)`` returns one list or array for each output column.
+
+    It is given some rows of a batch at once, so that a task holds the Python texts of few documents.
+    """
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -46,8 +50,9 @@ def over_rows(df: DataFrame, batch: Callable, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = batch(*[c.to_pylist() for c in b.columns])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+            for at in range(0, b.num_rows, ROWS_AT_ONCE):
+                columns = batch(*[c.to_pylist() for c in b.slice(at, ROWS_AT_ONCE).columns])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
     return df.mapInArrow(run, schema)
 

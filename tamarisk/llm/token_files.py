@@ -46,8 +46,8 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCS = 2000
 SAMPLE_CHARS = 20_000
 BLOCK_BYTES = 1 << 20
-MEMO_PIECES = 400_000
-MEMO_PARTS = 200_000
+MEMO_PIECES = 200_000
+MEMO_PARTS = 100_000
 
 
 def public_vocabulary() -> str:
