@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -72,13 +73,17 @@ def with_row_numbers(docs: DataFrame, name: str, scanned: bool) -> DataFrame:
 
 
 def worker_object(key: tuple, make: Callable):
-    """One object for each Python worker and key; of keys that begin alike, the newest alone is kept.
+    """The one object that a Python worker keeps, by its key; a stage uses one key, and the next stage's takes its place.
 
-    Functions reach workers by value, so a module global would be made anew for every task.
+    Functions reach workers by value, so a module global would be made anew for every task. Workers outlive
+    stages, so memory of the stage before is given back first.
     """
     kept = sys.modules.setdefault("tamarisk_worker_objects", types.ModuleType("tamarisk_worker_objects")).__dict__
     if kept.get(key[0], (None,))[0] != key:
-        kept.pop(key[0], None)  # before the new one is made, so that they are never there together
+        for other in [k for k, v in kept.items() if isinstance(v, tuple)]:
+            kept.pop(other)  # before the new one is made, so that they are never there together
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         kept[key[0]] = key, make()
     return kept[key[0]][1]
 
