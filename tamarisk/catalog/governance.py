@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk import params as P
@@ -11,7 +14,7 @@ from tamarisk.functions.times import quarter_label
 from tamarisk.operators import access, changes as ch, compliance as cp, history as hs, maturity as mt, stewardship as st
 from tamarisk.operators import profile as prof
 from tamarisk.session import scratch_path
-from tamarisk.sources import zones
+from tamarisk.sources import keyed_files, zones
 
 R = Registry()
 
@@ -263,10 +266,13 @@ def _checked_changes(spark, sf):
     return ch.validate(view(spark, sf, "v_changes"), ch.assignment_conditions())
 
 
-def _assignments(spark, sf):
+def _good_changes(spark, sf):
     good = _checked_changes(spark, sf).where("accepted").join(view(spark, sf, "v_datasets").select("dataset"), "dataset", "left_semi")
-    good = good.withColumn("assignee_name", X.clean_text(F.col("assignee_name")))
-    return ch.upsert_by_key(view(spark, sf, "v_assignments"), good, ["dataset", "role"], "seq")
+    return good.withColumn("assignee_name", X.clean_text(F.col("assignee_name")))
+
+
+def _assignments(spark, sf):
+    return ch.upsert_by_key(view(spark, sf, "v_assignments"), _good_changes(spark, sf), ["dataset", "role"], "seq")
 
 
 @R.query("changes_upsert", f"WITH {_NEWROLES} SELECT * FROM up")
@@ -274,6 +280,56 @@ def changes_upsert(spark, sf):
     return _assignments(spark, sf)
 
 
+@R.query("changes_upsert_by_file", f"WITH {_NEWROLES} SELECT * FROM up")
+def changes_upsert_by_file(spark, sf):
+    """The same on a table of files, of which only those with a changed key are written anew."""
+    root, keys = scratch_path(spark, "roles"), ["dataset", "role"]
+    now, _ = keyed_files.upsert(spark, root, keyed_files.create(view(spark, sf, "v_assignments"), root, keys), _good_changes(spark, sf), keys, "seq")
+    return keyed_files.read(spark, root, now)
+
+
+def _order_files(spark, sf):
+    """Orders as files in key order, with what their first eighth of keys becomes; some changes name no order."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    root = scratch_path(spark, "orders")
+    first = keyed_files.create(orders, root, ["o_orderkey"], FILES)
+    low = orders.where(F.col("o_orderkey") <= F.lit(orders.agg(F.max("o_orderkey") / 8).first()[0]))
+    given = F.when(F.col("o_orderkey") % 3 > 0, F.lit("X"))
+    changes = low.select(F.when(F.col("o_orderkey") % 5 == 0, -F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey")).alias("o_orderkey"),
+                         given.alias("o_orderstatus"), F.col("o_custkey").alias("seq"))
+    return root, first, changes
+
+
+FILES = 24
+_LOW = "o_orderkey <= (SELECT max(o_orderkey) / 8 FROM orders)"
+
+
+@R.query("orders_update_by_file", f"""SELECT o_orderkey, o_custkey, CASE WHEN {_LOW} AND o_orderkey % 3 > 0 AND o_orderkey % 5 <> 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, false AS refused FROM orders
+    UNION ALL SELECT -o_orderkey - 1, o_custkey, CASE WHEN o_orderkey % 3 > 0 THEN 'X' END, true FROM orders WHERE {_LOW} AND o_orderkey % 5 = 0""")
+def orders_update_by_file(spark, sf):
+    root, first, changes = _order_files(spark, sf)
+    now, _, refused = keyed_files.update(spark, root, first, changes, ["o_orderkey"], ["o_orderstatus"], "seq")
+    done = keyed_files.read(spark, root, now).select("o_orderkey", "o_custkey", "o_orderstatus", F.lit(False).alias("refused"))
+    return done.unionByName(refused.select("o_orderkey", F.col("seq").alias("o_custkey"), "o_orderstatus", F.lit(True).alias("refused")))
+
+
+@R.query("orders_delete_by_file", f"""WITH gone AS (SELECT count(*) AS n FROM orders WHERE {_LOW} AND o_orderkey % 5 <> 0), all_rows AS (SELECT count(*) AS n FROM orders)
+    SELECT all_rows.n AS rows_before, all_rows.n - gone.n AS rows_after, all_rows.n - gone.n AS rows_listed, 0::BIGINT AS gone_in_kept, true AS most_files_kept FROM all_rows, gone""")
+def orders_delete_by_file(spark, sf):
+    """What became of the files: rows, rows by the list, rows of removed keys in files that were kept, and whether most were kept."""
+    root, first, changes = _order_files(spark, sf)
+    now, met = keyed_files.delete(spark, root, first, changes, ["o_orderkey"])
+    before, after = (keyed_files.files(spark, root, v) for v in (first, now))
+    kept = before.join(after.select("file"), "file", "left_semi")
+    left = keyed_files.read(spark, root, now)
+    facts = {"rows_before": before.agg(F.sum("rows")), "rows_after": left.agg(F.count("*")), "rows_listed": after.agg(F.sum("rows")), "files": before.agg(F.count("*")),
+             "kept": kept.agg(F.count("*")), "gone_in_kept": keyed_files.rows_in(spark, root, kept).join(changes, "o_orderkey", "left_semi").agg(F.count("*"))}
+    one = reduce(DataFrame.unionByName, [df.toDF("n").withColumn("fact", F.lit(name)) for name, df in facts.items()])
+    out = one.agg(*[F.max(F.when(F.col("fact") == name, F.col("n"))).alias(name) for name in facts])
+    most = (F.col("kept") == F.col("files") - len(met)) & (2 * F.col("kept") > F.col("files"))
+    return out.select("rows_before", "rows_after", "rows_listed", "gone_in_kept", most.alias("most_files_kept"))
+
+
 @R.query("steward_roles", f"""WITH {_NEWROLES}, roles(role) AS (VALUES {_ROLE_LIST})
     SELECT d.dataset, r.role, up.assignee_name, up.assignee_name IS NOT NULL AS assigned FROM v_datasets d CROSS JOIN roles r LEFT JOIN up ON up.dataset = d.dataset AND up.role = r.role""")
 def steward_roles(spark, sf):
