@@ -11,7 +11,7 @@ from tamarisk import params as P
 from tamarisk.catalog.base import Registry, placed, spark_sql, table, view
 from tamarisk.functions import text as X
 from tamarisk.functions.times import quarter_label
-from tamarisk.operators import access, changes as ch, compliance as cp, history as hs, maturity as mt, stewardship as st
+from tamarisk.operators import access, changes as ch, compliance as cp, history as hs, maturity as mt, search, stewardship as st
 from tamarisk.operators import profile as prof
 from tamarisk.session import scratch_path
 from tamarisk.sources import keyed_files, zones
@@ -553,6 +553,18 @@ def reference_search(spark, sf):
     return placed(st.search_values(table(spark, sf, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("label")), "12"))
 
 
+@R.query("reference_search_indexed", """SELECT 'many' AS text, p_partkey AS code, CASE WHEN contains(CAST(p_partkey AS VARCHAR), '123') THEN 'code,' ELSE '' END || CASE WHEN contains(lower(p_name), '123') THEN 'label,' ELSE '' END AS matched
+    FROM part WHERE contains(CAST(p_partkey AS VARCHAR), '123') OR contains(lower(p_name), '123')
+    UNION ALL SELECT 'short', p_partkey, CASE WHEN contains(CAST(p_partkey AS VARCHAR), '9') THEN 'code,' ELSE '' END || CASE WHEN contains(lower(p_name), '9') THEN 'label,' ELSE '' END
+    FROM part WHERE contains(CAST(p_partkey AS VARCHAR), '9') OR contains(lower(p_name), '9')""")
+def reference_search_indexed(spark, sf):
+    """Two searches of one index: by postings, and of a text too short for them."""
+    values = table(spark, sf, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("label"))
+    index = search.build(values.withColumn("id", F.col("code")), ["id"], ["code", "label"], scratch_path(spark, "index"))
+    found = [search.find(index, text, ["code", "label"]).withColumn("text", F.lit(name)) for name, text in (("many", "123"), ("short", "9"))]
+    return found[0].unionByName(found[1]).select("text", F.col("id").alias("code"), F.concat(F.array_join("matched_fields", ","), F.lit(",")).alias("matched"))
+
+
 @R.query("reference_seeded", "SELECT replace(lower(p_name), ' ', '-') AS slug, p_partkey AS code FROM part WHERE replace(lower(p_name), ' ', '-') NOT IN (SELECT replace(lower(p_name), ' ', '-') FROM part WHERE p_size > 45)")
 def reference_seeded(spark, sf):
     parts = table(spark, sf, "part").select(X.slug(F.col("p_name")).alias("slug"), F.col("p_partkey").alias("code"), "p_size")
