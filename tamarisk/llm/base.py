@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -39,10 +40,11 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS + "+"))
 
 
-def over_rows(df: DataFrame, batch: Callable, schema: str) -> DataFrame:
+def over_rows(df: DataFrame, batch: Callable, schema: str, keeps: str | None = None) -> DataFrame:
     """mapInArrow with plain lists: ``batch(*columns)`` returns one list or array for each output column.
 
     It is given some rows of a batch at once, so that a task holds the Python texts of few documents.
+    ``keeps`` names the worker object that it uses, if any.
     """
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,6 +52,7 @@ def over_rows(df: DataFrame, batch: Callable, schema: str) -> DataFrame:
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keeps)
         for b in batches:
             for at in range(0, b.num_rows, ROWS_AT_ONCE):
                 columns = batch(*[c.to_pylist() for c in b.slice(at, ROWS_AT_ONCE).columns])
@@ -72,18 +75,33 @@ def with_row_numbers(docs: DataFrame, name: str, scanned: bool) -> DataFrame:
     return tagged.join(starts, "_r_file").select(*docs.columns, (F.col("_r_start") + F.col("_r_at")).alias(name))
 
 
+def _worker_objects() -> dict:
+    return sys.modules.setdefault("tamarisk_worker_objects", types.ModuleType("tamarisk_worker_objects")).__dict__
+
+
+def release(keeps: str | None = None) -> None:
+    """Gives back what this Python worker keeps under other names, to the system and not only to Python."""
+    kept = _worker_objects()
+    others = [k for k, v in kept.items() if isinstance(v, tuple) and k != keeps]
+    for k in others:
+        kept.pop(k)
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+        if trim:
+            trim(0)
+
+
 def worker_object(key: tuple, make: Callable):
     """The one object that a Python worker keeps, by its key; a stage uses one key, and the next stage's takes its place.
 
     Functions reach workers by value, so a module global would be made anew for every task. Workers outlive
-    stages, so memory of the stage before is given back first.
+    stages, so memory of the stage before is given back first; stages that keep nothing call ``release``.
     """
-    kept = sys.modules.setdefault("tamarisk_worker_objects", types.ModuleType("tamarisk_worker_objects")).__dict__
+    kept = _worker_objects()
     if kept.get(key[0], (None,))[0] != key:
-        for other in [k for k, v in kept.items() if isinstance(v, tuple)]:
-            kept.pop(other)  # before the new one is made, so that they are never there together
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        release()  # before the new one is made, so that they are never there together
         kept[key[0]] = key, make()
     return kept[key[0]][1]
 

@@ -303,4 +303,4 @@ def digest(ids: list, texts: list) -> list[list]:
 
 def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return over_rows(docs, digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return over_rows(docs, digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", keeps="anchors")

@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from tamarisk.llm.base import over_rows, table, worker_object
+from tamarisk.llm.base import over_rows, release, table, worker_object
 from tamarisk.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -140,7 +140,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str) -> bytes:
     range_ = 1 << 40
     share = range_ if n <= SAMPLE_DOCS else range_ * SAMPLE_DOCS // n
     chosen = docs.filter((F.char_length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("doc_id"), F.lit(range_)) < share))
-    rows = over_rows(chosen.select("text").limit(2 * SAMPLE_DOCS), lambda texts: [[encoder(vocabulary).encode(t) for t in texts]], "ids binary")
+    rows = over_rows(chosen.select("text").limit(2 * SAMPLE_DOCS), lambda texts: [[encoder(vocabulary).encode(t) for t in texts]], "ids binary", keeps="encoder")
     samples = sorted(bytes(r.ids) for r in rows.toLocalIterator())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
@@ -166,13 +166,14 @@ def write(docs: DataFrame, path: str, vocabulary: str, order: str = "doc_id") ->
             packed.append(frames.packer.compress(raw))
         return ids, places, raw_sizes, [enc.width] * len(ids), packed
 
-    over_rows(docs, batch, "doc_id long, place long, n_tokens long, id_bytes int, frame binary").write.parquet(f"{path}/frames")
+    over_rows(docs, batch, "doc_id long, place long, n_tokens long, id_bytes int, frame binary", keeps="encoder").write.parquet(f"{path}/frames")
     frames = spark.read.parquet(f"{path}/frames")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = [F.col("place"), F.col("n_tokens"), F.xxhash64("frame")]
     ranged = frames.repartitionByRange(parts, *ordered).sortWithinPartitions(*ordered, "frame").drop("place").withColumn("shard", F.spark_partition_id())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # all texts are encoded
         block, start, ids, lengths, offsets, payload = 0, 0, [], [], [0], []
 
         def row(shard: int, width: int) -> pa.RecordBatch:
@@ -205,6 +206,7 @@ def _documents(blocks: DataFrame, spark: SparkSession, path: str, with_ids: bool
     dictionary = bytes(dictionary)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         frames = Frames(dictionary)
         for b in batches:
             for r in b.to_pylist():
