@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PAIR_SLICE = 16384
+NAMES_AT_ONCE = 4096
 LONG_NAME = 256   # a longer name is compared by itself, so that no array is padded to it
 
 # Python workers get these functions by value: they need no copy of this package.
@@ -120,14 +121,27 @@ def min_cross_ratio(left: list[str], right: list[str] | None) -> float:
     return lowest
 
 
-@F.pandas_udf(T.DoubleType())
-def min_ratio_in(blocks: pd.Series) -> pd.Series:
-    """Smallest pairwise ratio inside each short list of names; pairs of a batch are scored together."""
-    lowest = np.array([lowest_with_long(list(b), None) if any(len(n) > LONG_NAME for n in b) else 100.0 for b in blocks])
-    blocks = [[n for n in b if len(n) <= LONG_NAME] for b in blocks]
+def _pair_lcs(dense: np.ndarray, masks: np.ndarray, lengths: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """LCS of name i with name j for arrays of pairs; ``masks`` has the places of each symbol in a name of at most 64 as bits."""
+    state = np.full(len(i), ~np.uint64(0))
+    for column in range(int(lengths[j].max(initial=0))):
+        hit = state & masks[i, dense[j, column]]
+        state = (state + hit) | (state - hit)
+    used = np.where(lengths[i] > 0, ~np.uint64(0) >> (64 - np.maximum(lengths[i], 1)).astype(np.uint64), np.uint64(0))
+    return np.bitwise_count(~state & used).astype(np.int64)
+
+
+def _lowest_in(blocks: list[list[str]]) -> np.ndarray:
+    """Smallest pairwise ratio inside each list of names; pairs of lists of one size are scored together."""
+    lowest = np.full(len(blocks), 100.0)
     sizes = np.fromiter((len(b) for b in blocks), np.int64, len(blocks))
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
+    first = np.cumsum(sizes) - sizes
     codes, lengths = code_points([n for b in blocks for n in b])
+    dense, = _symbols(codes)
+    masks = np.zeros((len(codes), int(dense.max(initial=0)) + 1), np.uint64)
+    for place in range(min(codes.shape[1], 64)):
+        rows = np.flatnonzero(lengths > place)
+        masks[rows, dense[rows, place]] |= np.uint64(1 << place)
     for size in np.unique(sizes[sizes > 1]):
         rows = np.flatnonzero(sizes == size)
         p, q = np.triu_indices(size, 1)
@@ -135,10 +149,29 @@ def min_ratio_in(blocks: pd.Series) -> pd.Series:
         for at in range(0, len(rows), step):
             some = rows[at : at + step]
             i, j = (first[some][:, None] + p).ravel(), (first[some][:, None] + q).ravel()
-            left = codes[i, : max(int(lengths[i].max()), 1)]
-            right = codes[j, : max(int(lengths[j].max()), 1)]
-            scores = ratios(lcs_lengths(left, right), lengths[i] + lengths[j])
+            i, j = np.where(lengths[i] <= lengths[j], i, j), np.where(lengths[i] <= lengths[j], j, i)
+            short = lengths[i] <= 64
+            lcs = np.zeros(len(i), np.int64)
+            lcs[short] = _pair_lcs(dense, masks, lengths, i[short], j[short])
+            long = np.flatnonzero(~short)
+            for k in range(0, len(long), 1024):
+                part = long[k : k + 1024]
+                lcs[part] = lcs_lengths(codes[i[part]], codes[j[part]])
+            scores = ratios(lcs, lengths[i] + lengths[j])
             lowest[some] = np.minimum(lowest[some], scores.reshape(len(some), len(p)).min(axis=1))
+    return lowest
+
+
+@F.pandas_udf(T.DoubleType())
+def min_ratio_in(blocks: pd.Series) -> pd.Series:
+    """Smallest pairwise ratio inside each short list of names; some lists are scored at once."""
+    lowest = np.array([lowest_with_long(list(b), None) if any(len(n) > LONG_NAME for n in b) else 100.0 for b in blocks], np.float64)
+    blocks = [[n for n in b if len(n) <= LONG_NAME] for b in blocks]
+    run = np.cumsum([len(b) for b in blocks]) // NAMES_AT_ONCE if blocks else np.zeros(0)
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(blocks)]
+    for begin, end in zip(cuts, cuts[1:]):
+        if end > begin:
+            lowest[begin:end] = np.minimum(lowest[begin:end], _lowest_in(blocks[begin:end]))
     return pd.Series(lowest)
 
 
@@ -181,6 +214,17 @@ def common_at_least(shared: int, words_a, m1_a, m2_a, words_b, m1_b, m2_b) -> np
     return shared + np.where(words_a & words_b, several, ((m1_a | m2_a) & (m1_b | m2_b)) != 0)
 
 
+def least_total(sure: np.ndarray, score: float) -> np.ndarray:
+    """The smallest length of both names together with which a ratio of this many common characters is below the score.
+
+    Ratios are divisions of whole numbers, so equal ones are equal as numbers: a pair that can only reach the score is left out.
+    """
+    total = np.maximum(np.floor(200.0 * sure / score).astype(np.int64) - 1, 1)
+    for _ in range(3):
+        total = np.where(200.0 * sure / total < score, total, total + 1)
+    return total
+
+
 def groups_to_meet(part: pd.DataFrame, letters: int) -> pd.DataFrame:
     """Pairs of a block's groups whose names could be below its score, with the lengths that would take.
 
@@ -195,11 +239,10 @@ def groups_to_meet(part: pd.DataFrame, letters: int) -> pd.DataFrame:
     left, right, least, other, pairs = [], [], [], [], 0
     for i in range(len(grp)):
         sure = common_at_least(shared, words[i], m1[i], m2[i], words[i:], m1[i:], m2[i:])
-        # 200 * sure / (a + b) < score; a pair of empty names is alike
-        total = np.floor(200.0 * sure / score).astype(np.int64)
-        j = np.flatnonzero(longest[i] + longest[i:] > total - 1)  # a length to spare for rounding
+        total = least_total(sure, score)
+        j = np.flatnonzero(longest[i] + longest[i:] >= total)
         left.append(np.full(len(j), grp[i])), right.append(grp[i:][j])
-        least.append(total[j] - longest[i:][j] - 1), other.append(total[j] - longest[i] - 1)
+        least.append(total[j] - longest[i:][j]), other.append(total[j] - longest[i])
         pairs += int(n[i] * n[i:][j].sum())
         if pairs > n.sum() ** 2 // 4:
             return pd.DataFrame([{**head, "grp": -1, "other": -1, "least": 0, "other_least": 0, "n": 0, "others": 0}])
@@ -209,8 +252,19 @@ def groups_to_meet(part: pd.DataFrame, letters: int) -> pd.DataFrame:
                          "n": [size[g] for g in left.tolist()], "others": [size[g] for g in right.tolist()]})
 
 
+def _kinds(words: np.ndarray, m1: np.ndarray, m2: np.ndarray, lengths: np.ndarray) -> tuple:
+    """The distinct signatures with their longest length, and the signature of each name."""
+    kinds, of = np.unique(np.stack([words.astype(np.int64), m1, m2], axis=1), axis=0, return_inverse=True)
+    longest = np.zeros(len(kinds), np.int64)
+    np.maximum.at(longest, of.ravel(), lengths)
+    return kinds[:, 0] == 1, kinds[:, 1], kinds[:, 2], longest, of.ravel()
+
+
 def score_cell(part: pd.DataFrame) -> pd.DataFrame:
-    """One row: the block's score so far, or a smaller ratio of a name of its own with one of the others."""
+    """One row: the block's score so far, or a smaller ratio of a name of its own with one of the others.
+
+    Names alike in their letters are bounded together, by the longest of them.
+    """
     head = part.iloc[0]
     best, shared = float(head["score"]), int(head["shared"])
     own = part["own"].to_numpy(bool)
@@ -219,29 +273,44 @@ def score_cell(part: pd.DataFrame) -> pd.DataFrame:
         sides.append((rows["sorted_name"].tolist(), rows["len"].to_numpy(np.int64), rows["words"].to_numpy(bool), rows["m1"].to_numpy(np.int64), rows["m2"].to_numpy(np.int64)))
     (a, la, wa, a1, a2), (b, lb, wb, b1, b2) = sides
     if a and b:
-        plain = np.array([len(x) <= LONG_NAME for x in b])
-        codes_a, _ = code_points([x if len(x) <= 64 else "" for x in a])
-        codes_b, _ = code_points([x if p else "" for x, p in zip(b, plain)])
-        dense_a, dense_b = _symbols(codes_a, codes_b)
-        symbols, columns = int(max(dense_a.max(initial=0), dense_b.max(initial=0))), np.ascontiguousarray(dense_b.T)
-        bound = lambda i: 200.0 * common_at_least(shared, wa[i], a1[i], a2[i], wb, b1, b2) / np.maximum(la[i] + lb, 1)
-        lowest = np.array([bound(i).min() for i in range(len(a))])
-        for i in np.argsort(lowest, kind="stable"):
-            if lowest[i] >= best:
+        wk, k1, k2, lk, kind_a = _kinds(wa, a1, a2, la)
+        wo, o1, o2, lo, kind_b = _kinds(wb, b1, b2, lb)
+        kind_bound = lambda k: 200.0 * common_at_least(shared, wk[k], k1[k], k2[k], wo, o1, o2) / np.maximum(lk[k] + lo, 1)
+        lowest = np.array([kind_bound(k).min() for k in range(len(lk))])
+        order = [k for k in np.argsort(lowest, kind="stable") if lowest[k] < best]
+        if order:
+            plain = np.array([len(x) <= LONG_NAME for x in b])
+            codes_a, _ = code_points([x if len(x) <= 64 else "" for x in a])
+            codes_b, _ = code_points([x if p else "" for x, p in zip(b, plain)])
+            dense_a, dense_b = _symbols(codes_a, codes_b)
+            symbols, columns = int(max(dense_a.max(initial=0), dense_b.max(initial=0))), np.ascontiguousarray(dense_b.T)
+        for k in order:
+            if lowest[k] >= best:
                 break
-            near = np.flatnonzero(bound(i) < best)
-            fast = near[plain[near]] if len(a[i]) <= 64 else near[:0]
-            if len(fast):
-                lcs = _bit_lcs(dense_a[i, :len(a[i])], columns[:, fast], symbols)
-                found = ratios(lcs, la[i] + lb[fast])
-                found[[k for k, j in enumerate(fast) if b[j] == a[i]]] = 100.0
-                best = min(best, float(found.min()))
-            for j in near if not len(fast) else near[~plain[near]]:
-                if a[i] != b[j]:
-                    best = min(best, ratio(a[i], b[j]))
+            some = np.flatnonzero((kind_bound(k) < best)[kind_b])
+            sure = common_at_least(shared, wk[k], k1[k], k2[k], wb[some], b1[some], b2[some])
+            mine = np.flatnonzero(kind_a == k)
+            for i in mine[np.argsort(-la[mine], kind="stable")]:
+                near = some[200.0 * sure / np.maximum(la[i] + lb[some], 1) < best]
+                if not len(near):
+                    break  # the names that follow are no longer
+                fast = near[plain[near]] if len(a[i]) <= 64 else near[:0]
+                if len(fast):
+                    lcs = _bit_lcs(dense_a[i, :len(a[i])], columns[:, fast], symbols)
+                    found = ratios(lcs, la[i] + lb[fast])
+                    found[[n for n, j in enumerate(fast) if b[j] == a[i]]] = 100.0
+                    best = min(best, float(found.min()))
+                for j in near if not len(fast) else near[~plain[near]]:
+                    if a[i] != b[j]:
+                        best = min(best, ratio(a[i], b[j]))
     return pd.DataFrame({"dataset": [head["dataset"]], "dob": [head["dob"]], "score": [best]})
 
 
+def score_probe(part: pd.DataFrame) -> pd.DataFrame:
+    """One row: the score so far of a block, or a smaller ratio of two of these names."""
+    return score_cell(pd.concat([part.assign(own=True), part.assign(own=False)], ignore_index=True))
+
+
 def score_chunk_pair(part: pd.DataFrame) -> pd.DataFrame:
     """One row: the smallest ratio between the two chunks of names (ci, cj) of a block."""
     head = part.iloc[0]

@@ -10,7 +10,8 @@ common to any two of them. Behind it, two names of several words share the blank
 their first words have a common letter, and one more if the rest has; other names share one if they
 have a common letter at all. So letters and lengths bound a pair's score without comparing it. Names
 are grouped by the most frequent of their letters, whose sets are few whatever the number of names; two
-groups are out when even their longest names are bounded above the score to beat. Names of the groups that
+groups are out when even their longest names are not bounded below the score to beat, which the longest names
+of all groups have lowered among themselves before. Names of the groups that
 remain meet in cells, by all of their letters first, and only pairs that could still be lower are scored,
 the lowest bounds first. Every name that is left out has a bound that says why.
 
@@ -27,17 +28,19 @@ from pyspark.sql import functions as F
 
 from tamarisk import params as P
 from tamarisk.functions.ordered import numbered
-from tamarisk.functions.similarity import groups_to_meet, min_ratio_in, min_ratio_to, score_cell, score_chunk_pair, sorted_tokens
+from tamarisk.functions.similarity import groups_to_meet, min_ratio_in, min_ratio_to, score_cell, score_chunk_pair, score_probe, sorted_tokens
 from tamarisk.operators import roles
 from tamarisk.session import materialise
 
 BLOCK = ["dataset", "dob"]
-SHORT_BLOCK = 32
+SHORT_BLOCK = 256   # names that are scored as one list
 PIVOTS = 6
 CHUNK_NAMES = 2048
 MOST_CHUNKS = 1024  # a longer block gets longer chunks: a name is sent this many times at most
 LETTERS = 60        # the most frequent ones, which a signature knows
 GROUP_LETTERS = 6   # the most frequent of these, by which names are grouped
+PROBES = 4          # names of a group that look for a lower score to beat
+MOST_PROBES = 4096  # of a block; they bear on the work only, not on the score
 
 
 def candidates(df: DataFrame) -> DataFrame:
@@ -61,9 +64,14 @@ def blocks(names: DataFrame) -> DataFrame:
                                      F.min("first_pos").alias("first_pos")).where("size > 1")
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by their keys over all partitions: small rows whose scoring takes long must not be packed into one task by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _short_scores(names: DataFrame, found: DataFrame) -> DataFrame:
     short = found.where(F.col("n_names").between(2, SHORT_BLOCK)).select(*BLOCK)
-    lists = names.join(short, BLOCK).groupBy(*BLOCK).agg(F.collect_list("sorted_name").alias("names"))
+    lists = _spread(names.join(short, BLOCK).select(*BLOCK, "sorted_name"), *BLOCK).groupBy(*BLOCK).agg(F.collect_list("sorted_name").alias("names"))
     return lists.select(*BLOCK, min_ratio_in("names").alias("score"))
 
 
@@ -72,7 +80,7 @@ def _pivot_scores(inside: DataFrame) -> DataFrame:
     place = lambda order: F.row_number().over(W.partitionBy(*BLOCK).orderBy(order, "sorted_name"))
     ends = [inside.withColumn("_n", place(order)).where(F.col("_n") <= PIVOTS) for order in (F.asc("len"), F.desc("len"))]  # cut before the shuffle
     pivots = ends[0].unionByName(ends[1]).groupBy(*BLOCK).agg(F.sort_array(F.collect_set("sorted_name")).alias("pivots"))
-    return inside.join(pivots, BLOCK).select(*BLOCK, min_ratio_to("sorted_name", "pivots").alias("score")).groupBy(*BLOCK).agg(F.min("score").alias("score"))
+    return _spread(inside.join(pivots, BLOCK), *BLOCK, "sorted_name").select(*BLOCK, min_ratio_to("sorted_name", "pivots").alias("score")).groupBy(*BLOCK).agg(F.min("score").alias("score"))
 
 
 def _signatures(inside: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -95,6 +103,17 @@ def _signatures(inside: DataFrame, bounds: DataFrame) -> DataFrame:
     return placed.withColumn("grp", group)
 
 
+def _probed_scores(signed: DataFrame) -> DataFrame:
+    """A lower score to beat: names of every group, the longest with the fewest letters, are held against each other."""
+    kind = ["grp", "shared", "score", "words", "m1", "m2"]
+    kinds = signed.groupBy(*BLOCK, *kind).agg(F.max(F.struct("len", "sorted_name")).alias("c")).select(*BLOCK, *kind, "c.len", "c.sorted_name")
+    kinds = kinds.withColumn("letters", F.bit_count("m1") + F.bit_count("m2"))
+    order = [F.desc("len"), "letters", "sorted_name"]
+    some = kinds.withColumn("place", F.row_number().over(W.partitionBy(*BLOCK, "grp").orderBy(*order))).where(F.col("place") <= PROBES)
+    some = some.withColumn("at", F.row_number().over(W.partitionBy(*BLOCK).orderBy("place", *order))).where(F.col("at") <= MOST_PROBES)
+    return _spread(some, *BLOCK).groupBy(*BLOCK).applyInPandas(score_probe, "dataset string, dob string, score double")
+
+
 def _long_scores(names: DataFrame, found: DataFrame, chunk_names: int) -> DataFrame:
     long = found.where(F.col("n_names") > SHORT_BLOCK).select(*BLOCK)
     inside = materialise(names.join(long, BLOCK).select(*BLOCK, "sorted_name", F.char_length("sorted_name").alias("len")))
@@ -103,8 +122,10 @@ def _long_scores(names: DataFrame, found: DataFrame, chunk_names: int) -> DataFr
     if undecided.isEmpty():
         return bounds
     signed = materialise(_signatures(inside, undecided))
+    bounds = materialise(bounds.unionByName(_probed_scores(signed)).groupBy(*BLOCK).agg(F.min("score").alias("score")))
+    signed = signed.drop("score").join(bounds.where("score > 0"), BLOCK)
     groups = signed.groupBy(*BLOCK, "grp", "shared", "score").agg(F.max("len").cast("long").alias("longest"), F.count("*").alias("n"))
-    meetings = materialise(groups.groupBy(*BLOCK).applyInPandas(
+    meetings = materialise(_spread(groups, *BLOCK).groupBy(*BLOCK).applyInPandas(
         lambda part: groups_to_meet(part, GROUP_LETTERS), "dataset string, dob string, grp long, other long, least long, other_least long, n long, others long"))
     all_pairs = found.join(meetings.where("grp < 0").select(*BLOCK), BLOCK, "left_semi")
     met = meetings.where("grp >= 0")
@@ -125,7 +146,7 @@ def _cell_scores(signed: DataFrame, met: DataFrame, chunk_names: int) -> DataFra
     sides = met.join(own.select(*on, "own_chunks", "other_chunks"), on).select(*BLOCK, F.col("grp").alias("to"), F.col("other").alias("grp"), "other_least", "own_chunks", "other_chunks")
     right = signed.join(sides, on).where("len >= other_least").select(
         *BLOCK, F.col("to").alias("grp"), *facts, F.lit(False).alias("own"), every("own_chunks").alias("ci"), at("other_chunks").alias("cj"))
-    return left.unionByName(right).groupBy(*on, "ci", "cj").applyInPandas(score_cell, "dataset string, dob string, score double")
+    return _spread(left.unionByName(right), *on, "ci", "cj").groupBy(*on, "ci", "cj").applyInPandas(score_cell, "dataset string, dob string, score double")
 
 
 def _chunk_scores(names: DataFrame, found: DataFrame, chunk_names: int) -> DataFrame:
@@ -134,7 +155,7 @@ def _chunk_scores(names: DataFrame, found: DataFrame, chunk_names: int) -> DataF
         "chunk", F.pmod(F.xxhash64("sorted_name"), F.col("chunks")).cast("int"))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         *BLOCK, "sorted_name", "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"))
-    return sent.groupBy(*BLOCK, "ci", "cj").applyInPandas(score_chunk_pair, "dataset string, dob string, score double")
+    return _spread(sent, *BLOCK, "ci", "cj").groupBy(*BLOCK, "ci", "cj").applyInPandas(score_chunk_pair, "dataset string, dob string, score double")
 
 
 def find_clusters(rows: DataFrame, chunk_names: int = CHUNK_NAMES) -> DataFrame:

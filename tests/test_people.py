@@ -1,6 +1,8 @@
 import random
 import string
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,53 @@ def test_hot_block_is_scored_whole_whatever_the_chunking(spark, n, chunk):
     assert found[0]["min_name_similarity"] == pytest.approx(want, abs=0.051)
 
 
+def of_digits(n):
+    """Names of two words, numbers in two alphabets; the longest have all letters, the shortest are short."""
+    spell = lambda k, letters: "".join(letters[int(c)] for c in str(k))
+    numbers = [*range(10), *range(10_000, 100_000, 90_000 // n)]
+    return [f"kalesimort{k} bucdyhfwgp" for k in range(7)] + [f"{spell(k, 'kalesimort')} {spell(str(k)[::-1], 'bucdyhfwgp')}" for k in numbers]
+
+
+@pytest.mark.parametrize("given", [names(400, 5), of_digits(700), [f"Name{k % 50} Family{k % 37}" for k in range(600)]])
+def test_long_block_is_scored_whole(spark, given):
+    rows = [("d", str(i), x, "1900-01-01", None, i) for i, x in enumerate(given)]
+    found = dedup.find_clusters(dedup.candidates(people(spark, rows)), chunk_names=64).collect()
+    sort = sorted({" ".join(sorted(x.split())) for x in given})
+    assert len(found) == 1 and found[0]["n_names"] == len(sort) > dedup.SHORT_BLOCK
+    assert found[0]["min_name_similarity"] == pytest.approx(sim.min_cross_ratio(sort, None), abs=0.051)
+
+
+def test_groups_that_can_only_equal_the_score_do_not_meet():
+    """Names of 15 without a common letter have a bound of 200 / 30: not below that score, but below any higher one."""
+    part = pd.DataFrame({"dataset": "d", "dob": "x", "grp": [(1 << 12) + (1 << 6) + 1, (1 << 12) + (2 << 6) + 2], "shared": 0, "longest": 15, "n": 5})
+    met = lambda score: sim.groups_to_meet(part.assign(score=score), 6)
+    assert met(200 / 30).empty
+    above = met(200 / 29.5)
+    assert (above["grp"] != above["other"]).all() and len(above) == 1 and above["least"].item() == 15
+    for sure in range(5):
+        for score in (200.0 * a / b for a in range(1, 6) for b in range(1, 50)):
+            assert sim.least_total(np.array([sure]), score)[0] == next(t for t in range(1, 1000) if 200.0 * sure / t < score)
+
+
+def test_the_longest_names_lower_the_score_to_beat(spark):
+    """Names of all groups find a lower score before any cell is scored, and none that no pair has."""
+    given = of_digits(700)
+    rows = [("d", str(i), x, "1900-01-01", None, i) for i, x in enumerate(given)]
+    found = dedup.block_names(dedup.candidates(people(spark, rows)))
+    inside = found.select(*dedup.BLOCK, "sorted_name", F.char_length("sorted_name").alias("len"))
+    bounds = inside.groupBy(*dedup.BLOCK).agg(F.max(F.lit(20.0)).alias("score"))
+    probed = dedup._probed_scores(dedup._signatures(inside, bounds)).first()["score"]
+    assert sim.min_cross_ratio(sorted({" ".join(sorted(x.split())) for x in given}), None) <= probed < 10
+
+
+def test_lists_of_names_are_scored_by_pairs():
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choices("abcdé 𝒳xyz", k=rng.choice([0, 1, 3, 8, 30, 63, 64, 65, 100, 256, 300])))
+    lists = [sorted({text() for _ in range(rng.randint(1, 14))}) for _ in range(200)]
+    want = [min([sim.ratio(a, b) for i, a in enumerate(x) for b in x[i + 1:]], default=100.0) for x in lists]
+    assert sim.min_ratio_in.func(pd.Series(lists)).tolist() == want
+
+
 def test_not_applicable(spark):
     with pytest.raises(ValueError, match="date-of-birth"):
         dedup.candidates(spark.sql("SELECT 'd' AS dataset, 0 AS row_pos, 1 AS id, 2 AS value"))
