@@ -10,6 +10,9 @@ taken, so a source's taken words miss its target by half a document at most.
 Targets share ``SHARE`` of all words by weight; a source stops at ``MOST_REPEATS`` times its size
 and the excess goes to the others by weight until none is above its stop.
 
+The query writes the order of the taken copies, range-sorted by time, and reads from it what is taken; ``mixed`` sorts
+the documents themselves by it.
+
 Column expressions, aggregates and windows only. The running sum of a source is split over many
 tasks; the one window without a key runs over one row per source.
 
@@ -103,6 +106,17 @@ def plan(docs: DataFrame) -> DataFrame:
     return joined.select(*docs.columns, "source_size", "target", F.array_compact(passes).alias("positions"))
 
 
+def in_training_order(rows: DataFrame) -> DataFrame:
+    """Rows of taken copies, range-sorted by training position."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, "_m_position", "_m_row").sortWithinPartitions("_m_position", "_m_row")
+
+
+def copies(placed: DataFrame, *more: str) -> DataFrame:
+    """One row for each taken copy of a plan."""
+    return placed.select("_m_row", *more, F.explode("positions").alias("_m_position"))
+
+
 def mixed(docs: DataFrame, text: str = "text", scanned: bool = False) -> DataFrame:
     """The documents as trained: one row for each taken copy, range-sorted by training position; the columns stay.
 
@@ -110,17 +124,25 @@ def mixed(docs: DataFrame, text: str = "text", scanned: bool = False) -> DataFra
     """
     numbered = with_row_numbers(docs, "_m_row", scanned)
     placed = plan(sizes(numbered, text, "_m_row"))
-    copies = placed.select(F.col("_m_row"), F.explode("positions").alias("_m_position"))
-    rows = numbered.join(copies, "_m_row")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "_m_position", "_m_row").sortWithinPartitions("_m_position", "_m_row").select(*docs.columns)
+    return in_training_order(numbered.join(copies(placed), "_m_row")).select(*docs.columns)
+
+
+def training_order(placed: DataFrame) -> DataFrame:
+    """The mix itself without the texts, written in training order: row, size and position of every taken copy."""
+    return materialise(in_training_order(copies(placed, "size")))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The positions are in billionths of the training time; null where a copy is not trained."""
-    at = [F.floor(F.get("positions", F.lit(k)) * 1e9).cast("long").alias(f"position_{k + 1}") for k in range(MOST_REPEATS)]
-    return plan(sizes(table(spark, sf_dir, "documents"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).cast("long").alias("taken"), *at)
+    """What the mix, written in training order and read back, holds of each document.
+
+    The positions are in billionths of the training time; null where a copy is not trained.
+    """
+    numbered = with_row_numbers(table(spark, sf_dir, "documents"), "_m_row", scanned=True)
+    placed = materialise(plan(sizes(numbered, "text", "_m_row")))
+    trained = training_order(placed).groupBy("_m_row").agg(F.sum("size").alias("taken"), F.sort_array(F.collect_list("_m_position")).alias("at"))
+    at = [F.floor(F.get("at", F.lit(k)) * 1e9).cast("long").alias(f"position_{k + 1}") for k in range(MOST_REPEATS)]
+    return placed.drop("positions").join(trained, "_m_row", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *at)
 
 
 def _position_sql(copy: int) -> str:

@@ -224,6 +224,21 @@ def test_mixed_is_in_training_order(spark):
     assert rows.columns == docs.columns and abs(rows.count() - 61) <= 1
 
 
+def test_mixing_query_reads_the_written_order(spark, awkward, monkeypatch):
+    """The query takes what the written mix holds: rows missing there are not taken, and its positions ascend."""
+    order, seen = mixing.training_order, []
+
+    def half(placed):
+        written = order(placed)
+        seen.extend(r["_m_position"] for k in sorted(written.inputFiles()) for r in spark.read.parquet(k).collect())
+        return written.where("_m_row % 2 = 0")
+
+    monkeypatch.setattr(mixing, "training_order", half)
+    found = [r for r in mixing.op4_source_mixing(spark, awkward).collect() if r["doc_id"] not in (None, 4)]
+    assert seen == sorted(seen) and len(seen) > 60
+    assert all(r["taken"] == 0 and r["position_1"] is None for r in found if r["doc_id"] % 2) and sum(r["taken"] for r in found) > 0
+
+
 def test_prefixes_written_out(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d")], "conv_id long, turn int, role string, text string")
     made = sorted(chat.example_texts(chat.formatted_turns(turns)).collect())
