@@ -51,8 +51,8 @@ def lineage_nodes(spark, sf):
 
 @R.query("lineage_levels", _RECURSIVE + " SELECT id, max(n) AS level FROM lv GROUP BY 1")
 def lineage_levels(spark, sf):
-    jobs = _jobs(spark, sf)
-    return lineage.levels(lineage.nodes(jobs), lineage.edges(jobs))
+    jobs = lineage.latest_links(view(spark, sf, "v_jobs"))
+    return lineage.levels(lineage.node_ids(jobs), lineage.edges(jobs))
 
 
 @R.query("lineage_gold_traces", _GRAPH + """ SELECT dataset, state, list_filter(o, lambda x: contains(lower(x), 'ifrs9'))[1] AS output, array_to_string(i, ',') AS inputs

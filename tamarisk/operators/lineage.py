@@ -18,6 +18,21 @@ def latest_runs(task_runs: DataFrame) -> DataFrame:
     return extreme_of_each(task_runs.select(*run), ["job"], ["started_at", "run_key", "task_no"]).drop("task_no")
 
 
+def latest_links(task_runs: DataFrame) -> DataFrame:
+    """job, in_uris, out_uris of the newest runs: the graph alone.
+
+    The end of a run is compared last of all and is no part of it, so the run history is shuffled without it.
+    """
+    run = ["job", "dataset", "task", "state", "inlets", "outlets", "started_at", "run_key", "task_no"]
+    newest = extreme_of_each(task_runs.select(*run), ["job"], ["started_at", "run_key", "task_no"])
+    return with_outlets(newest.select("job", "inlets", "outlets")).select("job", "in_uris", "out_uris")
+
+
+def node_ids(jobs: DataFrame) -> DataFrame:
+    uris = jobs.select(F.explode(F.concat("in_uris", "out_uris")).alias("id")).distinct()
+    return jobs.select(F.col("job").alias("id")).unionByName(uris)
+
+
 FACETS = """struct<latestRun: struct<state: string, durationMs: bigint,
     facets: struct<task: struct<inlets: string, outlets: string>, dagRun: struct<run_id: string, conf: struct<dataset_name: string>>>>>"""
 

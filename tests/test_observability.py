@@ -202,3 +202,17 @@ def test_ties_of_one_time_on_one_key(spark):
     last, first = (ordered.extreme_of_each(df, ["k"], ["t"], last=l) for l in (True, False))
     assert last.first().a == 19_999 and first.first().a == 0
     assert "collect_set" not in last._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_of_newest_runs_need_no_end(spark):
+    """The graph is the one that whole newest runs give, also among equal runs, and the end of a run is not read."""
+    uri = lambda x: f'[{{"uri": "{x}", "extra": None}}]'
+    rows = [("j", "d", "t", s, uri("a"), uri(o), f"2026-01-0{d} 00:00:00", f"2026-02-0{e} 00:00:00", k, 1)
+            for s, o, d, e, k in [("failed", "z", 1, 9, 9), ("success", "b", 2, 1, 3), ("running", "c", 2, 5, 3), ("success", "b", 2, 4, 3)]]
+    rows += [("k", "d", "t", None, uri("b"), "[]", "2026-01-01 00:00:00", None, 1, 1), ("n", "d", "t", "failed", "not a list", "[]", "2026-01-01 00:00:00", None, 1, 1)]
+    history = spark.createDataFrame(rows, "job string, dataset string, task string, state string, inlets string, outlets string, started_at string, ended_at string, run_key long, task_no long")
+    history = history.withColumn("started_at", F.col("started_at").cast("timestamp")).withColumn("ended_at", F.col("ended_at").cast("timestamp"))
+    whole = lineage.with_outlets(lineage.latest_runs(history))
+    links = lineage.latest_links(history.drop("ended_at"))
+    assert sorted(links.collect()) == sorted(whole.select("job", "in_uris", "out_uris").collect()) and links.count() == 2
+    assert sorted(lineage.node_ids(links).collect()) == sorted(whole.transform(lineage.nodes).select("id").collect())
