@@ -8,9 +8,10 @@ Files are plain WARC/1.1, written by Spark's text writer with the record end as
 Spark can write.
 
 Reading. A file is split by Spark at the end of one record and the version line of the next, so one large archive is read
-by many tasks, and each piece is checked against its Content-Length. A payload may hold those bytes itself;
-its record then comes up short, and the files that have such a record are read again whole, by length alone.
-Gzipped archives are read whole as well. Malformed records are an error, never skipped.
+by many tasks, and each piece is checked against its Content-Length. Spark's reader may miss an end, where its buffer ends in
+one; such a piece is several records, told apart by their lengths. A payload may hold those bytes itself;
+its record then comes up short, and the pieces of a file that has such a record are put together again in order and read by
+length alone, a few at once. So are gzipped archives whose names do not say so. Malformed records are an error, never skipped.
 
 Assembly. The links of WARC-Concurrent-To, in either direction and through any number of records, make
 components. A record with one link, to a record without any, belongs to that one at once; only records that link to more, or
@@ -31,6 +32,7 @@ import hashlib
 import io
 import sys
 from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -46,7 +48,8 @@ from tamarisk.session import materialise, scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-VERSION = b"WARC/1.1\r\n"
+BEGIN = b"WARC/1."
+VERSION = BEGIN + b"1\r\n"
 END = b"\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"  # where the table has no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -143,12 +146,32 @@ def row_of(fields: dict[str, list[str]], block: bytes) -> tuple:
             digest, type_, head, size, payload)
 
 
-def records_of(content: bytes) -> Iterator[tuple]:
-    """The rows of a whole archive, plain or gzipped, by the lengths that it states."""
-    stream = io.BytesIO(content)
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=stream)) if content[:2] == b"\x1f\x8b" else stream
+class _Joined(io.RawIOBase):
+    """Pieces of bytes as one stream, a piece at a time."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.left = pieces, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.left:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.left = memoryview(piece)
+        n = min(len(into), len(self.left))
+        into[:n], self.left = self.left[:n], self.left[n:]
+        return n
+
+
+def records_of(pieces: Iterator[bytes]) -> Iterator[tuple]:
+    """The rows of a whole archive, plain or gzipped, by the lengths that it states; ``pieces``: its bytes in order."""
+    stream = io.BufferedReader(_Joined(iter(pieces)))
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=stream)) if stream.peek(2)[:2] == b"\x1f\x8b" else stream
     while line := stream.readline():
-        if not line.startswith(b"WARC/1."):
+        if not line.startswith(BEGIN):
             raise ValueError(f"no WARC record begins with {line[:40]!r}")
         head = []
         while (line := stream.readline()) not in (b"\r\n", b""):
@@ -162,40 +185,76 @@ def records_of(content: bytes) -> Iterator[tuple]:
 
 
 def _rows(df: DataFrame, read) -> DataFrame:
-    """RECORDS from rows of one binary column, a few at once."""
+    """RECORDS from what ``read`` makes of the rows, a few at once."""
     out = to_arrow_schema(StructType.fromDDL(RECORDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple] = []
-        for (content,) in rows_of(batches, AT_ONCE):
-            for row in read(content):
-                made.append(row)
-                if len(made) == 4 * AT_ONCE:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
-                    made = []
+        for row in read(rows_of(batches, AT_ONCE)):
+            made.append(row)
+            if len(made) == 4 * AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
+                made = []
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
 
     return df.mapInArrow(run, RECORDS)
 
 
-def _piece(content: bytes) -> Iterator[tuple]:
-    head, _, block = content.partition(END)
-    fields = fields_of(head.removeprefix(VERSION))
-    yield row_of(fields, block[:int(fields["content-length"][0])])  # without the end of the file's last record
+def _blocks(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """The fields and the block of each record of a piece; an error if their lengths do not make up the piece."""
+    at = len(BEGIN) if content.startswith(BEGIN) else 0
+    while at < len(content):
+        begin = content.index(END, at) + len(END)
+        fields = fields_of(content[at:begin].partition(b"\r\n")[2])
+        end = begin + int(fields["content-length"][0])
+        if end > len(content) or content[end:end + len(END) + len(BEGIN)] not in (b"", END, END + BEGIN):
+            raise ValueError("not a record")
+        yield fields, content[begin:end]
+        at = end + len(END) + len(BEGIN)  # behind the end of a record that Spark did not split, or of the file's last one
+
+
+def _pieces(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for (content,) in rows:
+        for fields, block in _blocks(content):
+            yield row_of(fields, block)
+
+
+def _files(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """The rows of whole files from (file, piece) in order."""
+    for _, pieces in groupby(rows, lambda r: r[0]):
+        yield from records_of(piece if k == 0 else END + BEGIN + piece for k, (_, piece) in enumerate(pieces))
+
+
+def _odd_files(suspects: DataFrame) -> DataFrame:
+    """The files of those pieces (file, value) that are no whole records."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, content in rows_of(batches, AT_ONCE):
+            try:
+                for _ in _blocks(content):
+                    pass
+            except (ValueError, KeyError):
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.string())], names=["file"])
+
+    return suspects.mapInArrow(run, "file string").distinct()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records (RECORDS) of all archives below ``path``; warcinfo records too."""
-    cut = spark.read.option("lineSep", (END + VERSION).decode()).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    cut = spark.read.option("lineSep", (END + BEGIN).decode()).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     head = F.substring_index("value", END.decode(), 1)
     stated = F.regexp_extract(head, r"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$", 1).try_cast("bigint")
     rest = F.octet_length("value") - F.octet_length(head) - len(END)
     whole = (rest == stated) | ((rest == stated + len(END)) & F.endswith("value", F.lit(END.decode())))
-    odd = [r.file for r in cut.filter(~F.coalesce(whole, F.lit(False))).select("file").distinct().collect()]  # names of files, as in the file index
-    pieces = cut.filter(~F.col("file").isin(odd)) if odd else cut
-    found = _rows(pieces.select(F.col("value").cast("binary")), _piece)
-    return found.unionAll(_rows(spark.read.format("binaryFile").load(odd).select("content"), records_of)) if odd else found
+    value = F.col("value").cast("binary")
+    odd = [r.file for r in _odd_files(cut.filter(~F.coalesce(whole, F.lit(False))).select("file", value)).collect()]  # names of files, as in the file index
+    found = _rows((cut.filter(~F.col("file").isin(odd)) if odd else cut).select(value), _pieces)
+    if not odd:
+        return found
+    ordered = cut.filter(F.col("file").isin(odd)).select("file", "start", F.monotonically_increasing_id().alias("place"), value.alias("value"))
+    ordered = ordered.repartition("file").sortWithinPartitions("file", "start", "place")
+    return found.unionAll(_rows(ordered.select("file", "value"), _files))
 
 
 def _transactions(light: DataFrame) -> DataFrame:

@@ -178,3 +178,23 @@ def test_broken_archives_are_errors(spark, tmp_path):
         (tmp_path / f"{k}" / "x.warc").write_bytes(bad)
         with pytest.raises(Exception, match="WARC|digest"):
             warc.read(spark, str(tmp_path / f"{k}")).collect()
+
+
+def test_an_end_at_the_end_of_a_buffer_does_not_read_the_file_whole(spark, tmp_path, monkeypatch):
+    """Spark's reader misses ends across its 64 KB buffers; the pieces are still read apart, and odd files without a row of their own."""
+    archive = b"".join(r + warc.END for k in range(6000) for r in warc.capture_records(k, k, f"http://a.example/{k}", bytes([97 + k % 26]) * (k % 97), None))
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "a.warc").write_bytes(archive)
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "b.warc").write_bytes(archive + link("response", "r", [], warc.END + warc.VERSION + b"x" + warc.END) + archive.replace(b"WARC/1.1", b"WARC/1.0"))
+    (tmp_path / "odd" / "c").write_bytes(gzip.compress(archive))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    try:
+        for name, records in (("plain", 18_000), ("odd", 54_001)):
+            rows = warc.read(spark, str(tmp_path / name))
+            assert "binaryFile" not in rows._jdf.queryExecution().toString() and rows.count() == records
+            found = Counter((r.record_id, r.payload_bytes) for r in rows.filter("kind = 'response'").select("record_id", "payload_bytes").collect())
+            want = Counter({(warc.record_id(k, "response"), k % 97): 1 if name == "plain" else 3 for k in range(6000)})
+            assert sum((found - want).values()) == (name == "odd") and not want - found
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
